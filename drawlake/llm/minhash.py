@@ -213,20 +213,34 @@ def _links(texts: DataFrame, mine: DataFrame) -> DataFrame:
     best = stars.groupBy("a").agg(F.max(F.struct("est", (-F.col("b")).alias("o"), "b")).alias("m")).select("a", F.col("m.b").alias("b"))
     tried, links = confirmed(best, "first")
     comp = components(links)
-    rest, more = confirmed(across(stars.join(tried, ["a", "b"], "left_anti"), comp), "second")
-    tried, links = tried.unionByName(rest), links.unionByName(more)
+    links = links.unionByName(confirmed(across(stars.join(tried, ["a", "b"], "left_anti"), comp), "second")[1])
     comp = components(links)
-    # pairs of one bucket that still lie apart: the members outside the component of its head, against all
+    # What still lies apart in a bucket: the members outside the component of its head, against all. Such a
+    # member may lie near thousands without a link, so its pairs are tested as they meet and only links leave
+    # the join: by signature first, in the first bucket that both share, then on the full sets.
     placed = met.join(comp, met["doc_id"] == comp["id"], "left").select("key", "doc_id", "head", F.coalesce("comp", "doc_id").alias("c"))
     heads = comp.select(F.col("id").alias("head"), F.col("comp").alias("hc"))
     placed = stored(placed.join(heads, "head", "left").select("key", "doc_id", "c", (F.col("c") == F.coalesce("hc", "head")).alias("main")), "placed")
-    odd = placed.where("not main").select("key", F.col("doc_id").alias("x"), F.col("c").alias("cx"))
-    apart = odd.select("key").distinct()
-    placed = placed.join(apart, "key", "left_semi")
-    # the smaller id of two odd ones leads; with a member of the head's component the odd one does
-    odd = odd.join(packed.select(F.col("doc_id").alias("x"), F.col("s").alias("sx")), "x")
-    full = placed.join(packed, "doc_id").select("key", F.col("doc_id").alias("y"), F.col("c").alias("cy"), "main", F.col("s").alias("sy"))
-    pairs = odd.join(full, (odd["key"] == full["key"]) & (F.col("cx") != F.col("cy")) & (F.col("main") | (F.col("x") < F.col("y"))) & (estimate("sx", "sy") >= least_estimate()))
-    pairs = pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
-    last, more = confirmed(pairs.join(tried, ["a", "b"], "left_anti"), "third")
-    return links.unionByName(more)
+    apart = placed.where("not main").select("key").distinct()
+    placed = stored(placed.join(apart, "key", "left_semi"), "apart")
+    ids = placed.select("doc_id").distinct()
+    sets = texts.join(ids, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, shingles array<long>")
+    full = stored(mine.join(ids, "doc_id", "left_semi").select("doc_id", "bands", F.struct(*PLANES).alias("s")).join(sets, "doc_id").dropDuplicates(["doc_id"]), "apart-sets")
+    rows = placed.join(full, "doc_id")
+    x = rows.where("not main").select("key", F.col("doc_id").alias("x"), F.col("c").alias("cx"), F.col("s").alias("sx"), F.col("bands").alias("kx"), F.col("shingles").alias("hx"))
+    y = rows.select(F.col("key").alias("y_key"), F.col("doc_id").alias("y"), F.col("c").alias("cy"), "main", F.col("s").alias("sy"), F.col("bands").alias("ky"), F.col("shingles").alias("hy"))
+    # of two odd ones the smaller id leads; with a member of the head's component the odd one does
+    turn = (F.col("cx") != F.col("cy")) & (F.col("main") | (F.col("x") < F.col("y")))
+    first = F.expr("key = try_element_at(filter(zip_with(kx, ky, (a, b) -> if(a = b, a, null)), k -> k is not null), 1)")
+    equal = F.size(F.array_intersect("hx", "hy")) * (SIMILAR[0] + SIMILAR[1]) >= (F.size("hx") + F.size("hy")) * SIMILAR[0]
+    last = x.join(y, (F.col("key") == F.col("y_key")) & turn & (estimate("sx", "sy") >= least_estimate()) & first & equal)
+    return links.unionByName(stored(last.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")), "third-links"))
+
+
+def _sets(batches):
+    known: dict[bytes, int] = {}
+    for batch in batches:
+        found = [shingle_set(t.as_py(), known) for t in batch.column("text")]
+        ends = np.concatenate(([0], np.cumsum([len(f) for f in found]))).astype(np.int32)
+        flat = np.concatenate([*found, np.empty(0, np.uint64)]).view(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["doc_id", "shingles"])
