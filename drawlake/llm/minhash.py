@@ -186,6 +186,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def without_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the documents that aren't their group's smallest id; of rows that share an id one stays.
+
+    Rows with a null id stay. Only ids are matched with the rows, so a group of any size costs no more than its rows.
+    """
+    gone = near_duplicates(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias("_gone_id"))
+    left = docs.join(gone, F.col(f"`{id_col}`") == F.col("_gone_id"), "left_anti")
+    again = stored(docs.where(F.col(f"`{id_col}`").isNotNull()).groupBy(F.col(f"`{id_col}`").alias("_id")).count().where("count > 1").select("_id"), "repeated")
+    if again.isEmpty():
+        return left
+    same = F.col(f"`{id_col}`") == F.col("_id")
+    one = left.join(again, same, "left_semi").dropDuplicates([id_col])
+    return left.join(again, same, "left_anti").unionByName(one)
+
+
 def _links(texts: DataFrame, mine: DataFrame) -> DataFrame:
     """Confirmed links (a, b) between class representatives, enough of them to span every component."""
     packed = mine.select("doc_id", F.struct(*PLANES).alias("s"))

@@ -62,8 +62,8 @@ class Coder:
         plain = [i for i, k in enumerate(v.kinds) if k == 0]
         self.longest = max((len(v.pieces[i]) for i in plain), default=1)
         self.power = np.ones(self.longest + 1, np.uint64)
-        for i in range(1, self.longest + 1):
-            self.power[i] = self.power[i - 1] * _BASE
+        self.power[1:] = _BASE
+        self.power = np.multiply.accumulate(self.power)
         self.hash = np.zeros(self.size + 1, np.uint64)  # the last is the unknown character's, that no piece holds
         self.length = np.ones(self.size + 1, np.int64)
         for i in plain:

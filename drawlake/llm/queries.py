@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from drawlake.llm import langid, minhash, mixing, quality, secrets
+from drawlake.llm import langid, minhash, mixing, pieces, quality, secrets
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op5_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op7_piece_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encoded(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(_read(spark, sf_dir, "documents"))
 
@@ -33,6 +37,6 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predicted_languages(_read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_bbit_minhash, op4_hierarchical_mix, op5_compression_quality, op8_secret_scan, op9_language_id)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_bbit_minhash, op4_hierarchical_mix, op5_compression_quality, op7_piece_viterbi, op8_secret_scan, op9_language_id)}
 
 ORACLES: dict[str, str] = {"op4_hierarchical_mix": mixing.oracle_sql()}
