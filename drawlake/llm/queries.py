@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from drawlake.llm import chat, langid, minhash, mixing, pieces, quality, secrets
+from drawlake.llm import chat, langid, minhash, mixing, nndescent, pieces, quality, secrets
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op5_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op6_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nndescent.near_duplicate_vectors(_read(spark, sf_dir, "embeddings"))
+
+
 def op7_piece_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encoded(_read(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -41,6 +45,6 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predicted_languages(_read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_snapshot_collapse, op3_bbit_minhash, op4_hierarchical_mix, op5_compression_quality, op7_piece_viterbi, op8_secret_scan, op9_language_id)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_snapshot_collapse, op3_bbit_minhash, op4_hierarchical_mix, op5_compression_quality, op6_nn_descent, op7_piece_viterbi, op8_secret_scan, op9_language_id)}
 
 ORACLES: dict[str, str] = {"op2_snapshot_collapse": chat.ORACLE_SQL, "op4_hierarchical_mix": mixing.oracle_sql()}
