@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from drawlake.llm import chat, langid, minhash, mixing, nndescent, pieces, quality, secrets
+from drawlake.llm import chat, langid, minhash, mixing, nndescent, pieces, quality, secrets, sitetree
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sitetree.main_text(_read(spark, sf_dir, "pages"))
+
+
 def op2_snapshot_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.render_maximal(_read(spark, sf_dir, "conversations"))
 
@@ -45,6 +49,6 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predicted_languages(_read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_snapshot_collapse, op3_bbit_minhash, op4_hierarchical_mix, op5_compression_quality, op6_nn_descent, op7_piece_viterbi, op8_secret_scan, op9_language_id)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_site_style_tree, op2_snapshot_collapse, op3_bbit_minhash, op4_hierarchical_mix, op5_compression_quality, op6_nn_descent, op7_piece_viterbi, op8_secret_scan, op9_language_id)}
 
 ORACLES: dict[str, str] = {"op2_snapshot_collapse": chat.ORACLE_SQL, "op4_hierarchical_mix": mixing.oracle_sql()}
