@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from drawlake.llm import chat, langid, minhash, mixing, nndescent, pieces, quality, secrets, sitetree
+from drawlake.llm import chat, langid, minhash, mixing, nndescent, pieces, quality, secrets, sitetree, webp
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -49,6 +49,10 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predicted_languages(_read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_site_style_tree, op2_snapshot_collapse, op3_bbit_minhash, op4_hierarchical_mix, op5_compression_quality, op6_nn_descent, op7_piece_viterbi, op8_secret_scan, op9_language_id)}
+def op10_webp_lossless(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return webp.text_media(_read(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_site_style_tree, op2_snapshot_collapse, op3_bbit_minhash, op4_hierarchical_mix, op5_compression_quality, op6_nn_descent, op7_piece_viterbi, op8_secret_scan, op9_language_id, op10_webp_lossless)}
 
 ORACLES: dict[str, str] = {"op2_snapshot_collapse": chat.ORACLE_SQL, "op4_hierarchical_mix": mixing.oracle_sql()}
