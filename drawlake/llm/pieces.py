@@ -25,10 +25,11 @@ SPACE = "▁"
 #: Words up to this length advance in batches; longer ones are rare and go one by one.
 LONG = 48
 #: Cells (words times places) that one batch holds.
-CELLS = 1 << 15
+CELLS = 1 << 16
 #: Encoded words that a task remembers.
 KNOWN = 200_000
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
+_FILTER, _PAIRS = 20, 20
 _NEVER = np.int64(1 << 40)
 _WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
@@ -76,6 +77,9 @@ class Coder:
         order = np.argsort(self.hash[plain], kind="stable")
         self.ids = np.array(plain, np.int64)[order]
         self.keys = self.hash[self.ids]
+        self.maybe = np.zeros(1 << _FILTER, bool)  # a look here spares most searches
+        self.maybe[self.keys >> np.uint64(64 - _FILTER)] = True
+        self.pair_key, self.pair_ok = np.full(1 << _PAIRS, -1, np.int64), np.zeros(1 << _PAIRS, bool)
         self.score = np.append(np.array(v.scores), 0.0)
         self.byte = {int(v.pieces[i][3:5], 16): i for i, k in enumerate(v.kinds) if k == 1}
         self.by_text = {v.pieces[i]: i for i in plain}
@@ -114,8 +118,28 @@ class Coder:
 
     def probe(self, h: np.ndarray) -> np.ndarray:
         """Ids of the pieces with these hashes, -1 for none."""
-        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-        return np.where(self.keys[at] == h, self.ids[at], -1)
+        out = np.full(h.shape, -1, np.int64)
+        at = np.nonzero(self.maybe[h >> np.uint64(64 - _FILTER)])
+        some = h[at]
+        k = np.minimum(np.searchsorted(self.keys, some), len(self.keys) - 1)
+        out[at] = np.where(self.keys[k] == some, self.ids[k], -1)
+        return out
+
+    def stay(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """``apart``, with a table that remembers the last pair of each slot."""
+        key = a * (self.size + 1) + b
+        slot = ((key.astype(np.uint64) * _BASE) >> np.uint64(64 - _PAIRS)).astype(np.int64)
+        new = np.unique(key[self.pair_key[slot] != key])
+        if len(new):
+            made = self.apart(new // (self.size + 1), new % (self.size + 1))
+            at = ((new.astype(np.uint64) * _BASE) >> np.uint64(64 - _PAIRS)).astype(np.int64)
+            self.pair_key[at], self.pair_ok[at] = new, made
+            lost = self.pair_key[slot] != key  # two new pairs of one slot
+            out = self.pair_ok[slot]
+            if lost.any():
+                out[lost] = made[np.searchsorted(new, key[lost])] if np.isin(key[lost], new).all() else self.apart(a[lost], b[lost])
+            return out
+        return self.pair_ok[slot]
 
     def apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether merging the characters of a and b leaves just a and b: the merges of either side go by their
@@ -150,39 +174,52 @@ class Coder:
 
     def _words(self, words: list[str]) -> list[list[int]]:
         """Ids of words of one length, one position of all of them at a time."""
-        codes = np.stack([_codes(w) for w in words])
-        n, size = codes.shape
+        n, size = len(words), len(words[0])
+        codes = _codes("".join(words)).reshape(n, size)
         found = self._candidates(codes)
-        rows = np.arange(n)
         back = np.zeros((n, size + 1), np.int64)  # length of the best last piece
         last = np.full((n, size + 1), -1, np.int64)
         best = np.full((n, size + 1), -np.inf)
         best[:, 0] = 0.0
+        # all candidates by place, then word; a piece that merging never makes is none
+        places = found.transpose(2, 1, 0)
+        e_at, w_at, k_at = np.nonzero(places >= 0)
+        ids = places[e_at, w_at, k_at]
+        if not self.v.unigram:
+            keep = self.made[ids]
+            e_at, w_at, k_at, ids = e_at[keep], w_at[keep], k_at[keep], ids[keep]
+        cost = np.where(ids == self.size, self.unknown_score, self.score[ids]) if self.v.unigram else None
+        bounds = np.searchsorted(e_at, np.arange(size + 2))
         for e in range(1, size + 1):
-            most = min(e, len(found))
-            ids = found[:most, :, e]
-            value = np.where(ids >= 0, best[:, e - 1 - np.arange(most)].T, -np.inf)
+            part = slice(bounds[e], bounds[e + 1])
+            w, k, i = w_at[part], k_at[part], ids[part]
+            start = e - k - 1
+            value = best[w, start]
             if self.v.unigram:
-                value = value + np.where(ids == self.size, self.unknown_score, self.score[ids])
+                value = value + cost[part]
             else:
-                before = last[:, e - 1 - np.arange(most)].T
-                value[(ids >= 0) & ~self.made[ids]] = -np.inf
-                k, w = np.nonzero((value > -np.inf) & (before >= 0))
-                pairs, where = np.unique(before[k, w] * (self.size + 1) + ids[k, w], return_inverse=True)
-                if len(pairs):
-                    ok = self.apart(pairs // (self.size + 1), pairs % (self.size + 1))[where]
-                    value[k[~ok], w[~ok]] = -np.inf
-            pick = value.argmax(axis=0)
-            best[:, e], back[:, e], last[:, e] = value[pick, rows], pick + 1, ids[pick, rows]
-            dead = best[:, e] == -np.inf
-            last[dead, e] = -1
-        out = []
-        for w in range(n):
-            e, ids = size, []
-            while e > 0:
-                ids.append(int(last[w, e]))
-                e -= int(back[w, e])
-            out.append(self._bytes(ids[::-1], words[w]))
+                live = np.flatnonzero((start > 0) & (value > -np.inf))
+                value[live[~self.stay(last[w[live], start[live]], i[live])]] = -np.inf
+            heads = np.flatnonzero(np.diff(w, prepend=-1))
+            if not len(heads):
+                continue
+            most = np.maximum.reduceat(value, heads)
+            top = np.flatnonzero((value == np.repeat(most, np.diff(heads, append=len(w)))) & (value > -np.inf))
+            top = top[::-1]  # of equal ones the shortest is written last
+            best[w[top], e], back[w[top], e], last[w[top], e] = value[top], k[top] + 1, i[top]
+        # all paths back at once, each written from the right
+        rows, at, step = np.arange(n), np.full(n, size), 0
+        path = np.full((n, size), -1, np.int64)
+        while (at > 0).any():
+            step += 1
+            path[:, size - step] = np.where(at > 0, last[rows, at], -1)
+            at = at - np.where(at > 0, back[rows, at], 0)
+        path = path[:, size - step :]
+        skip = (path < 0).argmin(axis=1).tolist()
+        # a path shorter than others has its blanks on the left
+        out = [p[k:] for p, k in zip(path.tolist(), skip)]
+        for w in np.flatnonzero((path == self.size).any(axis=1)).tolist():
+            out[w] = self._bytes(out[w], words[w])
         return out
 
     def _long(self, word: str) -> list[int]:
@@ -208,7 +245,7 @@ class Coder:
                     elif s > 0:
                         pair = (last[s], i)
                         if pair not in ok:
-                            ok[pair] = bool(self.apart(np.array([pair[0]]), np.array([i]))[0])
+                            ok[pair] = bool(self.stay(np.array([pair[0]]), np.array([i]))[0])
                         if not ok[pair]:
                             continue
                     if value > best[e]:
@@ -282,8 +319,8 @@ def encoded(docs: DataFrame, model_file: str = MODEL_FILE, text_col: str = "text
     def run(batches):
         coder = _coder(model.value)
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
+            for at in range(0, b.num_rows, 1024):
+                part = b.slice(at, 1024)
                 texts = [t or "" for t in part.column("__text").to_pylist()]
                 ids = coder.encode(texts)
                 same = [coder.decode(i) == t.replace(SPACE, " ") for i, t in zip(ids, texts)]
