@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,7 +15,7 @@ def first_of(c: Column, rules: R.Rules, otherwise: str) -> Column:
     low = F.lower(c)
     out = None
     for label, words in rules:
-        test = reduce(lambda a, b: a | b, (F.contains(low, F.lit(w)) for w in words))
+        test = low.rlike("|".join(map(re.escape, words)))
         out = F.when(test, label) if out is None else out.when(test, label)
     return F.when(c.isNotNull(), out.otherwise(otherwise))
 
@@ -115,18 +115,17 @@ def normalize_name(c: Column) -> Column:
 
 def classify_equipment(c: Column) -> Column:
     low = F.lower(c)
-    first, rest = R.EQUIPMENT[:1], R.EQUIPMENT[1:]
-    sized = low.rlike(r"[0-9]+\s*мм\s*[xх×]\s*[0-9]+\s*мм")
+    skip = "|".join(map(re.escape, R.EQUIPMENT[0][1])) + r"|[0-9]+\s*мм\s*[xх×]\s*[0-9]+\s*мм"
     made_up = F.contains(c, F.lit("[?")) | F.contains(c, F.lit("[Auto"))
-    later = first_of(c, rest, "luminaire")
-    return F.when((first_of(c, first, "") == "skip") | sized, "skip").when((later == "luminaire") & made_up, "skip").otherwise(later)
+    later = first_of(c, R.EQUIPMENT[1:], "")
+    return F.when(low.rlike(skip), "skip").otherwise(F.coalesce(F.nullif(later, F.lit("")), F.when(made_up, "skip").otherwise("luminaire")))
 
 
 def classify_specification(c: Column) -> Column:
     low = F.lower(c)
     led = F.contains(low, F.lit("led")) & ~F.contains(low, F.lit("розетк"))
-    upper = first_of(c, R.SPECIFICATION[:5], "")
-    return F.when(upper != "", upper).when(led, "luminaire").otherwise(first_of(c, R.SPECIFICATION[5:], "material"))
+    upper = F.nullif(first_of(c, R.SPECIFICATION[:5], ""), F.lit(""))
+    return F.coalesce(upper, F.when(led, "luminaire").otherwise(first_of(c, R.SPECIFICATION[5:], "material")))
 
 
 def normalize_unit(c: Column) -> Column:

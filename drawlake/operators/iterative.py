@@ -67,7 +67,7 @@ def nms(det: DataFrame, keys: Keys, ratio: float = 0.6, min_radius: float = 60.0
     from drawlake.operators.spatial import near_pairs
 
     if reach is None:
-        side = det.agg(F.max(F.greatest("w", "h"))).first()[0] or 0.0
+        side = float(det.agg(F.max(F.greatest("w", "h"))).first()[0] or 0.0)
         reach = max(min_radius, ratio * side, side)
     slim = det.select(*keys, seq, F.col("cx").alias("x"), F.col("cy").alias("y"), "w", "h", "confidence")
     pairs = near_pairs(slim, slim, keys, reach * 2**0.5).where(_before("confidence", seq) & (F.col(f"l_{seq}") != F.col(f"r_{seq}")))
