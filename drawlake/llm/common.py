@@ -1,68 +1,15 @@
-"""Helpers that the training-data operators share: where to cut lineage, components, hashes."""
+"""Helpers that the training-data operators share."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from drawlake.operators.graph import checkpointed, components, shared_dir, stored
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; where it is unset (tests, one machine), an own one."""
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir", None)
-    if named:
-        if sc._jsc.sc().getCheckpointDir().isEmpty():
-            sc.setCheckpointDir(named)
-        return named
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once as Parquet in the shared folder and read back: short lineage, small statistics."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+__all__ = ["checkpointed", "components", "fold_of", "shared_dir", "stored"]
 
 
 def fold_of(key: Column, n: int) -> Column:
     """crc32 of the key's text modulo n, as the contracts fix folds."""
     return F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(n))
-
-
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """Connected components: (id, comp), comp the smallest id reachable, for every id that an edge names.
-
-    Rounds of hooking to the smallest neighbour, two pointer jumps and contraction of the edges: each
-    round shrinks the edge list, so hubs and long chains need few rounds. No key's rows meet in one task
-    but through a combinable minimum or a join that adaptive execution may split.
-    """
-    live = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct()
-    live = checkpointed(live)
-    labels = None
-    while not live.isEmpty():
-        both = live.union(live.select("b", "a"))
-        hook = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("to"))
-        for _ in range(2):
-            up = hook.select(F.col("id").alias("to"), F.col("to").alias("up"))
-            hook = checkpointed(hook.join(up, "to").select("id", F.col("up").alias("to")))
-        if labels is None:
-            labels = hook.withColumnRenamed("to", "comp")
-        else:
-            labels = labels.join(hook, labels["comp"] == hook["id"], "left").select(labels["id"], F.coalesce("to", "comp").alias("comp"))
-        labels = checkpointed(labels)
-        ha, hb = (hook.select(F.col("id").alias(k), F.col("to").alias(f"to_{k}")) for k in ("a", "b"))
-        live = checkpointed(live.join(ha, "a").join(hb, "b").select(F.col("to_a").alias("a"), F.col("to_b").alias("b")).where("a <> b").distinct())
-    if labels is None:
-        labels = live.select(F.col("a").alias("id"), F.col("b").alias("comp"))
-    return labels
