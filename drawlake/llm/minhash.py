@@ -192,7 +192,7 @@ def without_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Rows with a null id stay. Only ids are matched with the rows, so a group of any size costs no more than its rows.
     """
     gone = near_duplicates(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias("_gone_id"))
-    left = docs.join(gone, F.col(f"`{id_col}`") == F.col("_gone_id"), "left_anti")
+    left = docs.join(gone.hint("merge"), F.col(f"`{id_col}`") == F.col("_gone_id"), "left_anti")
     again = stored(docs.where(F.col(f"`{id_col}`").isNotNull()).groupBy(F.col(f"`{id_col}`").alias("_id")).count().where("count > 1").select("_id"), "repeated")
     if again.isEmpty():
         return left
@@ -207,6 +207,8 @@ def _links(texts: DataFrame, mine: DataFrame) -> DataFrame:
     slots = mine.select("doc_id", F.explode("bands").alias("key"))
     heads = slots.groupBy("key").agg(F.min("doc_id").alias("head"), F.count("*").alias("size")).where("size > 1").select("key", "head")
     met = stored(slots.join(heads, "key"), "buckets")
+    # the texts that any later step may want, fetched once; ids grow with the corpus, so none of these joins broadcasts them
+    texts = stored(texts.join(met.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi"), "candidate-texts")
 
     def likely(pairs: DataFrame) -> DataFrame:
         x, y = packed.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), packed.select(F.col("doc_id").alias("b"), F.col("s").alias("sb"))
@@ -215,8 +217,8 @@ def _links(texts: DataFrame, mine: DataFrame) -> DataFrame:
     def confirmed(pairs: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
         """(the pairs that were tried, those that are links)"""
         pairs = stored(pairs.select("a", "b"), f"{name}-pairs")
-        ta, tb = texts.where("doc_id is not null").select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), texts.where("doc_id is not null").select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
-        rows = pairs.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb")
+        ta, tb = (texts.select(F.col("doc_id").alias(k), F.col("text").alias(f"t{k}")) for k in ("a", "b"))
+        rows = pairs.hint("merge").join(ta, "a").hint("merge").join(tb, "b").select("a", "b", "ta", "tb")
         found = rows.mapInArrow(_confirm, "a long, b long, n_both long, n_any long").where(F.col("n_both") * SIMILAR[1] >= F.col("n_any") * SIMILAR[0]).select("a", "b")
         return pairs, stored(found, f"{name}-links")
 
