@@ -44,4 +44,4 @@ def color_hex(rgb: Column) -> Column:
     def two(c):
         return F.lpad(F.hex(F.bround(F.greatest(F.lit(0.0), F.least(F.lit(1.0), c)) * 255).cast("int")), 2, "0")
 
-    return F.lower(F.concat(F.lit("#"), two(rgb["r"]), two(rgb["g"]), two(rgb["b"])))
+    return F.when(rgb.isNotNull(), F.lower(F.concat(F.lit("#"), two(rgb["r"]), two(rgb["g"]), two(rgb["b"]))))

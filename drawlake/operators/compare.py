@@ -8,13 +8,14 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from drawlake.functions.text import bill_key, drawing_no, tokens
 
 Keys = Sequence[str]
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def seq_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Similarity of two strings by matching blocks; only for pairs that share a token."""
     return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b)])

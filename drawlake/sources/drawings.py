@@ -17,7 +17,13 @@ def file_inventory(spark: SparkSession, root: str, exts: Sequence[str] = ("dxf",
     Parts of the path that start with a dot, or with an underscore but for ``_converted_dxf``, are passed over. The
     contents are not read.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", F.col("length").alias("size"))
+    # Spark's listing passes over names that start with an underscore, so the folders of converted files are named
+    paths, hadoop = [root], spark._jvm.org.apache.hadoop.fs
+    for below in (f"{root.rstrip('/')}/_converted_dxf", f"{root.rstrip('/')}/*/_converted_dxf"):
+        pattern = hadoop.Path(below)
+        if pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern):
+            paths.append(below)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths).select("path", F.col("length").alias("size"))
     tail = F.substring(F.col("path"), F.lit(1), F.length("path"))
     parts = F.split(F.regexp_replace(tail, "^[a-z]+:/*", ""), "/")
     base = F.length(F.lit(root.rstrip("/").split(":", 1)[-1].lstrip("/")))
