@@ -24,10 +24,11 @@ MAX_SIDE = 1 << 14
 #: Near distances by code: the places around a pixel by distance, nearer columns first.
 PLANE = sorted(((x, y) for y in range(8) for x in range(-7, 9) if y or x > 0), key=lambda p: (p[0] ** 2 + p[1] ** 2, abs(p[0]), p[0] < 0))
 
-SIDE = 64
-PAD = SIDE * 3
+FARTHEST = (1 << 20) - 128
+SIDE = PAD = 192
 CACHE_BITS = 8
-MATCH = 4
+#: Pixels that a back-reference takes at least, in colour and where only green varies.
+MATCH, GREY_MATCH = 4, 5
 
 
 class Bits:
@@ -48,7 +49,7 @@ class Bits:
     def windows(self, start: int) -> tuple[int, list[int]]:
         """(first position, 16-bit windows of the positions from there on) around ``start``."""
         first = start >> 3
-        part = np.frombuffer(self.raw[first : first + self.SPAN] + bytes(64), np.uint8).astype(np.uint32)
+        part = np.frombuffer(self.raw[first : first + self.SPAN + 16], np.uint8).astype(np.uint32)
         wide = part[:-2] | (part[1:-1] << np.uint32(8)) | (part[2:] << np.uint32(16))
         w = (wide[:, None] >> np.arange(8, dtype=np.uint32)) & np.uint32(0xFFFF)
         return first * 8, w.reshape(-1).tolist()
@@ -139,6 +140,9 @@ def _read_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     p, safe = bits.at - lo, len(win) - 640
     done = 0  # pixels that are in the cache
     push = out.append
+    # grey and palette images: only green takes bits
+    lone = groups_at is None and rm == bm == am == 0
+    rest = (red[0] >> 4) << 16 | blue[0] >> 4 | (alpha[0] >> 4) << 24
     count = 0
     while count < n:
         if p > safe:
@@ -153,6 +157,10 @@ def _read_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
         p += e & 15
         s = e >> 4
         if s < GREENS:
+            if lone:
+                push(s << 8 | rest)
+                count += 1
+                continue
             e = red[win[p] & rm]
             p += e & 15
             v = s << 8 | (e >> 4) << 16
@@ -336,7 +344,11 @@ def decode(raw: bytes) -> np.ndarray:
             size = 3 if n <= 2 else 2 if n <= 4 else 1 if n <= 16 else 0
             steps.append((kind, now, size, colours))
             now = -(-now >> size)
-    c = _split(_read_image(bits, now, height, True)).reshape(height, now, 4)
+    argb = _read_image(bits, now, height, True)
+    if [k for k, *_ in steps] == [GREEN] and not (argb & 0xFF00FF).any():
+        green = (argb >> 8 & 0xFF).astype(np.uint8).reshape(height, now)
+        return np.stack([green, green, green, (argb >> 24).astype(np.uint8).reshape(height, now)], axis=-1)
+    c = _split(argb).reshape(height, now, 4)
     for kind, wide, size, data in reversed(steps):
         if kind == PREDICTOR:
             c = _predicted(c, _blocks(data >> 8 & 0xFF, size, wide, height), True)
@@ -359,16 +371,34 @@ def _blocks_of(data: np.ndarray, size: int, width: int, height: int) -> np.ndarr
 
 
 class Writer:
+    """Values and their sizes in bits, in order; single ones are gathered in lists before they become arrays."""
+
     def __init__(self):
-        self.values: list[np.ndarray] = []
-        self.sizes: list[np.ndarray] = []
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.v: list[int] = []
+        self.n: list[int] = []
 
     def put(self, value, size) -> None:
-        self.values.append(np.atleast_1d(np.asarray(value, np.int64)))
-        self.sizes.append(np.atleast_1d(np.asarray(size, np.int64)))
+        if isinstance(value, np.ndarray):
+            self._flush()
+            self.parts.append((value, size))
+        elif isinstance(value, list):
+            self.v += value
+            self.n += size
+        else:
+            self.v.append(value)
+            self.n.append(size)
+
+    def _flush(self) -> None:
+        if self.v:
+            self.parts.append((np.array(self.v, np.int64), np.array(self.n, np.int64)))
+            self.v, self.n = [], []
 
     def bytes(self) -> bytes:
-        v, n = np.concatenate(self.values), np.concatenate(self.sizes)
+        self._flush()
+        v, n = (np.concatenate([p[k] for p in self.parts]) for k in (0, 1))
+        full = n > 0
+        v, n = v[full], n[full]
         ends = np.cumsum(n)
         total = int(ends[-1]) if len(ends) else 0
         within = np.arange(total) - np.repeat(ends - n, n)
@@ -457,7 +487,7 @@ def _write_code(out: Writer, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     n = max(k for k, s in enumerate(CODE_ORDER) if own[s]) + 1
     n = max(n, 4)
     out.put([0, n - 4], [1, 4])
-    out.put(own[list(CODE_ORDER[:n])], np.full(n, 3))
+    out.put(own[list(CODE_ORDER[:n])].tolist(), [3] * n)
     if end < len(counts):
         size = max(2, (len(tokens) - 2).bit_length())
         size += size & 1
@@ -482,28 +512,32 @@ def _prefix(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.where(small, x, 2 * high + second), np.where(small, 0, x & ((1 << extra) - 1)), extra
 
 
-def _matches(px: np.ndarray) -> list[tuple[int, int, int]]:
-    """(start, length, distance) of runs that occurred before, left to right and apart."""
+def _matches(px: np.ndarray, least: int) -> list[tuple[int, int, int]]:
+    """(start, length, distance) of runs of at least ``least`` values that occurred before, left to right and apart."""
     n = len(px)
-    if n < 2 * MATCH:
+    if n < 2 * least:
         return []
-    key = np.zeros(n - MATCH + 1, np.uint64)
-    for k in range(MATCH):
-        key = key * np.uint64(0x9E3779B97F4A7C15) + px[k : n - MATCH + 1 + k].astype(np.uint64)
+    key = np.zeros(n - least + 1, np.uint64)
+    for k in range(least):
+        key = key * np.uint64(0x9E3779B97F4A7C15) + px[k : n - least + 1 + k].astype(np.uint64)
     order = np.argsort(key, kind="stable")
     same = key[order[1:]] == key[order[:-1]]
     before = np.full(len(key), -1, np.int64)
     before[order[1:][same]] = order[:-1][same]
     found, at = [], 0
-    values = px.tolist()
-    for i in np.flatnonzero(before >= 0).tolist():
-        if i < at:
+    narrow = px.max() < 256
+    values = px.astype(np.uint8).tobytes() if narrow else px.tolist()
+    step = 16
+    where = np.flatnonzero(before >= 0)
+    for i, j in zip(where.tolist(), before[where].tolist()):
+        if i < at or i - j > FARTHEST:
             continue
-        j, k = int(before[i]), 0
-        most = min(4096, n - i)
+        k, most = 0, min(4096, n - i)
+        while k + step <= most and values[i + k : i + k + step] == values[j + k : j + k + step]:
+            k += step
         while k < most and values[i + k] == values[j + k]:
             k += 1
-        if k >= MATCH:
+        if k >= least:
             found.append((i, k, i - j))
             at = i + k
     return found
@@ -514,7 +548,8 @@ def _write_image(out: Writer, px: np.ndarray, main: bool, cache_bits: int = 0) -
     out.put([1, cache_bits] if cache_bits else 0, [1, 4] if cache_bits else 1)
     if main:
         out.put(0, 1)
-    found = _matches(px) if main else []
+    lone = bool((px & ~0xFF00 == px[0] & ~0xFF00).all())
+    found = (_matches(px >> 8 & 0xFF, GREY_MATCH) if lone else _matches(px, MATCH)) if main else []
     literal = np.ones(len(px), bool)
     for i, k, _ in found:
         literal[i : i + k] = False
@@ -564,6 +599,9 @@ def encode(rgba: np.ndarray, force: tuple[str, ...] | None = None, modes: np.nda
     px = _packed(c).reshape(-1)
     out = Writer()
     out.put([0x2F, w - 1, h - 1, int((c[..., 0] != 255).any()), 0], [8, 14, 14, 1, 3])
+    grey = force is None and bool((c[..., 1] == c[..., 2]).all() and (c[..., 3] == c[..., 2]).all())
+    if grey and np.count_nonzero(np.bincount(c[..., 2].reshape(-1))) > 16:
+        force = ("green",)  # red and blue come to nothing
     colours, index = np.unique(px, return_inverse=True) if force is None or "palette" in force else (None, None)
     if (force is None and len(colours) <= 256 and 4 * len(colours) <= len(px)) or (force and "palette" in force):
         if len(colours) > 256:
@@ -611,7 +649,7 @@ def encode(rgba: np.ndarray, force: tuple[str, ...] | None = None, modes: np.nda
                 c[..., 3] = (c[..., 3] - c[..., 2]) & 0xFF
             px = _packed(c).reshape(-1)
     out.put(0, 1)
-    _write_image(out, px, True, CACHE_BITS if len(px) > 256 else 0)
+    _write_image(out, px, True, CACHE_BITS if len(px) > 256 and not grey else 0)
     body = b"VP8L" + len(stream := out.bytes()).to_bytes(4, "little") + stream + bytes(len(stream) & 1)
     return b"RIFF" + (4 + len(body)).to_bytes(4, "little") + b"WEBP" + body
 
@@ -620,33 +658,34 @@ def encode(rgba: np.ndarray, force: tuple[str, ...] | None = None, modes: np.nda
 
 
 def stored_text(text: str | None) -> tuple[int, bytes]:
-    """(bytes of the text, its media): UTF-8, blanks up to a positive multiple of PAD, as rows of SIDE red, green, blue
-    pixels; a text of more rows than an image may have takes several files, one after the other."""
+    """(bytes of the text, its media): UTF-8, blanks up to a positive multiple of PAD, as rows of SIDE grey pixels, a byte
+    each; a text of more rows than an image may have takes several files, one after the other."""
     raw = (text or "").encode("utf-8", "surrogatepass")
     payload = raw + b" " * (-len(raw) % PAD if raw else PAD)
-    rows = np.frombuffer(payload, np.uint8).reshape(-1, SIDE, 3)
+    rows = np.frombuffer(payload, np.uint8).reshape(-1, SIDE)
     files = []
     for at in range(0, len(rows), MAX_SIDE):
-        part = rows[at : at + MAX_SIDE]
-        files.append(encode(np.concatenate([part, np.full((*part.shape[:2], 1), 255, np.uint8)], axis=2)))
+        part = np.repeat(rows[at : at + MAX_SIDE, :, None], 4, axis=2)
+        part[..., 3] = 255
+        files.append(encode(part))
     return len(raw), b"".join(files)
 
 
 def pixels(media: bytes) -> np.ndarray:
-    """The (rows, SIDE, 3) samples of one or more files in a row."""
+    """The (rows, SIDE) samples of one or more files in a row."""
     parts, at = [], 0
     while at < len(media):
         size = 8 + int.from_bytes(media[at + 4 : at + 8], "little")
-        parts.append(decode(media[at : at + size])[..., :3])
+        parts.append(decode(media[at : at + size])[..., 1])
         at += size
     return np.concatenate(parts)
 
 
 def feature(samples: np.ndarray) -> str:
-    """Rows, the channels' means in thousandths, and how many neighbours in a row are equal pixels."""
-    same = int((samples[:, 1:] == samples[:, :-1]).all(axis=2).sum())
-    means = ",".join(str(int(s) * 1000 // (samples.shape[0] * samples.shape[1])) for s in samples.reshape(-1, 3).astype(np.int64).sum(axis=0))
-    return f"rows={samples.shape[0]};mean={means};same={same}"
+    """Rows, the mean sample in thousandths, distinct samples, and how many equal their left neighbour."""
+    same = int((samples[:, 1:] == samples[:, :-1]).sum())
+    kinds = int(np.count_nonzero(np.bincount(samples.reshape(-1), minlength=256)))
+    return f"rows={samples.shape[0]};mean={int(samples.sum(dtype=np.int64)) * 1000 // samples.size};kinds={kinds};same={same}"
 
 
 _DIGEST = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
