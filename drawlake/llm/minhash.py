@@ -51,7 +51,7 @@ def shingle_set(text: str | None, known: dict[bytes, int] | None = None) -> np.n
     if len(words) < WORDS:
         return np.array([_whole(words)], np.uint64)
     known = {} if known is None else known
-    if len(known) > 300_000:
+    if len(known) > 150_000:
         known.clear()
     for w in set(words):
         if w not in known:

@@ -27,7 +27,7 @@ LONG = 48
 #: Cells (words times places) that one batch holds.
 CELLS = 1 << 16
 #: Encoded words that a task remembers.
-KNOWN = 200_000
+KNOWN = 120_000
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _FILTER, _PAIRS = 20, 20
 _NEVER = np.int64(1 << 40)
