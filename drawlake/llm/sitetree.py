@@ -33,6 +33,8 @@ _ROLES = frozenset("navigation banner contentinfo complementary search dialog al
 _NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense adslot banner sponsor sponsored promo promotion sidebar nav navbar navigation menu submenu breadcrumb breadcrumbs footer masthead cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login comment comments commentlist reply replies respond disqus discussion share sharing social related recommended recommendations widget pagination pager toolbar skip copyright legal".split()
 )
+_ABOUT = frozenset("has with no without is not".split())
+_OWN = frozenset("article post entry story content body main".split())
 _CLOSES = {"li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "option": frozenset(["option"])}
 _FENCE = {"li": frozenset(["ul", "ol", "menu"]), "dt": frozenset(["dl"]), "dd": frozenset(["dl"]), "tr": frozenset(["table"]), "td": frozenset(["table", "tr"]), "th": frozenset(["table", "tr"]), "option": frozenset(["select"])}
 _BRANCHES = frozenset("div section ul ol dl table span center figure header footer aside nav form details fieldset blockquote".split())
@@ -61,19 +63,26 @@ def _boilerplate(tag: str, attrs: dict[str, str], inside: bool) -> bool:
         return True
     if attrs.get("role", "").lower() in _ROLES:
         return True
-    if tag in ("html", "body", *_MAIN) and attrs.get("itemtype", "") == "" and tag != "article":
+    if tag in ("html", "body", "main"):
         return False
-    named = f"{attrs.get('class', '')} {attrs.get('id', '')}"
-    words = _WORDS.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", named).lower())
-    return any(w in _NAMES for w in words) or (not inside and "header" in words)
+    for token in re.split(r"\s+", f"{attrs.get('class', '')} {attrs.get('id', '')}".strip()):
+        words = _WORDS.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", token).lower())
+        # a class may also tell what is around or absent; an article's classes often name what it has
+        if not words or words[0] in _ABOUT or "layout" in words:
+            continue
+        if any(w in _NAMES for w in (words[:1] if tag == "article" else words)):
+            return True
+        if "header" in words and not inside and not _OWN.intersection(words):
+            return True
+    return False
 
 
 class Page:
     """One pass over a page: text pieces with their blocks, and the branches that the site's tree may cut."""
 
-    def __init__(self, source: str | None, cut: frozenset[int] = frozenset(), whole: bool = False):
-        """``whole``: what names itself boilerplate is read too, as the site's tree wants it."""
-        self.cut, self.whole = cut, whole
+    def __init__(self, source: str | None, cut: frozenset[int] = frozenset(), whole: bool = False, by_name: bool = True):
+        """``whole``: what names itself boilerplate is read too, as the site's tree wants it; ``by_name``: classes and ids count."""
+        self.cut, self.whole, self.by_name = cut, whole, by_name
         self.blocks: list[tuple[str, bool, int]] = []  # text, in an article or main element (2, 1, 0), linked characters
         self.branches: dict[int, list] = {}
         self._text: list[str] = []
@@ -160,7 +169,7 @@ class Page:
             name = tag + ("#" + attrs["id"] if attrs.get("id") else "") + ("." + ".".join(sorted(attrs["class"].split())) if attrs.get("class") else "")
             key = f"{top.key}/{name}"
             named = tag in _BRANCHES or (name != tag and tag not in ("html", "body", *_MAIN))
-            skip = top.skip or (tag in _UNSEEN if self.whole else _boilerplate(tag, attrs, main > 0 and tag not in _MAIN)) or (named and bool(self.cut) and xxhash.xxh64_intdigest(key) - (1 << 63) in self.cut)
+            skip = top.skip or (tag in _UNSEEN if self.whole else _boilerplate(tag, attrs if self.by_name else {}, main > 0 and tag not in _MAIN)) or (named and bool(self.cut) and xxhash.xxh64_intdigest(key) - (1 << 63) in self.cut)
             if tag in _RAW:
                 end = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(s, at)
                 if tag == "textarea" and not skip:
@@ -223,11 +232,16 @@ def importance(pages: DataFrame) -> DataFrame:
     return both.select("host", "key", "pages", F.greatest("style_entropy", "content_entropy").alias("importance"))
 
 
+def article(source: str | None, cut: frozenset[int] = frozenset()) -> str:
+    """A page's main text. Where classes and ids leave nothing of it, a wrapper was misread, and they don't count."""
+    return Page(source, cut).text() or (Page(source, cut, by_name=False).text() if source else "")
+
+
 def _extracted(batches):
     for b in batches:
         texts = []
         for source, cut in zip(b.column("html").to_pylist(), b.column("cut").to_pylist()):
-            texts.append(Page(source, frozenset(cut or ())).text())
+            texts.append(article(source, frozenset(cut or ())))
         yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 

@@ -92,6 +92,12 @@ def test_page_text():
     assert [sitetree.Page(s).text() for s in (None, "", "<p>", "<div><p>a</div>", "plain &lt;text&gt;", "<!--")] == ["", "", "", "a", "plain <text>", ""]
 
 
+def test_class_names_that_mislead():
+    assert sitetree.article('<div class="site has-sidebar"><article class="post has-comments"><header><h1>T</h1></header><p>x</p></article></div>') == "T\nx"
+    assert sitetree.article('<div class="widget"><p>only text</p></div>') == "only text"
+    assert sitetree.article('<div class="post-header"><h1>T</h1></div><div class="page-header">Site</div><p>x</p><article class="comment">c</article>') == "T\nx"
+
+
 def test_site_tree_cuts_what_every_page_has(spark):
     rows = [(i, f"http://h.org/{i}", f"<body><div class=x1>Same on all</div><div class=c><p>{' '.join(words(i, 40))}</p></div></body>") for i in range(6)] + [(7, None, None), (8, "http://one.org/", "<body><div class=x1>Same on all</div><p>text text text text</p></body>")]
     got = {r["page_id"]: r["text"] for r in sitetree.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
