@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -88,14 +89,22 @@ def _index(most: int) -> np.ndarray:
     return _INDEX[most]
 
 
+@lru_cache(4096)
+def _code_of(used: tuple[int, ...]) -> Code:
+    """The code of one or two symbols."""
+    lengths = np.zeros(256, np.int64)
+    lengths[list(used)] = 1
+    return Code(lengths)
+
+
 def _read_code(bits: Bits, size: int) -> Code:
-    lengths = np.zeros(size, np.int64)
     if bits.take(1):
         n, wide = bits.take(1) + 1, bits.take(1)
-        lengths[bits.take(8 if wide else 1)] = 1
+        used = [bits.take(8 if wide else 1)]
         if n == 2:
-            lengths[bits.take(8)] = 1
-        return Code(lengths)
+            used.append(bits.take(8))
+        return _code_of(tuple(sorted(set(used))))
+    lengths = np.zeros(size, np.int64)
     own = np.zeros(19, np.int64)
     for k in range(bits.take(4) + 4):
         own[CODE_ORDER[k]] = bits.take(3)
@@ -451,6 +460,9 @@ def code_words(lengths: np.ndarray) -> np.ndarray:
     return words
 
 
+_NOTHING = np.zeros(1 << 13, np.int64)
+
+
 def _write_code(out: Writer, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Writes a prefix code for these counts; gives each symbol's word and its bits (none for a lone symbol)."""
     used = np.flatnonzero(counts)
@@ -459,9 +471,10 @@ def _write_code(out: Writer, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
         out.put([1, len(s) - 1, 1, s[0]], [1, 1, 1, 8])
         if len(s) == 2:
             out.put(s[1], 8)
+        if len(s) < 2:
+            return _NOTHING[: len(counts)], _NOTHING[: len(counts)]
         words, sizes = np.zeros(len(counts), np.int64), np.zeros(len(counts), np.int64)
-        if len(s) == 2:
-            words[s[1]], sizes[s] = 1, 1
+        words[s[1]], sizes[s] = 1, 1
         return words, sizes
     lengths = code_lengths(counts)
     tokens, extra, width = [], [], []
@@ -553,6 +566,8 @@ def _write_image(out: Writer, px: np.ndarray, main: bool, cache_bits: int = 0) -
     literal = np.ones(len(px), bool)
     for i, k, _ in found:
         literal[i : i + k] = False
+    if lone and main and not cache_bits:
+        return _write_grey(out, px, found, literal)
     at = np.flatnonzero(literal)
     hit = np.zeros(len(px), bool)
     if cache_bits:
@@ -591,6 +606,28 @@ def _cost(samples: np.ndarray) -> float:
     return total
 
 
+def _write_grey(out: Writer, px: np.ndarray, found: list[tuple[int, int, int]], literal: np.ndarray) -> None:
+    """The rest of an image in which only green varies: its tokens are literals of one sample and copies."""
+    first = int(px[0])
+    runs = np.array(found, np.int64).reshape(-1, 3)
+    literal[runs[:, 0]] = True  # a copy's first place stands for it
+    at = np.flatnonzero(literal)
+    symbol = (px >> 8 & 0xFF)[at]
+    copies = np.searchsorted(at, runs[:, 0])
+    long, more, n_more = _prefix(runs[:, 1])
+    far, beyond, n_beyond = _prefix(runs[:, 2] + len(PLANE))
+    symbol[copies] = long + GREENS
+    gw, gn = _write_code(out, np.bincount(symbol, minlength=GREENS + LENGTHS))
+    for shift in (16, 0, 24):
+        _write_code(out, np.bincount([first >> shift & 0xFF], minlength=256))
+    dw, dn = _write_code(out, np.bincount(far, minlength=DISTANCES))
+    # a copy's own bits follow its symbol
+    where = np.repeat(copies + 1, 3)
+    v = np.insert(gw[symbol], where, np.stack([more, dw[far], beyond], axis=1).reshape(-1))
+    n = np.insert(gn[symbol], where, np.stack([n_more, dn[far], n_beyond], axis=1).reshape(-1))
+    out.put(v, n)
+
+
 def encode(rgba: np.ndarray, force: tuple[str, ...] | None = None, modes: np.ndarray | None = None, block: int = 4) -> bytes:
     """A lossless WebP file of (height, width, 4) samples. ``force`` names the transforms to use instead of choosing:
     any of palette, predictor (with ``modes`` by block), cross, green."""
