@@ -17,8 +17,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from drawlake.llm.common import stored
+
 #: A branch is cut below this importance (0: the same everywhere, 1: different on every page), if so many different pages have it.
 LEAST_IMPORTANCE, LEAST_PAGES = 0.2, 4
+#: Rows of cut branches, of some 50 bytes each, up to which they are broadcast; salts beyond it.
+SMALL, SALTS = 100_000, 64
 #: Without an article or main element, a block goes if links make up more of it than this.
 LINKED = 0.6
 
@@ -252,9 +256,16 @@ def main_text(pages: DataFrame) -> DataFrame:
     alone, as are hosts with fewer than LEAST_PAGES different pages. Repeated rows give equal texts; null ids
     pass; other columns are ignored.
     """
-    low = importance(pages).where((F.col("pages") >= LEAST_PAGES) & (F.col("importance") < LEAST_IMPORTANCE))
+    low = importance(pages).where((F.col("pages") >= LEAST_PAGES) & (F.col("importance") < LEAST_IMPORTANCE)).select("host", "key")
+    low = stored(low, "low-branches")
     cut = low.groupBy("host").agg(F.sort_array(F.collect_set("key")).alias("cut"))  # a template's nodes: small for any host
     rows = pages.select("page_id", "url", F.col("html").cast("string").alias("html"), _host(F.col("url")).alias("host"))
-    rows = rows.join(cut, "host", "left").select("page_id", "url", "html", "cut")
+    if low.count() <= SMALL:
+        rows = rows.join(F.broadcast(cut), "host", "left")
+    else:
+        # a host may hold a third of the pages: its pages are dealt out by salt, and its short list to each of them
+        salted = cut.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left")
+    rows = rows.select("page_id", "url", "html", "cut")
     kind = pages.schema["page_id"].dataType.simpleString()
     return rows.mapInArrow(_extracted, f"page_id {kind}, url {pages.schema['url'].dataType.simpleString()}, text string, n_chars long")
