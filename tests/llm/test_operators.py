@@ -98,7 +98,9 @@ def test_class_names_that_mislead():
     assert sitetree.article('<div class="post-header"><h1>T</h1></div><div class="page-header">Site</div><p>x</p><article class="comment">c</article>') == "T\nx"
 
 
-def test_site_tree_cuts_what_every_page_has(spark):
+@pytest.mark.parametrize("small", [100_000, -1])
+def test_site_tree_cuts_what_every_page_has(spark, monkeypatch, small):
+    monkeypatch.setattr(sitetree, "SMALL", small)
     rows = [(i, f"http://h.org/{i}", f"<body><div class=x1>Same on all</div><div class=c><p>{' '.join(words(i, 40))}</p></div></body>") for i in range(6)] + [(7, None, None), (8, "http://one.org/", "<body><div class=x1>Same on all</div><p>text text text text</p></body>")]
     got = {r["page_id"]: r["text"] for r in sitetree.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert all("Same" not in got[i] and got[i] for i in range(6)) and got[7] == "" and "Same" in got[8]
