@@ -248,7 +248,7 @@ def _links(texts: DataFrame, mine: DataFrame) -> DataFrame:
     y = rows.select(F.col("key").alias("y_key"), F.col("doc_id").alias("y"), F.col("c").alias("cy"), "main", F.col("s").alias("sy"), F.col("bands").alias("ky"), F.col("shingles").alias("hy"))
     # of two odd ones the smaller id leads; with a member of the head's component the odd one does
     turn = (F.col("cx") != F.col("cy")) & (F.col("main") | (F.col("x") < F.col("y")))
-    first = F.expr("key = try_element_at(filter(zip_with(kx, ky, (a, b) -> if(a = b, a, null)), k -> k is not null), 1)")
+    first = F.col("key") == F.coalesce(*(F.when(F.get("kx", i) == F.get("ky", i), F.get("kx", i)) for i in range(BANDS)))
     equal = F.size(F.array_intersect("hx", "hy")) * (SIMILAR[0] + SIMILAR[1]) >= (F.size("hx") + F.size("hy")) * SIMILAR[0]
     last = x.join(y, (F.col("key") == F.col("y_key")) & turn & (estimate("sx", "sy") >= least_estimate()) & first & equal)
     return links.unionByName(stored(last.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")), "third-links"))
