@@ -112,7 +112,7 @@ class Page:
                 if node.tag in _BLOCK:
                     self._flush(node.main)
                 stack.pop()
-                if node.named and not node.skip:
+                if node.named and not node.skip and not node.main:
                     b = self.branches.setdefault(xxhash.xxh64_intdigest(node.key) - (1 << 63), [[], [], 0])
                     own = [t for t, _, _ in self.blocks[node.at :]]
                     b[0] += own
@@ -173,7 +173,7 @@ class Page:
             name = tag + ("#" + attrs["id"] if attrs.get("id") else "") + ("." + ".".join(sorted(attrs["class"].split())) if attrs.get("class") else "")
             key = f"{top.key}/{name}"
             named = tag in _BRANCHES or (name != tag and tag not in ("html", "body", *_MAIN))
-            skip = top.skip or (tag in _UNSEEN if self.whole else _boilerplate(tag, attrs if self.by_name else {}, main > 0 and tag not in _MAIN)) or (named and bool(self.cut) and xxhash.xxh64_intdigest(key) - (1 << 63) in self.cut)
+            skip = top.skip or (tag in _UNSEEN if self.whole else _boilerplate(tag, attrs if self.by_name else {}, main > 0 and tag not in _MAIN)) or (named and not main and bool(self.cut) and xxhash.xxh64_intdigest(key) - (1 << 63) in self.cut)
             if tag in _RAW:
                 end = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(s, at)
                 if tag == "textarea" and not skip:
@@ -195,7 +195,7 @@ class Page:
         return "\n".join(t for t, _, linked in self.blocks if linked <= LINKED * len(t))
 
     def prunable(self) -> list[tuple[int, int, int]]:
-        """(key, presentation, content) of branches that hold neither an article nor most of the page's text."""
+        """(key, presentation, content) of branches that neither hold nor lie in an article, nor have most of the page's text."""
         out = []
         for key, (texts, kids, holds) in self.branches.items():
             size = sum(map(len, texts))
@@ -209,7 +209,7 @@ def _stats(batches):
         rows: list[tuple] = []
         for host, source in zip(b.column("host").to_pylist(), b.column("html").to_pylist()):
             if source:
-                page = xxhash.xxh64_intdigest(source.encode("utf-8", "surrogatepass")) - (1 << 63)
+                page = xxhash.xxh64_intdigest(article(source).encode("utf-8", "surrogatepass")) - (1 << 63)
                 rows += [(host, key, page, style, content) for key, style, content in Page(source, whole=True).prunable()]
         cols = list(zip(*rows)) if rows else [[]] * 5
         yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), *(pa.array(c, pa.int64()) for c in cols[1:])], names=["host", "key", "page", "style", "content"])
@@ -222,10 +222,11 @@ def _host(url):
 def importance(pages: DataFrame) -> DataFrame:
     """(host, key, pages, importance): the larger of presentation and content entropy of each node of the hosts' trees.
 
-    Equal pages of a host count once. Entropies are summed up from counts, so a large host is no large group.
+    Pages of a host with equal article text count once, whatever is around it. Entropies are summed up from counts, so a large host is no large group.
     """
     rows = pages.select(_host(F.col("url")).alias("host"), F.col("html").cast("string").alias("html")).where("host <> ''")
-    seen = rows.mapInArrow(_stats, "host string, key long, page long, style long, content long").distinct()
+    seen = rows.mapInArrow(_stats, "host string, key long, page long, style long, content long")
+    seen = seen.groupBy("host", "key", "page").agg(F.min(F.struct("style", "content")).alias("s")).select("host", "key", "s.*")
 
     def entropy(col: str) -> DataFrame:
         n = seen.groupBy("host", "key", col).agg(F.count("*").alias("n"))

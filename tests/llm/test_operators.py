@@ -106,6 +106,15 @@ def test_site_tree_cuts_what_every_page_has(spark, monkeypatch, small):
     assert all("Same" not in got[i] and got[i] for i in range(6)) and got[7] == "" and "Same" in got[8]
 
 
+def test_near_copies_keep_their_article(spark):
+    body = f"<p class=lead>Lead of all copies</p><p>{' '.join(words(1, 60))}</p><table><tr><td>cell</td></tr></table>"
+    html = {"a": "<body><div class=ad>{0} buy</div><article>" + body + "</article><div>visit {0}</div></body>", "b": "<body><div class=ad>{0} buy</div>" + body + "</body>"}
+    rows = [(10 * n + i, f"http://{host}.org/{i}", h.format(i)) for n, (host, h) in enumerate(html.items()) for i in range(5)]
+    rows += [(100 + i, f"http://{host}.org/x{i}", f"<body><article><p>{' '.join(words(i + 9, 60))}</p></article></body>") for host in html for i in range(3)]
+    got = {r["page_id"]: r["text"] for r in sitetree.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all("Lead of all copies" in got[i] and "cell" in got[i] for i in (*range(5), *range(10, 15)))
+
+
 # --- 2 --------------------------------------------------------------------------------------------------------
 
 
