@@ -2,9 +2,11 @@
 
 Distinct vectors of one label start with neighbours from several sign-code orders. Rounds then join neighbours
 of neighbours and keep the nearest by sketch; a list that is full of likely links is saturated and may grow.
-List entries that may reach the threshold are confirmed by the cosine itself; confirmed edges give components,
-and within each, in blocks, every vector's links are counted exactly. Recall is audited by a set of query
-vectors against all rows; where it falls short, more orders and rounds follow, and what the audit finds is kept.
+List entries that may reach the threshold are confirmed by the cosine itself; confirmed edges give components.
+Vectors whose lists end saturated may have links that found no place: those of a label are held against each
+other in blocks, and what links two components is added. Within each component, in blocks, every vector's links
+are counted exactly. Recall is audited label by label with query vectors against all its rows; where it falls
+short, more orders and rounds follow, then all of the label in blocks, and what the audit finds is kept.
 """
 
 from __future__ import annotations
@@ -26,8 +28,10 @@ LIST, LONGEST_LIST = 6, 24
 ROUNDS, TRIES = 3, 3
 #: A round that changes fewer of the entries than this ends the descent.
 SETTLED = 0.02
-AUDIT_EVERY, AUDIT_MOST, ENOUGH = 20, 256, 0.99
-BLOCK = 512
+#: Query vectors of a label: this often the root of its rows.
+AUDIT_ROOTS, ENOUGH = 2, 0.99
+#: Rows of a block: for links counted, for links between components and for the audit.
+BLOCK, WIDE = 512, 2048
 SEED = 77
 
 _WORDS = [f"s{i}" for i in range(BITS // 64)]
@@ -180,30 +184,68 @@ def _confirmed(graph: DataFrame, vectors: DataFrame) -> DataFrame:
     return rows.select("u", "v", "a", "b").mapInArrow(_cosines, "u long, v long")
 
 
-def _audit(vectors: DataFrame) -> DataFrame:
-    """Links (u, v) of the first AUDIT_MOST query vectors with all others of their part, by brute force in blocks."""
-    asked = vectors.where(F.col("id") % AUDIT_EVERY == 0).orderBy(F.xxhash64("id"), "id").limit(AUDIT_MOST).select("id", "part", "unit").collect()
-    by_part: dict[str, tuple[list, np.ndarray]] = {}
-    for p in {r["part"] for r in asked}:
-        own = [r for r in asked if r["part"] == p]
-        by_part[p] = ([r["id"] for r in own], np.stack([np.frombuffer(bytes(r["unit"])) for r in own]))
+def _groups(batches, names: list[str], keys: int):
+    """Lists of rows with equal first ``keys`` columns, from batches in which such rows follow each other."""
+    held: list[tuple] = []
+    for b in batches:
+        for row in zip(*(b.column(n).to_pylist() for n in names)):
+            if held and held[0][:keys] != row[:keys]:
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
 
-    def run(batches):
-        for b in batches:
-            u, v = [], []
-            parts, ids, units = b.column("part").to_pylist(), b.column("id").to_pylist(), b.column("unit").to_pylist()
-            for p, (q_ids, q) in by_part.items():
-                mine = [k for k, x in enumerate(parts) if x == p]
-                for at in range(0, len(mine), BLOCK):
-                    own = mine[at : at + BLOCK]
-                    hit = np.nonzero(np.stack([np.frombuffer(units[k]) for k in own]) @ q.T >= THRESHOLD)
-                    for x, y in zip(*hit):
-                        if ids[own[x]] != q_ids[y]:
-                            u.append(q_ids[y])
-                            v.append(ids[own[x]])
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
-
-    return vectors.select("id", "part", "unit").mapInArrow(run, "u long, v long")
+
+def _pairs(u: list, v: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+
+def _answered(batches):
+    for rows in _groups(batches, ["part", "block", "asked", "id", "unit"], 2):
+        asked, own = [r for r in rows if r[2]], [r for r in rows if not r[2]]
+        if asked and own:
+            q = np.stack([np.frombuffer(r[4]) for r in asked])
+            hit = np.nonzero(q @ np.stack([np.frombuffer(r[4]) for r in own]).T >= THRESHOLD)
+            found = [(asked[x][3], own[y][3]) for x, y in zip(*hit) if asked[x][3] != own[y][3]]
+            yield _pairs([u for u, _ in found], [v for _, v in found])
+
+
+def _audit(vectors: DataFrame, attempt: int) -> DataFrame:
+    """Links (u, v) of query vectors, others at each attempt, with all others of their part, by brute force in blocks."""
+    rows = vectors.select("part", "id", "unit")
+    sizes = rows.groupBy("part").agg(F.count("*").alias("size"))
+    sizes = sizes.select("part", F.ceil(F.col("size") / WIDE).cast("long").alias("blocks"), (AUDIT_ROOTS / F.sqrt("size")).alias("share"))
+    rows = rows.join(sizes, "part").withColumn("asked", F.lit(False)).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    chance = F.pmod(F.xxhash64("id", F.lit(SEED + attempt)), F.lit(1 << 20)) / (1 << 20)
+    asked = rows.where(chance < F.col("share")).withColumn("asked", F.lit(True)).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    both = rows.unionByName(asked).select("part", "block", "asked", "id", "unit")
+    return both.repartition("part", "block").sortWithinPartitions("part", "block").mapInArrow(_answered, "u long, v long")
+
+
+def _crossing(batches):
+    """For each two components of a group of rows with a link between them, one such link."""
+    for rows in _groups(batches, ["part", "lo", "hi", "side", "comp", "id", "unit"], 3):
+        x = np.stack([np.frombuffer(r[6]) for r in rows])
+        comp = np.array([r[4] for r in rows], np.int64)
+        side = np.array([r[3] for r in rows]) == rows[0][1]
+        a, b = (np.arange(len(rows)),) * 2 if rows[0][1] == rows[0][2] else (np.nonzero(side)[0], np.nonzero(~side)[0])
+        near = x[a] @ x[b].T >= THRESHOLD
+        near &= comp[a][:, None] != comp[b][None, :]
+        i, j = np.nonzero(near)
+        _, first = np.unique(np.stack([comp[a[i]], comp[b[j]]]), axis=1, return_index=True)
+        yield _pairs([rows[a[i[k]]][5] for k in first], [rows[b[j[k]]][5] for k in first])
+
+
+def _between(ids: DataFrame, vectors: DataFrame, comp: DataFrame) -> DataFrame:
+    """Links (u, v) that join components, among all the vectors in ``ids`` of each part, exactly."""
+    rows = vectors.select("part", "id", "unit").join(ids, "id", "left_semi").join(comp, "id", "left").select("part", "id", F.coalesce("comp", "id").alias("comp"), "unit")
+    rows = stored(rows, "saturated")
+    sizes = rows.groupBy("part").agg(F.count("*").alias("size")).select("part", F.ceil(F.col("size") / WIDE).cast("long").alias("blocks"))
+    rows = rows.join(sizes, "part").withColumn("side", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = rows.select("part", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side", "comp", "id", "unit")
+    return rows.repartition("part", "lo", "hi").sortWithinPartitions("part", "lo", "hi").mapInArrow(_crossing, "u long, v long")
 
 
 def _counted(batches):
@@ -259,7 +301,7 @@ def near_duplicate_vectors(embeddings: DataFrame) -> DataFrame:
     """
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), "label", F.col("embedding").cast("array<double>").alias("embedding"))
     rows = rows.withColumn("label", F.col("label").cast("string"))
-    links, comp, recall = None, None, 0.0
+    links, comp = None, None
     for attempt in range(TRIES):
         schema = "id long, part string, h1 long, h2 long, unit binary, " + "".join(f"{w} long, " for w in _WORDS) + "codes array<long>"
         prepared = stored(rows.mapInArrow(_prepare(attempt), schema), "vectors")
@@ -267,18 +309,30 @@ def near_duplicate_vectors(embeddings: DataFrame) -> DataFrame:
         classes = stored(named.groupBy("part", "h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "vector-classes")
         vectors = prepared.dropDuplicates(["id", "part", "h1", "h2"]).join(classes.withColumnRenamed("rep", "id"), ["id", "part", "h1", "h2"])
         vectors = stored(vectors, "distinct-vectors")
-        found = stored(_confirmed(descend(vectors), vectors), "vector-links")
+        graph = descend(vectors)
+        found = stored(_confirmed(graph, vectors), "vector-links")
         links = found if links is None else links.unionByName(found)
-        checked = stored(_audit(vectors), "audit")
         comp = components(links, "u", "v")
+        saturated = graph.groupBy(F.col("u").alias("id")).agg(F.max("d").alias("d")).where(F.col("d") <= NEAR_BITS).select("id")
+        crossed = stored(_between(saturated, vectors, comp), "crossed")
+        if not crossed.isEmpty():
+            links = links.unionByName(crossed)
+            comp = components(links, "u", "v")
+        checked = stored(_audit(vectors, attempt), "audit")
         cu, cv = comp.select(F.col("id").alias("u"), F.col("comp").alias("cu")), comp.select(F.col("id").alias("v"), F.col("comp").alias("cv"))
-        seen = checked.join(cu, "u", "left").join(cv, "v", "left").agg(F.count("*"), F.count_if(F.col("cu") == F.col("cv"))).first()
-        recall = seen[1] / seen[0] if seen[0] else 1.0
+        seen = checked.join(vectors.select(F.col("id").alias("u"), "part"), "u").join(cu, "u", "left").join(cv, "v", "left")
+        seen = stored(seen.groupBy("part").agg(F.count("*").alias("n"), F.count_if(F.col("cu") == F.col("cv")).alias("held")), "recall")
+        missed = seen.where("held < n")
+        if missed.isEmpty():
+            break
         links = links.unionByName(checked)
-        if recall < 1.0:
-            comp = components(links, "u", "v")
-        if recall >= ENOUGH:
+        comp = components(links, "u", "v")
+        low = missed.where(F.col("held") < ENOUGH * F.col("n"))
+        if low.isEmpty():
             break
+    else:
+        crossed = stored(_between(vectors.join(low, "part", "left_semi").select("id"), vectors, comp), "crossed")
+        comp = components(links.unionByName(crossed), "u", "v")
     degree = _degrees(comp, vectors)
     each = classes.join(comp, classes["rep"] == comp["id"], "left").drop("id").join(degree, F.col("rep") == F.col("id"), "left")
     each = each.select("part", "h1", "h2", F.coalesce("comp", "rep").alias("component_id"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))

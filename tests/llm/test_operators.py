@@ -228,6 +228,27 @@ def test_vectors_by_brute_force(spark):
     assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got} == {i: (len(near[i]), comp[i]) for i in range(len(data))}
 
 
+def test_dense_groups_that_touch(spark):
+    rng = np.random.default_rng(4)
+    one, other = np.linalg.qr(rng.normal(size=(32, 2)))[0].T
+    x = np.stack([c * one + np.sqrt(1 - c * c) * other + rng.normal(size=32) * 0.002 for c in [1.0] * 60 + [0.981] * 60])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    ids = [i for i in range(200) if i % 20][:120]
+    got = nndescent.near_duplicate_vectors(spark.createDataFrame([(i, v.tolist(), 0) for i, v in zip(ids, x)], "vec_id long, embedding array<double>, label int")).collect()
+    want = (x @ x.T >= 0.98).sum(axis=1) - 1
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got} == {i: (int(n), 1) for i, n in zip(ids, want)}
+
+
+def test_links_where_the_audit_falls_short(spark, monkeypatch):
+    empty = lambda graph, vectors: vectors.selectExpr("id AS u", "id AS v").where("u <> v")
+    monkeypatch.setattr(nndescent, "_confirmed", empty)
+    monkeypatch.setattr(nndescent, "NEAR_BITS", -1)
+    monkeypatch.setattr(nndescent, "TRIES", 1)
+    x = np.eye(12)[np.repeat(np.arange(12), 8)] + np.random.default_rng(5).normal(size=(96, 12)) * 0.01
+    got = nndescent.near_duplicate_vectors(spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")).collect()
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got} == {i: (7, i // 8 * 8) for i in range(96)}
+
+
 # --- 7 --------------------------------------------------------------------------------------------------------
 
 
