@@ -3,18 +3,20 @@
 Every text is scanned as it stands (layer 0). Fragments of a layer that look encoded - runs of percent
 escapes, runs of Unicode or hex escapes, base64 words, compressed bytes - are unwrapped into new layers,
 which are scanned and unwrapped in turn until nothing new appears. Layers already seen (by content) are
-not taken up again, so cycles end. Findings of a layer are mapped to the text's own code points.
+not taken up again, so cycles end. Compressed streams are read and scanned in pieces, cut where no match can
+lie across. Findings of a layer are mapped to the text's own code points.
 """
 
 from __future__ import annotations
 
 import base64
 import bz2
+import codecs
 import hashlib
 import lzma
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,11 +30,17 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 _PERCENT_RUN = re.compile(r"[^\s%]*(?:%[0-9A-Fa-f]{2}[^\s%]*)+")
 _ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})")
 _ESCAPE_RUN = re.compile(r"(?:[^\s\\]*(?:\\u\{[0-9A-Fa-f]{1,6}\}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}))+[^\s\\]*")
+_ODD = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 #: What a compressed stream starts with, and how it is opened.
 _MAGIC = ((b"\x1f\x8b", lambda: zlib.decompressobj(31)), (b"BZh", bz2.BZ2Decompressor), (b"\xfd7zXZ\x00", lzma.LZMADecompressor), (b"x\x01", zlib.decompressobj), (b"x\x5e", zlib.decompressobj), (b"x\x9c", zlib.decompressobj), (b"x\xda", zlib.decompressobj))
-#: Bytes that all layers of one text may unfold to; what lies beyond is not unwrapped (a guard against bombs; base spans never depend on it).
-MAX_UNFOLDED = 1 << 26
+#: Each encoded fragment of a text has its own guard against bombs: bytes that streams in it may unfold to, and characters of its other layers.
+MAX_STREAM, MAX_LAYERS = 1 << 30, 1 << 26
+#: Bytes that a stream is read in; characters kept of a run that offers no place to cut, and again of its end when it is cut all the same.
+PIECE, LONGEST_RUN, OVERLAP = 1 << 20, 1 << 26, 1 << 12
+#: Where no match can lie across: single spaces away from assignments, line breaks that don't wrap base64.
+_CUT = re.compile(r"""(?<=[^\s=:"'])[ \t](?=[^\s=:"'])|(?<=[^\sA-Za-z0-9+/_=-])\n|(?<=\n)\n""")
+_NEXT_LINE = re.compile(r"\r?\n([A-Za-z0-9+/_-]+)")
 
 Span = tuple[int, int, int]  # start, kind's place in KINDS, end
 
@@ -69,26 +77,90 @@ def _plain(raw: bytes) -> str | None:
         text = raw.decode("utf-8")
     except UnicodeDecodeError:
         return None
-    odd = sum(1 for c in text if (c < " " and c not in "\t\n\r") or c == "\x7f")
-    return text if text and odd * 20 <= len(text) else None
+    return text if text and _readable(text) else None
+
+
+def _readable(text: str) -> bool:
+    return len(_ODD.findall(text)) * 20 <= len(text)
+
+
+class _Stream:
+    """Compressed bytes of a fragment, with all levels of compression below them."""
+
+    def __init__(self, levels: list[Callable[[], Iterator[bytes]]], whole: tuple[int, int]):
+        self.levels, self.whole = levels, whole
+
+    def windows(self) -> Iterator[_Layer]:
+        for level in reversed(self.levels):
+            for text in _windows(level()):
+                yield _Layer(text, None, None, self.whole)
+
+
+def _pulled(pieces: Iterator[bytes]) -> Iterator[bytes]:
+    """What compressed bytes unfold to, in pieces; streams that follow each other count, a damaged one ends it."""
+    d = None
+    for data in pieces:
+        while data or d is not None:
+            if d is None:
+                data = data.lstrip(b"\0")
+                opened = next((f for magic, f in _MAGIC if data.startswith(magic)), None)
+                if opened is None:
+                    return
+                d = opened()
+            try:
+                got = d.decompress(data, PIECE)
+            except (OSError, EOFError, ValueError, zlib.error, lzma.LZMAError):
+                return
+            if got:
+                yield got
+            if d.eof:
+                data, d = d.unused_data, None
+                continue
+            data = getattr(d, "unconsumed_tail", b"")
+            if not data and len(got) < PIECE and getattr(d, "needs_input", True):
+                break
 
 
-def _inflated(raw: bytes, room: int) -> bytes | None:
-    """Unwraps nested compression; None if it isn't compressed."""
-    out = None
+def _stream(raw: bytes, whole: tuple[int, int]) -> _Stream | None:
+    """The levels of compression of ``raw``; None if it isn't compressed."""
+    levels: list[Callable[[], Iterator[bytes]]] = []
+    make: Callable[[], Iterator[bytes]] = lambda: iter([raw])
     for _ in range(64):
-        opened = next((f for magic, f in _MAGIC if raw.startswith(magic)), None)
-        if opened is None:
-            return out
+        make = lambda below=make: _pulled(below())
+        if next(make(), None) is None:
+            break
+        levels.append(make)
+    return _Stream(levels, whole) if levels else None
+
+
+def _windows(pieces: Iterator[bytes]) -> Iterator[str]:
+    """Text of a stream in windows; pieces that aren't text are passed over."""
+    decoder = codecs.getincrementaldecoder("utf-8")()
+    kept: list[str] = []
+    size = 0
+    for raw in pieces:
         try:
-            d = opened()
-            got = d.decompress(raw, room)
-        except (OSError, EOFError, ValueError, zlib.error, lzma.LZMAError):
-            return out
-        if not got:
-            return out
-        out = raw = got
-    return out
+            text = decoder.decode(raw)
+        except UnicodeDecodeError:
+            decoder.reset()
+            text = ""
+        if not text or not _readable(text):
+            if kept:
+                yield "".join(kept)
+            kept, size = [], 0
+            continue
+        last = None
+        for last in _CUT.finditer(text):
+            pass
+        kept.append(text[: last.end()] if last else text)
+        size += len(kept[-1])
+        if last or size > LONGEST_RUN:
+            window = "".join(kept)
+            yield window
+            kept = [text[last.end() :] if last else window[-OVERLAP:]]
+            size = len(kept[0])
+    if size:
+        yield "".join(kept)
 
 
 def _mapped(layer: _Layer, start: int, pieces: list[tuple[str, int, int]]) -> _Layer:
@@ -113,16 +185,15 @@ def _unescaped(layer: _Layer, m: re.Match, one: re.Pattern, value) -> Iterator[_
     yield _mapped(layer, m.start(), pieces)
 
 
-def _percent(layer: _Layer, m: re.Match, room: int) -> Iterator[_Layer]:
+def _percent(layer: _Layer, m: re.Match) -> Iterator[_Layer | _Stream]:
     """Percent escapes as UTF-8; bytes that aren't may be compressed."""
     t, pieces, at = layer.text, [], m.start()
     for x in re.finditer(r"(?:%[0-9A-Fa-f]{2})+", m.group()):
         s, e = m.start() + x.start(), m.start() + x.end()
         pieces += [(t[i], i, i + 1) for i in range(at, s)]
         raw = bytes.fromhex(x.group().replace("%", ""))
-        got = _inflated(raw, room)
-        if got is not None and (text := _plain(got)):
-            yield _Layer(text, None, None, layer.span(s, e))
+        if (stream := _stream(raw, layer.span(s, e))) is not None:
+            yield stream
         k = 0
         for c in raw.decode("utf-8", "replace"):
             n = len(c.encode("utf-8")) if c != "\ufffd" or raw[k : k + 3] == b"\xef\xbf\xbd" else 1
@@ -138,65 +209,102 @@ def _chr(x: re.Match) -> str:
     return chr(v) if v < 0x110000 and not 0xD800 <= v < 0xE000 else "\ufffd"
 
 
-def _based(layer: _Layer, m: re.Match, room: int) -> Iterator[_Layer]:
-    word = m.group().rstrip("=")
+def _based(layer: _Layer, lines: list[tuple[int, int]]) -> Iterator[_Layer | _Stream]:
+    """Base64 in one run, or in runs of lines that follow each other."""
+    word = "".join(layer.text[s:e] for s, e in lines).rstrip("=")
     if len(word) % 4 == 1:
         word = word[:-1]
     try:
         raw = base64.b64decode(word.replace("-", "+").replace("_", "/") + "=" * (-len(word) % 4))
     except ValueError:
         return
-    got = _inflated(raw, room)
-    if got is not None:
-        if text := _plain(got):
-            yield _Layer(text, None, None, layer.span(m.start(), m.end()))
-        return
+    if (stream := _stream(raw, layer.span(lines[0][0], lines[-1][1]))) is not None:
+        yield stream
     if (text := _plain(raw)) is None:
         return
+    at = range(*lines[0]) if len(lines) == 1 else [i for s, e in lines for i in range(s, e)]
     starts, ends, k = [], [], 0
     last = len(word)
     for c in text:
         n = len(c.encode("utf-8"))
-        a, b = m.start() + k * 4 // 3, m.start() + min(last, -(-(k + n) * 4 // 3))
-        s, e = layer.span(a, max(b, a + 1))
+        a = k * 4 // 3
+        b = max(min(last, -(-(k + n) * 4 // 3)), a + 1)
+        s, e = layer.span(at[a], at[b - 1] + 1)
         starts.append(s)
         ends.append(e)
         k += n
     yield _Layer(text, starts, ends)
 
 
-def _unwrapped(layer: _Layer, room: int) -> Iterator[_Layer]:
+def _wrapped(t: str, m: re.Match) -> list[tuple[int, int]]:
+    """The run of ``m`` and those of the lines after it, up to the first that is shorter than the one before."""
+    lines = [m.span()]
+    while t[lines[-1][1] - 1] != "=" and (x := _NEXT_LINE.match(t, lines[-1][1])):
+        lines.append(x.span(1))
+        if len(lines) > 2 and x.end() - x.start(1) < lines[-2][1] - lines[-2][0]:
+            break
+    s, e = lines[-1]
+    lines[-1] = s, e + (0 if t[e - 1] == "=" else len(re.compile("={0,2}").match(t, e)[0]))
+    return lines
+
+
+def _unwrapped(layer: _Layer) -> Iterator[_Layer | _Stream]:
     t = layer.text
     if "%" in t:
         for m in _PERCENT_RUN.finditer(t):
-            yield from _percent(layer, m, room)
+            yield from _percent(layer, m)
     if "\\" in t:
         for m in _ESCAPE_RUN.finditer(t):
             yield from _unescaped(layer, m, _ESCAPE, _chr)
+    done = 0
     for m in _BASE64.finditer(t):
-        yield from _based(layer, m, room)
+        if m.start() >= done and len(lines := _wrapped(t, m)) > 1:
+            # the run's first line may be a word before the wrapped ones, its last a word after them
+            wide = len(lines) > 2 or lines[1][1] - lines[1][0] >= 16
+            for some in (lines, lines[:-1], lines[1:], lines[1:-1]) if wide else (lines,):
+                if len(some) > 1:
+                    yield from _based(layer, some)
+            done = lines[-2][1] if len(lines) > 2 else lines[-1][0]
+        yield from _based(layer, [m.span()])
 
 
 def scan(text: str | None) -> tuple[list[Span], list[Span]]:
-    """(base spans, all spans): a decoded finding is added unless a span of its kind holds its place already."""
+    """(base spans, all spans): a decoded finding is added unless a span of its kind holds its place already.
+
+    Layers are followed depth first, fragment by fragment of the text.
+    """
     text = text or ""
     base = base_spans(text)
-    found, left = list(base), MAX_UNFOLDED
+    found = list(base)
     seen = {hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()}
-    work = [_Layer(text, None, None)]
+    work = [(_Layer(text, None, None), _unwrapped(_Layer(text, None, None)))]
+    room = [0, 0]
     while work:
-        layer = work.pop()
-        for new in _unwrapped(layer, left):
-            mark = hashlib.blake2b(new.text.encode("utf-8", "surrogatepass") + repr((new.span(0, 1), len(new.text))).encode(), digest_size=16).digest()
-            if mark in seen or new.text == layer.text or len(new.text) > left:
-                continue
-            seen.add(mark)
-            left -= len(new.text)
-            work.append(new)
-            for s, kind, e in base_spans(new.text):
-                a, b = new.span(s, e)
-                if not any(k == kind and x <= a and b <= y for x, k, y in found):
-                    found.append((a, kind, b))
+        layer, below = work[-1]
+        new = next(below, None)
+        if new is None:
+            work.pop()
+            continue
+        if len(work) == 1:
+            room = [MAX_STREAM, MAX_LAYERS if isinstance(new, _Stream) else max(MAX_LAYERS, 16 * len(new.text))]
+        if isinstance(new, _Stream):
+            work.append((new, new.windows()))
+            continue
+        streamed = isinstance(layer, _Stream)
+        if len(new.text) > room[not streamed]:
+            if streamed:
+                work.pop()
+            continue
+        mark = hashlib.blake2b(new.text.encode("utf-8", "surrogatepass") + repr((new.span(0, 1), len(new.text))).encode(), digest_size=16).digest()
+        room[not streamed] -= len(new.text) if streamed or mark not in seen else 0
+        if mark in seen or (not streamed and new.text == layer.text):
+            continue
+        seen.add(mark)
+        work.append((new, _unwrapped(new)))
+        for s, kind, e in base_spans(new.text):
+            a, b = new.span(s, e)
+            if not any(k == kind and x <= a and b <= y for x, k, y in found):
+                found.append((a, kind, b))
     return base, sorted(set(found))
 
 

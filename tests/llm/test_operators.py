@@ -306,6 +306,30 @@ def test_layers():
     assert secrets.joined(secrets.scan("x token=abcdef")[1]) == "assign:2:14"
 
 
+def test_layers_after_a_large_blob():
+    key = 'secret = "abcdefgh12345"'
+    coded = base64.b64encode(key.encode()).decode()
+    blob = base64.b64encode(gzip.compress(b"word " * (14 << 20) + key.encode())).decode()
+    text = f"{blob} {blob[:40]} {coded}"
+    spans = secrets.scan(text)[1]
+    assert (0, 0, len(blob)) in spans and any(k == 0 and s >= len(text) - len(coded) for s, k, _ in spans)
+
+
+def test_layers_over_lines_and_members(monkeypatch):
+    r = random.Random(3)
+    key = "secret=" + "".join(r.choice("ghijklmnop") for _ in range(70))
+    for end in ("\n", "\r\n"):
+        wrapped = base64.encodebytes(f"{'plain words, '*4}{key} and more {'words ' * 20}".encode()).decode().replace("\n", end)
+        for text in (f"x\n\n{wrapped}", f"Certificate_of_the_service{end}{wrapped}after{end}"):
+            assert any(k == 0 and e - s > 70 * 4 // 3 for s, k, e in secrets.scan(text)[1]), text
+    packed = base64.encodebytes(gzip.compress(bytes(r.randrange(97, 123) for _ in range(200)) + b" " + key.encode())).decode()
+    assert any(k == 0 for _, k, _ in secrets.scan(packed)[1])
+    members = base64.b64encode(gzip.compress(b"first part") + zlib.compress(b" and " + key.encode())).decode()
+    assert secrets.scan(members)[1] == [(0, 0, len(members))]
+    monkeypatch.setattr(secrets, "PIECE", 7)
+    assert secrets.scan(members)[1] == [(0, 0, len(members))]
+
+
 def test_digest_of_base_spans(spark):
     text = "x token=abcdef " + "0" * 24
     row = secrets.find_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
