@@ -75,21 +75,25 @@ def compare_sources(reference: DataFrame, a: DataFrame, b: DataFrame, keys: Keys
     return out.withColumn("found", found)
 
 
-def not_in_plan(spec: DataFrame, plan: DataFrame, keys: Keys = ("project",), both_ways: bool = False) -> DataFrame:
-    """Specification rows whose name no plan row's name contains (or, both ways, is contained in).
+def _inside(small: DataFrame, large: DataFrame, keys: Keys) -> DataFrame:
+    """(keys, small, large): distinct names ``_n`` of one table within names of the other, found by the rarest run of three
+    characters of the smaller (all of a shorter one)."""
+    runs = lambda k: f"CASE WHEN length(_n) >= {k} THEN transform(sequence(1, length(_n) - {k - 1}), i -> substr(_n, i, {k})) ELSE array() END"
+    every = large.select(*keys, F.col("_n").alias("large"), F.explode(F.expr(f"array_distinct(concat(array(''), {runs(1)}, {runs(2)}, {runs(3)}))")).alias("_g"))
+    own = small.select(*keys, F.col("_n").alias("small"), F.explode(F.expr(f"CASE WHEN length(_n) < 3 THEN array(_n) ELSE {runs(3)} END")).alias("_g"))
+    own = own.join(every.groupBy(*keys, "_g").agg(F.count("*").alias("_c")), [*keys, "_g"], "left")
+    own = own.groupBy(*keys, "small").agg(F.min_by("_g", F.struct(F.coalesce("_c", F.lit(0)), "_g")).alias("_g"))
+    return own.join(every, [*keys, "_g"]).where(F.contains("large", "small")).select(*keys, "small", "large")
 
-    Names are blocked by whole words: the plan's name must hold the longest word of the specification's.
-    """
-    longest = F.array_max(F.transform(tokens(F.col("name")), lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))
-    s = spec.withColumn("_b", longest["t"])
-    p = plan.select(*keys, F.col("name").alias("_plan"), F.explode(tokens(F.col("name"))).alias("_b"))
-    hit = F.contains(F.lower("_plan"), F.lower(s["name"]))
+
+def not_in_plan(spec: DataFrame, plan: DataFrame, keys: Keys = ("project",), both_ways: bool = False) -> DataFrame:
+    """Specification rows whose name no plan row's name contains (or, both ways, is contained in), in any case of letters."""
+    names = lambda df: df.select(*keys, F.lower("name").alias("_n")).where("_n is not null").distinct()
+    s, p = names(spec), names(plan)
+    found = _inside(s, p, keys).select(*keys, F.col("small").alias("_n"))
     if both_ways:
-        hit = hit | F.contains(F.lower(s["name"]), F.lower("_plan"))
-    on = (s["_b"] == p["_b"]) & hit
-    for k in keys:
-        on = on & (s[k] == p[k])
-    return s.join(p, on, "left_anti").drop("_b")
+        found = found.unionByName(_inside(p, s, keys).select(*keys, F.col("large").alias("_n")))
+    return spec.withColumn("_n", F.lower("name")).join(found.distinct(), [*keys, "_n"], "left_anti").select(*spec.columns)
 
 
 def confusable_pairs(legend: DataFrame, apart: Sequence[str], keys: Keys = ("file_id",)) -> DataFrame:

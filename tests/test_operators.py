@@ -127,6 +127,16 @@ def test_reconcile(spark):
     assert got == {("Светильник UNI", "Монтаж светильников UNI"): "matched", ("Монтаж розетки двойной", "Розетка РА16-003 двойная"): "quantity", ("Щит ЩО", None): "missing", (None, "Лишнее"): "extra"}
 
 
+def test_not_in_plan_is_containment(spark):
+    frame = lambda names: spark.createDataFrame([(i, "p", n) for i, n in enumerate(names)], "id long, project string, name string")
+    spec, plan = ["Розетка", "ЩО", "+", "", None, "Щит распределительный ЩР-1", "Кабель"], ["Блок РОЗЕТКАМИ", "щоУ + ", "ЩР-1"]
+    for names in (spec, spec * 2):
+        got = compare.not_in_plan(frame(names), frame(plan)).collect()
+        assert sorted(str(r["name"]) for r in got) == sorted([str(n) for n in names if n in (None, "Щит распределительный ЩР-1", "Кабель")])
+        both = compare.not_in_plan(frame(names), frame(plan), both_ways=True).collect()
+        assert sorted(str(r["name"]) for r in both) == sorted([str(n) for n in names if n in (None, "Кабель")])
+
+
 def test_dxf_entities(spark):
     lines = ["0", "SECTION", "2", "ENTITIES", "0", "MTEXT", "8", "L1", "3", "Hello ", "1", "World", "10", "1.5", "20", "2.5", "0", "LINE", "10", "0", "0", "ENDSEC", "0", "EOF"]
     df = spark.createDataFrame([("f", i, s) for i, s in enumerate(lines)], "file_id string, line_no int, line string")
