@@ -28,7 +28,8 @@ def pair_files(a: DataFrame, b: DataFrame, path: str = "path") -> DataFrame:
 
 
 def reconcile(generated: DataFrame, reference: DataFrame, threshold: float = 0.45, keys: Keys = ("case",)) -> DataFrame:
-    """Reference and generated bill rows matched one to one: by equal key first, then by similarity, the best pair first.
+    """Reference and generated bill rows matched one to one: by equal key first, then each reference row, in the order
+    of names, takes the most similar generated row that is left. Rows of a side with equal keys are one, with their sum.
 
     ``generated``: (keys, name, total); ``reference``: (keys, name, qty). Status: matched, quantity, missing, extra.
     Only rows that share a token of at least four characters are compared.
@@ -36,18 +37,16 @@ def reconcile(generated: DataFrame, reference: DataFrame, threshold: float = 0.4
     from drawlake.operators.iterative import greedy_match
 
     def numbered(df, q, side):
-        order = Window.partitionBy(*keys).orderBy("name", q)
-        return df.select(*keys, F.row_number().over(order).alias(side), F.col("name").alias(f"{side}_name"), F.col(q).cast("double").alias(f"{side}_qty")).withColumn(f"{side}_key", bill_key(F.col(f"{side}_name")))
+        rows = df.groupBy(*keys, bill_key(F.col("name")).alias(f"{side}_key")).agg(F.min("name").alias(f"{side}_name"), F.sum(F.col(q).cast("double")).alias(f"{side}_qty"))
+        return rows.withColumn(side, F.row_number().over(Window.partitionBy(*keys).orderBy(f"{side}_name", f"{side}_key")))
 
     g, r = numbered(generated, "total", "gen"), numbered(reference, "qty", "ref")
-    # equal keys: the n-th of one side takes the n-th of the other
-    nth = lambda df, side: df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys, f"{side}_key").orderBy(side)))
-    exact = nth(r, "ref").withColumnRenamed("ref_key", "key").join(nth(g, "gen").withColumnRenamed("gen_key", "key"), [*keys, "key", "_n"]).select(*keys, "ref", "gen", F.lit(1.0).alias("score"))
+    exact = r.withColumnRenamed("ref_key", "key").join(g.withColumnRenamed("gen_key", "key"), [*keys, "key"]).select(*keys, "ref", "gen", F.lit(1.0).alias("score"))
     g2, r2 = g.join(exact.select(*keys, "gen"), [*keys, "gen"], "left_anti"), r.join(exact.select(*keys, "ref"), [*keys, "ref"], "left_anti")
     words = lambda df, side: df.select(*keys, side, f"{side}_key", F.explode(F.filter(tokens(F.col(f"{side}_key")), lambda t: F.length(t) >= 4)).alias("_t"))
     close = words(r2, "ref").join(words(g2, "gen"), [*keys, "_t"]).select(*keys, "ref", "gen", "ref_key", "gen_key").distinct()
     scored = close.withColumn("score", seq_ratio("ref_key", "gen_key")).where(F.col("score") >= threshold)
-    fuzzy = greedy_match(scored.withColumn("_d", -F.col("score")), keys, "ref", "gen", "_d").select(*keys, "ref", "gen", "score")
+    fuzzy = greedy_match(scored.withColumn("_d", F.struct("ref", -F.col("score"))), keys, "ref", "gen", "_d").select(*keys, "ref", "gen", "score")
     pairs = exact.unionByName(fuzzy)
     out = r.join(pairs, [*keys, "ref"], "left").join(g.drop("gen_key"), [*keys, "gen"], "full_outer")
     status = F.when(F.col("gen").isNull(), "missing").when(F.col("ref").isNull(), "extra").when(F.abs(F.col("ref_qty") - F.col("gen_qty")) >= 0.01, "quantity").otherwise("matched")
@@ -68,6 +67,17 @@ def compare_counts(truth: DataFrame, predicted: DataFrame, keys: Keys = ("name",
     return both.select(*keys, F.coalesce("truth", F.lit(0)).cast("long").alias("truth"), F.coalesce("predicted", F.lit(0)).cast("long").alias("predicted"), (F.coalesce("predicted", F.lit(0)) - F.coalesce("truth", F.lit(0))).cast("long").alias("delta"), status.alias("status"))
 
 
+def compare_named_counts(truth: DataFrame, predicted: DataFrame, threshold: float = 0.45, keys: Keys = ("case",)) -> DataFrame:
+    """Counts of two sources whose spelling differs, matched as ``reconcile`` does; ``accuracy`` gives the match rates.
+
+    Both: (keys, name, count). Names that are empty take no part, nor do unread ones ('[?...') of the truth.
+    """
+    named = F.coalesce("name", F.lit("")) != ""
+    t = truth.where(named & ~F.col("name").startswith("[?")).select(*keys, "name", F.col("count").alias("qty"))
+    p = predicted.where(named).select(*keys, "name", F.col("count").alias("total"))
+    return reconcile(p, t, threshold, keys).withColumn("delta", F.col("gen_qty") - F.col("ref_qty"))
+
+
 def compare_sources(reference: DataFrame, a: DataFrame, b: DataFrame, keys: Keys = ("name",)) -> DataFrame:
     """Which of two sources has each reference row."""
     out = reference.join(a.select(*keys, F.col("count").alias("a")), list(keys), "left").join(b.select(*keys, F.col("count").alias("b")), list(keys), "left")

@@ -127,6 +127,21 @@ def test_reconcile(spark):
     assert got == {("Светильник UNI", "Монтаж светильников UNI"): "matched", ("Монтаж розетки двойной", "Розетка РА16-003 двойная"): "quantity", ("Щит ЩО", None): "missing", (None, "Лишнее"): "extra"}
 
 
+def test_reconcile_sums_and_keeps_reference_order(spark):
+    gen = spark.createDataFrame([("c", "Светильник UNI", 2.0), ("c", "Светильник UNI", 3.0), ("c", "Кабель силовой бббб", 1.0)], "case string, name string, total double")
+    ref = spark.createDataFrame([("c", "Светильник UNI", 5.0), ("c", "Кабель силовой аааа", 1.0), ("c", "Кабель силовой ббб", 1.0)], "case string, name string, qty double")
+    got = {(r["ref_name"], r["gen_name"]): r["status"] for r in compare.reconcile(gen, ref).collect()}
+    assert got == {("Светильник UNI", "Светильник UNI"): "matched", ("Кабель силовой аааа", "Кабель силовой бббб"): "matched", ("Кабель силовой ббб", None): "missing"}
+
+
+def test_counts_of_names_that_differ(spark):
+    frame = lambda rows: spark.createDataFrame([("c", *r) for r in rows], "case string, name string, count long")
+    got = compare.compare_named_counts(frame([("Светильник потолочный", 5), ("[? нет", 2), ("Щит ЩО", 1)]), frame([("Светильник потолочный UNI", 4), ("", 1)]))
+    assert sorted((r["status"], r["delta"]) for r in got.collect()) == [("missing", None), ("quantity", -1.0)]
+    rate = compare.accuracy(got).where("case = 'c'").first()
+    assert (rate["n_reference"], rate["name_pct"], rate["exact_pct"]) == (2, 50.0, 0.0)
+
+
 def test_not_in_plan_is_containment(spark):
     frame = lambda names: spark.createDataFrame([(i, "p", n) for i, n in enumerate(names)], "id long, project string, name string")
     spec, plan = ["Розетка", "ЩО", "+", "", None, "Щит распределительный ЩР-1", "Кабель"], ["Блок РОЗЕТКАМИ", "щоУ + ", "ЩР-1"]
