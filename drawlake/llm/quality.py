@@ -1,9 +1,9 @@
 """Quality of a text by compression.
 
 Two zstandard dictionaries are trained, on pieces of good and of bad labelled texts. A text is cut into
-pieces, every piece is compressed with either dictionary, and the normalised difference of the summed sizes
-- with the plain compressed size and the length, which say how far the difference can be trusted - is turned
-into a score by logistic calibration on other labelled texts.
+pieces, every piece is compressed with either dictionary, and the difference of the summed sizes, normalised
+by the larger of them and by the text's length, is turned into a score by logistic calibration on other
+labelled texts. The length only scales the differences: it says how far they can be trusted.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ DICT_BYTES = 112_640
 DICT_DOCS, DICT_PIECES, CALIBRATION_DOCS = 1500, 8, 8000
 RIDGE = 0.1
 CLIP = 6.0
+FEATURES = [f"f{i}" for i in range(4)]
 
 
 @dataclass(frozen=True)
@@ -43,42 +44,36 @@ def pieces(raw: bytes) -> list[bytes]:
 
 
 class Sizes:
-    """The features of a text: what its pieces come to with the good and the bad dictionary."""
+    """The features of a text: by how much its pieces come out larger with the bad dictionary than with the good one."""
 
     def __init__(self, good: bytes, bad: bytes):
         options = {"write_content_size": False, "write_checksum": False, "write_dict_id": False}
-        self.plain = zstandard.ZstdCompressor(level=LEVEL, **options)
         self.by = []
         for d in (good, bad):
-            if d:
-                trained = zstandard.ZstdCompressionDict(d)
-                trained.precompute_compress(level=LEVEL)
-                self.by.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=trained, **options).compress)
-            else:
-                self.by.append(self.plain.compress)
+            known = zstandard.ZstdCompressionDict(d) if d else None
+            if known:
+                known.precompute_compress(level=LEVEL)
+            self.by.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=known, **options).compress)
 
     def features(self, text: str | None) -> tuple[float, ...]:
         raw = (text or "").encode("utf-8", "surrogatepass")
         cut, n = pieces(raw), max(len(raw), 1)
         good, bad = (sum(len(f(p)) for p in cut) for f in self.by)
-        return (bad - good) / max(good, bad, 1), (bad - good) / n, len(self.plain.compress(raw)) / n, float(np.log1p(n))
+        of_size, of_length, trust = (bad - good) / max(good, bad, 1), (bad - good) / n, float(np.log1p(n))
+        return of_size, of_length, of_size * trust, of_length * trust
 
 
-def expanded(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
-    z = np.clip((x - mean) / scale, -CLIP, CLIP)
-    k = z.shape[1]
-    return np.column_stack([np.ones(len(z)), z, *(z[:, i] * z[:, j] for i in range(k) for j in range(i, k))])
+def scaled(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    return np.column_stack([np.ones(len(x)), np.clip((x - mean) / scale, -CLIP, CLIP)])
 
 
 def fitted(good: bytes, bad: bytes, x: np.ndarray, y: np.ndarray) -> Model:
     """Ridge logistic regression by Newton's steps; with one class or none, the smoothed share of label 1."""
-    k = 4
-    if len(x) == 0:
-        x = np.zeros((0, k))
-    mean = x.mean(axis=0) if len(x) else np.zeros(k)
-    scale = x.std(axis=0) if len(x) else np.ones(k)
+    x = x.reshape(-1, len(FEATURES))
+    mean = x.mean(axis=0) if len(x) else np.zeros(len(FEATURES))
+    scale = x.std(axis=0) if len(x) else np.ones(len(FEATURES))
     scale = np.where(scale > 1e-12, scale, 1.0)
-    z = expanded(x, mean, scale)
+    z = scaled(x, mean, scale)
     w = np.zeros(z.shape[1])
     share = (y.sum() + 1.0) / (len(y) + 2.0)
     w[0] = np.log(share / (1 - share))
@@ -94,35 +89,32 @@ def fitted(good: bytes, bad: bytes, x: np.ndarray, y: np.ndarray) -> Model:
 
 
 def trained(samples: list[bytes]) -> bytes:
-    """A dictionary of the samples; none where they are too few to train one."""
-    if len(samples) < 16 or sum(map(len, samples)) < 8 * 1024:
-        return b""
+    """A dictionary of the samples; of samples too few to train one, their bytes themselves."""
     try:
         return zstandard.train_dictionary(min(DICT_BYTES, sum(map(len, samples)) // 4), samples).as_bytes()
-    except zstandard.ZstdError:
-        return b""
+    except (zstandard.ZstdError, ValueError):
+        return b"".join(samples)[-DICT_BYTES:]
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """The model, of labels whose fold isn't held out.
 
-    Ids are drawn from ``labels`` in the order of a hash: DICT_DOCS of either class for the dictionaries (of
-    each DICT_PIECES pieces at most, evenly spaced), the next CALIBRATION_DOCS for the calibration, so what
-    the driver gets is bounded at any size. Null labels are ignored; of several labels of an id the largest holds.
+    A hash of the id sends half of the labels to the dictionaries, half to the calibration. Of the first,
+    DICT_DOCS of either class are drawn (of each DICT_PIECES pieces at most, evenly spaced); of the second
+    CALIBRATION_DOCS whatever their class, so that classes keep their shares. What the driver gets is bounded
+    at any size. Null labels are ignored; of several labels or texts of an id the largest holds.
     """
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (fold_of(F.col("doc_id"), FOLDS) != HELD_OUT))
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("quality").cast("int")).alias("y"))
-    order = F.xxhash64(F.lit("quality"), "doc_id")
-    drawn = {y: [r[0] for r in known.where(F.col("y") == y).orderBy(order, "doc_id").limit(DICT_DOCS + CALIBRATION_DOCS).select("doc_id").collect()] for y in (0, 1)}
-    rest = known.orderBy(order, "doc_id").limit(2 * DICT_DOCS + CALIBRATION_DOCS).collect()
-    # half of a small class at most goes into its dictionary, so that calibration sees both classes
-    in_dict = {i: y for y, ids in drawn.items() for i in ids[: min(DICT_DOCS, (len(ids) + 1) // 2)]}
-    calibrate = {r[0]: r[1] for r in rest if r[0] not in in_dict}
+    known = known.withColumns({"in_dict": F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2)) == 0, "place": F.xxhash64(F.lit("place"), "doc_id")})
+    parts = [known.where(F.col("in_dict") & (F.col("y") == y)).orderBy("place", "doc_id").limit(DICT_DOCS) for y in (0, 1)]
+    parts.append(known.where(~F.col("in_dict")).orderBy("place", "doc_id").limit(CALIBRATION_DOCS))
+    drawn = [tuple(r) for part in parts for r in part.select("doc_id", "y", "in_dict").collect()]
     spark = docs.sparkSession
-    ids = spark.createDataFrame([*((i, y, True) for i, y in in_dict.items()), *((i, y, False) for i, y in calibrate.items())], "sampled_id long, y int, in_dict boolean")
+    ids = spark.createDataFrame(drawn, "sampled_id long, y int, in_dict boolean")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # at most 2 * DICT_DOCS + CALIBRATION_DOCS ids: broadcast, so that no text is shuffled
-    rows = texts.join(F.broadcast(ids), F.col("doc_id") == F.col("sampled_id"))
+    rows = texts.join(F.broadcast(ids), F.col("doc_id") == F.col("sampled_id")).groupBy("doc_id", "y", "in_dict").agg(F.max("text").alias("text"))
 
     def cut(batches):
         for b in batches:
@@ -141,15 +133,15 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         sizes = Sizes(good, bad)
         for b in batches:
             x = [sizes.features(t.as_py()) for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), *(pa.array(c, pa.float64()) for c in (zip(*x) if x else [[]] * 4))], names=["doc_id", "y", "f0", "f1", "f2", "f3"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), *(pa.array(c, pa.float64()) for c in np.array(x).reshape(-1, len(FEATURES)).T)], names=["doc_id", "y", *FEATURES])
 
-    seen = sorted(tuple(r) for r in rows.where("not in_dict").select("doc_id", "y", "text").mapInArrow(measure, "doc_id long, y int, f0 double, f1 double, f2 double, f3 double").collect())
+    seen = sorted(tuple(r) for r in rows.where("not in_dict").select("doc_id", "y", "text").mapInArrow(measure, "doc_id long, y int, " + ", ".join(f"{f} double" for f in FEATURES)).collect())
     return fitted(good, bad, np.array([r[2:] for r in seen]), np.array([r[1] for r in seen], float))
 
 
 def scores(texts, model: Model, sizes: Sizes) -> np.ndarray:
-    x = np.array([sizes.features(t) for t in texts]).reshape(-1, 4)
-    return 1 / (1 + np.exp(-np.clip(expanded(x, model.mean, model.scale) @ model.weights, -40, 40)))
+    x = np.array([sizes.features(t) for t in texts]).reshape(-1, len(FEATURES))
+    return 1 / (1 + np.exp(-np.clip(scaled(x, model.mean, model.scale) @ model.weights, -40, 40)))
 
 
 def with_score(docs: DataFrame, model: Model, score_col: str = "score", text_col: str = "text") -> DataFrame:
