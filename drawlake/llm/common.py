@@ -7,9 +7,17 @@ from pyspark.sql import functions as F
 
 from drawlake.operators.graph import checkpointed, components, shared_dir, stored
 
-__all__ = ["checkpointed", "components", "fold_of", "shared_dir", "stored"]
+__all__ = ["checkpointed", "components", "fold_of", "free_name", "shared_dir", "stored"]
 
 
 def fold_of(key: Column, n: int) -> Column:
     """crc32 of the key's text modulo n, as the contracts fix folds."""
     return F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(n))
+
+
+def free_name(taken: list[str], wanted: str) -> str:
+    """``wanted``, with underscores after it until no name of ``taken`` is the same (names differ by more than case)."""
+    low = {t.lower() for t in taken}
+    while wanted.lower() in low:
+        wanted += "_"
+    return wanted

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from drawlake.llm.common import components, shared_dir, stored
+from drawlake.llm.common import components, free_name, shared_dir, stored
 
 WORDS = 5
 ROWS, BANDS = 4, 32
@@ -191,14 +191,14 @@ def without_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Rows with a null id stay. Only ids are matched with the rows, so a group of any size costs no more than its rows.
     """
-    gone = near_duplicates(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias("_gone_id"))
-    left = docs.join(gone.hint("merge"), F.col(f"`{id_col}`") == F.col("_gone_id"), "left_anti")
-    again = stored(docs.where(F.col(f"`{id_col}`").isNotNull()).groupBy(F.col(f"`{id_col}`").alias("_id")).count().where("count > 1").select("_id"), "repeated")
+    name, key = free_name(docs.columns, "other_id"), F.col(f"`{id_col}`")
+    gone = near_duplicates(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias(name))
+    left = docs.join(gone.hint("merge"), key == F.col(name), "left_anti")
+    again = stored(docs.where(key.isNotNull()).groupBy(key.alias(name)).count().where("count > 1").select(name), "repeated")
     if again.isEmpty():
         return left
-    same = F.col(f"`{id_col}`") == F.col("_id")
-    one = left.join(again, same, "left_semi").dropDuplicates([id_col])
-    return left.join(again, same, "left_anti").unionByName(one)
+    one = left.join(again, key == F.col(name), "left_semi").dropDuplicates([id_col])
+    return left.join(again, key == F.col(name), "left_anti").unionByName(one)
 
 
 def _links(texts: DataFrame, mine: DataFrame) -> DataFrame:

@@ -85,10 +85,11 @@ def leaf_budgets(leaves: DataFrame, budget: tuple[int, int], epochs: int, weight
     return share.drop("root")
 
 
-def _keyed(docs: DataFrame, domain) -> DataFrame:
-    """``docs`` with the leaf's three names (k_domain, k_lang, k_source) and the id to order by (k_id)."""
+def _keyed(docs: DataFrame, domain, **more: Column) -> DataFrame:
+    """doc_id, the leaf's three names (k_domain, k_lang, k_source), the id to order by (k_id) and ``more``."""
     source = F.coalesce(F.col("source").cast("string"), F.lit("none"))
-    return docs.withColumns({"k_domain": F.coalesce(domain(source), F.lit("none")), "k_lang": F.coalesce(F.col("lang").cast("string"), F.lit("none")), "k_source": source, "k_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))})
+    names = {"k_domain": F.coalesce(domain(source), F.lit("none")), "k_lang": F.coalesce(F.col("lang").cast("string"), F.lit("none")), "k_source": source, "k_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))}
+    return docs.select("doc_id", *(c.alias(k) for k, c in {**names, **more}.items()))
 
 
 _KEYS = ["k_domain", "k_lang", "k_source"]
@@ -106,7 +107,7 @@ def cuts(docs: DataFrame, budget=BUDGET, epochs: int = EPOCHS, seed: str = SEED,
     The cut is found in two steps, so that no leaf's rows meet in one task: token sums of slices of the
     order (their number follows the leaf's rows), then the rows of the one slice that the cut falls in.
     """
-    slim = stored(_keyed(docs, domain).select("doc_id", "k_id", *_KEYS, tokens_of(F.col("text").cast("string")).alias("tokens")), "mix-slim")
+    slim = stored(_keyed(docs, domain, tokens=tokens_of(F.col("text").cast("string"))), "mix-slim")
     leaves = slim.groupBy(*_KEYS).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n_docs"))
     named = leaves.select(*(F.col(k).alias(level) for k, level in zip(_KEYS, LEVELS)), "tokens", "n_docs")
     shares = leaf_budgets(named, budget, epochs, weight)
@@ -139,12 +140,13 @@ def mix(docs: DataFrame, budget=BUDGET, epochs: int = EPOCHS, seed: str = SEED,
     column of ``docs`` already named epoch is replaced.
     """
     limits = cuts(docs, budget, epochs, seed, weight, domain)
-    rows = _placed(_keyed(docs, domain).join(limits, _KEYS), seed)
+    # a document's own columns travel in one, so that none of their names can clash with those of the cuts
+    rows = _placed(_keyed(docs, domain, row=F.struct(*(F.col(f"`{c}`") for c in docs.columns))).join(limits, _KEYS), seed)
     before = F.coalesce(F.col("slice") < F.col("cut_slice"), F.lit(False))
     in_slice = F.coalesce((F.col("slice") == F.col("cut_slice")) & (F.struct("h", "k_id") <= F.col("last")), F.lit(False))
     uses = F.col("whole") + F.when((F.col("rest") > 0) & (F.col("whole") < epochs) & (before | in_slice), 1).otherwise(0)
     rows = rows.withColumn("uses", uses).where("uses > 0")
-    return rows.select(*(c for c in docs.columns if c != "epoch"), F.explode(F.sequence(F.lit(1), F.col("uses"))).alias("epoch"))
+    return rows.select(*(F.col(f"row.`{c}`") for c in docs.columns if c.lower() != "epoch"), F.explode(F.sequence(F.lit(1), F.col("uses"))).alias("epoch"))
 
 
 def mixture(docs: DataFrame, **options) -> DataFrame:

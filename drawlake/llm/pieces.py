@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from drawlake.llm.common import free_name
+
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Words up to this length advance in batches; longer ones are rare and go one by one.
@@ -314,19 +316,20 @@ def encoded(docs: DataFrame, model_file: str = MODEL_FILE, text_col: str = "text
     from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StructField, StructType
 
     model = docs.sparkSession.sparkContext.broadcast(load(model_file, unigram))  # a vocabulary's size is fixed
-    names = [c for c in docs.columns if c not in (text_col, "ids", "n_tokens", "round_trip")]
+    names = [c for c in docs.columns if c.lower() not in (text_col.lower(), "ids", "n_tokens", "round_trip")]
+    held = free_name(names, "held_text")
 
     def run(batches):
         coder = _coder(model.value)
         for b in batches:
             for at in range(0, b.num_rows, 1024):
                 part = b.slice(at, 1024)
-                texts = [t or "" for t in part.column("__text").to_pylist()]
+                texts = [t or "" for t in part.column(held).to_pylist()]
                 ids = coder.encode(texts)
                 same = [coder.decode(i) == t.replace(SPACE, " ") for i, t in zip(ids, texts)]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(ids, pa.list_(pa.int32())), pa.array([len(i) for i in ids], pa.int64()), pa.array(same)], names=[*names, "ids", "n_tokens", "round_trip"])
 
-    rows = docs.select(*(F.col(f"`{c}`") for c in names), F.col(f"`{text_col}`").cast("string").alias("__text"))
+    rows = docs.select(*(F.col(f"`{c}`") for c in names), F.col(f"`{text_col}`").cast("string").alias(held))
     fields = [docs.schema[c] for c in names]
     return rows.mapInArrow(run, StructType([*fields, StructField("ids", ArrayType(IntegerType())), StructField("n_tokens", LongType()), StructField("round_trip", BooleanType())]))
 

@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from drawlake.llm.common import fold_of
+from drawlake.llm.common import fold_of, free_name
 
 FOLDS, HELD_OUT = 5, 0
 THRESHOLD = 0.3
@@ -171,7 +171,5 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the classifier doesn't reject, with their columns."""
-    name = "score"
-    while name in docs.columns:
-        name += "_"
+    name = free_name(docs.columns, "score")
     return with_score(docs, fit(docs, labels), name).where(F.col(f"`{name}`") >= THRESHOLD).drop(name)

@@ -60,6 +60,19 @@ def test_odd_documents(spark):
     assert webp.text_media(docs).count() == 12
 
 
+def test_clashing_names_keep_their_values(spark):
+    names = ["h", "slice", "whole", "rest", "slices", "uses", "row", "k_id", "k_lang", "last", "cut_slice", "tokens", "other_id", "held_text", "held_text_", "score", "count", "a", "b", "id", "comp"]
+    rows = [(i, f"text number {i} of its own {'w ' * i}", "en", f"src{i % 3}", *(f"{n}{i}" for n in names)) for i in range(30)] + [(31, "text number 31 of its own", None, None, *("z" for _ in names))]
+    docs = spark.createDataFrame(rows + rows[:2], ["doc_id", "text", "lang", "source", *names])
+    want = {r[0]: r[4:] for r in rows}
+    frames = [mixing.mix(docs), minhash.without_duplicates(docs), quality.keep_good(docs, labels(spark, [(i, i % 2) for i in range(30)])), secrets.mask_secrets(docs)]
+    if os.path.exists(pieces.MODEL_FILE):
+        frames.append(pieces.encoded(docs))
+    for f in frames:
+        got = f.collect()
+        assert got and all(tuple(r[n] for n in names) == want[r["doc_id"]] for r in got)
+
+
 @TOKENIZER
 def test_odd_documents_encoded(spark):
     rows = pieces.encoded(odd_docs(spark)).collect()
