@@ -7,10 +7,9 @@ n-grams, how far each one's rank lies from its rank in the profile, with a fixed
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,7 +20,8 @@ TOP = 400
 MAX_N = 3
 #: Distinct n-grams that a task gathers before it passes its counts on.
 GATHER = 200_000
-_LETTERS = re.compile(r"[^\W\d_]+")
+#: Letters of any script, with the marks that follow them.
+_LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 _BITS = 21
 
 

@@ -311,6 +311,36 @@ def test_languages_held_out(spark):
     assert sum(r["lang_pred"] == r["lang"] for r in got) / len(got) > 0.95 and all(0 <= r["score"] <= 1 for r in got)
 
 
+def test_languages_by_brute_force(spark):
+    import unicodedata
+    from collections import Counter
+
+    def grams(text):
+        kept = "".join(c if unicodedata.category(c)[0] in "LM" else " " for c in (text or "").lower()).split()
+        return Counter(g for w in kept for n in (1, 2, 3) for g in (f" {w} "[i : i + n] for i in range(len(w) + 3 - n)) if g != " ")
+
+    def top(c):
+        return [g for g, _ in sorted(c.items(), key=lambda x: (-x[1], [ord(a) for a in f"{x[0]:\0>3}"]))[: langid.TOP]]
+
+    r = random.Random(4)
+    sets = {"aa": "abcdé", "bb": "bcdef", "cc": "жзий"}
+    rows = [(i, " ".join("".join(r.choice(sets[k]) for _ in range(r.randrange(1, 5))) for _ in range(r.randrange(1, 40))), k) for i in range(60) for k in [r.choice(list(sets))]]
+    rows += [(100, "² ½ ① Ⅷ 12 _!", "aa"), (101, None, "bb"), (102, "", None), (103, "e\u0301a nai\u0308ve", None), (104, "zzz", None), (105, "a1b2c", "aa")]
+    learnt = {}
+    for i, text, k in rows:
+        if k and zlib.crc32(str(i).encode()) % 4 != 2:
+            learnt.setdefault(k, Counter()).update(grams(text))
+    ranks = {k: {g: n for n, g in enumerate(top(c))} for k, c in learnt.items()}
+    want = {}
+    for i, text, _ in rows:
+        own = top(grams(text))
+        away = {k: sum(abs(rank[g] - n) if g in rank else langid.TOP for n, g in enumerate(own)) for k, rank in ranks.items()}
+        best = min(away, key=lambda k: (away[k], k))
+        want[i] = (best, pytest.approx(1 - away[best] / (langid.TOP * len(own)))) if own else ("und", 0.0)
+    got = {x["doc_id"]: (x["lang_pred"], x["score"]) for x in langid.predicted_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert got == want and all(got[i][0] == "und" for i in (100, 101, 102))
+
+
 # --- 6 --------------------------------------------------------------------------------------------------------
 
 
