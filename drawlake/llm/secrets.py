@@ -13,6 +13,7 @@ import base64
 import bz2
 import codecs
 import hashlib
+import itertools
 import lzma
 import re
 import zlib
@@ -27,10 +28,15 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 #: A failing run holds no passing one, so the two runs may ask for their length at once; the assign pattern may not.
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_PERCENT_RUN = re.compile(r"[^\s%]*(?:%[0-9A-Fa-f]{2}[^\s%]*)+")
+#: Escapes, and what ends the run of characters around them: white space, and their first character where it begins none.
+_PERCENT, _PERCENT_END = re.compile(r"%[0-9A-Fa-f]{2}"), re.compile(r"\s|%(?![0-9A-Fa-f]{2})")
+_PERCENTS = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})")
-_ESCAPE_RUN = re.compile(r"(?:[^\s\\]*(?:\\u\{[0-9A-Fa-f]{1,6}\}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}))+[^\s\\]*")
+_ESCAPE_END = re.compile(r"\s|\\(?!u\{[0-9A-Fa-f]{1,6}\}|u[0-9A-Fa-f]{4}|U[0-9A-Fa-f]{8}|x[0-9A-Fa-f]{2})")
 _ODD = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
+#: Readable parts of bytes that aren't all text; no match is shorter than ``token=`` and six characters.
+_PART = re.compile(r"[^\x00-\x08\x0b\x0c\x0e-\x1f\x7f\ud800-\udfff]{12,}")
+#: Twelve bytes take sixteen characters.
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 #: What a compressed stream starts with, and how it is opened.
 _MAGIC = ((b"\x1f\x8b", lambda: zlib.decompressobj(31)), (b"BZh", bz2.BZ2Decompressor), (b"\xfd7zXZ\x00", lzma.LZMADecompressor), (b"x\x01", zlib.decompressobj), (b"x\x5e", zlib.decompressobj), (b"x\x9c", zlib.decompressobj), (b"x\xda", zlib.decompressobj))
@@ -96,14 +102,20 @@ class _Stream:
                 yield _Layer(text, None, None, self.whole)
 
 
-def _pulled(pieces: Iterator[bytes]) -> Iterator[bytes]:
-    """What compressed bytes unfold to, in pieces; streams that follow each other count, a damaged one ends it."""
+def _bare():
+    return zlib.decompressobj(-15)
+
+
+def _pulled(pieces: Iterator[bytes], first: Callable | None = None) -> Iterator[bytes]:
+    """What compressed bytes unfold to, in pieces; streams that follow each other count, a damaged one ends it.
+    ``first`` opens what starts with no known mark."""
     d = None
     for data in pieces:
         while data or d is not None:
             if d is None:
-                data = data.lstrip(b"\0")
-                opened = next((f for magic, f in _MAGIC if data.startswith(magic)), None)
+                data = data if first else data.lstrip(b"\0")
+                opened = next((f for magic, f in _MAGIC if data.startswith(magic)), first)
+                first = None
                 if opened is None:
                     return
                 d = opened()
@@ -122,14 +134,23 @@ def _pulled(pieces: Iterator[bytes]) -> Iterator[bytes]:
 
 
 def _stream(raw: bytes, whole: tuple[int, int]) -> _Stream | None:
-    """The levels of compression of ``raw``; None if it isn't compressed."""
+    """The levels of compression of ``raw``, until one is no stream or begins like one before it; None if there is none.
+    Bytes of an unmarked stream count as one if they unfold to text."""
     levels: list[Callable[[], Iterator[bytes]]] = []
     make: Callable[[], Iterator[bytes]] = lambda: iter([raw])
-    for _ in range(64):
+    heads = {raw[:PIECE]}
+    while True:
         make = lambda below=make: _pulled(below())
-        if next(make(), None) is None:
+        head = next(make(), None)
+        if head is None or head in heads:
             break
+        heads.add(head)
         levels.append(make)
+    if not levels and len(raw) >= 8:
+        make = lambda: _pulled(iter([raw]), _bare)
+        head = next(make(), b"")
+        if len(head) >= 12 and next(_windows(iter([head])), None) is not None:
+            levels.append(make)
     return _Stream(levels, whole) if levels else None
 
 
@@ -163,7 +184,7 @@ def _windows(pieces: Iterator[bytes]) -> Iterator[str]:
         yield "".join(kept)
 
 
-def _mapped(layer: _Layer, start: int, pieces: list[tuple[str, int, int]]) -> _Layer:
+def _mapped(layer: _Layer, pieces: list[tuple[str, int, int]]) -> _Layer:
     """A layer from (text, start, end) pieces of ``layer``; each character of a piece maps to the whole piece."""
     text, starts, ends = [], [], []
     for t, s, e in pieces:
@@ -174,22 +195,34 @@ def _mapped(layer: _Layer, start: int, pieces: list[tuple[str, int, int]]) -> _L
     return _Layer("".join(text), starts, ends)
 
 
-def _unescaped(layer: _Layer, m: re.Match, one: re.Pattern, value) -> Iterator[_Layer]:
-    at, pieces = m.start(), []
+def _runs(t: str, one: re.Pattern, end: re.Pattern) -> Iterator[tuple[int, int]]:
+    """Where escapes stand, with the characters around them up to the next end on either side; each place is looked at once."""
+    done = 0
+    while (m := one.search(t, done)) is not None:
+        start = done
+        for x in end.finditer(t, done, m.start()):
+            start = x.end()
+        stop = end.search(t, m.end())
+        done = stop.start() if stop else len(t)
+        yield start, done
+
+
+def _unescaped(layer: _Layer, start: int, end: int) -> Iterator[_Layer]:
+    at, pieces = start, []
     t = layer.text
-    for x in one.finditer(t, m.start(), m.end()):
+    for x in _ESCAPE.finditer(t, start, end):
         pieces += [(t[i], i, i + 1) for i in range(at, x.start())]
-        pieces.append((value(x), x.start(), x.end()))
+        pieces.append((_chr(x), x.start(), x.end()))
         at = x.end()
-    pieces += [(t[i], i, i + 1) for i in range(at, m.end())]
-    yield _mapped(layer, m.start(), pieces)
+    pieces += [(t[i], i, i + 1) for i in range(at, end)]
+    yield _mapped(layer, pieces)
 
 
-def _percent(layer: _Layer, m: re.Match) -> Iterator[_Layer | _Stream]:
+def _percent(layer: _Layer, start: int, end: int) -> Iterator[_Layer | _Stream]:
     """Percent escapes as UTF-8; bytes that aren't may be compressed."""
-    t, pieces, at = layer.text, [], m.start()
-    for x in re.finditer(r"(?:%[0-9A-Fa-f]{2})+", m.group()):
-        s, e = m.start() + x.start(), m.start() + x.end()
+    t, pieces, at = layer.text, [], start
+    for x in _PERCENTS.finditer(t, start, end):
+        s, e = x.span()
         pieces += [(t[i], i, i + 1) for i in range(at, s)]
         raw = bytes.fromhex(x.group().replace("%", ""))
         if (stream := _stream(raw, layer.span(s, e))) is not None:
@@ -200,8 +233,8 @@ def _percent(layer: _Layer, m: re.Match) -> Iterator[_Layer | _Stream]:
             pieces.append((c, s + 3 * k, min(e, s + 3 * (k + n))))
             k += n
         at = e
-    pieces += [(t[i], i, i + 1) for i in range(at, m.end())]
-    yield _mapped(layer, m.start(), pieces)
+    pieces += [(t[i], i, i + 1) for i in range(at, end)]
+    yield _mapped(layer, pieces)
 
 
 def _chr(x: re.Match) -> str:
@@ -210,30 +243,34 @@ def _chr(x: re.Match) -> str:
 
 
 def _based(layer: _Layer, lines: list[tuple[int, int]]) -> Iterator[_Layer | _Stream]:
-    """Base64 in one run, or in runs of lines that follow each other."""
-    word = "".join(layer.text[s:e] for s, e in lines).rstrip("=")
-    if len(word) % 4 == 1:
-        word = word[:-1]
-    try:
-        raw = base64.b64decode(word.replace("-", "+").replace("_", "/") + "=" * (-len(word) % 4))
-    except ValueError:
-        return
-    if (stream := _stream(raw, layer.span(lines[0][0], lines[-1][1]))) is not None:
-        yield stream
-    if (text := _plain(raw)) is None:
-        return
+    """Base64 in one run, or in runs of lines that follow each other, from each of the four places that its first group may begin at."""
+    whole = "".join(layer.text[s:e] for s, e in lines).rstrip("=").replace("-", "+").replace("_", "/")
     at = range(*lines[0]) if len(lines) == 1 else [i for s, e in lines for i in range(s, e)]
-    starts, ends, k = [], [], 0
-    last = len(word)
-    for c in text:
-        n = len(c.encode("utf-8"))
-        a = k * 4 // 3
-        b = max(min(last, -(-(k + n) * 4 // 3)), a + 1)
-        s, e = layer.span(at[a], at[b - 1] + 1)
-        starts.append(s)
-        ends.append(e)
-        k += n
-    yield _Layer(text, starts, ends)
+    for shift in range(4):
+        word = whole[shift:]
+        if len(word) % 4 == 1:
+            word = word[:-1]
+        if len(word) < 16:
+            return
+        raw = base64.b64decode(word + "=" * (-len(word) % 4))
+        if (stream := _stream(raw, layer.span(at[shift], lines[-1][1]))) is not None:
+            yield stream
+        text = raw.decode("utf-8", "surrogateescape")
+        parts = [(0, len(text))] if (plain := _plain(raw)) is not None else [x.span() for x in _PART.finditer(text)]
+        if not parts:
+            continue
+        places = list(itertools.accumulate((len(c.encode("utf-8", "surrogateescape")) for c in text), initial=0))
+        for start, end in parts:
+            starts, ends = [], []
+            for k in range(start, end):
+                a = places[k] * 4 // 3
+                b = max(min(len(word), -(-places[k + 1] * 4 // 3)), a + 1)
+                s, e = layer.span(at[shift + a], at[shift + b - 1] + 1)
+                starts.append(s)
+                ends.append(e)
+            yield _Layer(text[start:end], starts, ends)
+        if plain is not None:
+            return
 
 
 def _wrapped(t: str, m: re.Match) -> list[tuple[int, int]]:
@@ -251,11 +288,11 @@ def _wrapped(t: str, m: re.Match) -> list[tuple[int, int]]:
 def _unwrapped(layer: _Layer) -> Iterator[_Layer | _Stream]:
     t = layer.text
     if "%" in t:
-        for m in _PERCENT_RUN.finditer(t):
-            yield from _percent(layer, m)
+        for start, end in _runs(t, _PERCENT, _PERCENT_END):
+            yield from _percent(layer, start, end)
     if "\\" in t:
-        for m in _ESCAPE_RUN.finditer(t):
-            yield from _unescaped(layer, m, _ESCAPE, _chr)
+        for start, end in _runs(t, _ESCAPE, _ESCAPE_END):
+            yield from _unescaped(layer, start, end)
     done = 0
     for m in _BASE64.finditer(t):
         if m.start() >= done and len(lines := _wrapped(t, m)) > 1:
@@ -269,13 +306,13 @@ def _unwrapped(layer: _Layer) -> Iterator[_Layer | _Stream]:
 
 
 def scan(text: str | None) -> tuple[list[Span], list[Span]]:
-    """(base spans, all spans): a decoded finding is added unless a span of its kind holds its place already.
+    """(base spans, all spans): a decoded finding is added unless another span of its kind holds its place.
 
     Layers are followed depth first, fragment by fragment of the text.
     """
     text = text or ""
     base = base_spans(text)
-    found = list(base)
+    found: set[Span] = set()
     seen = {hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()}
     work = [(_Layer(text, None, None), _unwrapped(_Layer(text, None, None)))]
     room = [0, 0]
@@ -302,10 +339,19 @@ def scan(text: str | None) -> tuple[list[Span], list[Span]]:
         seen.add(mark)
         work.append((new, _unwrapped(new)))
         for s, kind, e in base_spans(new.text):
-            a, b = new.span(s, e)
-            if not any(k == kind and x <= a and b <= y for x, k, y in found):
-                found.append((a, kind, b))
-    return base, sorted(set(found))
+            found.add((new.span(s, e)[0], kind, new.span(s, e)[1]))
+    return base, _outer(base, found - set(base))
+
+
+def _outer(base: list[Span], found: set[Span]) -> list[Span]:
+    """All of ``base``, and of ``found`` what lies in no other span of its kind."""
+    out, reach = list(base), [-1] * len(KINDS)
+    own = set(base)
+    for s, k, e in sorted([*base, *found], key=lambda x: (x[0], -x[2])):
+        if e > reach[k] and (s, k, e) not in own:
+            out.append((s, k, e))
+        reach[k] = max(reach[k], e)
+    return sorted(out)
 
 
 def joined(spans: list[Span]) -> str:

@@ -440,6 +440,46 @@ def test_layers():
     assert secrets.joined(secrets.scan("x token=abcdef")[1]) == "assign:2:14"
 
 
+def test_planted_layers():
+    """Secrets under random nests of encodings: each is found, and its span covers what was encoded and no more."""
+    r = random.Random(8)
+    raw_deflate = lambda b: (lambda c: c.compress(b) + c.flush())(zlib.compressobj(9, zlib.DEFLATED, -15))
+    pack = [gzip.compress, zlib.compress, raw_deflate, lambda b: gzip.compress(b"first ") + gzip.compress(b), lambda b: gzip.compress(zlib.compress(b))]
+    coded = lambda b: base64.b64encode(b).decode()
+    ways = [lambda s: quote(s, safe=""), lambda s: "".join(f"%{x:02X}" for x in s.encode()), lambda s: "".join(f"\\u{ord(c):04x}" for c in s), lambda s: "".join(f"\\x{ord(c):02x}" for c in s), lambda s: coded(s.encode()), lambda s: base64.urlsafe_b64encode(s.encode()).decode()]
+    ways += [lambda s, f=f: coded(f(s.encode())) for f in pack]
+    for n in range(400):
+        value = "".join(r.choice("ghijklmnopqrstuvw") for _ in range(r.randrange(6, 30)))
+        secret = r.choice([f"token={value}", f"password: '{value}'", "AKIA" + "".join(r.choice("ABCDEFGHJK2345") for _ in range(16))])
+        kind = 1 if secret.startswith("AKIA") else 0
+        depth = r.randrange(1, 4)
+        for _ in range(depth):
+            secret = r.choice(ways)(secret)
+        before = "é word " * r.randrange(3)
+        text = f"{before}{secret} after"
+        added = [x for x in secrets.scan(text)[1] if x[1] == kind]
+        assert added, (n, text)
+        assert all(len(before) <= s < e <= len(before) + len(secret) for s, _, e in added), (n, text)
+    for lead in ("data/", "a/", "ab/", "abc/"):
+        text = f"x {lead}{coded(b'and a secret=abcdefghijk in it')} y"
+        assert any(k == 0 for _, k, _ in secrets.scan(text)[1]), lead
+    mixed = coded(bytes(range(128, 256)) + b" token=abcdefgh " + bytes(range(256)))
+    assert any(k == 0 for _, k, _ in secrets.scan(mixed)[1])
+    plain = " ".join(words(1, 4000)) + " " + coded(" ".join(words(2, 400)).encode()) + " 100% \\q C:\\path"
+    assert secrets.scan(plain) == ([], [])
+
+
+def test_long_runs_take_linear_time():
+    import time
+
+    start = time.perf_counter()
+    for tail in ("%zz", "\\q", "%41", "\\x41", "", "%"):
+        for unit in ("a", "%zz", "\\q", "%4", "AKIA", "g="):
+            secrets.scan(unit * (300_000 // len(unit)) + tail)
+    secrets.scan(" ".join(base64.b64encode(f"token=abcdef{i}".encode()).decode() for i in range(4000)))
+    assert time.perf_counter() - start < 60
+
+
 def test_layers_after_a_large_blob():
     key = 'secret = "abcdefgh12345"'
     coded = base64.b64encode(key.encode()).decode()
