@@ -25,6 +25,8 @@ SIMILAR = (75, 100)
 SIGMAS = 4.5
 SEED = 20_241
 CHUNK = 1 << 16
+#: Members of a bucket that one task holds others against; larger buckets are split.
+PART = 256
 
 _rng = np.random.default_rng(SEED)
 _XOR = _rng.integers(0, 1 << 63, K, dtype=np.uint64)
@@ -238,19 +240,20 @@ def _links(texts: DataFrame, mine: DataFrame) -> DataFrame:
     placed = met.join(comp, met["doc_id"] == comp["id"], "left").select("key", "doc_id", "head", F.coalesce("comp", "doc_id").alias("c"))
     heads = comp.select(F.col("id").alias("head"), F.col("comp").alias("hc"))
     placed = stored(placed.join(heads, "head", "left").select("key", "doc_id", "c", (F.col("c") == F.coalesce("hc", "head")).alias("main")), "placed")
-    apart = placed.where("not main").select("key").distinct()
-    placed = stored(placed.join(apart, "key", "left_semi"), "apart")
+    apart = placed.groupBy("key").agg(F.count("*").alias("size"), F.max(~F.col("main")).alias("odd")).where("odd").select("key", F.ceil(F.col("size") / PART).cast("int").alias("parts"))
+    placed = stored(placed.join(apart, "key"), "apart")
     ids = placed.select("doc_id").distinct()
     sets = texts.join(ids, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, shingles array<long>")
     full = stored(mine.join(ids, "doc_id", "left_semi").select("doc_id", "bands", F.struct(*PLANES).alias("s")).join(sets, "doc_id").dropDuplicates(["doc_id"]), "apart-sets")
     rows = placed.join(full, "doc_id")
-    x = rows.where("not main").select("key", F.col("doc_id").alias("x"), F.col("c").alias("cx"), F.col("s").alias("sx"), F.col("bands").alias("kx"), F.col("shingles").alias("hx"))
-    y = rows.select(F.col("key").alias("y_key"), F.col("doc_id").alias("y"), F.col("c").alias("cy"), "main", F.col("s").alias("sy"), F.col("bands").alias("ky"), F.col("shingles").alias("hy"))
+    # the members of a large bucket are dealt to parts, and the odd ones are held against each part
+    x = rows.where("not main").select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("doc_id").alias("x"), F.col("c").alias("cx"), F.col("s").alias("sx"), F.col("bands").alias("kx"), F.col("shingles").alias("hx"))
+    y = rows.select(F.col("key").alias("y_key"), F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int").alias("y_part"), F.col("doc_id").alias("y"), F.col("c").alias("cy"), "main", F.col("s").alias("sy"), F.col("bands").alias("ky"), F.col("shingles").alias("hy"))
     # of two odd ones the smaller id leads; with a member of the head's component the odd one does
     turn = (F.col("cx") != F.col("cy")) & (F.col("main") | (F.col("x") < F.col("y")))
     first = F.col("key") == F.coalesce(*(F.when(F.get("kx", i) == F.get("ky", i), F.get("kx", i)) for i in range(BANDS)))
     equal = F.size(F.array_intersect("hx", "hy")) * (SIMILAR[0] + SIMILAR[1]) >= (F.size("hx") + F.size("hy")) * SIMILAR[0]
-    last = x.join(y, (F.col("key") == F.col("y_key")) & turn & (estimate("sx", "sy") >= least_estimate()) & first & equal)
+    last = x.join(y, (F.col("key") == F.col("y_key")) & (F.col("part") == F.col("y_part")) & turn & (estimate("sx", "sy") >= least_estimate()) & first & equal)
     return links.unionByName(stored(last.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")), "third-links"))
 
 
