@@ -54,6 +54,13 @@ PLAN: Rules = (
     ("розетки", ("розеточн",)), ("расположение", ("расположени", "расстановк")), ("привязка", ("привязк",)), ("освещение", ("освещени",)),
     ("кабеленесущие", ("кабеленесущ",)), ("схема", ("схем",)), ("общие", ("общие данные",)), ("опросные", ("опросн",)),
 )
+#: Works on earthing parts by words of their name, in order; anything else is mounted.
+GROUNDING_WORKS: Rules = (
+    ("Забивка", ("стержень заземления",)),
+    ("Установка", ("наконечник", "соединитель", "забивная головка", "скоба", "шина уравнивания", "коробка уравнивания")),
+    ("Прокладка", ("полоса", "проводник", "пруток")), ("Защита болтовых соединений системы заземления", ("антикоррози", "гидроизоля", "лента")),
+    ("Окраска", ("спрей", "окраска", "свартон")), ("Монтаж", ("точка заземления",)), ("Установка", ("держатель",)), ("Прокладка", ("провод пугв", "пугвнг")),
+)
 HEIGHTS = ((5.0, "до 5 метров"), (13.0, "от 5 до 13 метров"), (20.0, "от 13 до 20 метров"))
 HIGHEST = "от 20 до 35 метров"
 LUMINAIRE_PREFIXES = ("Светодиодный светильник ", "Светильник ", "Световые указатели ", "Световой указатель ")

@@ -177,6 +177,11 @@ def map_work(c: Column) -> Column:
     return F.when(c.isNotNull(), out.otherwise(other))
 
 
+def grounding_work(c: Column) -> Column:
+    """The work row of an earthing part: its work, and the name with a small first letter."""
+    return F.concat_ws(" ", first_of(c, R.GROUNDING_WORKS, "Монтаж"), F.concat(F.lower(F.substring(c, 1, 1)), F.substring(c, F.lit(2), F.length(c))))
+
+
 def pvc_diameters(c: Column) -> Column:
     return F.transform(F.regexp_extract_all(c, F.lit(r"(?iu)(?:д|d)[.\s]*([0-9]{2})\s*(?:мм)?"), F.lit(1)), lambda x: x.cast("int"))
 

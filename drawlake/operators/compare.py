@@ -163,12 +163,12 @@ def bill_patterns(reference: DataFrame, keys: Keys = ()) -> DataFrame:
 
 def enrich_annotations(annotations: DataFrame, legend: DataFrame, keys: Keys = ("file_id",), least: float = 0.6) -> DataFrame:
     """Annotation texts given the legend entry that holds all their numbers of two digits or more and most of their words;
-    each entry is used once, the best pair first."""
+    each entry is used once: annotations choose in their order, each the best entry that is left."""
     from drawlake.operators.iterative import greedy_match
 
     numbers = lambda c: F.array_distinct(F.regexp_extract_all(F.col(c), F.lit("([0-9]{2,})"), F.lit(1)))
     a = annotations.select(*keys, F.col("seq").alias("a_seq"), F.col("name").alias("a_name"), tokens(F.col("name")).alias("ta"), numbers("name").alias("na"))
     b = legend.select(*keys, F.col("seq").alias("b_seq"), F.col("description"), "symbol", tokens(F.col("description")).alias("tb"), numbers("description").alias("nb"))
     pairs = a.join(b, list(keys)).where(F.size(F.array_except("na", "nb")) == 0).withColumn("_c", F.size(F.array_intersect("ta", "tb")))
-    pairs = pairs.where((F.col("_c") >= 3) & (F.col("_c") / F.size("ta") >= least)).withColumn("_d", -(F.col("_c") / F.size("ta")))
+    pairs = pairs.where((F.col("_c") >= 3) & (F.col("_c") / F.size("ta") >= least)).withColumn("_d", F.struct("a_seq", -(F.col("_c") / F.size("ta"))))
     return greedy_match(pairs.select(*keys, "a_seq", "b_seq", "a_name", "description", "symbol", "_d"), keys, "a_seq", "b_seq", "_d").drop("_d")

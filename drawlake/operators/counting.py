@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from drawlake.functions.cables import cable_suffix, laying_method, parse_cable, split_laying
+from drawlake.operators.graph import once
 from drawlake.operators.spatial import exclude_zones
 
 Keys = Sequence[str]
@@ -64,8 +65,9 @@ def annotation_counts(texts: DataFrame, keys: Keys = ("file_id",), text: str = "
 
 def cable_hits(texts: DataFrame, keys: Keys = ("file_id",), text: str = "text") -> DataFrame:
     """(keys, type, length_m, suffix, laying) of texts that name a cable and a length."""
-    c = parse_cable(F.col(text))
-    return texts.select(*keys, c["type"].alias("type"), c["length_m"].alias("length_m"), cable_suffix(F.col(text)).alias("suffix"), laying_method(F.col(text)).alias("laying")).where("type is not null and length_m is not null")
+    c = F.col(text)
+    hits = once(texts.select(*keys, text), text, _c=parse_cable(c), suffix=cable_suffix(c), laying=laying_method(c))
+    return hits.select(*keys, "_c.type", "_c.length_m", "suffix", "laying").where("type is not null and length_m is not null")
 
 
 def cable_totals(hits: DataFrame, keys: Keys = ("file_id",)) -> DataFrame:

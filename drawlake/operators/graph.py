@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; where it is unset (tests, one machine), an own one."""
+    """The folder named by ``spark.checkpoint.dir``; where it is unset, an own one in local mode, as in tests, and an error on a cluster."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None)
     if named:
@@ -18,6 +19,8 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(named)
         return named
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -61,3 +64,20 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     if labels is None:
         labels = live.select(F.col("a").alias("id"), F.col("b").alias("comp"))
     return labels
+
+
+def numbered(df: DataFrame, order: list[str], name: str = "number") -> DataFrame:
+    """``df`` with the place of each row in the order of all, from 1. Ranges deal the rows, and each range's count sets
+    off the next, so that no task sees them all; null values come first."""
+    part, place, before = "_part", "_place", "_before"
+    rows = stored(df.repartitionByRange(*order).withColumn(part, F.spark_partition_id()), "numbered")
+    sizes = rows.groupBy(part).agg(F.count("*").alias("_n"))  # a row a range
+    offsets = sizes.withColumn(before, F.sum("_n").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1))).select(part, F.coalesce(before, F.lit(0)).alias(before))
+    rows = rows.withColumn(place, F.row_number().over(Window.partitionBy(part).orderBy(*order))).join(F.broadcast(offsets), part)
+    return rows.withColumn(name, F.col(place) + F.col(before)).drop(part, place, before)
+
+
+def once(df: DataFrame, text: str, **columns: Column) -> DataFrame:
+    """``df`` with columns that are worked out of one text column, for each distinct text once; rows without a text fall away."""
+    parsed = df.select(text).distinct().select(text, *(c.alias(k) for k, c in columns.items()))
+    return df.join(parsed, text)

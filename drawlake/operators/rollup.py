@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from drawlake.functions import rules as R
+from drawlake.operators.graph import numbered
 
 Keys = Sequence[str]
 LABELS = [label for _, label in R.HEIGHTS] + [R.HIGHEST]
@@ -187,7 +188,7 @@ def rollup_bill(items: DataFrame, keys: Keys = ()) -> DataFrame:
     by_file = items.groupBy(*keys, "name", "file_id").agg(F.sum("count").cast("long").alias("n"))
     parts = F.sort_array(F.collect_list(F.struct("file_id", "n")))
     out = by_file.groupBy(*keys, "name").agg(F.sum("n").alias("total"), F.array_join(F.transform(parts, lambda s: s["n"].cast("string")), "+").alias("formula"), F.array_join(F.transform(parts, lambda s: s["file_id"].cast("string")), ", ").alias("refs"))
-    return out.withColumn("number", F.row_number().over(Window.partitionBy(*(keys or [F.lit(0)])).orderBy("name")))
+    return out.withColumn("number", F.row_number().over(Window.partitionBy(*keys).orderBy("name"))) if keys else numbered(out, ["name"])
 
 
 def grand_totals(items: DataFrame, keys: Keys) -> DataFrame:

@@ -15,7 +15,7 @@ from drawlake.functions import cables as C
 from drawlake.functions import rules as R
 from drawlake.functions import text as T
 from drawlake.operators import compare, counting, iterative, rollup, schedules, sequences, spatial
-from drawlake.operators.graph import shared_dir
+from drawlake.operators.graph import once, shared_dir
 from drawlake.sources import drawings
 from drawlake.streaming import ingest
 
@@ -108,14 +108,14 @@ PLAIN = "trim(regexp_replace(regexp_replace(trim(name), '^(?:Светодиод
 @query(f"SELECT name, {PLAIN} AS plain, {CLASS} AS category, {rules_sql('name', R.SPECIFICATION[:5], 'x')} AS upper_class, count(*) AS n FROM {E} GROUP BY ALL")
 def b8_classify(spark, sf_dir):
     n = F.col("name")
-    e = equipment(spark, sf_dir).select("name", T.normalize_name(n).alias("plain"), T.classify_equipment(n).alias("category"), T.first_of(n, R.SPECIFICATION[:5], "x").alias("upper_class"))
-    return e.groupBy("name", "plain", "category", "upper_class").agg(F.count("*").alias("n"))
+    e = equipment(spark, sf_dir).groupBy("name").agg(F.count("*").alias("n"))
+    return e.select("name", T.normalize_name(n).alias("plain"), T.classify_equipment(n).alias("category"), T.first_of(n, R.SPECIFICATION[:5], "x").alias("upper_class"), "n")
 
 
 @query(f"SELECT name, CASE WHEN name LIKE 'Коробка распред%' THEN 'junction_box' WHEN name LIKE 'Светильник%' THEN 'luminaire' WHEN name LIKE 'Розетка%' THEN 'socket' WHEN name LIKE 'Выключатель%' THEN 'switch' WHEN name LIKE 'Щит%' THEN 'panel' WHEN name LIKE 'Кабель%' THEN 'cable' ELSE 'other' END AS category, CASE WHEN name LIKE 'Щит%' THEN 'комп' WHEN name LIKE 'Кабель%' THEN 'м' ELSE 'шт' END AS unit, count(*) AS n FROM {E} GROUP BY ALL")
 def b9_map_work(spark, sf_dir):
     w = T.map_work(F.col("name"))
-    return equipment(spark, sf_dir).select("name", w["category"].alias("category"), w["unit"].alias("unit")).groupBy("name", "category", "unit").agg(F.count("*").alias("n"))
+    return equipment(spark, sf_dir).groupBy("name").agg(F.count("*").alias("n")).select("name", w["category"].alias("category"), w["unit"].alias("unit"), "n")
 
 
 @query(f"SELECT elevation, {HEIGHT} AS height, count(*) AS n FROM {E} GROUP BY ALL")
@@ -126,7 +126,8 @@ def b6_height_category(spark, sf_dir):
 @query(f"""SELECT text, replace(regexp_extract(text, '^(.*[0-9]х[0-9,]+)', 1), 'х', '×') AS type, cast(regexp_extract(text, 'L=([0-9]+)', 1) AS INT) AS length_m, regexp_extract(text, '(в гофре(, в лотке)?)', 1) AS suffix, count(*) AS n FROM {X} GROUP BY ALL""")
 def b11_parse_cable(spark, sf_dir):
     c = C.parse_cable(F.col("text"))
-    return cable_texts(spark, sf_dir).select("text", c["type"].alias("type"), c["length_m"].alias("length_m"), C.cable_suffix(F.col("text")).alias("suffix")).groupBy("text", "type", "length_m", "suffix").agg(F.count("*").alias("n"))
+    n = cable_texts(spark, sf_dir).groupBy("text").agg(F.count("*").alias("n"))
+    return n.select("text", c["type"].alias("type"), c["length_m"].alias("length_m"), C.cable_suffix(F.col("text")).alias("suffix"), "n")
 
 
 _SEC = "CAST(replace(regexp_extract(text, 'х([0-9,]+)', 1), ',', '.') AS DOUBLE)"
@@ -137,7 +138,8 @@ _COR = "CAST(regexp_extract(text, '([0-9]+)х', 1) AS INT)"
 def b14_cable_attrs(spark, sf_dir):
     a = C.cable_attrs(F.col("text"))
     cols = ["cores", "section", "total_section", "conduit_mm", "is_wire", "section_class"]
-    return cable_texts(spark, sf_dir).select("text", *[a[c].alias(c) for c in cols]).groupBy("text", *cols).agg(F.count("*").alias("n"))
+    n = cable_texts(spark, sf_dir).groupBy("text").agg(F.count("*").alias("n"))
+    return n.select("text", *[a[c].alias(c) for c in cols], "n")
 
 
 @query("""WITH t AS (SELECT p_partkey, list_distinct(string_split(lower(p_name), ' ')) AS a, list_distinct(string_split(lower(p_type), ' ')) AS b FROM part)
@@ -229,7 +231,7 @@ def g4_dedup_points(spark, sf_dir):
 @query()
 def g1_routes(spark, sf_dir):
     s = read(spark, sf_dir, "lineitem").selectExpr("l_suppkey AS file_id", "(l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey AS seq", "l_linestatus AS color", "l_quantity * 10 AS x0", "l_linenumber * 100.0 AS y0", "l_quantity * 10 + l_discount * 200 AS x1", "l_linenumber * 100.0 + l_tax * 1000 AS y1")
-    return iterative.routes(s, ("file_id", "color"))
+    return iterative.routes(s, ("file_id", "color")).drop("route")  # an id made of hashes
 
 
 # --- detections -----------------------------------------------------------------------------------------------
@@ -359,7 +361,7 @@ def e26_color_palette(spark, sf_dir):
 @query(f"""WITH e AS (SELECT *, {CLASS} AS category FROM {E}), p AS (SELECT project, elevation, category, name, plan_type, sum(count) AS count FROM e GROUP BY ALL), m AS (SELECT project, elevation, category, name, max(count) AS count FROM p GROUP BY ALL)
 SELECT project, {HEIGHT} AS height, category, name, sum(count)::BIGINT AS count FROM m GROUP BY ALL""")
 def e10_merge_elevations(spark, sf_dir):
-    return rollup.merge_elevations(equipment(spark, sf_dir).withColumn("category", T.classify_equipment(F.col("name"))))
+    return rollup.merge_elevations(once(equipment(spark, sf_dir), "name", category=T.classify_equipment(F.col("name"))))
 
 
 @query(f"""WITH e AS (SELECT *, {CLASS} AS category FROM {E}), p AS (SELECT project, elevation, category, name, plan_type, sum(count) AS count FROM e GROUP BY ALL), m AS (SELECT project, elevation, category, name, max(count) AS count FROM p GROUP BY ALL), h AS (SELECT project, {PLAIN} AS name, category, elevation, count FROM m)
@@ -418,7 +420,7 @@ e AS (SELECT project, sum(CASE WHEN {CLASS} IN ('luminaire', 'indicator', 'socke
 SELECT project, (ends * 2)::BIGINT AS connections, ceil(points / 3)::BIGINT AS junction_boxes, (n * 3)::BIGINT AS sleeves, (n * 2)::BIGINT AS heat_shrink, n::BIGINT AS penetrations, round_even(m * 0.9::DOUBLE, 0)::BIGINT AS conduit_m, ceil(round_even(m * 0.9::DOUBLE, 0) / 0.8::DOUBLE)::BIGINT AS holders FROM t JOIN e USING (project)""")
 def e18_derive_materials(spark, sf_dir):
     hits = counting.cable_hits(cable_texts(spark, sf_dir), ("project",)).select("project", F.col("type").alias("cable_type"), F.lit(1).alias("count"), F.col("length_m").alias("total_length_m"))
-    e = equipment(spark, sf_dir).withColumn("category", T.classify_equipment(F.col("name")))
+    e = once(equipment(spark, sf_dir), "name", category=T.classify_equipment(F.col("name")))
     return rollup.derive_materials(hits, e)
 
 
@@ -543,9 +545,9 @@ def _finished(stream) -> None:
 def s1_stream_bill(spark, sf_dir):
     import uuid
 
-    name = f"bill_{uuid.uuid4().hex}"
-    _finished(ingest.stream_bill(_events(spark, sf_dir), ["event_type"], "value", f"{shared_dir(spark)}/{name}", name))
-    return spark.table(name)
+    at = f"{shared_dir(spark)}/bill-{uuid.uuid4().hex}"
+    _finished(ingest.stream_bill(_events(spark, sf_dir), ["event_type"], "value", f"{at}/state", f"{at}/bill"))
+    return ingest.latest_bill(spark, f"{at}/bill")
 
 
 @query("SELECT DISTINCT user_id, event_type FROM events")

@@ -30,9 +30,20 @@ def stream_dedup(items: DataFrame, keys: list[str], time: str | None = None, wit
     return items.withWatermark(time, within).dropDuplicatesWithinWatermark(keys)
 
 
-def stream_bill(items: DataFrame, keys: list[str], quantity: str, checkpoint: str, name: str) -> StreamingQuery:
-    """The running bill as an in-memory table ``name``, complete at each trigger."""
-    return running_bill(items, keys, quantity).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def stream_bill(items: DataFrame, keys: list[str], quantity: str, checkpoint: str, out: str) -> StreamingQuery:
+    """The running bill below ``out``, a whole version at each trigger, written by the executors; a batch that is tried again overwrites its own."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/version={number}")
+
+    return running_bill(items, keys, quantity).writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latest_bill(spark: SparkSession, out: str) -> DataFrame:
+    """The last version of a running bill."""
+    versions = spark.read.parquet(out)
+    last = versions.agg(F.max("version").alias("version"))
+    return versions.join(F.broadcast(last), "version").drop("version")  # one row
 
 
 def progress_sink(items: DataFrame, stage: str, out: str, checkpoint: str, key: str = "file_id") -> StreamingQuery:
