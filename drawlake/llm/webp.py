@@ -26,10 +26,15 @@ MAX_SIDE = 1 << 14
 PLANE = sorted(((x, y) for y in range(8) for x in range(-7, 9) if y or x > 0), key=lambda p: (p[0] ** 2 + p[1] ** 2, abs(p[0]), p[0] < 0))
 
 FARTHEST = (1 << 20) - 128
-SIDE = PAD = 192
-CACHE_BITS = 8
-#: Pixels that a back-reference takes at least, in colour and where only green varies.
-MATCH, GREY_MATCH = 4, 5
+#: Bytes that a payload is a multiple of, and a row of SIDE pixels of three samples.
+PAD, SIDE = 192, 64
+CACHE_BITS = 6
+#: Bits of the longest prefix code that many images are written with: short tables read faster than the 15 the format allows.
+LONGEST = 11
+#: Texts that are written and read as one batch, and images and bytes that advance together.
+BATCH, GROUP, GROUP_BYTES = 2048, 1024, 1 << 21
+#: Pixels that a back-reference takes at least.
+MATCH = 4
 
 
 class Bits:
@@ -90,45 +95,57 @@ def _index(most: int) -> np.ndarray:
 
 
 @lru_cache(4096)
-def _code_of(used: tuple[int, ...]) -> Code:
-    """The code of one or two symbols."""
-    lengths = np.zeros(256, np.int64)
-    lengths[list(used)] = 1
-    return Code(lengths)
+def _code_of(lengths: bytes) -> Code:
+    """The code of these lengths, as 64-bit numbers."""
+    return Code(np.frombuffer(lengths, np.int64))
 
 
-def _read_code(bits: Bits, size: int) -> Code:
+def _read_lengths(bits: Bits, size: int) -> np.ndarray:
+    """The lengths of a prefix code's words."""
+    lengths = np.zeros(size, np.int64)
     if bits.take(1):
         n, wide = bits.take(1) + 1, bits.take(1)
-        used = [bits.take(8 if wide else 1)]
+        lengths[bits.take(8 if wide else 1)] = 1
         if n == 2:
-            used.append(bits.take(8))
-        return _code_of(tuple(sorted(set(used))))
-    lengths = np.zeros(size, np.int64)
-    own = np.zeros(19, np.int64)
-    for k in range(bits.take(4) + 4):
-        own[CODE_ORDER[k]] = bits.take(3)
+            lengths[bits.take(8)] = 1
+        return lengths
+    own, n = np.zeros(19, np.int64), bits.take(4) + 4
+    own[list(CODE_ORDER[:n])] = np.array([bits.take(3 * n)], object) >> np.arange(0, 3 * n, 3) & 7
     most = 2 + bits.take(2 + 2 * bits.take(3)) if bits.take(1) else size
-    code = Code(own)
+    code = _code_of(own.tobytes())
     table, mask = code.table, code.mask
-    at, before = 0, 8
-    while at < size and most:
+    found: list[int] = []
+    before, p = 8, bits.at
+    # no length with its extra bits takes more than 14 bits
+    w = int.from_bytes(bits.raw[p >> 3 : (p + 14 * size >> 3) + 2], "little") >> (p & 7)
+    while len(found) < size and most:
         most -= 1
-        e = table[int.from_bytes(bits.raw[bits.at >> 3 : (bits.at >> 3) + 4], "little") >> (bits.at & 7) & mask]
-        bits.at += e & 15
+        e = table[w & mask]
         s = e >> 4
+        n = e & 15
         if s < 16:
-            lengths[at] = s
-            at += 1
+            found.append(s)
             before = s or before
+        elif s == 17:
+            found += [0] * (3 + (w >> n & 7))
+            n += 3
+        elif s == 18:
+            found += [0] * (11 + (w >> n & 127))
+            n += 7
         else:
-            n = 3 + bits.take(2) if s == 16 else 3 + bits.take(3) if s == 17 else 11 + bits.take(7)
-            if at + n > size:
-                raise ValueError("a code's lengths run over")
-            if s == 16:
-                lengths[at : at + n] = before
-            at += n
-    return Code(lengths)
+            found += [before] * (3 + (w >> n & 3))
+            n += 2
+        w >>= n
+        p += n
+    if len(found) > size:
+        raise ValueError("a code's lengths run over")
+    bits.at = p
+    lengths[: len(found)] = found
+    return lengths
+
+
+def _read_code(bits: Bits, size: int) -> Code:
+    return Code(_read_lengths(bits, size))
 
 
 def _read_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
@@ -149,9 +166,6 @@ def _read_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     p, safe = bits.at - lo, len(win) - 640
     done = 0  # pixels that are in the cache
     push = out.append
-    # grey and palette images: only green takes bits
-    lone = groups_at is None and rm == bm == am == 0
-    rest = (red[0] >> 4) << 16 | blue[0] >> 4 | (alpha[0] >> 4) << 24
     count = 0
     while count < n:
         if p > safe:
@@ -166,10 +180,6 @@ def _read_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
         p += e & 15
         s = e >> 4
         if s < GREENS:
-            if lone:
-                push(s << 8 | rest)
-                count += 1
-                continue
             e = red[win[p] & rm]
             p += e & 15
             v = s << 8 | (e >> 4) << 16
@@ -325,8 +335,8 @@ def _predicted(c: np.ndarray, modes: np.ndarray, undo: bool) -> np.ndarray:
 # --- files ----------------------------------------------------------------------------------------------------
 
 
-def decode(raw: bytes) -> np.ndarray:
-    """The (height, width, 4) red, green, blue, alpha samples of a lossless WebP file."""
+def _opened(raw: bytes) -> tuple[Bits, int, int, list, int]:
+    """(stream at the main image, width, height, transforms, width of the main image) of a lossless WebP file."""
     if raw[:4] != b"RIFF" or raw[8:12] != b"WEBP":
         raise ValueError("not a WebP file")
     at = 12
@@ -353,10 +363,12 @@ def decode(raw: bytes) -> np.ndarray:
             size = 3 if n <= 2 else 2 if n <= 4 else 1 if n <= 16 else 0
             steps.append((kind, now, size, colours))
             now = -(-now >> size)
-    argb = _read_image(bits, now, height, True)
-    if [k for k, *_ in steps] == [GREEN] and not (argb & 0xFF00FF).any():
-        green = (argb >> 8 & 0xFF).astype(np.uint8).reshape(height, now)
-        return np.stack([green, green, green, (argb >> 24).astype(np.uint8).reshape(height, now)], axis=-1)
+    return bits, width, height, steps, now
+
+
+def _finished(head: tuple, argb: np.ndarray) -> np.ndarray:
+    """The samples of an image: its transforms undone, the last one first."""
+    _, _, height, steps, now = head
     c = _split(argb).reshape(height, now, 4)
     for kind, wide, size, data in reversed(steps):
         if kind == PREDICTOR:
@@ -375,6 +387,12 @@ def decode(raw: bytes) -> np.ndarray:
     return c[..., [1, 2, 3, 0]].astype(np.uint8)
 
 
+def decode(raw: bytes) -> np.ndarray:
+    """The (height, width, 4) red, green, blue, alpha samples of a lossless WebP file."""
+    head = _opened(raw)
+    return _finished(head, _read_image(head[0], head[4], head[2], True))
+
+
 def _blocks_of(data: np.ndarray, size: int, width: int, height: int) -> np.ndarray:
     return np.stack([_blocks(s, size, width, height) for s in _split(data).T], axis=-1)
 
@@ -561,13 +579,10 @@ def _write_image(out: Writer, px: np.ndarray, main: bool, cache_bits: int = 0) -
     out.put([1, cache_bits] if cache_bits else 0, [1, 4] if cache_bits else 1)
     if main:
         out.put(0, 1)
-    lone = bool((px & ~0xFF00 == px[0] & ~0xFF00).all())
-    found = (_matches(px >> 8 & 0xFF, GREY_MATCH) if lone else _matches(px, MATCH)) if main else []
+    found = _matches(px, MATCH) if main else []
     literal = np.ones(len(px), bool)
     for i, k, _ in found:
         literal[i : i + k] = False
-    if lone and main and not cache_bits:
-        return _write_grey(out, px, found, literal)
     at = np.flatnonzero(literal)
     hit = np.zeros(len(px), bool)
     if cache_bits:
@@ -606,28 +621,6 @@ def _cost(samples: np.ndarray) -> float:
     return total
 
 
-def _write_grey(out: Writer, px: np.ndarray, found: list[tuple[int, int, int]], literal: np.ndarray) -> None:
-    """The rest of an image in which only green varies: its tokens are literals of one sample and copies."""
-    first = int(px[0])
-    runs = np.array(found, np.int64).reshape(-1, 3)
-    literal[runs[:, 0]] = True  # a copy's first place stands for it
-    at = np.flatnonzero(literal)
-    symbol = (px >> 8 & 0xFF)[at]
-    copies = np.searchsorted(at, runs[:, 0])
-    long, more, n_more = _prefix(runs[:, 1])
-    far, beyond, n_beyond = _prefix(runs[:, 2] + len(PLANE))
-    symbol[copies] = long + GREENS
-    gw, gn = _write_code(out, np.bincount(symbol, minlength=GREENS + LENGTHS))
-    for shift in (16, 0, 24):
-        _write_code(out, np.bincount([first >> shift & 0xFF], minlength=256))
-    dw, dn = _write_code(out, np.bincount(far, minlength=DISTANCES))
-    # a copy's own bits follow its symbol
-    where = np.repeat(copies + 1, 3)
-    v = np.insert(gw[symbol], where, np.stack([more, dw[far], beyond], axis=1).reshape(-1))
-    n = np.insert(gn[symbol], where, np.stack([n_more, dn[far], n_beyond], axis=1).reshape(-1))
-    out.put(v, n)
-
-
 def encode(rgba: np.ndarray, force: tuple[str, ...] | None = None, modes: np.ndarray | None = None, block: int = 4) -> bytes:
     """A lossless WebP file of (height, width, 4) samples. ``force`` names the transforms to use instead of choosing:
     any of palette, predictor (with ``modes`` by block), cross, green."""
@@ -636,9 +629,6 @@ def encode(rgba: np.ndarray, force: tuple[str, ...] | None = None, modes: np.nda
     px = _packed(c).reshape(-1)
     out = Writer()
     out.put([0x2F, w - 1, h - 1, int((c[..., 0] != 255).any()), 0], [8, 14, 14, 1, 3])
-    grey = force is None and bool((c[..., 1] == c[..., 2]).all() and (c[..., 3] == c[..., 2]).all())
-    if grey and np.count_nonzero(np.bincount(c[..., 2].reshape(-1))) > 16:
-        force = ("green",)  # red and blue come to nothing
     colours, index = np.unique(px, return_inverse=True) if force is None or "palette" in force else (None, None)
     if (force is None and len(colours) <= 256 and 4 * len(colours) <= len(px)) or (force and "palette" in force):
         if len(colours) > 256:
@@ -686,40 +676,524 @@ def encode(rgba: np.ndarray, force: tuple[str, ...] | None = None, modes: np.nda
                 c[..., 3] = (c[..., 3] - c[..., 2]) & 0xFF
             px = _packed(c).reshape(-1)
     out.put(0, 1)
-    _write_image(out, px, True, CACHE_BITS if len(px) > 256 and not grey else 0)
+    _write_image(out, px, True, CACHE_BITS if len(px) > 256 else 0)
     body = b"VP8L" + len(stream := out.bytes()).to_bytes(4, "little") + stream + bytes(len(stream) & 1)
     return b"RIFF" + (4 + len(body)).to_bytes(4, "little") + b"WEBP" + body
 
 
-# --- texts as images ------------------------------------------------------------------------------------------
+# --- many images of one width at once -------------------------------------------------------------------------
+
+
+def _lengths_many(counts: np.ndarray, most: int) -> np.ndarray:
+    """Prefix code lengths for each row of ``counts``, at most ``most``: from the rounded-up information of each symbol, then
+    made complete by shortening the most frequent symbols that the room left over allows (or lengthening, where rare ones were cut)."""
+    used = counts > 0
+    total = counts.sum(axis=1, keepdims=True)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        info = np.ceil(np.log2(total / counts) - 1e-9)
+    first = np.clip(np.where(used, info, 0), used, most).astype(np.int64)
+    rows = len(counts)
+    n = np.zeros((rows, most + 1), np.int64)
+    np.add.at(n, (np.nonzero(used)[0], first[used]), 1)
+    n[:, 0] = 0
+    unit = 1 << (most - np.arange(most + 1))
+    room = (1 << most) - (n * unit).sum(axis=1)
+    room[used.sum(axis=1) < 2] = 0  # a lone symbol takes no bits
+    while (room < 0).any():
+        for k in range(most - 1, 0, -1):
+            m = np.minimum(n[:, k], np.where(room < 0, -(room // unit[k + 1]), 0))
+            n[:, k] -= m
+            n[:, k + 1] += m
+            room += m * unit[k + 1]
+    while (room > 0).any():
+        for k in range(2, most + 1):
+            m = np.minimum(n[:, k], np.maximum(room, 0) // unit[k])
+            n[:, k] -= m
+            n[:, k - 1] += m
+            room -= m * unit[k]
+    order = np.argsort(-counts, axis=1, kind="stable")
+    out = np.zeros(counts.shape, np.int64)
+    each = used.sum(axis=1)
+    ranked = np.repeat(np.tile(np.arange(most + 1), rows), n.reshape(-1))
+    at = np.repeat(np.arange(rows), each), np.arange(len(ranked)) - np.repeat(np.cumsum(each) - each, each)
+    out[at[0], order[at]] = ranked
+    return out
+
+
+def _words_many(lengths: np.ndarray) -> np.ndarray:
+    """Canonical words of each row's lengths, first bit lowest."""
+    rows, size = lengths.shape
+    order = np.argsort(np.where(lengths > 0, lengths, 99), axis=1, kind="stable")
+    n = np.take_along_axis(lengths, order, axis=1)
+    span = np.where(n > 0, 1 << (15 - n), 0)
+    full = (np.cumsum(span, axis=1) - span) >> (15 - n)
+    out = np.zeros((rows, size), np.int64)
+    np.put_along_axis(out, order, np.where(n > 0, _reversed(full, n), 0), axis=1)
+    return out
+
+
+class Section:
+    """A part of many streams: values of up to 64 bits with their sizes and the stream each belongs to, in order of streams."""
+
+    def __init__(self, doc: np.ndarray, value: np.ndarray, size: np.ndarray):
+        self.doc, self.value, self.size = doc, value.astype(np.uint64), size.astype(np.int64)
+
+
+def _joined_bits(sections: list[Section], n: int) -> list[bytes]:
+    """The streams of ``n`` images: each one's parts, section by section."""
+    bits = np.stack([np.bincount(s.doc, s.size, n).astype(np.int64) for s in sections])
+    words = -(-bits.sum(axis=0) // 64) + 1
+    base = (np.cumsum(words) - words) * 64
+    out = np.zeros(int(words.sum()), np.uint64)
+    begins = base + np.cumsum(bits, axis=0) - bits
+    for s, begin in zip(sections, begins):
+        if not len(s.doc):
+            continue
+        ends = np.cumsum(s.size)
+        heads = np.flatnonzero(np.diff(s.doc, prepend=-1))
+        within = ends - s.size
+        at = within - np.repeat(within[heads], np.diff(heads, append=len(s.doc))) + begin[s.doc]
+        word, shift = at >> 6, (at & 63).astype(np.uint64)
+        low = s.value << shift
+        high = np.where(shift > 0, s.value >> ((np.uint64(64) - shift) & np.uint64(63)), np.uint64(0))
+        starts = np.flatnonzero(np.diff(word, prepend=-1))
+        out[word[starts]] |= np.bitwise_or.reduceat(low, starts)
+        out[word[starts] + 1] |= np.bitwise_or.reduceat(high, starts)
+    raw = out.tobytes()
+    total = bits.sum(axis=0)
+    return [raw[b >> 3 : (b >> 3) + (t + 7 >> 3)] for b, t in zip(base.tolist(), total.tolist())]
+
+
+def _coded(counts: np.ndarray) -> tuple[Section, np.ndarray, np.ndarray]:
+    """(how each row's prefix code is written, its words, its bits) for rows of counts; a lone symbol takes no bits."""
+    rows, size = counts.shape
+    each = (counts > 0).sum(axis=1)
+    lengths = _lengths_many(counts, LONGEST)
+    words = _words_many(lengths)
+    bits = np.where(each[:, None] > 1, lengths, 0)
+    last = size - 1 - (counts[:, ::-1] > 0).argmax(axis=1)
+    simple = (each <= 2) & ((last < 256) | (each == 0))
+    first = (counts > 0).argmax(axis=1)
+    doc, value, width, place = [], [], [], []
+    at = np.flatnonzero(simple)
+    two = each[at] == 2
+    doc.append(at), value.append(1 | two << 1 | 1 << 2 | first[at] << 3 | np.where(two, last[at], 0) << 11), width.append(np.where(two, 19, 11)), place.append(np.zeros(len(at), np.int64))
+    at = np.flatnonzero(~simple)
+    if len(at):
+        # lengths in order, runs of three zeros and more by their two codes
+        flat = lengths[at].reshape(-1)
+        starts = np.flatnonzero((flat != 0) | (np.concatenate(([1], flat[:-1])) != 0) | (np.arange(len(flat)) % size == 0))
+        run = np.where(flat[starts] == 0, np.diff(starts, append=len(flat)), 1)
+        zero = flat[starts] == 0
+        whole = np.where(zero, run // 138, 0)
+        rest = np.where(zero, run % 138, 0)
+        # tokens of a run: full 138s, then what is left: one long or short run, or single zeros
+        left = np.where(~zero, 1, np.where(rest >= 3, 1, rest))
+        m = whole + left
+        of = np.repeat(np.arange(len(starts)), m)
+        k = np.arange(len(of)) - np.repeat(np.cumsum(m) - m, m)
+        big = k < whole[of]
+        r = rest[of]
+        symbol = np.where(big, 18, np.where(~zero[of], flat[starts][of], np.where(r >= 11, 18, np.where(r >= 3, 17, 0))))
+        extra = np.where(big, 127, np.where(zero[of] & (r >= 11), r - 11, np.where(zero[of] & (r >= 3), r - 3, 0)))
+        n_extra = np.where(symbol == 18, 7, np.where(symbol == 17, 3, 0))
+        row = starts[of] // size
+        tokens = np.bincount(row * 19 + symbol, minlength=19 * len(at)).reshape(-1, 19)
+        own = _lengths_many(tokens, 7)
+        own_words, own_bits = _words_many(own), np.where((tokens > 0).sum(axis=1)[:, None] > 1, own, 0)
+        listed = own[:, CODE_ORDER]
+        n = np.maximum(19 - (listed[:, ::-1] > 0).argmax(axis=1), 4)
+        packed = (listed << (3 * np.arange(19))).sum(axis=1)
+        doc += [at, at, at, at[row]]
+        value += [(n - 4) << 1, packed, np.zeros(len(at), np.int64), own_words[row, symbol] | extra << own_bits[row, symbol]]
+        width += [np.full(len(at), 5), 3 * n, np.ones(len(at), np.int64), own_bits[row, symbol] + n_extra]
+        place += [np.zeros(len(at), np.int64), np.ones(len(at), np.int64), np.full(len(at), 2), np.arange(len(row)) + 3]
+    doc, value, width, place = (np.concatenate(x) for x in (doc, value, width, place))
+    order = np.lexsort((place, doc))
+    return Section(doc[order], value[order], width[order]), words, bits
+
+
+def _bits_of(c: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
+    """Bits that each image's three samples take by their own frequencies."""
+    total = np.zeros(n)
+    for k in range(3):
+        counts = np.bincount(doc * 256 + c[:, k], minlength=256 * n).reshape(n, 256).astype(np.float64)
+        total += np.where(counts > 0, counts * np.log2(np.where(counts > 0, np.maximum(counts.sum(axis=1, keepdims=True), 1) / np.maximum(counts, 1), 1)), 0).sum(axis=1)
+    return total
+
+
+def encode_many(images: list[np.ndarray]) -> list[bytes]:
+    """Lossless WebP files of (height, width, 3) samples of one width. Of each image the cheapest of no transform,
+    subtract-green, cross-colour, and the predictors from the left and from above is written, with back-references and, where
+    it saves bits, a colour cache. Images of few colours take the palette."""
+    n, w = len(images), images[0].shape[1]
+    high = np.array([len(im) for im in images], np.int64)
+    rows = np.concatenate(images)
+    pixels_of = high * w
+    doc = np.repeat(np.arange(n), pixels_of)
+    top = np.repeat(False, len(rows))
+    top[np.cumsum(high) - high] = True
+    raw = rows.reshape(-1, 3)
+    # the transforms that are tried, each with its samples
+    left = rows.copy()
+    left[:, 1:] -= rows[:, :-1]
+    left[1:, 0] -= np.where(top[1:, None], 0, rows[:-1, 0]).astype(np.uint8)
+    above = rows.copy()
+    above[1:] -= np.where(top[1:, None, None], 0, rows[:-1]).astype(np.uint8)
+    above[top] = left[top]
+    green = raw.copy()
+    green[:, 0] -= raw[:, 1]
+    green[:, 2] -= raw[:, 1]
+    s = raw.astype(np.int8).astype(np.float64)
+    sums = [np.bincount(doc, v, n) for v in (s[:, 1], s[:, 0], s[:, 2], s[:, 1] * s[:, 1], s[:, 1] * s[:, 0], s[:, 1] * s[:, 2])]
+    spread = np.maximum(sums[3] - sums[0] ** 2 / pixels_of, 1)
+    slope = [np.clip(np.rint(32 * (sums[k] - sums[0] * sums[j] / pixels_of) / spread), -128, 127).astype(np.int64) for k, j in ((4, 1), (5, 2))]
+    crossed = raw.copy()
+    for k, m in zip((0, 2), slope):
+        crossed[:, k] -= (m[doc] * raw[:, 1].astype(np.int8) >> 5).astype(np.uint8)
+    tried = [raw, green, crossed, left.reshape(-1, 3), above.reshape(-1, 3)]
+    side = np.array([0, 3, 60, 60, 60])
+    costs = np.stack([_bits_of(c, doc, n) for c in tried]) + side[:, None]
+    best = costs.argmin(axis=0)
+    c = tried[0].copy()
+    for k in range(1, len(tried)):
+        if (best == k).any():
+            mask = (best == k)[doc]
+            c[mask] = tried[k][mask]
+    alpha = np.where(best >= 3, 0, 255)
+    px = (c[:, 0].astype(np.uint32) << 16) | (c[:, 1].astype(np.uint32) << 8) | c[:, 2] | (alpha[doc].astype(np.uint32) << 24)
+    begin = np.cumsum(pixels_of) - pixels_of
+    # runs that occurred before, by equal hashes of MATCH pixels inside an image
+    key = np.zeros(max(len(px) - MATCH + 1, 0), np.uint64)
+    for k in range(MATCH):
+        key = key * np.uint64(0x9E3779B97F4A7C15) + px[k : len(key) + k]
+    key += doc[: len(key)].astype(np.uint64) << np.uint64(40)
+    key[doc[: len(key)] != doc[MATCH - 1 :]] = np.arange(int((doc[: len(key)] != doc[MATCH - 1 :]).sum()), dtype=np.uint64) << np.uint64(1)
+    order = np.argsort(key, kind="stable")
+    same = key[order[1:]] == key[order[:-1]]
+    later, earlier = order[1:][same], order[:-1][same]
+    by = np.argsort(later)
+    found: list[tuple[int, int, int]] = []
+    text, end_of = px.tobytes(), np.cumsum(pixels_of)
+    at = 0
+    for i, j, stop in zip(later[by].tolist(), earlier[by].tolist(), end_of[doc[later[by]]].tolist()):
+        if i < at or i - j > FARTHEST:
+            continue
+        most, k = min(4096, stop - i), 0
+        while k + 16 <= most and text[4 * (i + k) : 4 * (i + k + 16)] == text[4 * (j + k) : 4 * (j + k + 16)]:
+            k += 16
+        while k < most and text[4 * (i + k) : 4 * (i + k + 1)] == text[4 * (j + k) : 4 * (j + k + 1)]:
+            k += 1
+        if k >= MATCH:
+            found.append((i, k, i - j))
+            at = i + k
+    runs = np.array(found, np.int64).reshape(-1, 3)
+    border = np.zeros(len(px) + 1, np.int64)
+    border[runs[:, 0]] += 1
+    np.add.at(border, runs[:, 0] + runs[:, 1], -1)
+    literal = np.cumsum(border[:-1]) == 0
+    slot = (px * np.uint32(CACHE_FACTOR) >> np.uint32(32 - CACHE_BITS)).astype(np.int64)
+    by = np.argsort((doc << CACHE_BITS | slot).astype(np.uint16) if n << CACHE_BITS <= 1 << 16 else doc << CACHE_BITS | slot, kind="stable")
+    hit = np.zeros(len(px), bool)
+    hit[by[1:]] = (px[by[1:]] == px[by[:-1]]) & (doc[by[1:]] == doc[by[:-1]])
+    hit &= literal
+    # the cache where it saves bits: counts of both forms
+    total = GREENS + LENGTHS + (1 << CACHE_BITS)
+    lit = np.flatnonzero(literal)
+
+    def plain_cost(keep):
+        g = np.where(keep[lit], GREENS + LENGTHS + slot[lit], c[lit, 1])
+        out = np.zeros(n)
+        for values, size, where in ((g, total, lit), (c[lit, 0][~keep[lit]], 256, lit[~keep[lit]]), (c[lit, 2][~keep[lit]], 256, lit[~keep[lit]])):
+            m = np.bincount(doc[where] * size + values, minlength=n * size).reshape(n, size).astype(np.float64)
+            out += np.where(m > 0, m * np.log2(np.maximum(m.sum(axis=1, keepdims=True), 1) / np.maximum(m, 1)), 0).sum(axis=1) + 4 * (m > 0).sum(axis=1)
+        return out
+
+    cached = plain_cost(hit) < plain_cost(np.zeros(len(px), bool))
+    hit &= cached[doc]
+    # codes: green with lengths and cache slots, red, blue, distances; alpha is one value
+    long, more, n_more = _prefix(runs[:, 1])
+    far, beyond, n_beyond = _prefix(runs[:, 2] + len(PLANE))
+    run_doc = doc[runs[:, 0]] if len(runs) else np.zeros(0, np.int64)
+    symbol = np.where(hit, GREENS + LENGTHS + slot, c[:, 1])[lit]
+    whole = lit[~hit[lit]]
+    size = np.where(cached, total, GREENS + LENGTHS)
+    greens = np.bincount(np.concatenate([doc[lit] * total + symbol, run_doc * total + long + GREENS]), minlength=n * total).reshape(n, total)
+    coded: list = [None, None]
+    for k, flag in enumerate((False, True)):
+        at = np.flatnonzero(cached == flag)
+        coded[k] = (at, *_coded(greens[at][:, : total if flag else GREENS + LENGTHS])) if len(at) else None
+    green_words, green_bits = np.zeros((n, total), np.int64), np.zeros((n, total), np.int64)
+    parts = []
+    for x in coded:
+        if x:
+            at, s, words, bits = x
+            green_words[at, : words.shape[1]], green_bits[at, : words.shape[1]] = words, bits
+            parts.append(Section(at[s.doc], s.value, s.size))
+    doc_c, value_c, size_c = (np.concatenate([getattr(p, f) for p in parts]) for f in ("doc", "value", "size"))
+    by = np.argsort(doc_c, kind="stable")
+    green_code = Section(doc_c[by], value_c[by], size_c[by])
+    reds, blues = (_coded(np.bincount(doc[whole] * 256 + c[whole, k], minlength=n * 256).reshape(n, 256)) for k in (0, 2))
+    fars = _coded(np.bincount(run_doc * DISTANCES + far, minlength=n * DISTANCES).reshape(n, DISTANCES))
+    # headers: sizes, transforms, cache, no groups
+    head = [(0x2F, 8), (w - 1, 14), (high - 1, 14), (0, 1), (0, 3)]
+    one = lambda v: 1 | 1 << 2 | v << 3  # noqa: E731 - a code of one symbol in 11 bits
+    lone = (lambda g, r, b, a: [(0, 1), (one(g), 11), (one(r), 11), (one(b), 11), (one(a), 11), (one(0), 11)])
+    kinds = {0: [], 1: [(1, 1), (GREEN, 2)], 2: [(1, 1), (CROSS, 2), (7, 3), *lone(slope[1] & 255, 0, slope[0] & 255, 255)], 3: [(1, 1), (PREDICTOR, 2), (7, 3), *lone(1, 0, 0, 255)], 4: [(1, 1), (PREDICTOR, 2), (7, 3), *lone(2, 0, 0, 255)]}
+    fields = [(np.broadcast_to(np.asarray(v), n), np.full(n, b)) for v, b in head]
+    for k, extra in kinds.items():
+        fields += [(np.broadcast_to(np.asarray(v), n), np.where(best == k, b, 0)) for v, b in extra]
+    fields += [(np.zeros(n, np.int64), np.ones(n, np.int64)), (np.where(cached, 1 | CACHE_BITS << 1, 0), np.where(cached, 5, 1)), (np.zeros(n, np.int64), np.ones(n, np.int64))]
+    value, bits = (np.stack([f[k] for f in fields], axis=1).reshape(-1) for k in (0, 1))
+    keep = bits > 0
+    header = Section(np.repeat(np.arange(n), len(fields))[keep], value[keep], bits[keep])
+    alphas = Section(np.arange(n), one(alpha), np.full(n, 11))
+    # tokens by place: a literal's three words in one, a cache slot's word, or a copy's length and distance
+    v, b = np.zeros(len(px), np.uint64), np.zeros(len(px), np.int64)
+    d = doc[lit]
+    v[lit], b[lit] = green_words[d, symbol].astype(np.uint64), green_bits[d, symbol]
+    for (_, words, sizes), k in ((reds, 0), (blues, 2)):
+        x = c[whole, k]
+        v[whole] |= words[doc[whole], x].astype(np.uint64) << b[whole].astype(np.uint64)
+        b[whole] += sizes[doc[whole], x]
+    if len(runs):
+        at = runs[:, 0]
+        value, bits = green_words[run_doc, long + GREENS].astype(np.uint64), green_bits[run_doc, long + GREENS]
+        for x, k in ((more, n_more), (fars[1][run_doc, far], fars[2][run_doc, far]), (beyond, n_beyond)):
+            value = value | x.astype(np.uint64) << bits.astype(np.uint64)
+            bits = bits + k
+        v[at], b[at] = value, bits
+    keep = literal.copy()
+    keep[runs[:, 0]] = True
+    tokens = Section(doc[keep], v[keep], b[keep])
+    out = []
+    for stream in _joined_bits([header, green_code, reds[0], blues[0], alphas, fars[0], tokens], n):
+        body = b"VP8L" + len(stream).to_bytes(4, "little") + stream + bytes(len(stream) & 1)
+        out.append(b"RIFF" + (4 + len(body)).to_bytes(4, "little") + b"WEBP" + body)
+    # few colours: the palette, if it comes out smaller
+    change = np.concatenate(([True], (px[1:] != px[:-1]) | (doc[1:] != doc[:-1])))
+    colours = np.bincount(doc[change][np.unique(doc[change].astype(np.uint64) << np.uint64(32) | px[change], return_index=True)[1]], minlength=n)
+    for k in np.flatnonzero((colours <= 256) & (4 * colours <= pixels_of)).tolist():
+        other = encode(np.concatenate([images[k], np.full((*images[k].shape[:2], 1), 255, np.uint8)], axis=2))
+        out[k] = min(out[k], other, key=len)
+    return out
+
 
+def _tables(lengths: list[np.ndarray]) -> np.ndarray:
+    """Tables (symbol * 16 + bits) of many codes, a row each, over words of the longest code's length."""
+    rows = np.repeat(np.arange(len(lengths)), [len(x) for x in lengths])
+    flat = np.concatenate(lengths).astype(np.int64)
+    symbol = np.arange(len(flat)) - np.repeat(np.cumsum([0] + [len(x) for x in lengths[:-1]]), [len(x) for x in lengths])
+    used = flat > 0
+    rows, flat, symbol = rows[used], flat[used], symbol[used]
+    each = np.bincount(rows, minlength=len(lengths))
+    if (each == 0).any():
+        missing = np.flatnonzero(each == 0)  # a code without symbols reads as symbol 0
+        rows, flat, symbol = np.concatenate([rows, missing]), np.concatenate([flat, np.ones_like(missing)]), np.concatenate([symbol, np.zeros_like(missing)])
+        each = np.bincount(rows, minlength=len(lengths))
+    lone = each[rows] == 1
+    order = np.lexsort((symbol, flat, rows))
+    rows, flat, symbol, lone = rows[order], flat[order], symbol[order], lone[order]
+    wide = int(flat[~lone].max(initial=1))
+    spans = np.where(lone, 1 << wide, 1 << (wide - np.minimum(flat, wide)))
+    if (np.bincount(rows, spans, len(lengths)) != 1 << wide).any():
+        raise ValueError("an incomplete prefix code")
+    table = np.repeat((symbol << 4 | np.where(lone, 0, flat)).astype(np.int16 if symbol.max() < 2048 else np.int32), spans).reshape(len(lengths), 1 << wide)
+    return np.ascontiguousarray(table[:, _index(wide)])
+
+
+def decode_many(files: list[bytes]) -> list[np.ndarray]:
+    """The samples of many files, whose code tables are laid out together. Files with grouped codes or varying alpha are read pixel by pixel."""
+    out: list = [None] * len(files)
+    heads = []
+    for k, raw in enumerate(files):
+        head = _opened(raw)
+        bits, _, height, _, now = head
+        mark = bits.at
+        cache_bits = bits.take(4) if bits.take(1) else 0
+        codes = [] if bits.take(1) else [_read_lengths(bits, s) for s in (GREENS + LENGTHS + ((1 << cache_bits) if cache_bits else 0), 256, 256, 256, DISTANCES)]
+        if not codes or np.count_nonzero(codes[3]) > 1:
+            bits.at = mark
+            out[k] = _finished(head, _read_image(bits, now, height, True))
+        else:
+            heads.append((k, head, cache_bits, codes))
+    if heads:
+        tables = [_tables([h[3][k] for h in heads]) for k in (0, 1, 2, 4)]
+        for j, (k, head, cache_bits, codes) in enumerate(heads):
+            s, first, second = _symbols(head, *(t[j] for t in tables))
+            out[k] = _finished(head, _expanded(s, first, second, int(codes[3].argmax()) << 24, cache_bits))
+    return out
 
-def stored_text(text: str | None) -> tuple[int, bytes]:
-    """(bytes of the text, its media): UTF-8, blanks up to a positive multiple of PAD, as rows of SIDE grey pixels, a byte
-    each; a text of more rows than an image may have takes several files, one after the other."""
-    raw = (text or "").encode("utf-8", "surrogatepass")
-    payload = raw + b" " * (-len(raw) % PAD if raw else PAD)
-    rows = np.frombuffer(payload, np.uint8).reshape(-1, SIDE)
-    files = []
-    for at in range(0, len(rows), MAX_SIDE):
-        part = np.repeat(rows[at : at + MAX_SIDE, :, None], 4, axis=2)
-        part[..., 3] = 255
-        files.append(encode(part))
-    return len(raw), b"".join(files)
 
+def _symbols(head: tuple, green: np.ndarray, red: np.ndarray, blue: np.ndarray, dist: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An image's symbols in order, with (red, blue) of literals and (length, distance) of copies.
 
-def pixels(media: bytes) -> np.ndarray:
-    """The (rows, SIDE) samples of one or more files in a row."""
-    parts, at = [], 0
-    while at < len(media):
-        size = 8 + int.from_bytes(media[at + 4 : at + 8], "little")
-        parts.append(decode(media[at : at + size])[..., 1])
-        at += size
-    return np.concatenate(parts)
+    What each bit position would read as, and where it would go on, is looked up for all positions at once; then the
+    positions that the stream does go through are followed, sixteen at a step.
+    """
+    bits, _, height, _, width = head
+    goal = width * height
+    start = bits.at >> 3
+    raw = np.frombuffer(bits.raw, np.uint8)[start : (bits.size >> 3) + 64].astype(np.uint32)
+    wide = raw[:-3] | raw[1:-2] << np.uint32(8) | raw[2:-1] << np.uint32(16) | raw[3:] << np.uint32(24)
+    win = (wide[:, None] >> np.arange(8, dtype=np.uint32)).astype(np.uint16).reshape(-1)
+    # what lies further than any pixel reaches is behind the end
+    last = len(win) - 64
+    here = np.arange(last, dtype=np.int32)
+    g, r, b = (np.take(t, win & np.uint16(len(t) - 1)) for t in (green, red, blue))
+    g = g[:last]
+    s = g >> 4
+    p1 = here + (g & 15)
+    red_at = np.take(r, p1)
+    p2 = p1 + (red_at & 15)
+    blue_at = np.take(b, p2)
+    then = np.where(s < GREENS, p2 + (blue_at & 15), p1)
+    first, second = red_at >> 4, blue_at >> 4
+    copies = np.flatnonzero((s >= GREENS) & (s < GREENS + LENGTHS))
+    if len(copies):
+        first, second = first.astype(np.int32), second.astype(np.int32)
+
+        def number(code, at):
+            extra = np.where(code < 4, 0, code - 2 >> 1)
+            more = wide[at >> 3].astype(np.int64) >> (at & 7) & ((1 << extra) - 1)
+            return np.where(code < 4, code + 1, ((2 + (code & 1)) << extra) + more + 1), np.minimum(at + extra, last)
+
+        length, q = number(s[copies].astype(np.int64) - GREENS, p1[copies])
+        d = dist[win[q] & np.uint16(len(dist) - 1)].astype(np.int64)
+        back, q = number(d >> 4, np.minimum(q + (d & 15), last))
+        near = back <= len(PLANE)
+        x, y = _PLANE[np.minimum(back, len(PLANE)) - 1].T
+        first[copies], second[copies] = np.minimum(length, 1 << 24), np.where(near, np.maximum(1, x + y * width), back - len(PLANE))
+        then[copies] = q
+    last -= 1
+    then = np.minimum(then, last)
+    jumps = [then]
+    for _ in range(4):
+        jumps.append(jumps[-1][jumps[-1]])
+    far, at, path = memoryview(jumps[4]), bits.at - 8 * start, []
+    while at < last and len(path) * 16 < goal:
+        path.append(at)
+        at = far[at]
+    where = np.array(path, np.int32)
+    for k in (3, 2, 1, 0):
+        where = np.stack([where, jumps[k][where]], axis=1).reshape(-1)
+    took = np.where((s[where] >= GREENS) & (s[where] < GREENS + LENGTHS), first[where], 1).astype(np.int64)
+    total = np.cumsum(took)
+    n = int(np.searchsorted(total, goal)) + 1
+    if n > len(where) or total[n - 1] != goal or int(then[where[n - 1]]) > bits.size - 8 * start:
+        raise ValueError("the stream ends early or leaves the image")
+    where = where[:n]
+    return s[where].astype(np.int64), first[where].astype(np.int64), second[where].astype(np.int64)
+
+
+_PLANE = np.array(PLANE, np.int64)
+
+
+def _expanded(s: np.ndarray, first: np.ndarray, second: np.ndarray, alpha: int, cache_bits: int) -> np.ndarray:
+    """An image's pixels from its symbols: literals are (green, red, blue), copies (code, length, distance), others cache slots.
+
+    Each pixel that isn't literal points to an earlier one that it equals: a copy's to where it was copied from, a cache
+    slot's to the last one before it of that slot. Pointers are followed by doubling.
+    """
+    px = alpha | first << 16 | s << 8 | second
+    if (s < GREENS).all():
+        return px
+    copy = (s >= GREENS) & (s < GREENS + LENGTHS)
+    n = np.where(copy, first, 1)
+    begin = np.cumsum(n) - n
+    token = np.repeat(np.arange(len(s)), n)
+    here = np.arange(len(token))
+    copied, stored = copy[token], s[token] >= GREENS + LENGTHS
+    source = np.where(copied, here - second[token], here)
+    if (source < 0).any():
+        raise ValueError("a back-reference leaves the image")
+    px = px[token]
+    if stored.any():
+        # a copy's slot is its source's, a slot's is known, a literal's is its hash
+        slot = np.where(stored, s[token] - GREENS - LENGTHS, (px * CACHE_FACTOR & 0xFFFFFFFF) >> (32 - cache_bits))
+        slot = slot[_followed(source)]
+        order = np.argsort(slot.astype(np.uint16), kind="stable")
+        place = np.maximum.accumulate(np.where(np.diff(slot[order], prepend=-1) != 0, np.arange(len(order)), 0))
+        before = np.where(np.arange(len(order)) > place, np.roll(order, 1), -1)
+        previous = np.empty(len(order), np.int64)
+        previous[order] = before
+        source = np.where(stored, previous, source)
+        if (source < 0).any():
+            empty = np.flatnonzero(source < 0)  # a slot that nothing was put in yet holds 0
+            px[empty], source[empty] = 0, empty
+    return px[_followed(source)]
+
+
+def _followed(source: np.ndarray) -> np.ndarray:
+    while True:
+        further = source[source]
+        if (further == source).all():
+            return source
+        source = further
+
+
+# --- texts as images ------------------------------------------------------------------------------------------
+
+
+def stored_texts(texts: list[str | None]) -> list[tuple[int, bytes]]:
+    """(bytes of the text, its media) of each text: UTF-8, blanks up to a positive multiple of PAD, as rows of SIDE pixels, a
+    byte a sample; a text of more rows than an image may have takes several files, one after the other."""
+    sizes, parts, owner = [], [], []
+    for k, text in enumerate(texts):
+        raw = (text or "").encode("utf-8", "surrogatepass")
+        sizes.append(len(raw))
+        rows = np.frombuffer(raw + b" " * (-len(raw) % PAD if raw else PAD), np.uint8).reshape(-1, SIDE, 3)
+        for at in range(0, len(rows), MAX_SIDE):
+            parts.append(rows[at : at + MAX_SIDE])
+            owner.append(k)
+    files: list[list[bytes]] = [[] for _ in texts]
+    made = [b""] * len(parts)
+    for group in _groups_by_size([len(p) * PAD for p in parts]):
+        for k, f in zip(group, encode_many([parts[k] for k in group])):
+            made[k] = f
+    for k, f in zip(owner, made):
+        files[k].append(f)
+    return [(n, b"".join(f)) for n, f in zip(sizes, files)]
+
+
+def _groups_by_size(sizes: list[int]) -> list[list[int]]:
+    """Places in order of size, in groups of GROUP and GROUP_BYTES at most (one at least), so that a group's streams end at about one step."""
+    groups: list[list[int]] = []
+    total = 0
+    for k in sorted(range(len(sizes)), key=sizes.__getitem__):
+        if not groups or len(groups[-1]) >= GROUP or total + sizes[k] > GROUP_BYTES:
+            groups.append([])
+            total = 0
+        groups[-1].append(k)
+        total += sizes[k]
+    return groups
+
+
+def payloads(media: list[bytes]) -> list[np.ndarray]:
+    """The (rows, SIDE, 3) samples of each of ``media``, one or more files in a row."""
+    files, owner = [], []
+    for k, m in enumerate(media):
+        at = 0
+        while at < len(m):
+            size = 8 + int.from_bytes(m[at + 4 : at + 8], "little")
+            files.append(m[at : at + size])
+            owner.append(k)
+            at += size
+    read: list = [None] * len(files)
+    # the picture's size is in the header's bits 8 to 36
+    rows = [(int.from_bytes(f[21:25], "little") >> 14 & 0x3FFF) + 1 for f in files]
+    for group in _groups_by_size([r * PAD for r in rows]):
+        for k, c in zip(group, decode_many([files[k] for k in group])):
+            read[k] = c[..., :3]
+    out: list[list[np.ndarray]] = [[] for _ in media]
+    for k, c in zip(owner, read):
+        out[k].append(c)
+    return [np.concatenate(c) for c in out]
 
 
 def feature(samples: np.ndarray) -> str:
-    """Rows, the mean sample in thousandths, distinct samples, and how many equal their left neighbour."""
+    """Rows, the mean sample in thousandths, distinct samples, and how many equal the sample before in their row."""
+    samples = samples.reshape(len(samples), -1)
     same = int((samples[:, 1:] == samples[:, :-1]).sum())
     kinds = int(np.count_nonzero(np.bincount(samples.reshape(-1), minlength=256)))
     return f"rows={samples.shape[0]};mean={int(samples.sum(dtype=np.int64)) * 1000 // samples.size};kinds={kinds};same={same}"
@@ -733,20 +1207,19 @@ def _digests(batches):
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
     known: dict[bytes, tuple] = {}  # equal texts of a task, by digest
     for b in batches:
-        rows = []
-        for text in b.column("text"):
-            text = text.as_py() or ""
-            key = hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
-            if key not in known:
-                n, media = stored_text(text)
-                samples = pixels(media)
+        for at in range(0, b.num_rows, BATCH):
+            part = b.slice(at, BATCH)
+            texts = [t.as_py() or "" for t in part.column("text")]
+            keys = [hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).digest() for t in texts]
+            if len(known) > 50_000:
+                known.clear()
+            new = {k: t for k, t in zip(keys, texts) if k not in known}
+            stored = stored_texts(list(new.values()))
+            for k, (n, media), samples in zip(new, stored, payloads([m for _, m in stored])):
                 back = samples.tobytes()
-                if len(known) > 20_000:
-                    known.clear()
-                known[key] = (n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature(samples))
-            rows.append(known[key])
-        cols = list(zip(*rows)) if rows else [[]] * len(names)
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=["doc_id", *names])
+                known[k] = (n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature(samples))
+            cols = list(zip(*(known[k] for k in keys)))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=["doc_id", *names])
 
 
 def text_media(docs: DataFrame) -> DataFrame:

@@ -525,11 +525,53 @@ def test_webp_round_trips():
             assert (webp.decode(webp.encode(im, force, modes, b)) == im).all()
 
 
-def test_text_round_trips(spark):
-    for t in ("", "a", "x" * 192, "y" * 193, "abc " * 2000, " ".join(words(1, 3000))):
-        n, media = webp.stored_text(t)
-        back = webp.pixels(media).tobytes()
-        assert back[:n] == t.encode() and len(back) % 192 == 0 and len(back) > 0 and set(back[n:]) <= {32}
-    files = spark.createDataFrame([(1, bytearray(webp.stored_text("abc")[1])), (2, bytearray(b"junk")), (3, None)], "id int, content binary")
+def test_many_images_at_once():
+    """The batch writer and reader against the single reader, over images that take each of the transforms."""
+    rng = np.random.default_rng(5)
+    smooth = np.cumsum(rng.integers(-2, 3, (40, 64, 3)), axis=1).astype(np.uint8)
+    green = rng.integers(0, 256, (30, 64, 1))
+    linked = np.concatenate([green + rng.integers(0, 3, green.shape), green, green], axis=2).astype(np.uint8)
+    signed = green.astype(np.int8).astype(np.int64)
+    half = np.concatenate([signed * 24 >> 5, green, signed * 16 >> 5], axis=2).astype(np.uint8)
+    prose = np.frombuffer((" ".join(words(3, 2000)).encode() + bytes(192))[: 64 * 3 * 30], np.uint8).reshape(-1, 64, 3)
+    images = [smooth, linked, half, prose, np.repeat(rng.integers(0, 256, (1, 64, 3)), 50, axis=0).astype(np.uint8), np.zeros((1, 64, 3), np.uint8), rng.integers(0, 256, (3, 64, 3)).astype(np.uint8), np.concatenate([prose, prose])]
+    images += [rng.integers(97, 97 + k, (int(rng.integers(1, 60)), 64, 3)).astype(np.uint8) for k in (1, 2, 3, 20, 90, 158)]
+    files = webp.encode_many(images)
+    steps = [tuple(x[0] for x in webp._opened(f)[3]) for f in files]
+    assert {(webp.PREDICTOR,), (webp.GREEN,), (webp.CROSS,), (webp.PALETTE,), ()} <= set(steps)
+    for im, one, many in zip(images, map(webp.decode, files), webp.decode_many(files)):
+        assert (one[..., :3] == im).all() and (one[..., 3] == 255).all() and (many == one).all()
+    # files of the other writer, with grouped transforms, alpha and a cache, by the batch reader
+    others = [rng.integers(0, 256, (n, 4))[rng.integers(0, n, (9, 17))].astype(np.uint8) for n in (1, 3, 200)]
+    for im, got in zip(others, webp.decode_many([webp.encode(im, ("predictor", "cross", "green"), rng.integers(0, 14, (3, 5)), 2) for im in others])):
+        assert (got == im).all()
+    for cut in (5, 30, len(files[3]) // 2):
+        with pytest.raises((ValueError, IndexError)):
+            webp.decode_many([files[3][:-cut]])
+
+
+def test_a_file_of_another_writer():
+    # a picture of one pixel that browsers are tried with
+    one = webp.decode(base64.b64decode("UklGRh4AAABXRUJQVlA4TBEAAAAvAAAAAAfQ//73v/+BiOh/AAA="))
+    assert one.shape == (1, 1, 4)
+
+
+def test_text_media_by_brute_force(spark):
+    texts = ["", "a", "x" * 192, "y" * 193, "abc " * 2000, " ".join(words(1, 3000)), "é😀 " * 300, None, "a", "".join(chr(k) for k in range(1, 500)), " ".join(words(2, 60_000, 10**6))]
+    rows = {r["doc_id"]: r for r in webp.text_media(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)).collect()}
+    for k, t in enumerate(texts):
+        raw = (t or "").encode()
+        payload = raw + b" " * (192 - len(raw) % 192 if len(raw) % 192 or not raw else 0)
+        r = rows[k]
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
+        lines = [payload[i : i + 192] for i in range(0, len(payload), 192)]
+        assert r["feature"] == f"rows={len(lines)};mean={sum(payload) * 1000 // len(payload)};kinds={len(set(payload))};same={sum(a == b for x in lines for a, b in zip(x, x[1:]))}"
+        ((n, media),) = webp.stored_texts([t])
+        assert webp.decode(media)[..., :3].tobytes() == payload and n == len(raw)
+    assert rows[1]["media_sha256"] == rows[8]["media_sha256"] and rows[0]["media_sha256"] == rows[7]["media_sha256"]
+
+
+def test_pixel_arrays(spark):
+    files = spark.createDataFrame([(1, bytearray(webp.stored_texts(["abc"])[0][1])), (2, bytearray(b"junk")), (3, None)], "id int, content binary")
     got = {r["id"]: r for r in webp.pixel_arrays(files).collect()}
-    assert got[1]["width"] == 192 and bytes(got[1]["pixels"])[:12:4] == b"abc" and got[2]["error"] and got[3]["pixels"] is None
+    assert got[1]["width"] == 64 and bytes(got[1]["pixels"])[:4] == b"abc\xff" and got[2]["error"] and got[3]["pixels"] is None
