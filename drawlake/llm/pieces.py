@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +29,8 @@ SPACE = "▁"
 LONG = 48
 #: Cells (words times places) that one batch holds.
 CELLS = 1 << 16
-#: Encoded words that a task remembers.
-KNOWN = 120_000
+#: Encoded words of a generation: a worker remembers two, each word as the bytes of its ids, some 200 bytes in all.
+KNOWN = 250_000
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _FILTER, _PAIRS = 20, 20
 _NEVER = np.int64(1 << 40)
@@ -76,20 +77,28 @@ class Coder:
                     h = h * _BASE + (c + np.uint64(1))
             self.hash[i] = h
             self.length[i] = len(v.pieces[i])
-        order = np.argsort(self.hash[plain], kind="stable")
+        spread = self.hash[plain] * _BASE  # a short piece's hash has few bits
+        order = np.argsort(spread, kind="stable")
         self.ids = np.array(plain, np.int64)[order]
-        self.keys = self.hash[self.ids]
-        self.maybe = np.zeros(1 << _FILTER, bool)  # a look here spares most searches
-        self.maybe[self.keys >> np.uint64(64 - _FILTER)] = True
+        self.keys = spread[order]
+        # the keys lie in order, so their first bits tell where to look: how many have them, and the place of the first
+        bucket = (self.keys >> np.uint64(64 - _FILTER)).astype(np.int64)
+        self.held = np.bincount(bucket, minlength=1 << _FILTER).astype(np.int8)
+        self.first = (np.cumsum(self.held, dtype=np.int64) - self.held).astype(np.int32)
+        self.most = int(self.held.max(initial=0))
         self.pair_key, self.pair_ok = np.full(1 << _PAIRS, -1, np.int64), np.zeros(1 << _PAIRS, bool)
         self.score = np.append(np.array(v.scores), 0.0)
         self.byte = {int(v.pieces[i][3:5], 16): i for i, k in enumerate(v.kinds) if k == 1}
         self.by_text = {v.pieces[i]: i for i in plain}
         self.unknown_score = min((v.scores[i] for i in plain), default=0.0) - 10.0
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         self.raw = [bytes([int(p[3:5], 16)]) if k == 1 else b"" if k == 2 else p.replace(SPACE, " ").encode("utf-8", "surrogatepass") for p, k in zip(v.pieces, v.kinds)]
         if v.unknown >= 0:
             self.raw[v.unknown] = " ⁇ ".encode()
+        self.raw_size = np.array([len(r) for r in self.raw], np.int64)
+        self.raw_start = np.cumsum(self.raw_size) - self.raw_size
+        self.raw_bytes = np.frombuffer(b"".join(self.raw), np.uint8)
         if not v.unigram:
             self._histories()
 
@@ -121,10 +130,14 @@ class Coder:
     def probe(self, h: np.ndarray) -> np.ndarray:
         """Ids of the pieces with these hashes, -1 for none."""
         out = np.full(h.shape, -1, np.int64)
-        at = np.nonzero(self.maybe[h >> np.uint64(64 - _FILTER)])
-        some = h[at]
-        k = np.minimum(np.searchsorted(self.keys, some), len(self.keys) - 1)
-        out[at] = np.where(self.keys[k] == some, self.ids[k], -1)
+        h = h * _BASE
+        bucket = h >> np.uint64(64 - _FILTER)
+        held = self.held[bucket]
+        for k in range(self.most):
+            at = np.nonzero(held > k)
+            i = self.first[bucket[at]] + k
+            same = self.keys[i] == h[at]
+            out[tuple(x[same] for x in at)] = self.ids[i[same]]
         return out
 
     def stay(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -174,7 +187,7 @@ class Coder:
         out[0, :, 1:][out[0, :, 1:] < 0] = self.size
         return out
 
-    def _words(self, words: list[str]) -> list[list[int]]:
+    def _words(self, words: list[str]) -> list[bytes]:
         """Ids of words of one length, one position of all of them at a time."""
         n, size = len(words), len(words[0])
         codes = _codes("".join(words)).reshape(n, size)
@@ -217,14 +230,14 @@ class Coder:
             path[:, size - step] = np.where(at > 0, last[rows, at], -1)
             at = at - np.where(at > 0, back[rows, at], 0)
         path = path[:, size - step :]
-        skip = (path < 0).argmin(axis=1).tolist()
         # a path shorter than others has its blanks on the left
-        out = [p[k:] for p, k in zip(path.tolist(), skip)]
+        skip, flat = (4 * ((path < 0).argmin(axis=1) + step * rows)).tolist(), path.astype(np.int32).tobytes()
+        out = [flat[a:b] for a, b in zip(skip, range(4 * step, 4 * step * n + 1, 4 * step))]
         for w in np.flatnonzero((path == self.size).any(axis=1)).tolist():
-            out[w] = self._bytes(out[w], words[w])
+            out[w] = self._bytes([i for i in path[w].tolist() if i >= 0], words[w])
         return out
 
-    def _long(self, word: str) -> list[int]:
+    def _long(self, word: str) -> bytes:
         """A long word's ids: all probes at once, then one place after the other."""
         size, codes = len(word), _codes(word)
         back, last, best = [0] * (size + 1), [-1] * (size + 1), [-np.inf] * (size + 1)
@@ -258,10 +271,8 @@ class Coder:
             e -= back[e]
         return self._bytes(ids[::-1], word)
 
-    def _bytes(self, ids: list[int], word: str) -> list[int]:
-        """Characters that no piece holds become their bytes (the unknown id where the model has none)."""
-        if self.size not in ids:
-            return ids
+    def _bytes(self, ids: list[int], word: str) -> bytes:
+        """The ids as 32-bit numbers; characters that no piece holds become their bytes (the unknown id where the model has none)."""
         out, at = [], 0
         for i in ids:
             if i == self.size:
@@ -271,15 +282,18 @@ class Coder:
             else:
                 out.append(i)
                 at += len(self.v.pieces[i])
-        return out
+        return np.array(out, np.int32).tobytes()
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(the ids of all texts in a row, where each text's end)."""
         cut = [_WORD.findall(f"{SPACE}{t.replace(' ', SPACE)}") if t else [] for t in texts]
         if len(self.known) > KNOWN:
-            self.known.clear()
+            self.before, self.known = self.known, {}
         new: dict[int, list[str]] = {}
-        for w in {w for words in cut for w in words}:
-            if w not in self.known:
+        for w in set(chain.from_iterable(cut)) - self.known.keys():
+            if (ids := self.before.get(w)) is not None:
+                self.known[w] = ids
+            else:
                 new.setdefault(len(w), []).append(w)
         for size, words in new.items():
             if size > LONG:
@@ -288,11 +302,24 @@ class Coder:
             step = max(1, CELLS // size)
             for at in range(0, len(words), step):
                 self.known.update(zip(words[at : at + step], self._words(words[at : at + step])))
-        return [[i for ids in map(self.known.__getitem__, words) for i in ids] for words in cut]
+        parts = [b"".join(map(self.known.__getitem__, words)) for words in cut]
+        return np.frombuffer(b"".join(parts), np.int32), np.cumsum([len(p) // 4 for p in parts], dtype=np.int64)
+
+    def decode_all(self, ids: np.ndarray, ends: np.ndarray) -> list[str]:
+        """The text of each run of ids."""
+        size = self.raw_size[ids]
+        upto = np.cumsum(size)
+        at = np.repeat(self.raw_start[ids] - (upto - size), size) + np.arange(int(upto[-1]) if len(ids) else 0)
+        raw, cuts = self.raw_bytes[at].tobytes(), np.concatenate(([0], upto))[np.concatenate(([0], ends))].tolist()
+        texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(cuts, cuts[1:])]
+        return [t[1:] if t.startswith(" ") else t for t in texts]
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        ids, ends = self.encode_all(texts)
+        return [part.tolist() for part in np.split(ids, ends[:-1])] if texts else []
 
     def decode(self, ids: list[int]) -> str:
-        text = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")
-        return text[1:] if text.startswith(" ") else text
+        return self.decode_all(np.array(ids, np.int64), np.array([len(ids)]))[0]
 
 
 _CODERS: dict[int, Coder] = {}
@@ -325,9 +352,10 @@ def encoded(docs: DataFrame, model_file: str = MODEL_FILE, text_col: str = "text
             for at in range(0, b.num_rows, 1024):
                 part = b.slice(at, 1024)
                 texts = [t or "" for t in part.column(held).to_pylist()]
-                ids = coder.encode(texts)
-                same = [coder.decode(i) == t.replace(SPACE, " ") for i, t in zip(ids, texts)]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(ids, pa.list_(pa.int32())), pa.array([len(i) for i in ids], pa.int64()), pa.array(same)], names=[*names, "ids", "n_tokens", "round_trip"])
+                ids, ends = coder.encode_all(texts)
+                same = [a == t.replace(SPACE, " ") for a, t in zip(coder.decode_all(ids, ends), texts)]
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(ids))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), lists, pa.array(np.diff(ends, prepend=0)), pa.array(same, pa.bool_())], names=[*names, "ids", "n_tokens", "round_trip"])
 
     rows = docs.select(*(F.col(f"`{c}`") for c in names), F.col(f"`{text_col}`").cast("string").alias(held))
     fields = [docs.schema[c] for c in names]
