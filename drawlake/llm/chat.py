@@ -80,5 +80,5 @@ c AS (SELECT conv_id, count(*) AS n_turns,
   FROM t GROUP BY conv_id),
 u AS (SELECT min(conv_id) AS conv_id, count(*) AS n_snapshots, key, min(n_turns) AS n_turns, min(rendered) AS rendered FROM c GROUP BY key),
 p AS (SELECT DISTINCT string_agg(chr(30) || coalesce(a.role, chr(29)) || chr(31) || coalesce(a.text, chr(29)) || chr(28), '' ORDER BY a.turn, a.role, a.text) AS key
-  FROM (SELECT b.*, k FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS r, count(*) OVER (PARTITION BY conv_id) AS n FROM t) b, generate_series(1, 1000) g(k) WHERE k < n AND r <= k) a GROUP BY conv_id, k)
+  FROM (SELECT *, unnest(generate_series(r, n - 1)) AS k FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS r, count(*) OVER (PARTITION BY conv_id) AS n FROM t)) a GROUP BY conv_id, k)
 SELECT conv_id, n_turns, n_snapshots, rendered FROM u WHERE key NOT IN (SELECT key FROM p)"""

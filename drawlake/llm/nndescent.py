@@ -31,7 +31,9 @@ SETTLED = 0.02
 #: Query vectors of a label: this often the root of its rows.
 AUDIT_ROOTS, ENOUGH = 2, 0.99
 #: Rows of a block: for links counted, for links between components and for the audit.
-BLOCK, WIDE = 512, 2048
+BLOCK, WIDE = 512, 256
+#: A product that is so near to the threshold is worked out again by the one form that decides.
+CLOSE = 1e-9
 SEED = 77
 
 _WORDS = [f"s{i}" for i in range(BITS // 64)]
@@ -164,13 +166,22 @@ def descend(vectors: DataFrame) -> DataFrame:
     return graph.select("u", "v", "d", "su", "sv")
 
 
+def _linked(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which rows of ``x`` and of ``y`` have a cosine of THRESHOLD or more; the same for a pair wherever it meets."""
+    product = x @ y.T
+    out = product >= THRESHOLD
+    i, j = np.nonzero(np.abs(product - THRESHOLD) < CLOSE)
+    out[i, j] = np.einsum("ij,ij->i", x[i], y[j]) >= THRESHOLD
+    return out
+
+
 def _cosines(batches):
     for b in batches:
         if not b.num_rows:
             continue
         a, c = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.float64).reshape(b.num_rows, -1) if len({len(x) for x in b.column(k).to_pylist()}) == 1 else None for k in ("a", "b"))
         if a is None:
-            cos = np.array([np.frombuffer(x) @ np.frombuffer(y) for x, y in zip(b.column("a").to_pylist(), b.column("b").to_pylist())])
+            cos = np.array([np.einsum("ij,ij->i", np.frombuffer(x)[None], np.frombuffer(y)[None])[0] for x, y in zip(b.column("a").to_pylist(), b.column("b").to_pylist())])
         else:
             cos = np.einsum("ij,ij->i", a, c)
         keep = pa.array(cos >= THRESHOLD)
@@ -206,7 +217,7 @@ def _answered(batches):
         asked, own = [r for r in rows if r[2]], [r for r in rows if not r[2]]
         if asked and own:
             q = np.stack([np.frombuffer(r[4]) for r in asked])
-            hit = np.nonzero(q @ np.stack([np.frombuffer(r[4]) for r in own]).T >= THRESHOLD)
+            hit = np.nonzero(_linked(q, np.stack([np.frombuffer(r[4]) for r in own])))
             found = [(asked[x][3], own[y][3]) for x, y in zip(*hit) if asked[x][3] != own[y][3]]
             yield _pairs([u for u, _ in found], [v for _, v in found])
 
@@ -230,7 +241,7 @@ def _crossing(batches):
         comp = np.array([r[4] for r in rows], np.int64)
         side = np.array([r[3] for r in rows]) == rows[0][1]
         a, b = (np.arange(len(rows)),) * 2 if rows[0][1] == rows[0][2] else (np.nonzero(side)[0], np.nonzero(~side)[0])
-        near = x[a] @ x[b].T >= THRESHOLD
+        near = _linked(x[a], x[b])
         near &= comp[a][:, None] != comp[b][None, :]
         i, j = np.nonzero(near)
         _, first = np.unique(np.stack([comp[a[i]], comp[b[j]]]), axis=1, return_index=True)
@@ -256,12 +267,12 @@ def _counted(batches):
         x = np.stack([np.frombuffer(r[6]) for r in rows])
         copies = np.array([r[5] for r in rows], np.int64)
         if rows[0][1] == rows[0][2]:
-            near = x @ x.T >= THRESHOLD
+            near = _linked(x, x)
             np.fill_diagonal(near, False)
             n = near @ copies
         else:
             side = np.array([r[3] for r in rows]) == rows[0][1]
-            near = x[side] @ x[~side].T >= THRESHOLD
+            near = _linked(x[side], x[~side])
             n = np.zeros(len(rows), np.int64)
             n[side], n[~side] = near @ copies[~side], near.T @ copies[side]
         return [(r[4], int(k)) for r, k in zip(rows, n)]

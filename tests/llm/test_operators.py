@@ -362,6 +362,16 @@ def test_vectors_by_brute_force(spark):
     assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got} == {i: (len(near[i]), comp[i]) for i in range(len(data))}
 
 
+def test_vectors_repeated_rows_and_clashing_names(spark):
+    rows = [(1, [1.0, 0.0], 0, "a", "b", 7), (1, [1.0, 0.0], 0, "a", "b", 7), (2, [1.0, 0.01], 0, "c", "d", 8), (3, [0.0, 1.0], 0, "e", "f", 9), (None, [1.0, 0.0], 0, None, None, None)]
+    # a pair at the threshold itself, in every order of summation
+    edge = np.array([0.98, np.sqrt(1 - 0.98**2)])
+    rows += [(10, [1.0, 0.0], 1, "a", "b", 1), (11, edge.tolist(), 1, "a", "b", 1)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in nndescent.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, id string, part string, unit int")).collect()}
+    linked = float(np.einsum("ij,ij->i", nndescent.usable([1.0, 0.0])[None], nndescent.usable(edge.tolist())[None])[0]) >= 0.98
+    assert got == {1: (1, 1, True), 2: (1, 1, False), 3: (0, 3, True), None: (0, None, True), 10: (int(linked), 10, True), 11: (int(linked), 10 if linked else 11, not linked)}
+
+
 def test_dense_groups_that_touch(spark):
     rng = np.random.default_rng(4)
     one, other = np.linalg.qr(rng.normal(size=(32, 2)))[0].T
