@@ -23,6 +23,12 @@ def parse_cable(c: Column) -> Column:
     return F.struct(F.when(kind != "", F.translate(kind, "хx", "××")).alias("type"), F.when(length != "", length.try_cast("int")).alias("length_m"))
 
 
+def sheet_lengths(c: Column) -> Column:
+    """Every length from 1 to 5000 that follows a brand within 60 characters of a plan's text."""
+    found = F.regexp_extract_all(c, F.lit(r"(?iu)(?:ВБШвнг|ВБбШвнг|ВВГнг|ППГнг|АВВГнг|КГнг|АПвПу|ПвПу|ПуВВнг|ПуВВ|ПВС)[^,;]{0,60}L\s*[=-]\s*([0-9]+)"), F.lit(1))
+    return F.filter(F.transform(found, lambda x: x.try_cast("int")), lambda x: x.between(1, 5000))
+
+
 def laying_method(c: Column) -> Column:
     return F.lower(F.trim(F.regexp_extract(c, LAYING, 1)))
 

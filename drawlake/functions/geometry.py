@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from drawlake.functions import rules as R
+
 
 def segment_length(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
     return F.sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0))
@@ -40,6 +42,27 @@ def color_class(rgb: Column) -> Column:
     return F.when(rgb.isNull(), "").when((r > 0.6) & (g < 0.4) & (b < 0.4), "red").when((b > 0.6) & (r < 0.4) & (g < 0.5), "blue").when((F.greatest(r, g, b) < 0.15), "black").when((spread < 0.1) & (r > 0.2) & (r < 0.9), "grey").otherwise("")
 
 
+def color_strict(rgb: Column, tol: float = 0.05) -> Column:
+    """red or blue of an (r, g, b) that is pure within the tolerance, else other."""
+    def near(*target):
+        return (F.abs(rgb["r"] - target[0]) < tol) & (F.abs(rgb["g"] - target[1]) < tol) & (F.abs(rgb["b"] - target[2]) < tol)
+
+    return F.when(near(1, 0, 0), "red").when(near(0, 0, 1), "blue").otherwise("other")
+
+
+def color_label(rgb: Column) -> Column:
+    """The name of a known colour within 0.05, a grey with its level, or ''."""
+    out = None
+    for target, label in R.COLOURS:
+        near = F.lit(True)
+        for k, v in zip("rgb", target):
+            near = near & (F.abs(F.bround(rgb[k], 2) - v) < 0.05)
+        out = F.when(near, label) if out is None else out.when(near, label)
+    grey = (F.abs(rgb["r"] - rgb["g"]) < 0.05) & (F.abs(rgb["g"] - rgb["b"]) < 0.05)
+    shade = F.when(rgb["r"] < 0.15, "Чёрный / Рамка").when(rgb["r"] > 0.85, "Белый / Фон").otherwise(F.concat(F.lit("Серый ("), F.floor(rgb["r"] * 100).cast("string"), F.lit("%)")))
+    return F.when(rgb.isNull(), "").otherwise(out.when(grey, shade).otherwise(""))
+
+
 def color_hex(rgb: Column) -> Column:
     def two(c):
         return F.lpad(F.hex(F.bround(F.greatest(F.lit(0.0), F.least(F.lit(1.0), c)) * 255).cast("int")), 2, "0")

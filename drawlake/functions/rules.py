@@ -61,6 +61,35 @@ GROUNDING_WORKS: Rules = (
     ("Прокладка", ("полоса", "проводник", "пруток")), ("Защита болтовых соединений системы заземления", ("антикоррози", "гидроизоля", "лента")),
     ("Окраска", ("спрей", "окраска", "свартон")), ("Монтаж", ("точка заземления",)), ("Установка", ("держатель",)), ("Прокладка", ("провод пугв", "пугвнг")),
 )
+#: Categories of legend entries; '' for others.
+LEGEND: Rules = (
+    ("эвакуационный", ("эвакуационный", "выход")), ("светильник", ("светильник", "светодиодный")), ("выключатель", ("выключатель",)),
+    ("розетка", ("розетка",)), ("щит", ("щит",)), ("кабельная трасса", ("кабельная трасса",)), ("проводка", ("проводка",)),
+)
+#: Categories of the rows of a bill kept as text; Unknown for others.
+TEXT_BILL: Rules = (
+    ("Luminaire", ("светильник", "светодиодн", "led")), ("Panel", ("щит", "що", "щао")), ("Switch", ("выключатель",)), ("Socket", ("розетка",)), ("Cable", ("кабел", "провод")),
+)
+#: Classes of written bills, by patterns for lower-cased names; other for the rest.
+BILL = (
+    ("luminaire", "светильник"), ("socket", "розетк"), ("switch", "выключатель"), ("panel", "щит|щр|що|вру|щэ"), ("cable", "кабел|ввг|nym"), ("wire", "провод"),
+    ("conduit", "трубы?|лот[оа]к|короб"), ("junction_box", "коробк|распред"), ("exit_sign", "указатель|exit|выход"), ("sensor", "датчик|извещатель"),
+    ("circuit_breaker", "автомат|предохранитель|дифф"), ("grounding", "заземл"), ("work_item", "монтаж"),
+)
+#: How luminaires are mounted, by patterns in any case; stud for the rest.
+MOUNTING = (
+    ("wall", r"CD\s*LED|MARS\s+[0-9]|SAFARI\s+DL|SVT-ZKH|аварийн|emergency|CONVERSION\s+KIT"), ("anchor", r"INSEL\s+LB|INSEL\s+LED|LB/S\s+LED"), ("pendant", r"OWP\s+OPTIMA|подвесн"),
+)
+#: Words and parts of words of title blocks; notes that stray into descriptions, longer ones first; and the longest description.
+TITLE_WORDS = ("Лист", "док.", "Подп.", "Дата", "Разраб.", "Пров.", "Н.контр.", "ГИП", "Изм.", "Стадия")
+TITLE_PARTS = ("Формат", "ЛистДата", "Подп.", "N dok", "Kol.uch", "Izm.", "Нач.отд", "ГИП", "Разраб.", "Пров.", "Н.контр")
+NOTES = ("Коробки распаячные установить", "Монтаж крайних на линии", "Монтаж крайних", "крайних на линии", "Расчет количества", "Для соединения", "установить на", "согласно проекту")
+LONGEST_DESCRIPTION = 150
+SUSPICIOUS = r"Лист(?![0-9A-Za-z_А-Яа-яЁё])|Подп\.|Дата(?![0-9A-Za-z_А-Яа-яЁё])|Разраб\.|Пров\.|Н\.контр|ГИП(?![0-9A-Za-z_А-Яа-яЁё])|Изм\.|Стадия(?![0-9A-Za-z_А-Яа-яЁё])|масштаб|формат"
+#: Labels of known colours.
+COLOURS = (
+    ((0, 0, 0), "Чёрный / Рамка"), ((1, 0, 0), "Красный / Аварийное"), ((0, 0, 1), "Синий / Рабочее"), ((0, 1, 0), "Зелёный"), ((1, 1, 0), "Жёлтый"), ((1, 0, 1), "Пурпурный"), ((0, 1, 1), "Голубой"),
+)
 HEIGHTS = ((5.0, "до 5 метров"), (13.0, "от 5 до 13 метров"), (20.0, "от 13 до 20 метров"))
 HIGHEST = "от 20 до 35 метров"
 LUMINAIRE_PREFIXES = ("Светодиодный светильник ", "Светильник ", "Световые указатели ", "Световой указатель ")

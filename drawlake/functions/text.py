@@ -128,6 +128,30 @@ def classify_specification(c: Column) -> Column:
     return F.coalesce(upper, F.when(led, "luminaire").otherwise(first_of(c, R.SPECIFICATION[5:], "material")))
 
 
+def first_match(c: Column, patterns, otherwise: str) -> Column:
+    """The label of the first (label, pattern) that is found in the text."""
+    out = None
+    for label, pattern in patterns:
+        out = F.when(c.rlike(pattern), label) if out is None else out.when(c.rlike(pattern), label)
+    return F.when(c.isNotNull(), out.otherwise(otherwise))
+
+
+def legend_category(c: Column) -> Column:
+    return first_of(c, R.LEGEND, "")
+
+
+def text_bill_category(c: Column) -> Column:
+    return first_of(c, R.TEXT_BILL, "Unknown")
+
+
+def bill_class(c: Column) -> Column:
+    return first_match(F.lower(c), R.BILL, "other")
+
+
+def mounting_type(c: Column) -> Column:
+    return first_match(c, [(label, f"(?iu){p}") for label, p in R.MOUNTING], "stud")
+
+
 def normalize_unit(c: Column) -> Column:
     key = F.lower(F.regexp_replace(F.trim(c), r"\.+$", ""))
     table = F.create_map(*[F.lit(x) for kv in R.UNITS.items() for x in kv])
@@ -145,6 +169,11 @@ def section_type(c: Column) -> Column:
     return out
 
 
+def section_type_loose(c: Column) -> Column:
+    """The first section code that stands anywhere in the path; '' for none."""
+    return first_match(F.upper(c), [(s, s) for s in ("ЭО", "ЭМ", "ЭГ", "ЭС")], "")
+
+
 def drawing_no(c: Column) -> Column:
     n = F.regexp_extract(c, r"^\s*([0-9]{3})", 1)
     return F.when(n != "", n)
@@ -204,6 +233,50 @@ def long_text_cut(c: Column, limit: int = 120) -> Column:
     return F.when(F.length(c) <= limit, c).when((sentence != "") & (F.length(sentence) <= limit), sentence).when(words != "", words).otherwise(F.substring(c, 1, limit))
 
 
+def is_title_block(c: Column) -> Column:
+    """Whether a text is of a title block: one of its words, a date, or words run together."""
+    words = F.arrays_overlap(F.split(F.trim(c), r"\s+"), F.array(*[F.lit(w) for w in R.TITLE_WORDS]))
+    return words | c.rlike(r"[0-9]{2}\.[0-9]{2}\.[0-9]{2,4}") | c.rlike("|".join(map(re.escape, R.TITLE_PARTS)))
+
+
+def strip_notes(c: Column) -> Column:
+    """A description without what follows a note's first words; empty if it begins with one or under five characters are left."""
+    # of several notes the earliest cuts
+    cut = F.regexp_replace(c, "(?ius)[ .,;:]*(?:" + "|".join(map(re.escape, R.NOTES)) + ").*$", "")
+    return F.when(F.length(F.trim(cut)) < 5, "").otherwise(cut)
+
+
+def split_on_duplicates(c: Column) -> Column:
+    """A text up to the second occurrence of its first repeated word of five Cyrillic letters, if ten characters stand before it."""
+    low = F.lower(c)
+    found = F.transform(F.regexp_extract_all(c, F.lit("([А-ЯЁа-яё]{5,})"), F.lit(1)), F.lower)
+    word = F.try_element_at(F.filter(found, lambda x, i: F.array_contains(F.slice(found, F.lit(1), i), x)), F.lit(1))
+    at = F.call_function("locate", word, low, F.call_function("locate", word, low) + 1)
+    first = F.regexp_replace(F.substring(c, F.lit(1), at - 1), r"[ .,;:]+$", "")
+    return F.when((at > 11) & (F.length(first) >= 10), first).otherwise(c)
+
+
+def clean_description(c: Column) -> Column:
+    """A description that is too long cut to its first sentence, else at a repeated word, else at a blank."""
+    most = R.LONGEST_DESCRIPTION
+    sentence = F.trim(F.split(c, r"(?<=\.)\s+(?=[A-ZА-ЯЁ])", 2)[0])
+    text = F.when((F.length(sentence) < F.length(c)) & (F.length(sentence) <= most), sentence).otherwise(F.when(F.length(sentence) < F.length(c), sentence).otherwise(c))
+    once = split_on_duplicates(text)
+    head = F.substring(once, 1, most)
+    words = F.regexp_extract(head, r"^(.*) [^ ]*$", 1)
+    cut = F.regexp_replace(F.when(F.length(words) > most // 2, words).otherwise(head), r"[ .,;:]+$", "")
+    return F.when(F.length(c) <= most, c).when(F.length(once) <= most, once).otherwise(cut)
+
+
+def is_placeholder(c: Column) -> Column:
+    return F.trim(c).rlike(r"^\[.*\]$")
+
+
+def is_suspicious(c: Column) -> Column:
+    """Whether a description is too long or speaks of the sheet, not of equipment."""
+    return (F.length(c) > R.LONGEST_DESCRIPTION) | c.rlike("(?iu)" + R.SUSPICIOUS)
+
+
 def is_char_split(c: Column) -> Column:
     """Whether over half of the tokens have at most two characters."""
     t = F.filter(F.split(F.trim(c), r"\s+"), lambda x: x != "")

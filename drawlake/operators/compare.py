@@ -155,10 +155,10 @@ def legend_quality(items: DataFrame, keys: Keys = ("case",)) -> DataFrame:
 
 def bill_patterns(reference: DataFrame, keys: Keys = ()) -> DataFrame:
     """A reference bill by class and unit: works and materials (by leading verb), distinct names, totals."""
-    from drawlake.functions.text import classify_specification
+    from drawlake.functions.text import bill_class
 
     verb = F.lower(F.trim("name")).rlike(r"^(монтаж|установка|прокладка|забивка|крепление|окраска|подключение)\s")
-    return reference.groupBy(*keys, classify_specification(F.col("name")).alias("class"), "unit").agg(F.count("*").alias("n_rows"), F.count_if(verb).alias("n_works"), F.countDistinct("name").alias("n_names"), F.round(F.sum("qty"), 2).alias("total"))
+    return reference.groupBy(*keys, bill_class(F.col("name")).alias("class"), "unit").agg(F.count("*").alias("n_rows"), F.count_if(verb).alias("n_works"), F.countDistinct("name").alias("n_names"), F.round(F.sum("qty"), 2).alias("total"))
 
 
 def enrich_annotations(annotations: DataFrame, legend: DataFrame, keys: Keys = ("file_id",), least: float = 0.6) -> DataFrame:

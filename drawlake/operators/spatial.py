@@ -150,8 +150,11 @@ def annotation_circles(circles: DataFrame) -> DataFrame:
     return circles.where((F.col("radius").between(25, 85) & F.contains(F.upper("layer"), F.lit("ANNO"))) | F.col("radius").between(30, 70))
 
 
-def equipment_inserts(inserts: DataFrame, hidden_layers: DataFrame, word: str = r"(?iu)equip|оборуд|light|свет|elec|эл") -> DataFrame:
-    """Inserts on visible layers whose layer or block name speaks of equipment."""
+def equipment_inserts(inserts: DataFrame, hidden_layers: DataFrame, word: str = r"(?iu)equip|оборуд|light|свет|elec|эл", x_range: DataFrame | None = None) -> DataFrame:
+    """Inserts on visible layers whose layer or block name speaks of equipment; within the file's (x_left, x_right), if given."""
+    if x_range is not None:
+        x = x_range.select("file_id", "x_left", "x_right")
+        inserts = inserts.join(x, "file_id", "left").where(F.col("x_left").isNull() | F.col("x").between(F.col("x_left"), F.col("x_right"))).drop("x_left", "x_right")
     seen = inserts.join(hidden_layers.select("file_id", "layer"), ["file_id", "layer"], "left_anti")
     return seen.where(F.col("layer").rlike(word) | F.col("block_name").rlike(word))
 

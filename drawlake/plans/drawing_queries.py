@@ -223,6 +223,67 @@ def b25_pvc_diameters(spark, sf_dir):
     return derived(spark, sf_dir, "part", "p_partkey, concat('Труба д.', p_size % 50 + 10, 'мм и D ', p_size % 30 + 20) AS t").select("p_partkey", F.size(d).alias("n"), d[0].alias("first"), d[1].alias("second"))
 
 
+_TITLES = case("p_partkey % 8", "concat(p_name, ' Лист 5')", "concat(p_name, ' 12.03.24')", "concat('ЛистДата', p_name)", "concat('Светильник ', p_name, ', установить на высоте')", "concat('Для соединения ', p_name)", "concat('Консоль настенная ', p_name, '; консоль потолочная')", "concat('[Обозначение ', p_size, ']')", "concat('abc. установить на ', p_name)")
+
+
+@query(f"""SELECT p_partkey, p_partkey % 8 < 3 AS title, {case('p_partkey % 8', *["text"] * 3, "concat('Светильник ', p_name)", "''", "text", "text", "''")} AS stripped, CASE WHEN p_partkey % 8 = 5 THEN concat('Консоль настенная ', p_name) ELSE text END AS single, p_partkey % 8 = 6 AS placeholder, p_partkey % 8 = 0 AS suspicious FROM (SELECT p_partkey, p_name, {_TITLES} AS text FROM part)""")
+def b17_description_flags(spark, sf_dir):
+    t = F.col("text")
+    return derived(spark, sf_dir, "part", f"p_partkey, {_TITLES} AS text").select("p_partkey", T.is_title_block(t).alias("title"), T.strip_notes(t).alias("stripped"), T.split_on_duplicates(t).alias("single"), T.is_placeholder(t).alias("placeholder"), T.is_suspicious(t).alias("suspicious"))
+
+
+_LONG = "concat('Прибор ', p_name, CASE WHEN p_size % 3 = 0 THEN '. Новая ' WHEN p_size % 3 = 1 THEN ' прибор ' ELSE ' a ' END, repeat('слог ', p_size % 50), 'x')"
+
+
+@query(f"""WITH t AS (SELECT p_partkey, p_name, p_size, {_LONG} AS text FROM part) SELECT p_partkey, CASE WHEN length(text) <= 150 THEN text WHEN p_size % 3 = 0 THEN concat('Прибор ', p_name, '.') ELSE rtrim(CASE WHEN length(regexp_extract(left(text, 150), '^(.*) [^ ]*$', 1)) > 75 THEN regexp_extract(left(text, 150), '^(.*) [^ ]*$', 1) ELSE left(text, 150) END, ' .,;:') END AS clean FROM t WHERE p_size % 3 <> 1""")
+def b17_clean_description(spark, sf_dir):
+    rows = read(spark, sf_dir, "part").where("p_size % 3 <> 1").selectExpr("p_partkey", f"{_LONG} AS text")
+    return rows.select("p_partkey", T.clean_description(F.col("text")).alias("clean"))
+
+
+_KINDS = case("p_size % 8", "'Светильник CD LED '", "'Розетка '", "'Выключатель '", "'Щит '", "'Кабель ВВГ '", "'Указатель ВЫХОД '", "'Подвесной OWP OPTIMA '", "'INSEL LB/S LED '")
+
+
+def _labels(*labels: str) -> str:
+    return case("p_size % 8", *(f"'{k}'" for k in labels))
+
+
+@query(f"""SELECT name, {_labels('светильник', 'розетка', 'выключатель', 'щит', '', 'эвакуационный', '', '')} AS legend, {_labels('Luminaire', 'Socket', 'Switch', 'Panel', 'Cable', 'Unknown', 'Unknown', 'Luminaire')} AS text_bill, {_labels('luminaire', 'socket', 'switch', 'panel', 'cable', 'exit_sign', 'other', 'other')} AS bill, {_labels('wall', 'stud', 'stud', 'stud', 'stud', 'stud', 'pendant', 'anchor')} AS mounting, count(*) AS n FROM (SELECT concat({_KINDS}, p_name) AS name, p_size FROM part) GROUP BY ALL""")
+def b8_other_rules(spark, sf_dir):
+    n = F.col("name")
+    rows = derived(spark, sf_dir, "part", f"concat({_KINDS}, p_name) AS name").groupBy("name").agg(F.count("*").alias("n"))
+    return rows.select("name", T.legend_category(n).alias("legend"), T.text_bill_category(n).alias("text_bill"), T.bill_class(n).alias("bill"), T.mounting_type(n).alias("mounting"), "n")
+
+
+@query("SELECT l_suppkey AS file_id, count(*) AS n_texts, sum(l_quantity::INT + CASE WHEN l_linenumber = 1 THEN 0 ELSE 7 END)::BIGINT AS metres FROM lineitem GROUP BY 1")
+def b11_sheet_lengths(spark, sf_dir):
+    t = derived(spark, sf_dir, "lineitem", "l_suppkey AS file_id, concat('ВВГнг(А)-LS 3х2 L=', cast(l_quantity AS INT), 'м; ', CASE WHEN l_linenumber = 1 THEN 'ПВС 2х1 L=9000' ELSE 'ППГнг 5х4 в гофре L - 7' END, ', L=5') AS text")
+    n = t.select("file_id", F.aggregate(C.sheet_lengths(F.col("text")), F.lit(0), lambda a, x: a + x).alias("m"))
+    return n.groupBy("file_id").agg(F.count("*").alias("n_texts"), F.sum("m").cast("long").alias("metres"))
+
+
+@query("""WITH c AS (SELECT DISTINCT l_discount * 10 AS r, l_tax * 12.5::DOUBLE AS g, (l_linenumber - 1) / 6.0::DOUBLE AS b, l_discount, l_tax, l_linenumber FROM lineitem), k AS (SELECT *, round_even(r, 2) AS r2, round_even(g, 2) AS g2, round_even(b, 2) AS b2 FROM c)
+SELECT l_discount, l_tax, l_linenumber, CASE WHEN abs(r - 1) < 0.05 AND g < 0.05 AND b < 0.05 THEN 'red' WHEN r < 0.05 AND g < 0.05 AND abs(b - 1) < 0.05 THEN 'blue' ELSE 'other' END AS strict,
+CASE WHEN r2 < 0.05 AND g2 < 0.05 AND b2 < 0.05 THEN 'Чёрный / Рамка' WHEN abs(r2 - 1) < 0.05 AND g2 < 0.05 AND b2 < 0.05 THEN 'Красный / Аварийное' WHEN r2 < 0.05 AND g2 < 0.05 AND abs(b2 - 1) < 0.05 THEN 'Синий / Рабочее' WHEN r2 < 0.05 AND abs(g2 - 1) < 0.05 AND b2 < 0.05 THEN 'Зелёный' WHEN abs(r2 - 1) < 0.05 AND abs(g2 - 1) < 0.05 AND b2 < 0.05 THEN 'Жёлтый'
+WHEN abs(r2 - 1) < 0.05 AND g2 < 0.05 AND abs(b2 - 1) < 0.05 THEN 'Пурпурный' WHEN r2 < 0.05 AND abs(g2 - 1) < 0.05 AND abs(b2 - 1) < 0.05 THEN 'Голубой' WHEN abs(r - g) < 0.05 AND abs(g - b) < 0.05 THEN CASE WHEN r < 0.15 THEN 'Чёрный / Рамка' WHEN r > 0.85 THEN 'Белый / Фон' ELSE concat('Серый (', floor(r * 100)::BIGINT, '%)') END ELSE '' END AS label FROM k""")
+def b16_colour_labels(spark, sf_dir):
+    rows = read(spark, sf_dir, "lineitem").select("l_discount", "l_tax", "l_linenumber").distinct()
+    rgb = G.color_rgb(F.expr("array(l_discount * 10, l_tax * 12.5D, (l_linenumber - 1) / 6.0D)"))
+    return rows.withColumn("rgb", rgb).select("l_discount", "l_tax", "l_linenumber", G.color_strict(F.col("rgb")).alias("strict"), G.color_label(F.col("rgb")).alias("label"))
+
+
+@query(f"SELECT o_orderkey, {case('o_orderkey % 5', *(f'''{chr(39)}{k}{chr(39)}''' for k in ('ЭО', 'ЭМ', 'ЭГ', 'ЭС', '')))} AS section FROM orders")
+def b19_section_loose(spark, sf_dir):
+    paths = case("o_orderkey % 5", "concat('p/эоМ/', o_orderkey)", "concat('p/ТЭМ', o_orderkey)", "concat('p/x-ЭГ', o_orderkey)", "concat('p/эс/', o_orderkey)", "concat('p/', o_orderkey)")
+    return derived(spark, sf_dir, "orders", f"o_orderkey, {paths} AS path").select("o_orderkey", T.section_type_loose(F.col("path")).alias("section"))
+
+
+@query(f"SELECT count(DISTINCT project) AS n_files, sum(count)::BIGINT AS n_equipment, count(*) AS cable_m FROM {E}")
+def a8_report_totals(spark, sf_dir):
+    e = equipment(spark, sf_dir).selectExpr("project AS file_id", "name AS symbol", "name", "count", "0 AS count_ae")
+    return drawings.report_totals(drawings.report(e, e.selectExpr("file_id", "name AS cable_type", "count", "1 AS total_length_m")))
+
+
 # --- zones and filters ----------------------------------------------------------------------------------------
 
 #: Texts of a sheet: the first two rows are headers of one legend, side by side.
@@ -332,6 +393,13 @@ def c12_equipment_inserts(spark, sf_dir):
     return spatial.equipment_inserts(i, read(spark, sf_dir, "supplier").where("s_suppkey % 3 = 0").selectExpr("s_suppkey AS file_id", "'E-Lighting' AS layer")).select("seq", "file_id")
 
 
+@query(f"SELECT {_SEQ} AS seq, l_suppkey AS file_id FROM lineitem WHERE l_returnflag = 'A' AND (l_suppkey % 2 = 1 OR l_quantity BETWEEN 10 AND 20)")
+def c12_inserts_in_range(spark, sf_dir):
+    i = derived(spark, sf_dir, "lineitem", f"{_SEQ} AS seq, l_suppkey AS file_id, l_quantity AS x, CASE l_returnflag WHEN 'A' THEN 'elec' ELSE 'walls' END AS layer, 'door' AS block_name")
+    ranges = read(spark, sf_dir, "supplier").where("s_suppkey % 2 = 0").selectExpr("s_suppkey AS file_id", "10.0 AS x_left", "20.0 AS x_right")
+    return spatial.equipment_inserts(i, i.select("file_id", "layer").where("false"), x_range=ranges).select("seq", "file_id")
+
+
 @query(f"SELECT {_SEQ} AS seq, l_returnflag AS color FROM lineitem WHERE l_returnflag = 'R'")
 def c13_filter_colors(spark, sf_dir):
     return legends.filter_colors(derived(spark, sf_dir, "lineitem", f"{_SEQ} AS seq, l_returnflag AS color"), show=("a", "R"), hide=("A",))
@@ -624,10 +692,10 @@ def e38_row_color(spark, sf_dir):
     return counting.row_color(t.where("k = 1").drop("color_class", "k"), t.where("k > 1")).withColumn("colors", F.array_join("colors", ","))
 
 
-@query(f"""WITH b AS (SELECT {case('p_size % 4', '''concat('Монтаж светильника ', p_name)''', '''concat('Розетка ', p_name)''', '''concat('Прокладка кабель ППГнг ', p_name)''', '''concat('Труба ПВХ ', p_name)''')} AS name, {case('p_size % 4', "'luminaire'", "'socket'", "'cable'", "'pvc_conduit'")} AS class, p_size % 2 = 0 AS verb, p_retailprice AS qty FROM part)
+@query(f"""WITH b AS (SELECT {case('p_size % 4', '''concat('Монтаж светильника ', p_name)''', '''concat('Розетка ', p_name)''', '''concat('Прокладка кабель ППГнг ', p_name)''', '''concat('Пена ', p_name)''')} AS name, {case('p_size % 4', "'luminaire'", "'socket'", "'cable'", "'other'")} AS class, p_size % 2 = 0 AS verb, p_retailprice AS qty FROM part)
 SELECT class, CASE WHEN class = 'cable' THEN 'м' ELSE 'шт' END AS unit, count(*) AS n_rows, count_if(verb) AS n_works, count(DISTINCT name) AS n_names, round(sum(qty), 2) AS total FROM b GROUP BY ALL""")
 def e39_bill_patterns(spark, sf_dir):
-    names = case("p_size % 4", "concat('Монтаж светильника ', p_name)", "concat('Розетка ', p_name)", "concat('Прокладка кабель ППГнг ', p_name)", "concat('Труба ПВХ ', p_name)")
+    names = case("p_size % 4", "concat('Монтаж светильника ', p_name)", "concat('Розетка ', p_name)", "concat('Прокладка кабель ППГнг ', p_name)", "concat('Пена ', p_name)")
     return compare.bill_patterns(derived(spark, sf_dir, "part", f"{names} AS name, CASE WHEN p_size % 4 = 2 THEN 'м' ELSE 'шт' END AS unit, p_retailprice AS qty"))
 
 
@@ -731,3 +799,16 @@ ORACLES["g1_routes"] = f"""WITH RECURSIVE s AS MATERIALIZED (SELECT *, row_numbe
 n AS MATERIALIZED (SELECT DISTINCT a.id AS a, b.id AS b FROM e a JOIN e b ON a.file_id = b.file_id AND a.color = b.color AND a.id <> b.id AND abs(a.x - b.x) < 2 AND abs(a.y - b.y) < 2),
 t AS (SELECT 0 AS i, id, id AS label, TRUE AS moved FROM s UNION ALL SELECT i + 1, id, least(label, near), coalesce(near < label, FALSE) FROM (SELECT a.i, a.id, a.label, min(b.label) AS near FROM t a LEFT JOIN n ON n.a = a.id LEFT JOIN t b ON b.id = n.b WHERE EXISTS (SELECT 1 FROM t WHERE moved) GROUP BY a.i, a.id, a.label))
 SELECT file_id, color, count(*) AS n_segments, round(sum(sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0))), 4) AS length, min(least(x0, x1)) AS x0, min(least(y0, y1)) AS y0, max(greatest(x0, x1)) AS x1, max(greatest(y0, y1)) AS y1 FROM t JOIN s USING (id) WHERE t.i = (SELECT max(i) FROM t) GROUP BY file_id, color, label"""
+
+
+# --- streams --------------------------------------------------------------------------------------------------
+
+
+@query("SELECT coalesce(event_type, '') AS event_type, count(*) AS n_items, 0::BIGINT AS n_errors FROM events GROUP BY 1")
+def s2_progress(spark, sf_dir):
+    from drawlake.plans.queries import _events, _finished
+    from drawlake.streaming import ingest
+
+    at = f"{shared_dir(spark)}/progress-{uuid.uuid4().hex}"
+    _finished(ingest.progress_sink(_events(spark, sf_dir), "count", f"{at}/rows", f"{at}/state", key="event_type"))
+    return spark.read.parquet(f"{at}/rows").groupBy("event_type").agg(F.sum("n_items").alias("n_items"), F.sum("n_errors").alias("n_errors"))

@@ -12,7 +12,7 @@ TABLES = ("files", "texts", "inserts", "circles", "cells", "layouts", "pages", "
 
 
 def file_inventory(spark: SparkSession, root: str, exts: Sequence[str] = ("dxf", "dwg", "pdf")) -> DataFrame:
-    """(path, stem, ext, section, size): files below ``root`` with these extensions, one path a stem and extension.
+    """(path, stem, ext, section, size): files below ``root`` with these extensions, the first path of each stem in small letters.
 
     Parts of the path that start with a dot, or with an underscore but for ``_converted_dxf``, are passed over. The
     contents are not read.
@@ -32,7 +32,7 @@ def file_inventory(spark: SparkSession, root: str, exts: Sequence[str] = ("dxf",
     out = files.withColumns({"below": below, "ext": F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1)), "stem": F.lower(F.regexp_replace(name, r"\.[^.]+$", ""))})
     out = out.where(F.col("ext").isin(*exts) & ~F.exists("below", lambda p: p.startswith(".") | (p.startswith("_") & (p != "_converted_dxf"))))
     out = out.withColumn("section", F.when(F.size("below") > 1, F.element_at("below", 1)))
-    return out.withColumn("_p", F.row_number().over(Window.partitionBy("stem", "ext").orderBy("path"))).where("_p = 1").select("path", "stem", "ext", "section", "size")
+    return out.withColumn("_p", F.row_number().over(Window.partitionBy("stem").orderBy("path"))).where("_p = 1").select("path", "stem", "ext", "section", "size")
 
 
 def dxf_entities(lines: DataFrame, keys: Sequence[str] = ("file_id",)) -> DataFrame:
@@ -129,6 +129,11 @@ def report(equip: DataFrame, cables: DataFrame, key: str = "file_id") -> DataFra
     return e.join(c, key, "full_outer")
 
 
+def report_totals(reports: DataFrame) -> DataFrame:
+    """One row: files, equipment and cable metres of all reports."""
+    return reports.agg(F.count("*").alias("n_files"), F.coalesce(F.sum("n_equipment"), F.lit(0)).cast("long").alias("n_equipment"), F.coalesce(F.sum("cable_m"), F.lit(0)).cast("long").alias("cable_m"))
+
+
 def report_json(equip: DataFrame, cables: DataFrame, key: str = "file_id") -> DataFrame:
     """The report as one JSON text a file."""
     r = report(equip, cables, key)
