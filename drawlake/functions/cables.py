@@ -103,6 +103,18 @@ def cable_attrs(c: Column) -> Column:
     )
 
 
+def reversed_length(c: Column) -> Column:
+    """The metres that a length written backwards gives: 'м52=L' is 25; null for other words."""
+    n = F.regexp_extract(F.reverse(c), r"^L=([0-9]+(?:[,.][0-9]+)?)м$", 1)
+    return F.when(n != "", F.replace(n, F.lit(","), F.lit(".")).try_cast("double"))
+
+
+def reversed_brand(c: Column) -> Column:
+    """The brand that a word written backwards holds; null if none."""
+    b = F.reverse(F.regexp_extract(c, "(" + "|".join(R.REVERSED_BRANDS) + ")", 1))
+    return F.when(b != "", b)
+
+
 def is_cross_section(c: Column) -> Column:
     """Whether a word is a cable's cross-section: no paper size, bracket, third dimension, nor cores or gauge too large."""
     n, g = F.regexp_extract(c, r"^([0-9]+)[хxХX]([0-9]+(?:[,.][0-9]+)?)$", 1).try_cast("double"), F.replace(F.regexp_extract(c, r"^([0-9]+)[хxХX]([0-9]+(?:[,.][0-9]+)?)$", 2), F.lit(","), F.lit(".")).try_cast("double")

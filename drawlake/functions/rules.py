@@ -109,6 +109,14 @@ CABLE_WEIGHTS = {
 MASS_LIMITS = (1, 2, 3, 6, 9, 15, 20, 30)
 SECTION_LIMITS = (6, 16, 35, 70, 120, 240)
 CONDUIT_LIMITS = ((1.5, 16), (2.5, 20), (6.0, 25))
+#: Brands as they stand on pages written backwards.
+REVERSED_BRANDS = ("гнГПП", "гнвШБВ", "гнГВВ", "ГВВA")
+#: What a symbol's label looks like, labels that are counted for themselves, and what no annotation begins with.
+LABEL = r"^[0-9]{1,2}[А-Яа-яЁё]{0,3}$"
+SPECIAL_LABELS = ("ВЫХОД",)
+NO_ANNOTATION = ("На отм", "Щ", "ВРУ", "Гр.")
+#: Lines of running text that hold numbers of grid axes or long numbers.
+GRID_LINE, NUMBER_LINE = r"^[0-9]+(\s+[0-9]+){3,}$", r"^[0-9]{4,}(\s+[0-9]{4,})*$"
 WIRE_PREFIXES = ("ПуВВнг", "ПуВВ", "ПВС", "ПВ1", "ПВ3", "ШВВП", "ППВ", "АПВ")
 #: Code pages that a garbled name was read in, and those it was written in.
 CODE_PAGES = (("cp857", "cp866"), ("cp850", "cp866"), ("cp1252", "cp1251"), ("latin-1", "cp1251"), ("latin-1", "cp866"), ("iso-8859-15", "cp1251"), ("cp437", "cp866"))

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from drawlake.functions import rules as R
 from drawlake.functions.cables import cable_suffix, laying_method, parse_cable, split_laying
 from drawlake.operators.graph import once
 from drawlake.operators.spatial import exclude_zones
@@ -32,6 +33,32 @@ def count_labels(texts: DataFrame, legend: DataFrame, boxes: DataFrame, grid: Da
     return legend.join(n, [*keys, "symbol"], "left").na.fill(0, ["count", "count_ae"])
 
 
+def unlisted_labels(texts: DataFrame, legend: DataFrame, boxes: DataFrame, keys: Keys = ("file_id",)) -> DataFrame:
+    """(keys, label, kind, count): labels outside legends that are no symbol of the legend nor a variant of one - special ones, and unlisted ones of four characters at most."""
+    free = exclude_zones(texts, boxes, keys).withColumn("label", F.trim(F.split("text", "\n")[0]))
+    special = F.col("label").isin(*R.SPECIAL_LABELS)
+    free = free.where(special | (F.col("label").rlike(R.LABEL) & (F.length("label") <= 4))).withColumn("base", F.regexp_extract("label", r"^([0-9]+)(А|АЭ)$", 1))
+    known = legend.select(*keys, F.col("symbol").alias("label"))
+    rest = free.join(known, [*keys, "label"], "left_anti").join(known.withColumnRenamed("label", "base"), [*keys, "base"], "left_anti")
+    return rest.groupBy(*keys, "label", F.when(special, "special").otherwise("unlisted").alias("kind")).agg(F.count("*").alias("count"))
+
+
+def count_body_tokens(lines: DataFrame, symbols: DataFrame, keys: Keys = ("file_id",)) -> DataFrame:
+    """(keys, symbol, kind, count) of running text (keys, text): whole tokens that are symbols (exact), symbols with АЭ (variant),
+    and other tokens that look like one (unlisted). Lines of axis or of long numbers are dropped; ``symbols`` (symbol) hold for all."""
+    t = F.trim("text")
+    words = lines.where(~t.rlike(R.GRID_LINE) & ~t.rlike(R.NUMBER_LINE)).select(*keys, F.explode(F.split(t, r"\s+")).alias("token")).where("token <> ''")
+    n = words.groupBy(*keys, "token").agg(F.count("*").alias("count"))
+    known = symbols.select(F.col("symbol").alias("token"), F.lit(True).alias("_s"))
+    base = F.when(F.col("token").endswith("АЭ"), F.expr("substr(token, 1, length(token) - 2)"))
+    n = n.join(known, "token", "left").withColumn("_b", base).join(symbols.select(F.col("symbol").alias("_b"), F.lit(True).alias("_v")), "_b", "left")
+    short = F.regexp_extract("token", r"^([0-9]+)А$", 1)
+    n = n.withColumn("_c", F.when(short != "", short)).join(symbols.select(F.col("symbol").alias("_c"), F.lit(True).alias("_w")), "_c", "left")
+    other = F.col("token").rlike(R.LABEL) & ~F.col("token").isin("0", "1х") & ~F.col("token").endswith("ЛК") & F.col("_w").isNull()
+    kind = F.when(F.col("_s").isNotNull(), "exact").when(F.col("_v").isNotNull(), "variant").when(other, "unlisted")
+    return n.withColumn("kind", kind).where("kind is not null").select(*keys, F.when(F.col("kind") == "variant", F.col("_b")).otherwise(F.col("token")).alias("symbol"), "kind", "count")
+
+
 def count_tokens(lines: DataFrame, symbols: DataFrame, keys: Keys = ("file_id",), text: str = "text") -> DataFrame:
     """Whole tokens of running text that are symbols; lines of long numbers are dropped."""
     words = lines.where(~F.col(text).rlike(r"[0-9]{6,}")).select(*keys, F.explode(F.split(F.trim(text), r"\s+")).alias("symbol"))
@@ -56,11 +83,13 @@ def count_circles(circles: DataFrame, keys: Keys = ("file_id",), inserts: DataFr
     return n.join(i, list(keys), "left").withColumn("n_other", F.when((F.col("_i") > 0) & (F.col("n_red") + F.col("n_other") > 3 * F.col("_i")), F.col("_i") - F.col("n_red")).otherwise(F.col("n_other"))).drop("_i")
 
 
-def annotation_counts(texts: DataFrame, keys: Keys = ("file_id",), text: str = "text") -> DataFrame:
-    """'N - text' notes with N of 1 to 500 and at least ten characters: the largest N of each text."""
+def annotation_counts(texts: DataFrame, keys: Keys = ("file_id",), text: str = "text", boxes: DataFrame | None = None) -> DataFrame:
+    """'N - text' notes with N of 1 to 500 and at least ten characters that speak of no panel, group or level: the largest N of
+    each text, outside the legends' ``boxes`` if they are given."""
+    texts = texts if boxes is None else exclude_zones(texts, boxes, keys)
     n = F.regexp_extract(text, r"^\s*([0-9]{1,3})\s*[-–—]\s*(.{10,})$", 1).try_cast("int")
     what = F.trim(F.regexp_extract(text, r"^\s*([0-9]{1,3})\s*[-–—]\s*(.{10,})$", 2))
-    return texts.select(*keys, n.alias("n"), what.alias("name")).where(F.col("n").between(1, 500) & (F.col("name") != "")).groupBy(*keys, "name").agg(F.max("n").alias("count"))
+    return texts.select(*keys, n.alias("n"), what.alias("name")).where(F.col("n").between(1, 500) & (F.col("name") != "") & ~F.col("name").rlike("^(?:" + "|".join(R.NO_ANNOTATION).replace(".", "[.]") + ")")).groupBy(*keys, "name").agg(F.max("n").alias("count"))
 
 
 def cable_hits(texts: DataFrame, keys: Keys = ("file_id",), text: str = "text") -> DataFrame:

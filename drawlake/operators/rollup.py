@@ -72,6 +72,17 @@ def tray_lengths(segments: DataFrame, keys: Keys = ("project",), center: str = r
     return n.select(*keys, F.round(F.when(F.col("a") > 0, F.col("a") / 1000).otherwise(F.coalesce("o", F.lit(0.0)) / 2000), 4).alias("tray_m"))
 
 
+def trays_by_height(trays: DataFrame, lengths: DataFrame, keys: Keys = ("project",)) -> DataFrame:
+    """Whole metres of tray by height class: at a known class (keys, height, tray_m) there; without one as the cables' metres
+    (keys, height, length_m) lie, or in the lowest class where there are none. Classes that round to nothing fall away."""
+    t = trays.where("tray_m > 0")
+    total = F.sum("length_m").over(Window.partitionBy(*keys))
+    share = lengths.groupBy(*keys, "height").agg(F.sum("length_m").alias("length_m")).withColumn("share", F.when(total > 0, F.col("length_m") / total)).where("share is not null").select(*keys, F.col("height").alias("_h"), "share")
+    loose = t.where("height is null").select(*keys, "tray_m").join(share, list(keys), "left").select(*keys, F.coalesce("_h", F.lit(LABELS[0])).alias("height"), (F.col("tray_m") * F.coalesce("share", F.lit(1.0))).alias("tray_m"))
+    out = t.where("height is not null").select(*keys, "height", F.col("tray_m").cast("double").alias("tray_m")).unionByName(loose)
+    return out.groupBy(*keys, "height").agg(F.bround(F.round(F.sum("tray_m"), 9)).cast("long").alias("tray_m")).where("tray_m > 0")
+
+
 def apportion(weights: DataFrame, keys: Keys, quantity: str, weight: str, order: Sequence[Column]) -> DataFrame:
     """Adds part: the quantity in proportion to the weights, rounded half to even, largest share first, never more than is
     left, and what remains to the last."""
@@ -101,6 +112,14 @@ def replace_with_spec(cables: DataFrame, spec: DataFrame, keys: Keys = ("project
     return spec_by.join(enough, list(keys), "left_semi").withColumn("source", F.lit("spec")).unionByName(plan.withColumn("source", F.lit("plan")))
 
 
+def transfer_laying(spec: DataFrame, plan: DataFrame, keys: Keys = ("project",)) -> DataFrame:
+    """(keys, cable_type, method, m): the specification's metres (keys, cable_type, total_length_m) by laying method, in the
+    proportions that the plans' cables of the type (keys, cable_type, method, m) have, rounded half to even."""
+    total = F.sum("m").over(Window.partitionBy(*keys, "cable_type"))
+    donors = plan.groupBy(*keys, "cable_type", "method").agg(F.sum("m").alias("m")).withColumn("share", F.when(total > 0, F.col("m") / total)).where("share is not null")
+    return spec.join(donors.select(*keys, "cable_type", "method", "share"), [*keys, "cable_type"]).select(*keys, "cable_type", "method", F.bround(F.col("total_length_m") * F.col("share")).cast("long").alias("m"))
+
+
 def deflate_cables(cables: DataFrame, panels: DataFrame, keys: Keys = ("project",)) -> DataFrame:
     """Guards against schemas that show whole buildings: where lengths pass 15000 m a panel and 50000 m in all, and the
     schemas name over twice the specification's panels, lengths shrink by that ratio, or fall away below a fifth.
@@ -151,11 +170,24 @@ def conduit_by_diameter(cables: DataFrame, keys: Keys = ("project",)) -> DataFra
     return m.select(*keys, "diameter", length.cast("long").alias("length_m"), F.ceil(length / 0.8).cast("long").alias("holders"))
 
 
-def merge_conduit(derived: DataFrame, spec: DataFrame, n_cables: DataFrame, keys: Keys = ("project",)) -> DataFrame:
-    """Derived conduit of diameters that the specification lacks, scaled down to twice the cables' number (200 at least) in all."""
-    d = derived.join(spec.select(*keys, "diameter"), [*keys, "diameter"], "left_anti").join(n_cables, list(keys))
-    total, cap = F.sum("length_m").over(Window.partitionBy(*keys)), F.greatest(2 * F.col("n_cables"), F.lit(200))
-    return d.withColumn("length_m", F.when(total > cap, F.bround(F.col("length_m") * cap / total).cast("long")).otherwise(F.col("length_m"))).drop("n_cables")
+def merge_conduit(derived: DataFrame, spec: DataFrame, cables: DataFrame, keys: Keys = ("project",)) -> DataFrame:
+    """(keys, diameter, length_m, holders): derived conduit of diameters that the specification lacks, scaled down to twice the
+    cables' metres (200 at least) in all; where both name fewer than three diameters, 20 and 25 too, from the cables that take them.
+
+    ``derived``: (keys, diameter, length_m, holders); ``spec``: (keys, diameter); ``cables``: (keys, cable_type, total_length_m).
+    """
+    from drawlake.functions.cables import cable_attrs
+
+    metres = cables.groupBy(*keys).agg(F.sum("total_length_m").alias("_m"))
+    d = derived.join(spec.select(*keys, "diameter"), [*keys, "diameter"], "left_anti").join(metres, list(keys))
+    total, cap = F.sum("length_m").over(Window.partitionBy(*keys)), F.greatest(2 * F.col("_m"), F.lit(200))
+    d = d.withColumns({"_t": total, "_k": F.when(total > cap, cap / total).otherwise(1.0)})
+    d = d.select(*keys, "diameter", *[F.bround(F.col(c) * F.col("_k")).cast("long").alias(c) for c in ("length_m", "holders")])
+    named = d.select(*keys, "diameter").unionByName(spec.select(*keys, "diameter")).distinct()
+    few = metres.join(named.groupBy(*keys).agg(F.count("*").alias("_n")), list(keys), "left").where(F.coalesce("_n", F.lit(0)) < 3).select(*keys)
+    usual = cables.select(*keys, cable_attrs(F.col("cable_type"))["conduit_mm"].alias("diameter"), F.bround(F.col("total_length_m") * 0.9).alias("m")).where(F.col("diameter").isin(20, 25))
+    usual = usual.join(few, list(keys), "left_semi").join(named, [*keys, "diameter"], "left_anti").groupBy(*keys, "diameter").agg(F.sum("m").cast("long").alias("length_m")).where("length_m > 0")
+    return d.unionByName(usual.withColumn("holders", F.ceil(F.col("length_m") / 0.8).cast("long")))
 
 
 def dedup_cables(cables: DataFrame, keys: Keys = ("project",)) -> DataFrame:
@@ -196,13 +228,25 @@ def grand_totals(items: DataFrame, keys: Keys) -> DataFrame:
     return items.rollup(*keys).agg(F.sum("count").cast("long").alias("count"), F.grouping_id().alias("level"))
 
 
-def commissioning(panels: DataFrame, cables: DataFrame, keys: Keys = ("project",)) -> DataFrame:
-    """Quantities of tests: lines (cables, or circuits, or breakers where those are missing), twice as many measurements,
-    a third as many phase checks, one breaker test a panel."""
-    p = panels.groupBy(*keys).agg(F.count("*").alias("n_panels"), F.sum("circuit_count").alias("circuits"))
+def commissioning(panels: DataFrame, cables: DataFrame, keys: Keys = ("project",), equip: DataFrame | None = None, floors: int = 1) -> DataFrame:
+    """Quantities of tests: lines, twice as many measurements, a third as many phase checks, one breaker test a panel.
+
+    Lines are the cables by floor and the panels' feeds; without any, the panels' circuits (one at least each) and feeds;
+    without those, the luminaires; one at least where there is any equipment. ``panels``: (keys, circuit_count, has_feed if known);
+    ``cables``: (keys, count); ``equip``: (keys, category, count).
+    """
+    feed = F.col("has_feed").cast("int") if "has_feed" in panels.columns else F.lit(0)
+    p = panels.groupBy(*keys).agg(F.count("*").alias("n_panels"), F.sum(F.greatest(F.coalesce("circuit_count", F.lit(0)), F.lit(1))).alias("circuits"), F.sum(feed).alias("feeds"))
     c = cables.groupBy(*keys).agg(F.sum("count").alias("n_cables"))
-    lines = F.coalesce(F.when(F.col("n_cables") > 0, F.col("n_cables")), F.when(F.col("circuits") > 0, F.col("circuits")), F.col("n_panels"), F.lit(0))
-    return p.join(c, list(keys), "full_outer").select(*keys, lines.cast("long").alias("lines"), (lines * 2).cast("long").alias("measurements"), F.ceil(lines / 3).cast("long").alias("phase_checks"), F.coalesce("n_panels", F.lit(0)).alias("breaker_tests"))
+    out = p.join(c, list(keys), "full_outer")
+    if equip is not None:
+        out = out.join(equip.groupBy(*keys).agg(F.sum(F.when(F.col("category") == "luminaire", F.col("count")).otherwise(0)).alias("lights"), F.sum("count").alias("items")), list(keys), "full_outer")
+    else:
+        out = out.withColumns({"lights": F.lit(0), "items": F.lit(0)})
+    none = lambda c: F.coalesce(F.col(c), F.lit(0))
+    runs = F.bround(none("n_cables") / floors) + none("feeds")
+    lines = F.when(runs > 0, runs).when(none("circuits") + none("feeds") > 0, none("circuits") + none("feeds")).when(none("lights") > 0, none("lights")).otherwise(F.when(none("items") > 0, 1).otherwise(0))
+    return out.select(*keys, lines.cast("long").alias("lines"), (lines * 2).cast("long").alias("measurements"), F.ceil(lines / 3).cast("long").alias("phase_checks"), none("n_panels").alias("breaker_tests"))
 
 
 def earthwork(electrodes: DataFrame, keys: Keys = ("project",)) -> DataFrame:

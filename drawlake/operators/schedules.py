@@ -47,9 +47,10 @@ def cable_runs(words: DataFrame, keys: Keys = ("file_id", "page")) -> DataFrame:
 
 
 def cable_schedule(runs: DataFrame, keys: Keys = ("file_id",)) -> DataFrame:
-    """By group label, or panel and section where it is missing: runs, distinct sections and brands, metres (null if none is given), pages."""
+    """By group label, or panel and section where it is missing: runs, distinct sections and brands, metres (null if none is given), pages, and colours where runs have them."""
+    more = [F.array_sort(F.collect_set("color")).alias("colors")] if "color" in runs.columns else []
     label = F.coalesce("group_label", F.concat_ws("-", "panel", "section"))
-    return runs.groupBy(*keys, label.alias("label")).agg(F.count("*").alias("n_runs"), F.array_sort(F.collect_set("section")).alias("sections"), F.array_sort(F.collect_set("brand")).alias("brands"), F.round(F.sum("length_m"), 3).alias("length_m"), F.array_sort(F.collect_set("page")).alias("pages"))
+    return runs.groupBy(*keys, label.alias("label")).agg(F.count("*").alias("n_runs"), F.array_sort(F.collect_set("section")).alias("sections"), F.array_sort(F.collect_set("brand")).alias("brands"), F.round(F.sum("length_m"), 3).alias("length_m"), F.array_sort(F.collect_set("page")).alias("pages"), *more)
 
 
 def panels(texts: DataFrame, breakers: DataFrame, circuits: DataFrame, keys: Keys = ("file_id",)) -> DataFrame:

@@ -104,9 +104,11 @@ def page_zones(pages: DataFrame, segments: DataFrame, legends: DataFrame, keys:
     return margins.unionByName(padded).unionByName(block.select(*keys, F.lit("title").alias("zone"), "x0", "y0", "x1", "y1"))
 
 
-def spec_zones(words: DataFrame, segments: DataFrame, keys: Keys = ("file_id", "page"), word: str = r"(?iu)^(спецификация|ведомость)", dx: float = 400.0, dy: float = 200.0, least: int = 3) -> DataFrame:
-    """Zones of tables: a heading word with at least three horizontal lines below it."""
-    heads = words.where(F.col("text").rlike(word)).select(*keys, F.col("seq").alias("head_seq"), F.col("x0").alias("hx"), F.col("top").alias("hy"))
+def spec_zones(words: DataFrame, segments: DataFrame, keys: Keys = ("file_id", "page"), word: str = r"(?iu)^(спецификация|ведомость)", dx: float = 400.0, dy: float = 200.0, least: int = 3, legends: DataFrame | None = None) -> DataFrame:
+    """Zones of tables: a heading word, outside the legends if any are given, with at least three horizontal lines below it."""
+    heads = words.where(F.col("text").rlike(word))
+    heads = heads if legends is None else exclude_zones(heads, legends, keys, x="x0", y="top", strict=False)
+    heads = heads.select(*keys, F.col("seq").alias("head_seq"), F.col("x0").alias("hx"), F.col("top").alias("hy"))
     lines = segments.where((F.abs(F.col("y1") - F.col("y0")) < 2) & (F.abs(F.col("x1") - F.col("x0")) > 25)).select(*keys, F.least("x0", "x1").alias("lx0"), F.greatest("x0", "x1").alias("lx1"), F.col("y0").alias("ly"))
     near = heads.join(lines, list(keys)).where((F.col("ly") >= F.col("hy")) & (F.col("ly") - F.col("hy") < dy) & (F.abs(F.col("lx0") - F.col("hx")) < dx))
     return near.groupBy(*keys, "head_seq").agg(F.count("*").alias("n_lines"), F.min("lx0").alias("x0"), F.min("hy").alias("y0"), F.max("lx1").alias("x1"), F.max("ly").alias("y1")).where(F.col("n_lines") >= least)

@@ -666,15 +666,15 @@ def e31_page_defaults(spark, sf_dir):
     return schedules.page_defaults(h.where("level > 25"), h.where("height < 4"))
 
 
-@query("""WITH p AS (SELECT l_suppkey AS project, count(*) AS n, sum(CASE WHEN l_suppkey % 3 = 0 THEN 0 ELSE l_linenumber END) AS c FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1), c AS (SELECT l_suppkey AS project, sum(l_quantity)::BIGINT AS n FROM lineitem WHERE l_suppkey % 2 = 0 GROUP BY 1),
-l AS (SELECT project, p.n AS panels, CASE WHEN c.n > 0 THEN c.n WHEN p.c > 0 THEN p.c ELSE coalesce(p.n, 0) END::BIGINT AS lines FROM p FULL JOIN c USING (project)), e AS (SELECT l_suppkey AS project, count(*) AS n FROM lineitem WHERE l_linenumber = 1 GROUP BY 1)
+@query("""WITH p AS (SELECT l_suppkey AS project, count(*) AS n, sum(CASE WHEN l_suppkey % 3 = 0 THEN 1 ELSE l_linenumber END) AS c, count_if(l_linenumber = 7) AS f FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1), c AS (SELECT l_suppkey AS project, sum(l_quantity)::BIGINT AS n FROM lineitem WHERE l_suppkey % 2 = 0 GROUP BY 1),
+l AS (SELECT project, p.n AS panels, CASE WHEN round_even(coalesce(c.n, 0) / 3, 0) + coalesce(p.f, 0) > 0 THEN round_even(coalesce(c.n, 0) / 3, 0) + coalesce(p.f, 0) ELSE coalesce(p.c, 0) END::BIGINT AS lines FROM p FULL JOIN c USING (project)), e AS (SELECT l_suppkey AS project, count(*) AS n FROM lineitem WHERE l_linenumber = 1 GROUP BY 1)
 SELECT project, lines, lines * 2 AS measurements, ceil(lines / 3)::BIGINT AS phase_checks, coalesce(panels, 0) AS breaker_tests, replace(printf('%.1f', e.n * 3.2::DOUBLE), '.', ',') AS earth FROM l LEFT JOIN e USING (project)""")
 def e33_commissioning(spark, sf_dir):
     li = read(spark, sf_dir, "lineitem").withColumn("project", F.col("l_suppkey"))
-    p = li.where("l_returnflag = 'A'").selectExpr("project", "CASE WHEN l_suppkey % 3 = 0 THEN 0 ELSE l_linenumber END AS circuit_count")
+    p = li.where("l_returnflag = 'A'").selectExpr("project", "CASE WHEN l_suppkey % 3 = 0 THEN 0 ELSE l_linenumber END AS circuit_count", "l_linenumber = 7 AS has_feed")
     c = li.where("l_suppkey % 2 = 0").selectExpr("project", "cast(l_quantity AS BIGINT) AS count")
     e = rollup.earthwork(li.where("l_linenumber = 1").selectExpr("project", "1 AS count")).withColumnRenamed("qty", "earth")
-    return rollup.commissioning(p, c).join(e, "project", "left")
+    return rollup.commissioning(p, c, floors=3).join(e, "project", "left")
 
 
 @query("SELECT p_brand AS \"case\", p_type AS method, count(*) AS n_items, count_if(p_size % 4 = 0) AS no_symbol, count_if(p_size % 3 = 0 OR length(p_name) < 8) AS poor_description FROM part GROUP BY ALL")
@@ -699,6 +699,64 @@ def e39_bill_patterns(spark, sf_dir):
     return compare.bill_patterns(derived(spark, sf_dir, "part", f"{names} AS name, CASE WHEN p_size % 4 = 2 THEN 'м' ELSE 'шт' END AS unit, p_retailprice AS qty"))
 
 
+@query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_size + 0.5::DOUBLE WHEN 1 THEN p_size::DOUBLE END AS length_m, CASE p_partkey % 4 WHEN 0 THEN 'ППГнг' WHEN 1 THEN 'ВБШвнг' WHEN 2 THEN 'ВВГнг' END AS brand FROM part")
+def b22_reversed_tokens(spark, sf_dir):
+    rows = derived(spark, sf_dir, "part", f"p_partkey, reverse({case('p_partkey % 3', '''concat('L=', p_size, ',5м')''', '''concat('L=', p_size, 'м')''', '''concat('L=', p_size)''')}) AS t, reverse({case('p_partkey % 4', '''concat('ППГнг(А)-HF', p_size)''', '''concat('ВБШвнг', p_size)''', '''concat('ВВГнг', p_size)''', 'p_name')}) AS b")
+    return rows.select("p_partkey", C.reversed_length(F.col("t")).alias("length_m"), C.reversed_brand(F.col("b")).alias("brand"))
+
+
+_LABEL_TEXT = "CASE WHEN l_partkey % 50 = 0 THEN 'ВЫХОД' WHEN l_linenumber < 3 THEN concat(l_partkey % 20) WHEN l_linenumber < 5 THEN concat(l_partkey % 20, 'АЭ') WHEN l_linenumber = 5 THEN concat(l_partkey % 20, 'Б') ELSE 'текст' END"
+
+
+@query(f"""WITH t AS (SELECT l_suppkey AS file_id, l_partkey % 20 AS k, l_partkey % 50 = 0 AS special, l_linenumber AS n, {_LABEL_TEXT} AS label, l_quantity AS x, l_extendedprice AS y FROM lineitem WHERE NOT (l_quantity > 10 AND l_quantity < 20 AND l_extendedprice > 20000 AND l_extendedprice < 60000))
+SELECT file_id, label, CASE WHEN special THEN 'special' ELSE 'unlisted' END AS kind, count(*) AS count FROM t WHERE special OR (n = 5) OR (n < 5 AND k >= 10) GROUP BY ALL""")
+def e1_unlisted_labels(spark, sf_dir):
+    t = derived(spark, sf_dir, "lineitem", f"l_suppkey AS file_id, {_LABEL_TEXT} AS text, l_quantity AS x, l_extendedprice AS y")
+    legend = read(spark, sf_dir, "supplier").selectExpr("s_suppkey AS file_id", "explode(sequence(0, 9)) AS n").selectExpr("file_id", "cast(n AS STRING) AS symbol")
+    return counting.unlisted_labels(t, legend, derived(spark, sf_dir, "supplier", "s_suppkey AS file_id, 10.0 AS x0, 20000.0 AS y0, 20.0 AS x1, 60000.0 AS y1"))
+
+
+@query("""WITH w AS (SELECT l_suppkey AS file_id, l_partkey % 30 AS k, l_linenumber AS n FROM lineitem WHERE l_partkey % 13 > 1)
+SELECT file_id, CASE WHEN k < 12 AND n % 3 = 1 THEN concat(k) ELSE concat(k, CASE n % 3 WHEN 0 THEN '' WHEN 1 THEN 'АЭ' ELSE 'Б' END) END AS symbol, CASE WHEN k < 12 AND n % 3 = 1 THEN 'variant' WHEN k < 12 AND n % 3 = 0 THEN 'exact' ELSE 'unlisted' END AS kind, count(*) AS count FROM w WHERE NOT (k = 0 AND n % 3 = 0 AND FALSE) GROUP BY ALL""")
+def e2_count_body_tokens(spark, sf_dir):
+    token = "concat(l_partkey % 30, CASE l_linenumber % 3 WHEN 0 THEN '' WHEN 1 THEN 'АЭ' ELSE 'Б' END)"
+    lines = derived(spark, sf_dir, "lineitem", f"l_suppkey AS file_id, CASE l_partkey % 13 WHEN 0 THEN '1 2 3 4 5' WHEN 1 THEN '123456 7890' ELSE concat(' щит  ', {token}, ' L=5м') END AS text")
+    symbols = read(spark, sf_dir, "nation").where("n_nationkey < 12").selectExpr("cast(n_nationkey AS STRING) AS symbol")
+    return counting.count_body_tokens(lines, symbols)
+
+
+@query(f"""WITH t AS (SELECT l_suppkey AS project, CASE WHEN l_linenumber = 1 THEN 'до 5 метров' WHEN l_linenumber = 2 THEN 'от 5 до 13 метров' END AS height, l_quantity AS m FROM lineitem WHERE l_linenumber <= 3), c AS (SELECT l_suppkey AS project, CASE WHEN l_partkey % 2 = 0 THEN 'до 5 метров' ELSE 'от 20 до 35 метров' END AS height, sum(l_quantity) AS m FROM lineitem WHERE l_suppkey % 3 > 0 GROUP BY ALL),
+s AS (SELECT project, height, m / sum(m) OVER (PARTITION BY project) AS share FROM c), a AS (SELECT project, height, m FROM t WHERE height IS NOT NULL UNION ALL SELECT t.project, coalesce(s.height, 'до 5 метров'), t.m * coalesce(s.share, 1.0) FROM t LEFT JOIN s ON t.project = s.project WHERE t.height IS NULL)
+SELECT project, height, round_even(round(sum(m), 9), 0)::BIGINT AS tray_m FROM a GROUP BY ALL HAVING round_even(round(sum(m), 9), 0) > 0""")
+def e14_trays_by_height(spark, sf_dir):
+    t = read(spark, sf_dir, "lineitem").where("l_linenumber <= 3").selectExpr("l_suppkey AS project", "CASE WHEN l_linenumber = 1 THEN 'до 5 метров' WHEN l_linenumber = 2 THEN 'от 5 до 13 метров' END AS height", "l_quantity AS tray_m")
+    c = read(spark, sf_dir, "lineitem").where("l_suppkey % 3 > 0").selectExpr("l_suppkey AS project", "CASE WHEN l_partkey % 2 = 0 THEN 'до 5 метров' ELSE 'от 20 до 35 метров' END AS height", "l_quantity AS length_m")
+    return rollup.trays_by_height(t, c)
+
+
+@query("""WITH s AS (SELECT l_suppkey AS project, concat('T', l_partkey % 9) AS cable_type, sum(l_quantity)::BIGINT AS q FROM lineitem WHERE l_linenumber < 3 GROUP BY ALL), p AS (SELECT l_suppkey AS project, concat('T', l_partkey % 12) AS cable_type, l_returnflag AS method, sum(l_quantity)::BIGINT AS m FROM lineitem WHERE l_linenumber > 4 AND l_partkey % 12 > 2 GROUP BY ALL),
+h AS (SELECT *, m / sum(m) OVER (PARTITION BY project, cable_type) AS share FROM p)
+SELECT s.project, s.cable_type, method, round_even(q * share, 0)::BIGINT AS m FROM s JOIN h ON s.project = h.project AND s.cable_type = h.cable_type""")
+def e16_transfer_laying(spark, sf_dir):
+    li = read(spark, sf_dir, "lineitem")
+    s = li.where("l_linenumber < 3").selectExpr("l_suppkey AS project", "concat('T', l_partkey % 9) AS cable_type", "l_quantity").groupBy("project", "cable_type").agg(F.sum("l_quantity").cast("long").alias("total_length_m"))
+    return rollup.transfer_laying(s, li.where("l_linenumber > 4 AND l_partkey % 12 > 2").selectExpr("l_suppkey AS project", "concat('T', l_partkey % 12) AS cable_type", "l_returnflag AS method", "cast(l_quantity AS BIGINT) AS m"))
+
+
+@query("""WITH c AS (SELECT l_suppkey AS project, l_linenumber AS k, sum(l_quantity)::BIGINT AS m FROM lineitem WHERE l_linenumber <= 4 GROUP BY ALL), t AS (SELECT project, sum(m) AS total FROM c GROUP BY 1),
+d AS (SELECT l_suppkey AS project, CASE l_returnflag WHEN 'A' THEN 16 WHEN 'N' THEN 20 ELSE 32 END AS diameter, sum(l_quantity * (1 + l_suppkey % 4))::BIGINT AS m FROM lineitem WHERE NOT (l_suppkey % 5 < 2 AND l_returnflag <> 'A') GROUP BY ALL), s AS (SELECT s_suppkey AS project, 32 AS diameter FROM supplier WHERE s_suppkey % 2 = 0),
+l AS (SELECT d.* FROM d WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.project = d.project AND s.diameter = d.diameter)), f AS (SELECT l.*, sum(l.m) OVER (PARTITION BY l.project) AS whole, greatest(2 * total, 200) AS cap FROM l JOIN t USING (project)),
+o AS (SELECT project, diameter, round_even(m * CASE WHEN whole > cap THEN cap / whole ELSE 1.0::DOUBLE END, 0)::BIGINT AS length_m, round_even((m // 2) * CASE WHEN whole > cap THEN cap / whole ELSE 1.0::DOUBLE END, 0)::BIGINT AS holders FROM f),
+n AS (SELECT project, diameter FROM o UNION SELECT * FROM s), few AS (SELECT t.project FROM t LEFT JOIN n USING (project) GROUP BY 1 HAVING count(n.diameter) < 3),
+u AS (SELECT project, CASE k WHEN 2 THEN 20 WHEN 3 THEN 25 END AS diameter, round_even(m * 0.9::DOUBLE, 0)::BIGINT AS length_m FROM c WHERE k IN (2, 3))
+SELECT * FROM o UNION ALL SELECT u.project, u.diameter, length_m, ceil(length_m / 0.8::DOUBLE)::BIGINT FROM u JOIN few USING (project) WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.project = u.project AND n.diameter = u.diameter)""")
+def e19_merge_conduit(spark, sf_dir):
+    li = read(spark, sf_dir, "lineitem").withColumn("project", F.col("l_suppkey"))
+    c = li.where("l_linenumber <= 4").withColumn("cable_type", F.expr("concat('ВВГнг(А)-LS 3×', CASE l_linenumber WHEN 1 THEN '1,5' WHEN 2 THEN '2,5' WHEN 3 THEN '4' ELSE '10' END)")).groupBy("project", "cable_type").agg(F.sum("l_quantity").cast("long").alias("total_length_m"))
+    d = li.where("NOT (l_suppkey % 5 < 2 AND l_returnflag <> 'A')").groupBy("project", F.expr("CASE l_returnflag WHEN 'A' THEN 16 WHEN 'N' THEN 20 ELSE 32 END").alias("diameter")).agg(F.sum(F.expr("l_quantity * (1 + l_suppkey % 4)")).cast("long").alias("length_m")).withColumn("holders", F.expr("length_m div 2"))
+    return rollup.merge_conduit(d, read(spark, sf_dir, "supplier").where("s_suppkey % 2 = 0").selectExpr("s_suppkey AS project", "32 AS diameter"), c)
+
+
 # --- ordered rows and tables ----------------------------------------------------------------------------------
 
 _ID_WORD = f"l_suppkey AS file_id, l_orderkey % 4 AS page, {_SEQ} AS seq, CASE WHEN l_linenumber <= 4 THEN cast(l_partkey % 60 + 1 AS STRING) ELSE 'Светильник' END AS text, CASE WHEN l_linenumber <= 4 THEN 100.0 + l_partkey % 3 * 4 ELSE 150.0 + l_partkey % 90 END AS x0, CASE WHEN l_linenumber <= 4 THEN 112.0 + l_partkey % 3 * 4 ELSE 200.0 + l_partkey % 90 END AS x1, floor(l_extendedprice / 10) AS top"
