@@ -1002,26 +1002,100 @@ def _tables(lengths: list[np.ndarray]) -> np.ndarray:
     return np.ascontiguousarray(table[:, _index(wide)])
 
 
+def _lengths_of_many(at: np.ndarray, size: np.ndarray, window) -> tuple[np.ndarray, np.ndarray]:
+    """``_read_lengths`` for many streams that advance together: (rows of lengths, where each stream goes on)."""
+    out = np.zeros((len(at), int(size.max())), np.int64)
+    w = window(at)
+    simple = (w & 1) == 1
+    rows = np.flatnonzero(simple)
+    two, wide = w[rows] >> 1 & 1, w[rows] >> 2 & 1
+    out[rows, w[rows] >> 3 & np.where(wide == 1, 255, 1)] = 1
+    after = 3 + np.where(wide == 1, 8, 1)
+    out[rows[two == 1], (w[rows] >> after & 255)[two == 1]] = 1
+    at = at.copy()
+    at[rows] += after + 8 * two
+    rows = np.flatnonzero(~simple)
+    if not len(rows):
+        return out, at
+    q, size = at[rows] + 1, size[rows]
+    n = (window(q) & 15) + 4
+    w = window(q + 4)
+    own = np.zeros((len(rows), 19), np.int64)
+    for k, symbol in enumerate(CODE_ORDER):
+        own[:, symbol] = np.where(k < n, w >> (3 * k) & 7, 0)
+    q += 4 + 3 * n
+    w = window(q)
+    limited, bits = w & 1 == 1, 2 + 2 * (w >> 1 & 7)
+    left = np.where(limited, 2 + (w >> 4 & (1 << bits) - 1), size)
+    q += np.where(limited, 4 + bits, 1)
+    tables = _tables(list(own))
+    mask = tables.shape[1] - 1
+    live, done, before = np.arange(len(rows)), np.zeros(len(rows), np.int64), np.full(len(rows), 8)
+    while len(live):
+        w = window(q[live])
+        e = tables[live, w & mask].astype(np.int64)
+        bits, symbol = e & 15, e >> 4
+        x = w >> bits
+        again, few, many = symbol == 16, symbol == 17, symbol == 18
+        times = np.where(symbol < 16, 1, np.where(again, 3 + (x & 3), np.where(few, 3 + (x & 7), 11 + (x & 127))))
+        value = np.where(symbol < 16, symbol, np.where(again, before[live], 0))
+        place = done[live]
+        if (place + times > size[live]).any():
+            raise ValueError("a code's lengths run over")
+        out[rows[live], place] = np.where(many | few, 0, value)
+        for k in np.flatnonzero(again).tolist():
+            out[rows[live[k]], place[k] : place[k] + times[k]] = value[k]
+        before[live] = np.where((symbol < 16) & (symbol > 0), symbol, before[live])
+        q[live] += bits + np.where(again, 2, np.where(few, 3, np.where(many, 7, 0)))
+        done[live] += times
+        left[live] -= 1
+        live = live[(done[live] < size[live]) & (left[live] > 0)]
+    at[rows] = q
+    return out, at
+
+
 def decode_many(files: list[bytes]) -> list[np.ndarray]:
-    """The samples of many files, whose code tables are laid out together. Files with grouped codes or varying alpha are read pixel by pixel."""
+    """The samples of many files, whose prefix codes are read together. Files with grouped codes or varying alpha are read pixel by pixel."""
     out: list = [None] * len(files)
     heads = []
     for k, raw in enumerate(files):
         head = _opened(raw)
-        bits, _, height, _, now = head
+        bits = head[0]
         mark = bits.at
         cache_bits = bits.take(4) if bits.take(1) else 0
-        codes = [] if bits.take(1) else [_read_lengths(bits, s) for s in (GREENS + LENGTHS + ((1 << cache_bits) if cache_bits else 0), 256, 256, 256, DISTANCES)]
-        if not codes or np.count_nonzero(codes[3]) > 1:
-            bits.at = mark
-            out[k] = _finished(head, _read_image(bits, now, height, True))
+        grouped = bits.take(1)
+        heads.append((k, head, cache_bits, grouped, mark))
+    raws = [h[1][0].raw for h in heads]
+    begin = 8 * (np.cumsum([0] + [len(r) for r in raws])[:-1])
+    joined = np.frombuffer(b"".join(raws), np.uint8).astype(np.uint64)
+    wide = joined.copy()
+    for k in range(1, 8):
+        wide[:-k] |= joined[k:] << np.uint64(8 * k)
+    last = 8 * len(wide) - 1
+
+    def window(at: np.ndarray) -> np.ndarray:
+        at = np.minimum(at, last)
+        return (wide[at >> 3] >> (at & 7).astype(np.uint64) & np.uint64((1 << 57) - 1)).astype(np.int64)
+
+    plain = [i for i, h in enumerate(heads) if not h[3]]
+    codes, at = [], np.array([heads[i][1][0].at for i in plain], np.int64) + begin[plain]
+    for size in (np.array([GREENS + LENGTHS + (1 << heads[i][2] if heads[i][2] else 0) for i in plain], np.int64), *(np.full(len(plain), n) for n in (256, 256, 256, DISTANCES))):
+        if len(plain):
+            lengths, at = _lengths_of_many(at, size, window)
+            codes.append(lengths)
+    one_alpha = np.count_nonzero(codes[3], axis=1) <= 1 if plain else []
+    tables = [_tables(list(c)) for c in (codes[0], codes[1], codes[2], codes[4])] if plain else []
+    fast = {i: j for j, i in enumerate(plain) if one_alpha[j]}
+    for i, (k, head, cache_bits, _, mark) in enumerate(heads):
+        bits = head[0]
+        if i in fast:
+            j = fast[i]
+            bits.at = int(at[j] - begin[i])
+            argb = _expanded(*_symbols(head, *(t[j] for t in tables)), int(codes[3][j].argmax()) << 24, cache_bits)
         else:
-            heads.append((k, head, cache_bits, codes))
-    if heads:
-        tables = [_tables([h[3][k] for h in heads]) for k in (0, 1, 2, 4)]
-        for j, (k, head, cache_bits, codes) in enumerate(heads):
-            s, first, second = _symbols(head, *(t[j] for t in tables))
-            out[k] = _finished(head, _expanded(s, first, second, int(codes[3].argmax()) << 24, cache_bits))
+            bits.at = mark
+            argb = _read_image(bits, head[4], head[2], True)
+        out[k] = _finished(head, argb)
     return out
 
 
@@ -1029,7 +1103,7 @@ def _symbols(head: tuple, green: np.ndarray, red: np.ndarray, blue: np.ndarray,
     """An image's symbols in order, with (red, blue) of literals and (length, distance) of copies.
 
     What each bit position would read as, and where it would go on, is looked up for all positions at once; then the
-    positions that the stream does go through are followed, sixteen at a step.
+    positions that the stream does go through are followed, eight at a step.
     """
     bits, _, height, _, width = head
     goal = width * height
@@ -1042,48 +1116,52 @@ def _symbols(head: tuple, green: np.ndarray, red: np.ndarray, blue: np.ndarray,
     here = np.arange(last, dtype=np.int32)
     g, r, b = (np.take(t, win & np.uint16(len(t) - 1)) for t in (green, red, blue))
     g = g[:last]
-    s = g >> 4
     p1 = here + (g & 15)
     red_at = np.take(r, p1)
     p2 = p1 + (red_at & 15)
     blue_at = np.take(b, p2)
-    then = np.where(s < GREENS, p2 + (blue_at & 15), p1)
-    first, second = red_at >> 4, blue_at >> 4
-    copies = np.flatnonzero((s >= GREENS) & (s < GREENS + LENGTHS))
+    then = np.where(g < GREENS << 4, p2 + (blue_at & 15), p1)
+    copies = np.flatnonzero((g >= GREENS << 4) & (g < GREENS + LENGTHS << 4))
+    found: tuple = (copies, 0, 0)
     if len(copies):
-        first, second = first.astype(np.int32), second.astype(np.int32)
 
         def number(code, at):
             extra = np.where(code < 4, 0, code - 2 >> 1)
             more = wide[at >> 3].astype(np.int64) >> (at & 7) & ((1 << extra) - 1)
             return np.where(code < 4, code + 1, ((2 + (code & 1)) << extra) + more + 1), np.minimum(at + extra, last)
 
-        length, q = number(s[copies].astype(np.int64) - GREENS, p1[copies])
+        length, q = number((g[copies] >> 4).astype(np.int64) - GREENS, p1[copies])
         d = dist[win[q] & np.uint16(len(dist) - 1)].astype(np.int64)
         back, q = number(d >> 4, np.minimum(q + (d & 15), last))
         near = back <= len(PLANE)
         x, y = _PLANE[np.minimum(back, len(PLANE)) - 1].T
-        first[copies], second[copies] = np.minimum(length, 1 << 24), np.where(near, np.maximum(1, x + y * width), back - len(PLANE))
+        found = copies, np.minimum(length, 1 << 24), np.where(near, np.maximum(1, x + y * width), back - len(PLANE))
         then[copies] = q
     last -= 1
-    then = np.minimum(then, last)
+    np.minimum(then, last, out=then)
     jumps = [then]
-    for _ in range(4):
-        jumps.append(jumps[-1][jumps[-1]])
-    far, at, path = memoryview(jumps[4]), bits.at - 8 * start, []
-    while at < last and len(path) * 16 < goal:
+    for _ in range(3):
+        jumps.append(np.take(jumps[-1], jumps[-1]))
+    far, at, path = memoryview(jumps[3]), bits.at - 8 * start, []
+    while at < last and len(path) * 8 < goal:
         path.append(at)
         at = far[at]
     where = np.array(path, np.int32)
-    for k in (3, 2, 1, 0):
+    for k in (2, 1, 0):
         where = np.stack([where, jumps[k][where]], axis=1).reshape(-1)
-    took = np.where((s[where] >= GREENS) & (s[where] < GREENS + LENGTHS), first[where], 1).astype(np.int64)
+    s = (g[where] >> 4).astype(np.int64)
+    first, second = (red_at[where] >> 4).astype(np.int64), (blue_at[where] >> 4).astype(np.int64)
+    copy = np.flatnonzero((s >= GREENS) & (s < GREENS + LENGTHS))
+    took = np.ones(len(s), np.int64)
+    if len(copy):
+        of = np.searchsorted(found[0], where[copy])
+        first[copy] = took[copy] = found[1][of]
+        second[copy] = found[2][of]
     total = np.cumsum(took)
     n = int(np.searchsorted(total, goal)) + 1
-    if n > len(where) or total[n - 1] != goal or int(then[where[n - 1]]) > bits.size - 8 * start:
+    if n > len(s) or total[n - 1] != goal or int(then[where[n - 1]]) > bits.size - 8 * start:
         raise ValueError("the stream ends early or leaves the image")
-    where = where[:n]
-    return s[where].astype(np.int64), first[where].astype(np.int64), second[where].astype(np.int64)
+    return s[:n], first[:n], second[:n]
 
 
 _PLANE = np.array(PLANE, np.int64)
