@@ -117,6 +117,10 @@ SPECIAL_LABELS = ("ВЫХОД",)
 NO_ANNOTATION = ("На отм", "Щ", "ВРУ", "Гр.")
 #: Lines of running text that hold numbers of grid axes or long numbers.
 GRID_LINE, NUMBER_LINE = r"^[0-9]+(\s+[0-9]+){3,}$", r"^[0-9]{4,}(\s+[0-9]{4,})*$"
+#: Texts of a legend that are neither symbols nor descriptions, and what blocks' names of axes and rooms hold.
+LEGEND_SKIP = ("Условные обозначения", "Обозначение", "Наименование", "Примечание", "Обозначение на планах сети")
+LEGEND_NOISE = r"^(?:Щ[А-ЯЁ]*[0-9].*Гр\.|ЩР[0-9]|РП[0-9]|На отм|[0-9]+[хx×][0-9])"
+NO_BLOCK = "ось|сетки|помещен"
 WIRE_PREFIXES = ("ПуВВнг", "ПуВВ", "ПВС", "ПВ1", "ПВ3", "ШВВП", "ППВ", "АПВ")
 #: Code pages that a garbled name was read in, and those it was written in.
 CODE_PAGES = (("cp857", "cp866"), ("cp850", "cp866"), ("cp1252", "cp1251"), ("latin-1", "cp1251"), ("latin-1", "cp866"), ("iso-8859-15", "cp1251"), ("cp437", "cp866"))

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from drawlake.functions import rules as R
 from drawlake.functions.text import is_auto_detected, is_non_countable
 from drawlake.operators.sequences import density_runs, identifier_runs, table_bounds
 from drawlake.operators.spatial import exclude_zones, in_box
@@ -50,6 +51,70 @@ def legend_descriptions(texts: DataFrame, boxes: DataFrame, keys: Keys = ("file_
     return first.select(*keys, F.concat(F.lit("L"), F.row_number().over(order)).alias("symbol"), "description", F.col("p.x").alias("x"), F.col("p.y").alias("y"), F.col("p.seq").alias("seq"))
 
 
+def _level_pairs(left: DataFrame, right: DataFrame, keys: Keys, reach: str) -> DataFrame:
+    """Pairs of rows of a drawing (l_seq, r_seq, dist) whose heights are at most ``reach`` apart: a column of ``left`` that is equal for a drawing."""
+    cell = lambda y: F.floor(F.col(y) / F.col("_reach")).cast("long")
+    a = left.select(*keys, F.col("seq").alias("l_seq"), F.col("y").alias("l_y"), F.col(reach).alias("_reach")).withColumn("_cell", cell("l_y"))
+    b = right.join(left.select(*keys, F.col(reach).alias("_reach")).distinct(), list(keys)).select(*keys, F.col("seq").alias("r_seq"), F.col("y").alias("r_y"), "_reach")
+    b = b.withColumn("_cell", F.explode(F.array(cell("r_y") - 1, cell("r_y"), cell("r_y") + 1))).drop("_reach")
+    dist = F.abs(F.col("l_y") - F.col("r_y"))
+    return a.join(b, [*keys, "_cell"]).withColumn("dist", dist).where(F.col("dist") <= F.col("_reach")).select(*keys, "l_seq", "r_seq", "dist")
+
+
+def _inside(df: DataFrame, boxes: DataFrame, keys: Keys) -> DataFrame:
+    b = boxes.select(*keys, "x0", "y0", "x1", "y1")
+    same = reduce(lambda a, c: a & c, [df[k] == b[k] for k in keys])
+    return df.join(b, same & in_box(df["x"], df["y"], b, strict=True), "left_semi")
+
+
+def legend_numbered(texts: DataFrame, boxes: DataFrame, keys: Keys = ("file_id",)) -> DataFrame:
+    """(keys, symbol, description): a legend's symbols and descriptions one to one, nearest in height first.
+
+    Symbols are short labels within 2000 of the upper median of their x (where there are three); descriptions are the longer
+    texts right of it that name something countable, or all, if none does. A pair may lie apart by the larger of 500 and 1.2 times
+    the upper median gap (over 20) between symbols, 1000 where there are fewer than three or no gap; and three times as much, if
+    both are left over. Symbols at one height are no legend. Of equal symbols the lowest one's description holds.
+    """
+    from drawlake.operators.iterative import greedy_match
+    from drawlake.operators.sequences import upper_median
+
+    line = F.trim(F.element_at(F.split("text", "\n"), 1))
+    t = _inside(texts, boxes, keys).withColumn("line", line).where(~F.col("line").isin(*R.LEGEND_SKIP) & ~F.col("line").rlike(R.LEGEND_NOISE))
+    is_symbol = F.col("line").rlike(R.LABEL) & (F.length("line") <= 4)
+    symbols, long = t.where(is_symbol), t.where(~is_symbol & (F.length("line") >= 8))
+    mid = upper_median(symbols, keys, "x").withColumnRenamed("median", "_mid")
+    every = long.join(mid, list(keys), "left")
+    named = every.where(~is_non_countable(F.col("line")) & (F.col("_mid").isNull() | (F.col("x") > F.col("_mid"))))
+    descriptions = named.unionByName(every.join(named.select(*keys).distinct(), list(keys), "left_anti"))
+    n = symbols.groupBy(*keys).agg(F.count("*").alias("_n"))
+    symbols = symbols.join(mid, list(keys)).join(n, list(keys)).where((F.col("_n") < 3) | (F.abs(F.col("x") - F.col("_mid")) < 2000))
+    flat = symbols.groupBy(*keys).agg((F.max("y") - F.min("y")).alias("_high"), F.count("*").alias("_left"))
+    symbols = symbols.drop("_n", "_mid").join(flat.where((F.col("_high") >= 300) | (F.col("_left") <= 3)), list(keys)).drop("_high")
+    w = Window.partitionBy(*keys).orderBy("y", "seq")
+    gap = upper_median(symbols.withColumn("gap", F.col("y") - F.lag("y").over(w)).where("gap > 20"), keys, "gap")
+    bound = F.when((F.col("_left") >= 3) & F.col("median").isNotNull(), F.greatest(F.lit(500.0), F.col("median") * 1.2)).otherwise(1000.0)
+    symbols = symbols.join(gap, list(keys), "left").withColumn("_reach3", bound * 3)
+    # a second pass at three times the bound takes what one pass at that bound would
+    taken = greedy_match(_level_pairs(symbols, descriptions, keys, "_reach3"), keys, "l_seq", "r_seq", "dist")
+    pairs = taken.join(symbols.select(*keys, F.col("seq").alias("l_seq"), F.col("line").alias("symbol"), F.col("y").alias("_y")), [*keys, "l_seq"])
+    pairs = pairs.join(descriptions.select(*keys, F.col("seq").alias("r_seq"), F.col("line").alias("description")), [*keys, "r_seq"])
+    return pairs.groupBy(*keys, "symbol").agg(F.min_by("description", F.struct("_y", (-F.col("l_seq")).alias("o"))).alias("description"))
+
+
+def legend_blocks(inserts: DataFrame, texts: DataFrame, boxes: DataFrame, keys: Keys = ("file_id",)) -> DataFrame:
+    """(keys, symbol, block_name, description): a legend's block inserts and descriptions one to one, nearest in height first, 3000
+    apart at most; symbols B1, B2, ... go from the top."""
+    from drawlake.operators.iterative import greedy_match
+
+    line = F.trim(F.element_at(F.split("text", "\n"), 1))
+    d = _inside(texts, boxes, keys).withColumn("line", line).where(~F.col("line").isin(*R.LEGEND_SKIP) & (F.length("line") >= 8))
+    b = _inside(inserts, boxes, keys).where(~F.lower("block_name").rlike(R.NO_BLOCK)).withColumn("_reach", F.lit(3000.0))
+    taken = greedy_match(_level_pairs(b, d, keys, "_reach"), keys, "l_seq", "r_seq", "dist")
+    pairs = taken.join(b.select(*keys, F.col("seq").alias("l_seq"), "block_name", F.col("y").alias("_y")), [*keys, "l_seq"]).join(d.select(*keys, F.col("seq").alias("r_seq"), F.col("line").alias("description")), [*keys, "r_seq"])
+    order = Window.partitionBy(*keys).orderBy(F.desc("_y"), "l_seq")
+    return pairs.select(*keys, F.concat(F.lit("B"), F.row_number().over(order)).alias("symbol"), "block_name", "description")
+
+
 def legend_headers(words: DataFrame, keys: Keys = ("file_id", "page"), guard: float = 15.0) -> DataFrame:
     """Header words of legends that aren't column heads, that is, without 'Поз.' or 'Кол.' within the guard's height."""
     heads = words.where(F.col("text").rlike(HEADER))

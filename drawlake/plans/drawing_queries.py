@@ -757,6 +757,36 @@ def e19_merge_conduit(spark, sf_dir):
     return rollup.merge_conduit(d, read(spark, sf_dir, "supplier").where("s_suppkey % 2 = 0").selectExpr("s_suppkey AS project", "32 AS diameter"), c)
 
 
+#: Small legends: an order's lines are symbols, descriptions, or neither.
+_ENTRY = "l_orderkey AS file_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS seq, CASE WHEN l_partkey % 11 = 0 THEN 'Наименование' WHEN l_linenumber % 2 = 1 THEN concat(l_partkey % 40) WHEN l_partkey % 7 = 0 THEN concat('Прокладка ', l_partkey) ELSE concat('Светильник ', l_partkey) END AS text, CASE WHEN l_linenumber % 2 = 1 THEN 100.0 ELSE 100.0 + l_quantity END AS x, l_extendedprice / 20 AS y"
+_ENTRY_BOX = "o_orderkey AS file_id, 0.0 AS x0, 0.0 AS y0, 145.0 AS x1, 6000.0 AS y1"
+
+
+def _greedy_sql(pairs: str, keys: str) -> str:
+    """CTE g: pairs (keys, l, r, d) taken one to one, nearest first."""
+    first = f"row_number() OVER (PARTITION BY {keys}, l ORDER BY d, l, r) = 1 AND row_number() OVER (PARTITION BY {keys}, r ORDER BY d, l, r) = 1"
+    return f"""pairs AS MATERIALIZED ({pairs}), g AS (SELECT 0 AS i, *, {first} AS taken FROM pairs UNION ALL SELECT i, {keys}, l, r, d, {first} FROM (SELECT g.i + 1 AS i, g.{keys}, g.l, g.r, g.d FROM g WHERE NOT g.taken AND NOT EXISTS (SELECT 1 FROM g h WHERE h.taken AND h.{keys} = g.{keys} AND (h.l = g.l OR h.r = g.r))))"""
+
+
+@query(f"""WITH RECURSIVE t AS MATERIALIZED (SELECT * FROM (SELECT {_ENTRY} FROM lineitem) WHERE text <> 'Наименование' AND x > 0 AND x < 145 AND y > 0 AND y < 6000), s0 AS (SELECT * FROM t WHERE length(text) <= 4), f AS (SELECT file_id FROM s0 GROUP BY 1 HAVING max(y) - min(y) >= 300 OR count(*) <= 3), s AS MATERIALIZED (SELECT s0.* FROM s0 JOIN f USING (file_id)),
+b AS (SELECT *, x > 100 AND text NOT LIKE 'Прокладка%' AS named FROM t WHERE length(text) >= 8), c AS (SELECT file_id, bool_or(named OR (text NOT LIKE 'Прокладка%' AND file_id NOT IN (SELECT file_id FROM s0))) AS has FROM b GROUP BY 1), d AS MATERIALIZED (SELECT b.* FROM b JOIN c USING (file_id) WHERE NOT has OR named),
+q AS (SELECT file_id, gap, row_number() OVER (PARTITION BY file_id ORDER BY gap) AS k, count(*) OVER (PARTITION BY file_id) AS n FROM (SELECT file_id, y - lag(y) OVER (PARTITION BY file_id ORDER BY y, seq) AS gap FROM s) WHERE gap > 20), m AS (SELECT file_id, gap FROM q WHERE k = n // 2 + 1),
+r AS (SELECT s.file_id, CASE WHEN count(*) >= 3 AND max(m.gap) IS NOT NULL THEN greatest(500, max(m.gap) * 1.2::DOUBLE) ELSE 1000 END * 3 AS reach FROM s LEFT JOIN m USING (file_id) GROUP BY 1),
+{_greedy_sql("SELECT s.file_id, s.seq AS l, d.seq AS r, abs(s.y - d.y) AS d FROM s JOIN d ON s.file_id = d.file_id JOIN r ON r.file_id = s.file_id WHERE abs(s.y - d.y) <= reach", "file_id")}
+SELECT file_id, symbol, description FROM (SELECT g.file_id, s.text AS symbol, d.text AS description, row_number() OVER (PARTITION BY g.file_id, s.text ORDER BY s.y, s.seq DESC) AS p FROM g JOIN s ON s.file_id = g.file_id AND s.seq = g.l JOIN d ON d.file_id = g.file_id AND d.seq = g.r WHERE taken) WHERE p = 1""")
+def d1_legend_numbered(spark, sf_dir):
+    return legends.legend_numbered(derived(spark, sf_dir, "lineitem", _ENTRY), derived(spark, sf_dir, "orders", _ENTRY_BOX))
+
+
+@query(f"""WITH RECURSIVE t AS MATERIALIZED (SELECT * FROM (SELECT {_ENTRY} FROM lineitem) WHERE x > 0 AND x < 145 AND y > 0 AND y < 6000), s AS MATERIALIZED (SELECT * FROM t WHERE length(text) <= 4 AND text NOT LIKE '1%'), d AS MATERIALIZED (SELECT * FROM t WHERE length(text) >= 8 AND text <> 'Наименование'),
+{_greedy_sql("SELECT s.file_id, s.seq AS l, d.seq AS r, abs(s.y - d.y) AS d FROM s JOIN d ON s.file_id = d.file_id AND abs(s.y - d.y) <= 3000", "file_id")}
+SELECT g.file_id, concat('B', row_number() OVER (PARTITION BY g.file_id ORDER BY s.y DESC, s.seq)) AS symbol, concat('b', s.text) AS block_name, d.text AS description FROM g JOIN s ON s.file_id = g.file_id AND s.seq = g.l JOIN d ON d.file_id = g.file_id AND d.seq = g.r WHERE taken""")
+def d1_legend_blocks(spark, sf_dir):
+    t = derived(spark, sf_dir, "lineitem", _ENTRY)
+    blocks = t.where("length(text) <= 4").withColumn("block_name", F.expr("CASE WHEN text LIKE '1%' THEN concat('Ось', text) ELSE concat('b', text) END"))
+    return legends.legend_blocks(blocks, t, derived(spark, sf_dir, "orders", _ENTRY_BOX))
+
+
 # --- ordered rows and tables ----------------------------------------------------------------------------------
 
 _ID_WORD = f"l_suppkey AS file_id, l_orderkey % 4 AS page, {_SEQ} AS seq, CASE WHEN l_linenumber <= 4 THEN cast(l_partkey % 60 + 1 AS STRING) ELSE 'Светильник' END AS text, CASE WHEN l_linenumber <= 4 THEN 100.0 + l_partkey % 3 * 4 ELSE 150.0 + l_partkey % 90 END AS x0, CASE WHEN l_linenumber <= 4 THEN 112.0 + l_partkey % 3 * 4 ELSE 200.0 + l_partkey % 90 END AS x1, floor(l_extendedprice / 10) AS top"
