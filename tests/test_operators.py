@@ -189,3 +189,85 @@ def test_merge_legends(spark):
 def test_merge_tokens(spark):
     words = spark.createDataFrame([("f", 1, 1, "5", 0.0, 5.0, 10.0), ("f", 1, 2, "АЭ", 7.0, 12.0, 11.0), ("f", 1, 3, "7", 50.0, 55.0, 10.0)], "file_id string, page int, seq long, text string, x0 double, x1 double, top double")
     assert sorted(r["text"] for r in spatial.merge_tokens(words).collect()) == ["5АЭ", "7"]
+
+
+def made_detections(seed, n):
+    r = random.Random(seed)
+    return [(i, r.randrange(2), r.randrange(3), r.uniform(0, 600), r.uniform(0, 600), r.uniform(10, 120), r.uniform(10, 120), round(r.uniform(0.1, 1), 3)) for i in range(n)]
+
+
+DETECTION = "det_id long, page long, symbol_index long, cx double, cy double, w double, h double, confidence double"
+
+
+def test_detection_stages_against_a_sequential_form(spark):
+    import numpy as np
+
+    rows = made_detections(3, 260)
+    zones = [(0, 100.0, 100.0, 300.0, 250.0), (1, 0.0, 0.0, 90.0, 600.0)]
+
+    def near(a, b):
+        return ((a[3] - b[3]) ** 2 + (a[4] - b[4]) ** 2) ** 0.5
+
+    def iou(a, b):
+        x = min(a[3] + a[5] / 2, b[3] + b[5] / 2) - max(a[3] - a[5] / 2, b[3] - b[5] / 2)
+        y = min(a[4] + a[6] / 2, b[4] + b[6] / 2) - max(a[4] - a[6] / 2, b[4] - b[6] / 2)
+        both = max(0, x) * max(0, y)
+        return both / (a[5] * a[6] + b[5] * b[6] - both)
+
+    def kept(some, bad):
+        out = []
+        for d in sorted(some, key=lambda d: (-d[7], d[0])):
+            if not any(bad(k, d) for k in out):
+                out.append(d)
+        return out
+
+    want, final = {}, []
+    for page in range(2):
+        single = []
+        for label in range(3):
+            own = [d for d in rows if d[1] == page and d[2] == label]
+            p97, p99 = np.percentile([d[7] for d in own], [97, 99])
+            sure = [d for d in own if d[7] >= max(0.3, min(0.62, max(0.32, p97, p99 - 0.015)))]
+            outside = [d for d in sure if not any(z[0] == page and z[1] < d[3] < z[3] and z[2] < d[4] < z[4] for z in zones)]
+            one = kept(outside, lambda k, d: near(k, d) < max(0.6 * max(k[5], k[6]), 60) or iou(k, d) >= 0.3)
+            want[page, label] = [len(own), len(sure), len(outside), len(one), len(one[:80])]
+            single += one[:80]
+        final += kept(single, lambda k, d: k[2] != d[2] and near(k, d) <= 25 and k[7] - d[7] >= 0.04)
+    z = spark.createDataFrame(zones, "page long, x0 double, y0 double, x1 double, y1 double")
+    got = iterative.detect_counts(spark.createDataFrame(rows, DETECTION), z, ("page",)).collect()
+    for r in got:
+        n = sum(d[1] == r["page"] and d[2] == r["symbol_index"] for d in final)
+        assert [r[c] for c in ("n_raw", "n_sure", "n_outside", "n_single", "n_capped", "n_final")] == [*want[r["page"], r["symbol_index"]], n]
+
+
+def test_places_against_a_sequential_form(spark):
+    rows = made_detections(4, 150)
+    r = random.Random(9)
+    words = [(p, r.choice(["one", "two", "three", "other"]), r.uniform(0, 600), r.uniform(0, 600)) for p in range(2) for _ in range(120)]
+    hints = [(0, "one"), (1, "two"), (2, "three")]
+    want = []
+    for page in range(2):
+        left = sorted((d for d in rows if d[1] == page), key=lambda d: (-d[7], d[0]))
+        order = {d[0]: k for k, d in enumerate(left)}
+        while left:
+            first = left[0]
+            place = [d for d in left if ((d[3] - first[3]) ** 2 + (d[4] - first[4]) ** 2) ** 0.5 < 25]
+            said = {k: sum(w[0] == page and w[1] == t and ((w[2] - first[3]) ** 2 + (w[3] - first[4]) ** 2) ** 0.5 <= 40 for w in words) for k, t in hints}
+            best = max(place, key=lambda d: (said[d[2]], -order[d[0]]))
+            want.append((page, best[2], len(place)))
+            left = [d for d in left if d not in place]
+    got = iterative.disambiguate(spark.createDataFrame(rows, DETECTION), spark.createDataFrame(words, "page long, text string, x0 double, top double"), spark.createDataFrame(hints, "label long, token string"), ["page"]).collect()
+    assert sorted((x["page"], x["symbol_index"], x["n_detections"]) for x in got) == sorted(want)
+
+
+def test_assembled_bill(spark):
+    equip = [("p", "luminaire", "Светильник А", "до 5 метров", 3), ("p", "luminaire", "Светильник А", "от 5 до 13 метров", 2), ("p", "socket", "Розетка Б", "до 5 метров", 4), ("p", "socket", "Розетка В", "до 5 метров", 0)]
+    cables = [("p", "ВВГнг(А)-LS 3×1,5", "в гофре", 10), ("p", "ВВГнг(А)-LS 3×1,5", "в лотке", 5), ("p", "ВВГнг(А)-LS 5×4", "", 7)]
+    got = rollup.assemble_bill(spark.createDataFrame(equip, "project string, category string, name string, height string, count int"), spark.createDataFrame(cables, "project string, cable_type string, method string, length_m long")).orderBy("number", "line").collect()
+    rows = [(r["number"], r["line"], r["name"], r["unit"], r["qty"]) for r in got]
+    assert [x for x in rows if x[1] == 0] == [
+        (1, 0, "Монтаж светильника А на высоте до 5 метров", "шт", 3), (2, 0, "Монтаж светильника А на высоте от 5 до 13 метров", "шт", 2), (3, 0, "Монтаж розетки Б на высоте до 5 метров", "шт", 4),
+        *[(n, 0, x, "м", q) for n, (x, q) in enumerate([("Прокладка кабеля в гофре суммарное сечение до 6 мм2", 10), ("Прокладка кабеля в лотке массой до 1 кг", 5), ("Прокладка кабеля открыто суммарное сечение до 35 мм2", 7)], 4)],
+    ]
+    assert [(n, k, q) for n, k, _, _, q in rows if k] == [(1, 1, 3), (2, 1, 2), (3, 1, 4), (4, 1, 10), (5, 1, 5), (6, 1, 7)]
+    assert sorted(x[2] for x in rows if x[1]) == sorted(["Светильник А"] * 2 + ["Розетка Б", "Кабель ВВГнг(А)-LS сечением 3х1,5", "Кабель ВВГнг(А)-LS сечением 3х1,5", "Кабель ВВГнг(А)-LS сечением 5х4"])
