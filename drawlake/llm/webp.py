@@ -1108,15 +1108,15 @@ def _symbols(head: tuple, green: np.ndarray, red: np.ndarray, blue: np.ndarray,
     bits, _, height, _, width = head
     goal = width * height
     start = bits.at >> 3
-    raw = np.frombuffer(bits.raw, np.uint8)[start : (bits.size >> 3) + 64].astype(np.uint32)
-    wide = raw[:-3] | raw[1:-2] << np.uint32(8) | raw[2:-1] << np.uint32(16) | raw[3:] << np.uint32(24)
-    win = (wide[:, None] >> np.arange(8, dtype=np.uint32)).astype(np.uint16).reshape(-1)
+    raw = np.frombuffer(bits.raw, np.uint8)[start : (bits.size >> 3) + 64].astype(np.int64)
+    wide = raw[:-3] | raw[1:-2] << 8 | raw[2:-1] << 16 | raw[3:] << 24
+    win = np.repeat(wide, 8)
+    win >>= np.arange(len(win)) & 7
     # what lies further than any pixel reaches is behind the end
     last = len(win) - 64
-    here = np.arange(last, dtype=np.int32)
-    g, r, b = (np.take(t, win & np.uint16(len(t) - 1)) for t in (green, red, blue))
+    g, r, b = (np.take(t, win & (len(t) - 1)) for t in (green, red, blue))
     g = g[:last]
-    p1 = here + (g & 15)
+    p1 = np.arange(last) + (g & 15)
     red_at = np.take(r, p1)
     p2 = p1 + (red_at & 15)
     blue_at = np.take(b, p2)
@@ -1127,11 +1127,11 @@ def _symbols(head: tuple, green: np.ndarray, red: np.ndarray, blue: np.ndarray,
 
         def number(code, at):
             extra = np.where(code < 4, 0, code - 2 >> 1)
-            more = wide[at >> 3].astype(np.int64) >> (at & 7) & ((1 << extra) - 1)
+            more = wide[at >> 3] >> (at & 7) & ((1 << extra) - 1)
             return np.where(code < 4, code + 1, ((2 + (code & 1)) << extra) + more + 1), np.minimum(at + extra, last)
 
         length, q = number((g[copies] >> 4).astype(np.int64) - GREENS, p1[copies])
-        d = dist[win[q] & np.uint16(len(dist) - 1)].astype(np.int64)
+        d = dist[win[q] & len(dist) - 1].astype(np.int64)
         back, q = number(d >> 4, np.minimum(q + (d & 15), last))
         near = back <= len(PLANE)
         x, y = _PLANE[np.minimum(back, len(PLANE)) - 1].T
@@ -1146,7 +1146,7 @@ def _symbols(head: tuple, green: np.ndarray, red: np.ndarray, blue: np.ndarray,
     while at < last and len(path) * 8 < goal:
         path.append(at)
         at = far[at]
-    where = np.array(path, np.int32)
+    where = np.array(path, np.int64)
     for k in (2, 1, 0):
         where = np.stack([where, jumps[k][where]], axis=1).reshape(-1)
     s = (g[where] >> 4).astype(np.int64)
