@@ -32,6 +32,32 @@ def merge_elevations(equip: DataFrame, project: str = "project") -> DataFrame:
     return most.groupBy(project, height.alias("height"), "category", "name").agg(F.sum("count").cast("long").alias("count"))
 
 
+def pair_orphans(equip: DataFrame, keys: Keys = ("project",), pair: tuple[str, str] = ("освещение", "привязка"), seq: str = "seq") -> DataFrame:
+    """``equip`` with the elevations of plans that lack their counterpart moved to one that has it.
+
+    Plans of the two types belong together. Elevations of a project are gone through in the order of their first row (by seq):
+    one that has only one of the types moves to the first other elevation of the same height class that has, or by then has
+    got, the other type. Rows of other plan types, and those without an elevation, stay as they are.
+    """
+    from drawlake.functions.text import height_category
+
+    both = F.col("plan_type").isin(*pair) & F.col("elevation").isNotNull()
+    at = equip.where(both).groupBy(*keys, height_category(F.col("elevation")).alias("_class"), "elevation").agg(F.min(seq).alias("_s"), F.bool_or(F.col("plan_type") == pair[0]).alias("a"), F.bool_or(F.col("plan_type") == pair[1]).alias("b"))
+    # a class of a project has a handful of elevations: (elevation, a, b, where it is now) in order
+    one = F.struct("_s", "elevation", "a", "b")
+    lists = at.groupBy(*keys, "_class").agg(F.transform(F.sort_array(F.collect_list(one)), lambda x: F.struct(x["elevation"].alias("e"), x["a"].alias("a"), x["b"].alias("b"), x["elevation"].alias("to"))).alias("_l"))
+
+    def step(state, x):
+        now = F.filter(state, lambda y: y["e"] == x["e"])[0]
+        peer = F.try_element_at(F.filter(state, lambda y: (y["e"] != x["e"]) & (y["to"] == y["e"]) & F.when(now["a"], y["b"]).otherwise(y["a"])), F.lit(1))
+        moves = (now["a"] != now["b"]) & peer.isNotNull()
+        return F.when(~moves, state).otherwise(F.transform(state, lambda y: F.when(y["e"] == now["e"], F.struct(y["e"].alias("e"), y["a"].alias("a"), y["b"].alias("b"), peer["e"].alias("to"))).when(y["e"] == peer["e"], F.struct(y["e"].alias("e"), F.lit(True).alias("a"), F.lit(True).alias("b"), y["to"].alias("to"))).otherwise(y)))
+
+    moved = lists.select(*keys, F.explode(F.aggregate("_l", F.col("_l"), step)).alias("_m")).select(*keys, F.col("_m.e").alias("elevation"), F.col("_m.to").alias("_to"))
+    out = equip.where(both).join(moved, [*keys, "elevation"]).withColumn("elevation", F.col("_to")).select(*equip.columns)
+    return out.unionByName(equip.where(~F.coalesce(both, F.lit(False))))
+
+
 def by_height(equip: DataFrame, keys: Keys = ()) -> DataFrame:
     """(keys, name, category, a column h0 to h3 for each height class, total): rows with a count above 0, class skip apart."""
     from drawlake.functions.text import classify_equipment, normalize_name

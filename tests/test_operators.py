@@ -271,3 +271,31 @@ def test_assembled_bill(spark):
     ]
     assert [(n, k, q) for n, k, _, _, q in rows if k] == [(1, 1, 3), (2, 1, 2), (3, 1, 4), (4, 1, 10), (5, 1, 5), (6, 1, 7)]
     assert sorted(x[2] for x in rows if x[1]) == sorted(["Светильник А"] * 2 + ["Розетка Б", "Кабель ВВГнг(А)-LS сечением 3х1,5", "Кабель ВВГнг(А)-LS сечением 3х1,5", "Кабель ВВГнг(А)-LS сечением 5х4"])
+
+
+def test_orphan_plans_against_a_sequential_form(spark):
+    r = random.Random(6)
+    rows = [(f"p{p}", r.choice(["освещение", "привязка", "привязка", "розетки"]), r.choice([1.0, 2.0, 3.0, 4.0, 7.8, 9.0, 10.0, 14.0, None]), k, 1) for p in range(40) for k in range(r.randrange(1, 9))]
+    limit = lambda e: sum(e >= x for x in (5, 13, 20))
+    want = []
+    for p in sorted({x[0] for x in rows}):
+        groups = {}
+        for x in rows:
+            if x[0] == p and x[1] != "розетки" and x[2] is not None:
+                groups.setdefault(x[2], []).append(x)
+        to = {e: e for e in groups}
+        for e in list(groups):
+            if e not in groups:
+                continue
+            kinds = {x[1] for x in groups[e]}
+            if len(kinds) == 2:
+                continue
+            for other in list(to):
+                if other != e and other in groups and limit(other) == limit(e) and {x[1] for x in groups[other]} - kinds:
+                    groups[other] += groups.pop(e)
+                    to = {a: other if b == e else b for a, b in to.items()}
+                    break
+        want += [(p, x[3], to.get(x[2], x[2]) if x[1] != "розетки" else x[2]) for x in rows if x[0] == p]
+    got = rollup.pair_orphans(spark.createDataFrame(rows, "project string, plan_type string, elevation double, seq long, count long")).collect()
+    key = lambda t: (t[0], t[1])
+    assert sorted(((x["project"], x["seq"], x["elevation"]) for x in got), key=key) == sorted(want, key=key)
