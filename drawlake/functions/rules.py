@@ -121,6 +121,12 @@ GRID_LINE, NUMBER_LINE = r"^[0-9]+(\s+[0-9]+){3,}$", r"^[0-9]{4,}(\s+[0-9]{4,})*
 LEGEND_SKIP = ("Условные обозначения", "Обозначение", "Наименование", "Примечание", "Обозначение на планах сети")
 LEGEND_NOISE = r"^(?:Щ[А-ЯЁ]*[0-9].*Гр\.|ЩР[0-9]|РП[0-9]|На отм|[0-9]+[хx×][0-9])"
 NO_BLOCK = "ось|сетки|помещен"
+#: What tells suppliers, catalogue codes and models in the rows of a specification.
+SUPPLIERS = ("systeme electric", "ostec", "ооо ", "оао ", "«dkc»", "световые технологии", "мгк ", "электрокабель")
+CATALOGUE = r"^[A-Za-z0-9]{5,}[-]?[A-Za-z0-9]*$"
+SERIES = ("LED", "OPL", "ECO", "ARCTIC", "SLICK", "MARS", "LUNA", "STAR", "INSEL", "NERO", "MERCURY")
+NO_CATALOGUE = ("ВБШвнг", "ППГнг", "ВВГнг", "FRHF", "ПуГВнг", "ПуВВнг", "ПуВВ", "ПВС", "ПВ1", "ПВ3", "ШВВП", "ППВ", "АПВ")
+MODELS = ("CONVERSION", "SIRAH", "ATLASDESIGN", "ETUDE")
 WIRE_PREFIXES = ("ПуВВнг", "ПуВВ", "ПВС", "ПВ1", "ПВ3", "ШВВП", "ППВ", "АПВ")
 #: Code pages that a garbled name was read in, and those it was written in.
 CODE_PAGES = (("cp857", "cp866"), ("cp850", "cp866"), ("cp1252", "cp1251"), ("latin-1", "cp1251"), ("latin-1", "cp866"), ("iso-8859-15", "cp1251"), ("cp437", "cp866"))

@@ -62,6 +62,15 @@ def panels(texts: DataFrame, breakers: DataFrame, circuits: DataFrame, keys: Key
     return first.join(b, [*keys, "seq"], "left").join(c, [*keys, "seq"], "left").na.fill(0, ["circuit_count"])
 
 
+def own_section(panels: DataFrame, keys: Keys = ("file_id",), name: str = "name") -> DataFrame:
+    """Panels of the building's own section: where two or more share a suffix like 3.12, only those whose name holds the most
+    frequent one (on ties that of the first panel, emergency panels before others, by name)."""
+    p = panels.withColumns({"_s": F.regexp_extract(name, r"([0-9]+\.[0-9]+)", 1), "_o": F.struct((~F.upper(name).rlike("АО|AO")).alias("a"), F.col(name).alias("b"))})
+    n = p.where("_s <> ''").groupBy(*keys, "_s").agg(F.count("*").alias("_n"), F.min("_o").alias("_f"))
+    best = n.withColumn("_p", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("_n"), "_f"))).where("_p = 1 and _n >= 2").select(*keys, F.col("_s").alias("_d"))
+    return p.join(best, list(keys), "left").where(F.col("_d").isNull() | F.contains(F.col(name), F.col("_d"))).select(*panels.columns)
+
+
 def detect_scale(words: DataFrame, pages: DataFrame, keys: Keys = ("file_id", "page"), known: Sequence[float] = KNOWN_DIMENSIONS) -> DataFrame:
     """Metres a point for each page: the known dimension written most often in a row of words (10 points high), over the
     upper median of its spacing; a guess from the page's width where there is none. ``confidence`` tells them apart."""

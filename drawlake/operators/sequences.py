@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from drawlake.functions import rules as R
+
 Keys = Sequence[str]
 
 
@@ -139,13 +142,23 @@ def spec_tables(words: DataFrame, keys: Keys = ("file_id", "page"), gap: float =
 
 
 def spec_rows(cells: DataFrame, keys: Keys = ("file_id", "table_id"), tol: float = 5.0) -> DataFrame:
-    """Specification rows from table cells: a number of 1 to 999 first, the first unit cell, the quantity after it, the rest as description."""
+    """Specification rows from table cells: a number of 1 to 999 first, the first unit cell, the quantity (1 at least) after it.
+
+    Of the cells between, those of over three characters that aren't numbers count: a supplier and a catalogue code (the last of
+    each) stand apart, the others are the description, and the first of a known series is the model too.
+    """
     placed = cluster_by_anchor(cells, keys, "y", tol)
     row = placed.groupBy(*keys, "cluster").agg(F.transform(F.sort_array(F.collect_list(F.struct("x", "seq", "text"))), lambda s: F.trim(s["text"])).alias("t"))
     unit = F.array_position(F.transform("t", lambda s: F.regexp_replace(F.lower(s), r"\.$", "").isin("шт", "м", "компл", "комплект", "кг", "м.п").cast("string")), "true")
     row = row.withColumn("u", unit).where(F.element_at("t", 1).rlike("^[1-9][0-9]{0,2}$") & (F.col("u") > 2))
     quantity = F.replace(F.try_element_at("t", (F.col("u") + 1).cast("int")), F.lit(","), F.lit(".")).try_cast("double")
-    return row.select(*keys, F.element_at("t", 1).alias("position"), F.array_join(F.slice("t", F.lit(2), F.col("u").cast("int") - 2), " ").alias("description"), F.element_at("t", F.col("u").cast("int")).alias("unit"), F.bround(quantity).cast("int").alias("quantity"))
+    parts = F.filter(F.slice("t", F.lit(2), F.col("u").cast("int") - 2), lambda s: (F.length(s) > 3) & ~s.rlike("^[0-9]+$"))
+    sold = lambda s: F.lower(s).rlike("|".join(map(re.escape, R.SUPPLIERS)))
+    code = lambda s: ~sold(s) & s.rlike(R.CATALOGUE) & ~s.rlike("|".join((*R.SERIES, *R.NO_CATALOGUE)))
+    row = row.withColumns({"supplier": F.filter(parts, sold), "code": F.filter(parts, code), "own": F.filter(parts, lambda s: ~sold(s) & ~code(s))}).where((F.size("own") > 0) & (F.bround(quantity) >= 1))
+    model = F.filter("own", lambda s: s.rlike("|".join((*R.SERIES, *R.MODELS))))
+    row = row.withColumns({"supplier": F.coalesce(F.try_element_at("supplier", F.lit(-1)), F.lit("")), "catalog_code": F.coalesce(F.try_element_at("code", F.lit(-1)), F.lit("")), "model": F.coalesce(F.try_element_at(model, F.lit(1)), F.lit(""))})
+    return row.select(*keys, F.element_at("t", 1).alias("position"), F.array_join("own", " ").alias("description"), "model", "catalog_code", "supplier", F.element_at("t", F.col("u").cast("int")).alias("unit"), F.bround(quantity).cast("int").alias("quantity"))
 
 
 def table_bounds(segments: DataFrame, headers: DataFrame, keys: Keys = ("file_id", "page"), tol: float = 5.0) -> DataFrame:

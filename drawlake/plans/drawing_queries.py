@@ -605,6 +605,15 @@ def e21_panels(spark, sf_dir):
     return p.select("file_id", "name", "seq", "breaker", "circuit_count")
 
 
+_SECTIONED = "p_brand AS file_id, p_partkey AS seq, CASE WHEN p_size % 9 = 0 THEN 'ВРУ' ELSE concat(CASE WHEN p_size % 7 = 0 THEN 'ЩАО' ELSE 'ЩР' END, p_partkey % 3 + 1, '.', p_size % 4) END AS name"
+
+
+@query(f"""WITH p AS (SELECT *, regexp_extract(name, '([0-9]+[.][0-9]+)', 1) AS s FROM (SELECT {_SECTIONED} FROM part)), n AS (SELECT file_id, s, count(*) AS n, min(concat(CASE WHEN name LIKE '%АО%' THEN '0' ELSE '1' END, name)) AS f FROM p WHERE s <> '' GROUP BY ALL), b AS (SELECT file_id, s AS d FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY n DESC, f) AS k FROM n) WHERE k = 1 AND n >= 2)
+SELECT p.file_id, p.seq, p.name FROM p LEFT JOIN b USING (file_id) WHERE d IS NULL OR contains(name, d)""")
+def e21_own_section(spark, sf_dir):
+    return schedules.own_section(derived(spark, sf_dir, "part", _SECTIONED))
+
+
 _DIM = f"l_suppkey AS file_id, l_orderkey % 3 AS page, {_SEQ} AS seq, CASE l_linenumber WHEN 1 THEN '6000' WHEN 2 THEN '3000' WHEN 3 THEN '6000' WHEN 4 THEN '1234' ELSE 'w' END AS text, l_quantity * 40 AS x0, l_quantity * 40 + 30 AS x1, floor(l_extendedprice / 5000) * 10 + 5 AS top"
 _SHEETS = "s_suppkey AS file_id, explode(array(0L, 1L, 2L, 3L)) AS page"
 
@@ -810,10 +819,10 @@ def f5_pair_positional(spark, sf_dir):
 
 
 #: Four cells a row: number, description, unit, quantity; rows of a table stand 20 apart, cells up to 2.
-_SPEC_CELL = "p_brand AS file_id, p_size % 3 AS table_id, p_partkey AS row, posexplode(array(cast(p_partkey % 1200 AS STRING), p_name, p_type, CASE p_size % 4 WHEN 0 THEN 'шт.' WHEN 1 THEN 'м' WHEN 2 THEN 'Компл' ELSE 'ящ' END, concat(p_size, ',6'))) AS (k, text)"
+_SPEC_CELL = "p_brand AS file_id, p_size % 3 AS table_id, p_partkey AS row, posexplode(array(cast(p_partkey % 1200 AS STRING), p_name, CASE WHEN p_size % 2 = 0 THEN 'ООО Завод' ELSE '12345' END, p_type, CASE p_size % 4 WHEN 0 THEN 'шт.' WHEN 1 THEN 'м' WHEN 2 THEN 'Компл' ELSE 'ящ' END, concat(p_size, ',6'))) AS (k, text)"
 
 
-@query("""SELECT p_brand AS file_id, p_size % 3 AS table_id, (p_partkey % 1200)::VARCHAR AS position, concat(p_name, ' ', p_type) AS description, CASE p_size % 4 WHEN 0 THEN 'шт.' WHEN 1 THEN 'м' ELSE 'Компл' END AS unit, round_even(p_size + 0.6::DOUBLE, 0)::INT AS quantity FROM part WHERE p_size % 4 < 3 AND p_partkey % 1200 BETWEEN 1 AND 999""")
+@query("""SELECT p_brand AS file_id, p_size % 3 AS table_id, (p_partkey % 1200)::VARCHAR AS position, CASE WHEN p_type LIKE '%ECO%' OR length(p_type) < 5 THEN concat(p_name, ' ', p_type) ELSE p_name END AS description, CASE WHEN p_type LIKE '%ECO%' THEN p_type ELSE '' END AS model, CASE WHEN p_type LIKE '%ECO%' OR length(p_type) < 5 THEN '' ELSE p_type END AS catalog_code, CASE WHEN p_size % 2 = 0 THEN 'ООО Завод' ELSE '' END AS supplier, CASE p_size % 4 WHEN 0 THEN 'шт.' WHEN 1 THEN 'м' ELSE 'Компл' END AS unit, round_even(p_size + 0.6::DOUBLE, 0)::INT AS quantity FROM part WHERE p_size % 4 < 3 AND p_partkey % 1200 BETWEEN 1 AND 999""")
 def f8_spec_rows(spark, sf_dir):
     cells = read(spark, sf_dir, "part").selectExpr(*_split(_SPEC_CELL)).selectExpr("file_id", "table_id", "row * 10 + k AS seq", "text", "k * 50.0 AS x", "row * 20.0 + k % 3 AS y")
     return sequences.spec_rows(cells)
