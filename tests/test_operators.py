@@ -273,6 +273,24 @@ def test_assembled_bill(spark):
     assert sorted(x[2] for x in rows if x[1]) == sorted(["Светильник А"] * 2 + ["Розетка Б", "Кабель ВВГнг(А)-LS сечением 3х1,5", "Кабель ВВГнг(А)-LS сечением 3х1,5", "Кабель ВВГнг(А)-LS сечением 5х4"])
 
 
+def test_numbers_and_stored_tables(spark):
+    import os
+
+    from drawlake.operators.graph import _own_dir, clear_stored, numbered, once, stored
+
+    r = random.Random(8)
+    names = [f"n{k:03d}" for k in range(300)]
+    rows = [(x, None if x == "n005" else x) for x in names]
+    r.shuffle(rows)
+    df = spark.createDataFrame(rows, "name string, text string").repartition(5)
+    assert [(x["name"], x["number"]) for x in numbered(df, ["name"]).orderBy("number").collect()] == [(n, k + 1) for k, n in enumerate(names)]
+    both = once(df.unionByName(df), "text", size=F.length("text"))
+    assert both.count() == 598 and {x["size"] for x in both.collect()} == {4}
+    assert stored(df, "x").count() == 300
+    clear_stored(spark)
+    assert not os.path.exists(_own_dir(spark).removeprefix("file:"))
+
+
 def test_orphan_plans_against_a_sequential_form(spark):
     r = random.Random(6)
     rows = [(f"p{p}", r.choice(["освещение", "привязка", "привязка", "розетки"]), r.choice([1.0, 2.0, 3.0, 4.0, 7.8, 9.0, 10.0, 14.0, None]), k, 1) for p in range(40) for k in range(r.randrange(1, 9))]
