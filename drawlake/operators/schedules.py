@@ -103,6 +103,15 @@ def measure_lines(segments: DataFrame, scale: DataFrame, keys: Keys = ("file_id"
     return total(["color", "linewidth"], 0).unionByName(total(["color"], 1), allowMissingColumns=True).unionByName(total([], 3), allowMissingColumns=True)
 
 
+def measure_routes(segments: DataFrame, scale: DataFrame, keys: Keys = ("file_id", "page"), tol: float = 2.0) -> DataFrame:
+    """Routes by colour and line width of each page: their number, segments, points and metres, and the longest in metres."""
+    from drawlake.operators.iterative import routes
+
+    r = routes(segments, (*keys, "color", "linewidth"), tol).join(scale.select(keys[0], "m_per_pt"), keys[0])
+    metres = F.col("length") * F.col("m_per_pt")
+    return r.groupBy(*keys, "color", "linewidth").agg(F.count("*").alias("n_routes"), F.sum("n_segments").alias("n_segments"), F.round(F.sum("length"), 4).alias("length_pt"), F.round(F.sum(metres), 6).alias("length_m"), F.round(F.max(metres), 6).alias("longest_m"))
+
+
 def page_defaults(heights: DataFrame, levels: DataFrame, keys: Keys = ("file_id", "page")) -> DataFrame:
     """The most frequent mounting height (the lower on ties) and the upper median level of each page."""
     from drawlake.operators.sequences import upper_median

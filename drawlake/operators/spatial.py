@@ -196,6 +196,13 @@ def sheets(legends: DataFrame, keys: Keys = ("file_id",)) -> DataFrame:
     return legends.select(*keys, F.row_number().over(w).alias("sheet_no"), F.coalesce((F.col("x") + before) / 2, F.col("x") - 40000).alias("x_left"), F.coalesce((F.col("x") + after) / 2, F.col("x") + 40000).alias("x_right"))
 
 
+def sheet_elevations(sheet: DataFrame, elevations: DataFrame, keys: Keys = ("file_id",)) -> DataFrame:
+    """Sheets with the elevation of the same place: the lowest of a file's distinct elevations for the first, and so on; null beyond."""
+    e = elevations.where("elevation is not null").select(*keys, "elevation").distinct()
+    e = e.withColumn("sheet_no", F.row_number().over(Window.partitionBy(*keys).orderBy("elevation")))
+    return sheet.join(e, [*keys, "sheet_no"], "left")
+
+
 def assign_sheet(points: DataFrame, sheet: DataFrame, keys: Keys = ("file_id",), x: str = "x") -> DataFrame:
     """Points with the number of the first sheet that their x lies in, or null."""
     s = sheet.select(*keys, "sheet_no", "x_left", "x_right")

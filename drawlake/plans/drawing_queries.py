@@ -433,6 +433,13 @@ def c15_legend_headers(spark, sf_dir):
 
 # --- matching -------------------------------------------------------------------------------------------------
 
+@query("""WITH s AS (SELECT s_nationkey AS file_id, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal, s_suppkey) AS sheet_no FROM supplier), e AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY elevation) AS sheet_no FROM (SELECT DISTINCT c_nationkey AS file_id, floor(c_acctbal / 3000) AS elevation FROM customer))
+SELECT s.file_id, s.sheet_no, e.elevation FROM s LEFT JOIN e ON s.file_id = e.file_id AND s.sheet_no = e.sheet_no""")
+def d4_sheet_elevations(spark, sf_dir):
+    s = spatial.sheets(read(spark, sf_dir, "supplier").selectExpr("s_nationkey AS file_id", "s_suppkey AS seq", "s_acctbal AS x"))
+    return spatial.sheet_elevations(s, read(spark, sf_dir, "customer").selectExpr("c_nationkey AS file_id", "floor(c_acctbal / 3000) AS elevation")).select("file_id", "sheet_no", "elevation")
+
+
 _CELL = f"l_suppkey AS file_id, 1 AS table_id, {_SEQ} AS seq, l_quantity * 10 AS x, l_extendedprice / 2 AS y, CASE WHEN l_linenumber <= 2 THEN concat('ВВГнг(А)-LS ', l_linenumber + 2, 'x1,5') WHEN l_linenumber <= 4 THEN concat('L=', cast(l_quantity AS INT), 'м') ELSE 'x' END AS text"
 
 
@@ -898,6 +905,19 @@ t AS (SELECT 0 AS i, id, id AS label, TRUE AS moved FROM s UNION ALL SELECT i +
 SELECT file_id, color, count(*) AS n_segments, round(sum(sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0))), 4) AS length, min(least(x0, x1)) AS x0, min(least(y0, y1)) AS y0, max(greatest(x0, x1)) AS x1, max(greatest(y0, y1)) AS y1 FROM t JOIN s USING (id) WHERE t.i = (SELECT max(i) FROM t) GROUP BY file_id, color, label"""
 
 
+_ROUTE = "(SELECT l_suppkey AS file_id, l_orderkey % 3 AS page, (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey AS seq, l_linestatus AS color, l_linenumber % 2 AS linewidth, l_quantity * 10 AS x0, l_linenumber * 100.0 AS y0, l_quantity * 10 + l_discount * 200 AS x1, l_linenumber * 100.0 + l_tax * 1000 AS y1 FROM lineitem)"
+
+
+@query(f"""WITH RECURSIVE s AS MATERIALIZED (SELECT *, row_number() OVER () AS id FROM {_ROUTE}), e AS (SELECT file_id, page, color, linewidth, id, x0 AS x, y0 AS y FROM s UNION ALL SELECT file_id, page, color, linewidth, id, x1, y1 FROM s),
+n AS MATERIALIZED (SELECT DISTINCT a.id AS a, b.id AS b FROM e a JOIN e b ON a.file_id = b.file_id AND a.page = b.page AND a.color = b.color AND a.linewidth = b.linewidth AND a.id <> b.id AND abs(a.x - b.x) < 2 AND abs(a.y - b.y) < 2),
+t AS (SELECT 0 AS i, id, id AS label, TRUE AS moved FROM s UNION ALL SELECT i + 1, id, least(label, near), coalesce(near < label, FALSE) FROM (SELECT a.i, a.id, a.label, min(b.label) AS near FROM t a LEFT JOIN n ON n.a = a.id LEFT JOIN t b ON b.id = n.b WHERE EXISTS (SELECT 1 FROM t WHERE moved) GROUP BY a.i, a.id, a.label)),
+r AS (SELECT file_id, page, color, linewidth, label, count(*) AS n, round(sum(sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0))), 4) AS length FROM t JOIN s USING (id) WHERE t.i = (SELECT max(i) FROM t) GROUP BY ALL)
+SELECT file_id, page, color, linewidth, count(*) AS n_routes, sum(n)::BIGINT AS n_segments, round(sum(length), 4) AS length_pt, round(sum(length * 0.05::DOUBLE), 6) AS length_m, round(max(length * 0.05::DOUBLE), 6) AS longest_m FROM r GROUP BY ALL""")
+def e25_measure_routes(spark, sf_dir):
+    segments = derived(spark, sf_dir, "lineitem", _ROUTE[len("(SELECT ") : -len(" FROM lineitem)")])
+    return schedules.measure_routes(segments, read(spark, sf_dir, "supplier").selectExpr("s_suppkey AS file_id", "0.05D AS m_per_pt"))
+
+
 # --- streams --------------------------------------------------------------------------------------------------
 
 
