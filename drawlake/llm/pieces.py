@@ -30,7 +30,7 @@ LONG = 48
 #: Cells (words times places) that one batch holds.
 CELLS = 1 << 16
 #: Encoded words of a generation: a worker remembers two, each word as the bytes of its ids, some 200 bytes in all.
-KNOWN = 250_000
+KNOWN = 150_000
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _FILTER, _PAIRS = 20, 20
 _NEVER = np.int64(1 << 40)
