@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from drawlake.operators.graph import checkpointed, components, shared_dir, stored
 
-__all__ = ["checkpointed", "components", "fold_of", "free_name", "shared_dir", "stored"]
+__all__ = ["CRC32_SQL", "checkpointed", "components", "crc32_sql", "fold_of", "free_name", "shared_dir", "stored"]
 
 
 def fold_of(key: Column, n: int) -> Column:
@@ -21,3 +21,15 @@ def free_name(taken: list[str], wanted: str) -> str:
     while wanted.lower() in low:
         wanted += "_"
     return wanted
+
+
+#: SQL, after WITH RECURSIVE: crc_tab(tab), the 256 steps of CRC-32 as one list, made from its polynomial.
+CRC32_SQL = """crc_steps(i, v, k) AS (SELECT i, i, 0 FROM range(256) r(i) UNION ALL SELECT i, xor(v >> 1, 3988292384 * (v & 1)), k + 1 FROM crc_steps WHERE k < 8),
+crc_tab AS MATERIALIZED (SELECT list(v ORDER BY i) AS tab FROM crc_steps WHERE k = 8)"""
+
+
+def crc32_sql(text: str) -> str:
+    """SQL of the unsigned crc32 of a text's UTF-8 bytes, beside crc_tab."""
+    code = f"hex(encode({text}))"
+    bytes_ = f"list_transform(range(1, length({code}), 2), lambda p: ('0x' || substr({code}, p, 2))::BIGINT)"
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, {bytes_}), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])))"
