@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from drawlake.llm import chat, importance, langid, minhash, mixing, nndescent, pieces, quality, secrets, sitetree, webp
+from drawlake.llm import chat, importance, langid, minhash, mixing, nndescent, pieces, quality, secrets, sitetree, substrings, trie, webp
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -53,10 +53,18 @@ def op10_webp_lossless(spark: SparkSession, sf_dir: str) -> DataFrame:
     return webp.text_media(_read(spark, sf_dir, "documents"))
 
 
+def op11_super_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.drop_repeats(_read(spark, sf_dir, "documents")).drop("text")
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(_read(spark, sf_dir, "conversations"))
+
+
 def op13_importance_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.importance_sample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_site_style_tree, op2_snapshot_collapse, op3_bbit_minhash, op4_hierarchical_mix, op5_compression_quality, op6_nn_descent, op7_piece_viterbi, op8_secret_scan, op9_language_id, op10_webp_lossless, op13_importance_sample)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_site_style_tree, op2_snapshot_collapse, op3_bbit_minhash, op4_hierarchical_mix, op5_compression_quality, op6_nn_descent, op7_piece_viterbi, op8_secret_scan, op9_language_id, op10_webp_lossless, op11_super_kmers, op12_prefix_trie, op13_importance_sample)}
 
-ORACLES: dict[str, str] = {"op2_snapshot_collapse": chat.ORACLE_SQL, "op4_hierarchical_mix": mixing.oracle_sql(), "op13_importance_sample": importance.ORACLE_SQL}
+ORACLES: dict[str, str] = {"op2_snapshot_collapse": chat.ORACLE_SQL, "op4_hierarchical_mix": mixing.oracle_sql(), "op11_super_kmers": substrings.ORACLE_SQL, "op12_prefix_trie": trie.ORACLE_SQL, "op13_importance_sample": importance.ORACLE_SQL}

@@ -10,9 +10,12 @@ import zlib
 from urllib.parse import quote
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from drawlake.llm import chat, langid, minhash, mixing, nndescent, pieces, quality, queries, secrets, sitetree, webp
+from pyspark.sql import functions as F
+
+from drawlake.llm import chat, importance, langid, minhash, mixing, nndescent, pieces, quality, queries, secrets, sitetree, substrings, trie, webp
 
 SF = "/root/testdata/sf0.001"
 have_tables = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables here")
@@ -585,3 +588,199 @@ def test_pixel_arrays(spark):
     files = spark.createDataFrame([(1, bytearray(webp.stored_texts(["abc"])[0][1])), (2, bytearray(b"junk")), (3, None)], "id int, content binary")
     got = {r["id"]: r for r in webp.pixel_arrays(files).collect()}
     assert got[1]["width"] == 64 and bytes(got[1]["pixels"])[:4] == b"abc\xff" and got[2]["error"] and got[3]["pixels"] is None
+
+
+# --- conversation prefix trie ---------------------------------------------------------------------------------
+
+
+def trie_by_hand(rows):
+    convs = {}
+    for conv, turn, role, text in rows:
+        if conv is not None:
+            convs.setdefault(conv, []).append((turn is not None, turn or 0, role or "", text or ""))
+    convs = {c: [t[2:] for t in sorted(v)] for c, v in convs.items()}
+    members = {}
+    ends = {}
+    for c, own in convs.items():
+        h = zlib.crc32(str(c).encode()) % 9
+        whole = tuple(convs.get(c - c % 5, [])[:h] + own[h:])
+        for d in range(len(whole) + 1):
+            members.setdefault(whole[:d], []).append(c)
+        ends.setdefault(whole, []).append(c)
+    leaf = {n: not any(m[:-1] == n for m in members if m) for n in members}
+    out = []
+    for n, found in members.items():
+        under = [m for m in members if m[: len(n)] == n]
+        saved = sum((len(members[m]) - 1) * len(m[-1][1].encode()) for m in under if m)
+        ids = ",".join(map(str, sorted(ends.get(n, []))))
+        out.append((min(found), len(n), min(members[n[:-1]]) if n else None, len(found), sum(m[:-1] == n for m in members if m), sum(leaf[m] for m in under), saved, hashlib.sha256(ids.encode()).hexdigest()))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("height", [2, 3, 32])
+def test_trie_against_brute_force(spark, height):
+    r = random.Random(5)
+    rows = [(c, t, r.choice(["user", "assistant", None]), r.choice(["a", "é", "", None, "long text"])) for c in range(40) for t in range(r.randrange(9))]
+    rows += [(70, t, "user", f"turn {t % 3}") for t in range(25)] + [(71, t, "user", f"turn {t % 3}") for t in range(40)] + [(73, None, "x", "first"), (73, 1, "x", "tie"), (73, 1, "x", "tie"), (73, 1, "w", None), (None, 1, "user", "nobody's")]
+    rows += [(c, t, "user", f"same {t}") for c in range(100, 130) for t in range(9)]
+    frame = spark.createDataFrame([(*x, "z", 1) for x in rows], "conv_id long, turn long, role string, text string, node string, depth int")
+    got = sorted((tuple(x) for x in trie.prefix_trie(frame, height).collect()), key=repr)
+    assert got == trie_by_hand(rows)
+
+
+def test_trie_of_nothing(spark):
+    empty = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    assert trie.prefix_trie(empty).collect() == []
+    alone = spark.createDataFrame([(1, 1, "user", "dropped")], "conv_id long, turn long, role string, text string")
+    assert [tuple(x)[:7] for x in trie.prefix_trie(alone).collect()] == [x[:7] for x in trie_by_hand([(1, 1, "user", "dropped")])]
+
+
+def test_running_over_a_key_of_many_ranges(spark):
+    frame = spark.range(5000).select(F.when(F.col("id") % 10 < 7, 3).otherwise(F.col("id") % 4).alias("k"), (F.col("id") * 7919 % 5003).alias("o"), F.xxhash64("id").alias("x"))
+    rows = trie.running(frame, "k", ["o"], "n", ("x",)).collect()
+    raw = sorted((r["k"], r["o"], r["x"]) for r in frame.collect())
+    want, at = {}, {}
+    for k, o, x in raw:
+        n, y = at.get(k, (0, 0))
+        at[k] = want[k, o] = (n + 1, y ^ x)
+    assert len(rows) == 5000 and all(want[r["k"], r["o"]] == (r["n"], r["x"]) for r in rows)
+
+
+# --- target-distribution importance resampling ----------------------------------------------------------------
+
+
+def sample_by_hand(docs, goal, n=1, buckets=10_000, percent=10, least=20):
+    import math
+
+    def grams(text):
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+        return w, [" ".join(w[i : i + k]) for k in range(1, n + 1) for i in range(len(w) - k + 1)]
+
+    def counts(texts):
+        c = [0] * buckets
+        for t in texts:
+            for g in grams(t)[1]:
+                c[zlib.crc32(g.encode()) % buckets] += 1
+        return c
+
+    s, t = counts(x for _, x in docs), counts(goal)
+    total_s, total_t = sum(s), sum(t)
+    gain = [math.floor(1000 * math.log((b + 1) * (total_s + buckets) / ((a + 1) * (total_t + buckets)))) for a, b in zip(s, t)]
+    rows = []
+    for doc_id, text in docs:
+        w, f = grams(text)
+        weight = sum(gain[zlib.crc32(g.encode()) % buckets] for g in f) // len(f) if f else 0
+        h = int(hashlib.sha256(f"2024:{'' if doc_id is None else doc_id}".encode()).hexdigest()[:8], 16)
+        rows.append([doc_id, len(f), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296))), None, len(w)])
+    able = sorted((r for r in rows if r[5] >= least), key=lambda r: (-r[3], r[0] is None, r[0] or 0))
+    for k, r in enumerate(able[: len(able) * percent // 100]):
+        r[4] = k + 1
+    return sorted((tuple(r[:5]) for r in rows), key=repr)
+
+
+@pytest.mark.parametrize("n,buckets", [(1, 10_000), (3, 50)])
+def test_importance_against_brute_force(spark, n, buckets):
+    docs = [(i, " ".join(words(i, 10 + i % 60, 30 + i))) for i in range(150)] + [(200, None), (201, ""), (202, "É日本 A-b_c 12x\n\tÉ É"), (None, " ".join(words(9, 40))), (203, "x" * 40 + " " + "x" * 39 + "y " + "W1 " * 30)]
+    goal = [" ".join(words(500 + i, 50, 40)) for i in range(10)] + [None]
+    frame = spark.createDataFrame([(i, t, "c", 1, "r") for i, t in docs], "doc_id long, text string, score string, number int, rank string")
+    target = spark.createDataFrame([(t,) for t in goal], "text string")
+    got = importance.importance_sample(frame, target, n=n, buckets=buckets)
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == sample_by_hand(docs, goal, n, buckets)
+    drawn = importance.resampled(frame, target, n=n, buckets=buckets)
+    assert drawn.columns == [*frame.columns, "sample_rank"] and drawn.count() == got.where("rank is not null").count()
+
+
+def test_importance_of_repeated_and_no_rows(spark):
+    frame = spark.createDataFrame([(1, "w " * 30)] * 20, "doc_id long, text string")
+    rows = importance.importance_sample(frame, frame.limit(0)).collect()
+    assert len(rows) == 20 and sorted(r["rank"] or 0 for r in rows)[-3:] == [0, 1, 2]
+    assert importance.importance_sample(frame.limit(0), frame).collect() == []
+
+
+def test_interning_keeps_strings_of_equal_keys_apart():
+    texts = [b"abc", b"abd", b"abc", b"0123456789abcdef", b"0123456789abcdeg", b"abd", b"ab"]
+    data = np.frombuffer(b" ".join(texts) + b" " * 8, np.uint8)
+    size = np.array([len(t) for t in texts])
+    start = np.r_[0, np.cumsum(size + 1)[:-1]]
+    table = importance.Table(len(texts))
+    slot = table.intern(data, start, size, np.zeros(len(texts), np.uint64))
+    assert [slot[i] == slot[j] for i in range(7) for j in range(7)] == [texts[i] == texts[j] for i in range(7) for j in range(7)]
+    assert sorted(table.count[table.count > 0]) == [1, 1, 1, 2, 2]
+
+
+# --- repeated passages by super-k-mers ------------------------------------------------------------------------
+
+
+def cut_by_hand(docs, span=20):
+    every = {}
+    split = [(i, re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t in docs]
+    place = lambda i: (i is not None, i or 0)
+    for i, w in split:
+        for p in range(len(w) - span + 1):
+            k = tuple(w[p : p + span])
+            every[k] = min(every.get(k, (place(i), p)), (place(i), p))
+    out = []
+    for i, w in split:
+        gone = set()
+        for p in range(len(w) - span + 1):
+            if every[tuple(w[p : p + span])] < (place(i), p):
+                gone.update(range(p, p + span))
+        kept = " ".join(x for p, x in enumerate(w) if p not in gone)
+        out.append((i, len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest()))
+    return sorted(out, key=repr)
+
+
+def repeated_docs():
+    passage, line = words(1, 60, 5000), words(2, 22, 5000)
+    docs = [(i, " ".join([*words(10 + i, i % 40, 5000), *passage, *words(90 + i, 25, 5000), *(line if i % 3 else []), *words(300 + i, i % 7, 5000)])) for i in range(60)]
+    docs += [(100, "a " * 500), (101, "a " * 30 + "b " + "a " * 19), (102, " \n" + " x　y \x1f " * 30), (103, None), (104, ""), (105, "one two"), (None, " ".join(passage)), (None, " ".join([*words(77, 5), *passage]))]
+    docs += [(106, " ".join(words(5, 3000, 3))), (107, "\t".join(words(5, 3000, 3))), (107, "\t".join(words(5, 3000, 3))), (107, " ".join(words(6, 50, 2)))]
+    return docs
+
+
+@pytest.mark.parametrize("chunk", [1 << 20, 700])
+def test_repeats_against_brute_force(chunk, monkeypatch):
+    from drawlake.llm import substrings
+
+    monkeypatch.setattr(substrings, "CHUNK", chunk)
+    docs = [(-(1 << 63) if i is None else i, t) for i, t in repeated_docs()]
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in docs]), pa.array([zlib.crc32((t or "").encode()) for _, t in docs]), pa.array([None if t is None else t.encode() for _, t in docs], pa.binary())], names=["doc", "tag", "text"])
+    frequent = np.sort(substrings._together([docs[5][1].encode()])[0].hashes(4)[10:60])
+    for hot in (frequent[:0], frequent):
+        rows = [x for part in substrings._documents([batch]) for x in zip(*substrings.super_kmers(*part, hot, 20, 4))]
+        where = np.array([r[2] for r in rows], substrings._STRING)
+        found = substrings._runs(substrings.repeats([r[1] for r in rows], where, 20))
+        first, later = substrings._earliest([r[1] for r in rows], where)
+        some = substrings.repeats([rows[k][1] for k in first.tolist()], where[first], 20)
+        assert (substrings._runs(np.concatenate([some, where[later]])) == found).all()
+        got = []
+        for (i, t), tag in zip(docs, batch.column("tag").to_pylist()):
+            mine = found[(found["doc"] == i) & (found["tag"] == tag)]
+            stay, n = substrings._kept((t or "").encode(), mine["at"].tolist(), mine["size"].tolist(), 20)
+            got.append((i, n, n - len(stay), hashlib.sha256(b" ".join(stay)).hexdigest()))
+        assert sorted(got, key=repr) == cut_by_hand(docs)
+
+
+def test_repeats_through_spark(spark):
+    docs = repeated_docs()
+    frame = spark.createDataFrame([(i, t, "z", 1, "m") for i, t in docs], "doc_id long, text string, doc string, at int, marks string")
+    got = substrings.drop_repeats(frame)
+    assert sorted((tuple(r)[:4] for r in got.collect()), key=repr) == cut_by_hand(docs)
+    assert substrings.drop_repeats(frame.limit(0)).collect() == []
+
+
+def test_windows_of_one_hash_are_told_apart(monkeypatch):
+    strings = [b" ".join(w) for w in ([b"a"] * 25, [b"a"] * 20, [b"b"] * 20, [b"b"] * 21)]
+    where = np.array([(1, 0, 0, 6), (2, 0, 0, 1), (3, 0, 0, 1), (4, 0, 7, 2)], substrings._STRING)
+    want = {(1, k) for k in range(1, 6)} | {(2, 0), (4, 7), (4, 8)}
+    for name, hashes in (("as it is", substrings.Words.hashes), ("all equal", lambda self, n: np.zeros(max(0, len(self.start) - n + 1), np.uint64))):
+        monkeypatch.setattr(substrings.Words, "hashes", hashes)
+        found = substrings.repeats(strings, where, 20)
+        assert {(r["doc"], r["at"]) for r in found} == want, name
+
+
+def test_frequent_runs_are_few(spark):
+    docs = [(i, " ".join([*words(10 + i, 40, 5000), *words(1, 30, 5000)])) for i in range(200)]
+    rows = substrings._rows(spark.createDataFrame(docs, "doc_id long, text string"))
+    hot = substrings.frequent_runs(rows, 10)
+    assert 0 < len(hot) <= 80 and set(hot.tolist()) <= set(substrings._together([" ".join(words(1, 30, 5000)).encode()])[0].hashes(4).tolist())
