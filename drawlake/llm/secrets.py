@@ -17,6 +17,8 @@ import itertools
 import lzma
 import re
 import zlib
+from array import array
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -33,10 +35,10 @@ _PERCENT, _PERCENT_END = re.compile(r"%[0-9A-Fa-f]{2}"), re.compile(r"\s|%(?![0-
 _PERCENTS = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})")
 _ESCAPE_END = re.compile(r"\s|\\(?!u\{[0-9A-Fa-f]{1,6}\}|u[0-9A-Fa-f]{4}|U[0-9A-Fa-f]{8}|x[0-9A-Fa-f]{2})")
-_ODD = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
+_ODD = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f\ufffd]")
 #: Readable parts of bytes that aren't all text; no match is shorter than ``token=`` and six characters.
 _PART = re.compile(r"[^\x00-\x08\x0b\x0c\x0e-\x1f\x7f\ud800-\udfff]{12,}")
-#: Twelve bytes take sixteen characters.
+#: Twelve bytes take sixteen characters, and no finding is shorter than twelve.
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 #: What a compressed stream starts with, and how it is opened.
 _MAGIC = ((b"\x1f\x8b", lambda: zlib.decompressobj(31)), (b"BZh", bz2.BZ2Decompressor), (b"\xfd7zXZ\x00", lzma.LZMADecompressor), (b"x\x01", zlib.decompressobj), (b"x\x5e", zlib.decompressobj), (b"x\x9c", zlib.decompressobj), (b"x\xda", zlib.decompressobj))
@@ -45,7 +47,7 @@ MAX_STREAM, MAX_LAYERS = 1 << 30, 1 << 26
 #: Bytes that a stream is read in; characters kept of a run that offers no place to cut, and again of its end when it is cut all the same.
 PIECE, LONGEST_RUN, OVERLAP = 1 << 20, 1 << 26, 1 << 12
 #: Where no match can lie across: single spaces away from assignments, line breaks that don't wrap base64.
-_CUT = re.compile(r"""(?<=[^\s=:"'])[ \t](?=[^\s=:"'])|(?<=[^\sA-Za-z0-9+/_=-])\n|(?<=\n)\n""")
+_CUT = re.compile(r"""(?<=[^\s=:"'])[ \t](?=[^\s=:"'])|(?<=[\x00-\x08\x0b\x0c\x0e-\x1f\x7f\ufffd])|(?<=[^\sA-Za-z0-9+/_=-])\n|(?<=\n)\n""")
 _NEXT_LINE = re.compile(r"\r?\n([A-Za-z0-9+/_-]+)")
 
 Span = tuple[int, int, int]  # start, kind's place in KINDS, end
@@ -64,17 +66,45 @@ def base_spans(text: str) -> list[Span]:
 
 
 class _Layer:
-    """A decoded text and, for each of its characters, the code points of the original that it came from."""
+    """A decoded text, and where its characters lie in the layer that it was decoded from (None: the original)."""
 
-    def __init__(self, text: str, starts: list[int] | None, ends: list[int] | None, whole: tuple[int, int] | None = None):
-        self.text, self.starts, self.ends, self.whole = text, starts, ends, whole
+    def __init__(self, text: str, above: _Layer | None = None, local: Callable[[int, int], tuple[int, int]] | None = None):
+        self.text, self.above, self.local = text, above, local
 
     def span(self, start: int, end: int) -> tuple[int, int]:
-        if self.whole:
-            return self.whole
-        if self.starts is None:
-            return start, end
-        return self.starts[start], self.ends[end - 1]
+        """Code points of the original that text[start:end] came from."""
+        layer: _Layer | None = self
+        while layer is not None and layer.local is not None:
+            start, end = layer.local(start, end)
+            layer = layer.above
+        return start, end
+
+
+class _Places:
+    """Where a decoded text's characters lie in the text above: one entry for a run of characters that were written in the same number of characters."""
+
+    def __init__(self):
+        self.at, self.source, self.width = array("q"), array("q"), array("q")
+        self.text: list[str] = []
+        self.size = 0
+
+    def add(self, text: str, source: int, width: int) -> None:
+        """``text``, of which each character takes ``width`` characters from ``source`` on."""
+        if text:
+            if not (self.at and self.width[-1] == width and self.source[-1] + (self.size - self.at[-1]) * width == source):
+                self.at.append(self.size)
+                self.source.append(source)
+                self.width.append(width)
+            self.text.append(text)
+            self.size += len(text)
+
+    def __call__(self, start: int, end: int) -> tuple[int, int]:
+        i, j = bisect_right(self.at, start) - 1, bisect_right(self.at, end - 1) - 1
+        return self.source[i] + (start - self.at[i]) * self.width[i], self.source[j] + (end - self.at[j]) * self.width[j]
+
+    def layer(self, above: _Layer) -> _Layer:
+        text, self.text = "".join(self.text), []
+        return _Layer(text, above, self)
 
 
 def _plain(raw: bytes) -> str | None:
@@ -93,106 +123,132 @@ def _readable(text: str) -> bool:
 class _Stream:
     """Compressed bytes of a fragment, with all levels of compression below them."""
 
-    def __init__(self, levels: list[Callable[[], Iterator[bytes]]], whole: tuple[int, int]):
-        self.levels, self.whole = levels, whole
+    def __init__(self, raw: bytes, above: _Layer, whole: tuple[int, int], first: Callable | None = None):
+        self.raw, self.above, self.whole, self.first = raw, above, whole, first
 
     def windows(self) -> Iterator[_Layer]:
-        for level in reversed(self.levels):
-            for text in _windows(level()):
-                yield _Layer(text, None, None, self.whole)
+        """Text of all levels in windows; each level's pieces are read once, on their way to the next level."""
+        levels: list[_Windows] = []
+        for level, piece in _unfolded(self.raw, self.first):
+            if level == len(levels):
+                levels.append(_Windows())
+            for text in levels[level].add(piece):
+                yield _Layer(text, self.above, lambda start, end: self.whole)
+        for level in levels:
+            for text in level.rest():
+                yield _Layer(text, self.above, lambda start, end: self.whole)
 
 
 def _bare():
     return zlib.decompressobj(-15)
 
 
-def _pulled(pieces: Iterator[bytes], first: Callable | None = None) -> Iterator[bytes]:
+class _Inflater:
     """What compressed bytes unfold to, in pieces; streams that follow each other count, a damaged one ends it.
     ``first`` opens what starts with no known mark."""
-    d = None
-    for data in pieces:
-        while data or d is not None:
-            if d is None:
-                data = data if first else data.lstrip(b"\0")
-                opened = next((f for magic, f in _MAGIC if data.startswith(magic)), first)
-                first = None
-                if opened is None:
+
+    def __init__(self, first: Callable | None = None):
+        self.first, self.open, self.held, self.dead = first, None, b"", False
+
+    def pieces(self, data: bytes) -> Iterator[bytes]:
+        if self.held:
+            data, self.held = self.held + data, b""
+        while not self.dead and (data or self.open is not None):
+            if self.open is None:
+                data = data if self.first else data.lstrip(b"\0")
+                if len(data) < 6 and not self.first:
+                    self.held = data  # too few to tell
                     return
-                d = opened()
+                opener = next((f for magic, f in _MAGIC if data.startswith(magic)), self.first)
+                self.first = None
+                if opener is None:
+                    break
+                self.open = opener()
             try:
-                got = d.decompress(data, PIECE)
+                got = self.open.decompress(data, PIECE)
             except (OSError, EOFError, ValueError, zlib.error, lzma.LZMAError):
-                return
+                break
+            d = self.open
+            if d.eof:
+                data, self.open = d.unused_data, None
+            else:
+                data = getattr(d, "unconsumed_tail", b"")
             if got:
                 yield got
-            if d.eof:
-                data, d = d.unused_data, None
-                continue
-            data = getattr(d, "unconsumed_tail", b"")
-            if not data and len(got) < PIECE and getattr(d, "needs_input", True):
-                break
+            if self.open is not None and not data and len(got) < PIECE and getattr(d, "needs_input", True):
+                return
+        else:
+            return
+        self.dead = True
 
 
-def _stream(raw: bytes, whole: tuple[int, int]) -> _Stream | None:
-    """The levels of compression of ``raw``, until one is no stream or begins like one before it; None if there is none.
-    Bytes of an unmarked stream count as one if they unfold to text."""
-    levels: list[Callable[[], Iterator[bytes]]] = []
-    make: Callable[[], Iterator[bytes]] = lambda: iter([raw])
-    heads = {raw[:PIECE]}
-    while True:
-        make = lambda below=make: _pulled(below())
-        head = next(make(), None)
-        if head is None or head in heads:
-            break
-        heads.add(head)
-        levels.append(make)
-    if not levels and len(raw) >= 8:
-        make = lambda: _pulled(iter([raw]), _bare)
-        head = next(make(), b"")
-        if len(head) >= 12 and next(_windows(iter([head])), None) is not None:
-            levels.append(make)
-    return _Stream(levels, whole) if levels else None
-
-
-def _windows(pieces: Iterator[bytes]) -> Iterator[str]:
-    """Text of a stream in windows; pieces that aren't text are passed over."""
-    decoder = codecs.getincrementaldecoder("utf-8")()
-    kept: list[str] = []
-    size = 0
-    for raw in pieces:
-        try:
-            text = decoder.decode(raw)
-        except UnicodeDecodeError:
-            decoder.reset()
-            text = ""
-        if not text or not _readable(text):
-            if kept:
-                yield "".join(kept)
-            kept, size = [], 0
+def _unfolded(raw: bytes, first: Callable | None = None) -> Iterator[tuple[int, bytes]]:
+    """(level, piece) of all that ``raw`` unfolds to, level below level, until one is no stream or begins like one before it.
+
+    Each piece goes on to the level below before the next is read, on a stack of open streams, so that neither the
+    number of levels nor their size matters.
+    """
+    levels, heads = [_Inflater(first)], {hashlib.blake2b(raw[:PIECE]).digest()}
+    begun = 0
+    work = [levels[0].pieces(raw)]
+    while work:
+        got = next(work[-1], None)
+        if got is None:
+            work.pop()
             continue
+        level = len(work) - 1
+        if level == begun:
+            head = hashlib.blake2b(got[:PIECE]).digest()
+            if head in heads:
+                levels[level].dead = True
+                work.pop()
+                continue
+            heads.add(head)
+            begun += 1
+            levels.append(_Inflater())
+        yield level, got
+        work.append(levels[level + 1].pieces(got))
+
+
+def _stream(raw: bytes, above: _Layer, start: int, end: int) -> _Stream | None:
+    """``raw``, decoded from above.text[start:end], as a stream; None if it is none. Bytes of an unmarked stream count as one if they unfold to text."""
+    if len(raw) < 8:
+        return None
+    if next(_unfolded(raw), None) is not None:
+        return _Stream(raw, above, (start, end))
+    head = next(_unfolded(raw, _bare), (0, b""))[1]
+    if len(head) >= 12 and _readable(head.decode("utf-8", "replace")):
+        return _Stream(raw, above, (start, end), _bare)
+    return None
+
+
+class _Windows:
+    """A stream's text in windows that end where no match can lie across. Bytes that are no UTF-8 give U+FFFD, which is part of no match and ends a run."""
+
+    def __init__(self):
+        self.decoder = codecs.getincrementaldecoder("utf-8")("replace")
+        self.kept: list[str] = []
+        self.size = 0
+
+    def add(self, raw: bytes) -> Iterator[str]:
+        text = self.decoder.decode(raw)
         last = None
-        for last in _CUT.finditer(text):
-            pass
-        kept.append(text[: last.end()] if last else text)
-        size += len(kept[-1])
-        if last or size > LONGEST_RUN:
-            window = "".join(kept)
+        for start in (max(0, len(text) - OVERLAP), 0):
+            for last in _CUT.finditer(text, start):
+                pass
+            if last:
+                break
+        self.kept.append(text[: last.end()] if last else text)
+        self.size += len(self.kept[-1])
+        if last or self.size > LONGEST_RUN:
+            window = "".join(self.kept)
+            self.kept = [text[last.end() :] if last else window[-OVERLAP:]]
+            self.size = len(self.kept[0])
             yield window
-            kept = [text[last.end() :] if last else window[-OVERLAP:]]
-            size = len(kept[0])
-    if size:
-        yield "".join(kept)
-
 
-def _mapped(layer: _Layer, pieces: list[tuple[str, int, int]]) -> _Layer:
-    """A layer from (text, start, end) pieces of ``layer``; each character of a piece maps to the whole piece."""
-    text, starts, ends = [], [], []
-    for t, s, e in pieces:
-        a, b = layer.span(s, e)
-        text.append(t)
-        starts += [a] * len(t)
-        ends += [b] * len(t)
-    return _Layer("".join(text), starts, ends)
+    def rest(self) -> Iterator[str]:
+        if self.size:
+            yield "".join(self.kept)
 
 
 def _runs(t: str, one: re.Pattern, end: re.Pattern) -> Iterator[tuple[int, int]]:
@@ -208,33 +264,39 @@ def _runs(t: str, one: re.Pattern, end: re.Pattern) -> Iterator[tuple[int, int]]
 
 
 def _unescaped(layer: _Layer, start: int, end: int) -> Iterator[_Layer]:
-    at, pieces = start, []
-    t = layer.text
+    places, at, t = _Places(), start, layer.text
     for x in _ESCAPE.finditer(t, start, end):
-        pieces += [(t[i], i, i + 1) for i in range(at, x.start())]
-        pieces.append((_chr(x), x.start(), x.end()))
+        places.add(t[at : x.start()], at, 1)
+        places.add(_chr(x), x.start(), x.end() - x.start())
         at = x.end()
-    pieces += [(t[i], i, i + 1) for i in range(at, end)]
-    yield _mapped(layer, pieces)
+    places.add(t[at:end], at, 1)
+    yield places.layer(layer)
 
 
 def _percent(layer: _Layer, start: int, end: int) -> Iterator[_Layer | _Stream]:
     """Percent escapes as UTF-8; bytes that aren't may be compressed."""
-    t, pieces, at = layer.text, [], start
+    t, places, at = layer.text, _Places(), start
     for x in _PERCENTS.finditer(t, start, end):
         s, e = x.span()
-        pieces += [(t[i], i, i + 1) for i in range(at, s)]
+        places.add(t[at:s], at, 1)
         raw = bytes.fromhex(x.group().replace("%", ""))
-        if (stream := _stream(raw, layer.span(s, e))) is not None:
+        if (stream := _stream(raw, layer, s, e)) is not None:
             yield stream
-        k = 0
-        for c in raw.decode("utf-8", "replace"):
-            n = len(c.encode("utf-8")) if c != "\ufffd" or raw[k : k + 3] == b"\xef\xbf\xbd" else 1
-            pieces.append((c, s + 3 * k, min(e, s + 3 * (k + n))))
-            k += n
+        for part, n in _by_width(raw.decode("utf-8", "surrogateescape")):
+            places.add(re.sub("[\ud800-\udfff]", "\ufffd", part), s, 3 * n)
+            s += 3 * n * len(part)
         at = e
-    pieces += [(t[i], i, i + 1) for i in range(at, end)]
-    yield _mapped(layer, pieces)
+    places.add(t[at:end], at, 1)
+    yield places.layer(layer)
+
+
+#: Characters of one, two, three and four bytes of UTF-8; a byte that is none stands as a surrogate.
+_WIDTHS = re.compile("([\x00-\x7f\udc80-\udcff]+)|([\x80-\u07ff]+)|([\u0800-\ud7ff\ue000-\uffff]+)|([\U00010000-\U0010ffff]+)")
+
+
+def _by_width(text: str) -> Iterator[tuple[str, int]]:
+    for m in _WIDTHS.finditer(text):
+        yield m.group(), m.lastindex
 
 
 def _chr(x: re.Match) -> str:
@@ -242,10 +304,41 @@ def _chr(x: re.Match) -> str:
     return chr(v) if v < 0x110000 and not 0xD800 <= v < 0xE000 else "\ufffd"
 
 
+class _Based:
+    """Where characters decoded from base64 lie among its characters: a byte k in 4k/3, and these in the lines that were joined."""
+
+    def __init__(self, text: str, size: int, lines: list[tuple[int, int]], shift: int):
+        self.size, self.lines, self.shift = size, lines, shift
+        self.ends = list(itertools.accumulate(e - s for s, e in lines))
+        self.bytes = _Places()  # its width is that of bytes
+        if not text.isascii():
+            at = 0
+            for part, n in _by_width(text):
+                self.bytes.add(part, at, n)
+                at += n * len(part)
+            self.bytes.text = []
+
+    def _place(self, k: int) -> int:
+        line = min(bisect_right(self.ends, k), len(self.lines) - 1)
+        return self.lines[line][0] + k - (self.ends[line - 1] if line else 0)
+
+    def local(self, from_: int) -> Callable[[int, int], tuple[int, int]]:
+        """Of a layer that begins at character ``from_`` of the decoded text."""
+
+        def found(start: int, end: int) -> tuple[int, int]:
+            a, b = start + from_, end + from_
+            if self.bytes.at:
+                a, b = self.bytes(a, b)
+            a, last = a * 4 // 3, (b - 1) * 4 // 3
+            b = max(min(self.size, -(-b * 4 // 3)), last + 1)
+            return self._place(self.shift + a), self._place(self.shift + b - 1) + 1
+
+        return found
+
+
 def _based(layer: _Layer, lines: list[tuple[int, int]]) -> Iterator[_Layer | _Stream]:
     """Base64 in one run, or in runs of lines that follow each other, from each of the four places that its first group may begin at."""
     whole = "".join(layer.text[s:e] for s, e in lines).rstrip("=").replace("-", "+").replace("_", "/")
-    at = range(*lines[0]) if len(lines) == 1 else [i for s, e in lines for i in range(s, e)]
     for shift in range(4):
         word = whole[shift:]
         if len(word) % 4 == 1:
@@ -253,23 +346,14 @@ def _based(layer: _Layer, lines: list[tuple[int, int]]) -> Iterator[_Layer | _St
         if len(word) < 16:
             return
         raw = base64.b64decode(word + "=" * (-len(word) % 4))
-        if (stream := _stream(raw, layer.span(at[shift], lines[-1][1]))) is not None:
-            yield stream
         text = raw.decode("utf-8", "surrogateescape")
-        parts = [(0, len(text))] if (plain := _plain(raw)) is not None else [x.span() for x in _PART.finditer(text)]
-        if not parts:
-            continue
-        places = list(itertools.accumulate((len(c.encode("utf-8", "surrogateescape")) for c in text), initial=0))
-        for start, end in parts:
-            starts, ends = [], []
-            for k in range(start, end):
-                a = places[k] * 4 // 3
-                b = max(min(len(word), -(-places[k + 1] * 4 // 3)), a + 1)
-                s, e = layer.span(at[shift + a], at[shift + b - 1] + 1)
-                starts.append(s)
-                ends.append(e)
-            yield _Layer(text[start:end], starts, ends)
-        if plain is not None:
+        places = _Based(text, len(word), lines, shift)
+        if (stream := _stream(raw, layer, places._place(shift), lines[-1][1])) is not None:
+            yield stream
+        plain = _plain(raw) is not None
+        for start, end in [(0, len(text))] if plain else [x.span() for x in _PART.finditer(text)]:
+            yield _Layer(text[start:end], layer, places.local(start))
+        if plain:
             return
 
 
@@ -314,7 +398,8 @@ def scan(text: str | None) -> tuple[list[Span], list[Span]]:
     base = base_spans(text)
     found: set[Span] = set()
     seen = {hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()}
-    work = [(_Layer(text, None, None), _unwrapped(_Layer(text, None, None)))]
+    whole = _Layer(text)
+    work: list[tuple] = [(whole, _unwrapped(whole))]
     room = [0, 0]
     while work:
         layer, below = work[-1]

@@ -784,3 +784,69 @@ def test_frequent_runs_are_few(spark):
     rows = substrings._rows(spark.createDataFrame(docs, "doc_id long, text string"))
     hot = substrings.frequent_runs(rows, 10)
     assert 0 < len(hot) <= 80 and set(hot.tolist()) <= set(substrings._together([" ".join(words(1, 30, 5000)).encode()])[0].hashes(4).tolist())
+
+
+# --- layers of secrets, by following a secret outwards through its encodings -----------------------------------
+
+
+def outwards(r, text, span):
+    """One more encoding of ``text``, and where ``span`` of it lies then; None where a decoder can't tell single characters."""
+    kind, (s, e) = r.choice(["percent", "escape", "hex escape", "base64", "gzip", "zlib", "bz2", "xz"]), span
+    at = [len(text[:k].encode()) for k in (s, e)]
+    if kind == "percent":
+        return "".join(f"%{b:02X}" for b in text.encode()), (3 * at[0], 3 * at[1])
+    if kind == "escape" and all(ord(c) < 0xD800 for c in text):
+        return "".join(f"\\u{ord(c):04x}" for c in text), (6 * s, 6 * e)
+    if kind == "hex escape" and text.isascii():
+        return "".join(f"\\x{ord(c):02x}" for c in text), (4 * s, 4 * e)
+    if kind in ("percent", "escape", "hex escape", "base64"):
+        out = base64.b64encode(text.encode()).decode()
+        return out, (at[0] * 4 // 3, min(len(out.rstrip("=")), -(-at[1] * 4 // 3)))
+    import bz2
+    import lzma
+
+    out = base64.b64encode({"gzip": gzip.compress, "zlib": zlib.compress, "bz2": bz2.compress, "xz": lzma.compress}[kind](text.encode())).decode()
+    return out, (0, len(out))
+
+
+def test_layers_against_encodings_followed_outwards():
+    r = random.Random(11)
+    for n in range(300):
+        lead = r.choice(["words before it, ", "ключ: ", "\U0001f600 x ", "a" * r.randrange(30) + " "])
+        text, span = lead + "password=hunter2xyz" + r.choice([" and after", "; конец", ""]), (len(lead), len(lead) + 19)
+        for _ in range(r.randrange(1, 5)):
+            text, span = outwards(r, text, span)
+        before = r.choice(["", "plain prose. ", "п "])
+        whole = before + text + r.choice(["", " and so on"])
+        want = (span[0] + len(before), 0, span[1] + len(before))
+        found = [x for x in secrets.scan(whole)[1] if x[1] == 0]
+        # the same secret may also be told by a wider span, of a stream's whole fragment
+        assert any(s <= want[0] and want[2] <= e for s, _, e in found), (n, whole[:80], found, want)
+        assert want in found or any(want[2] - want[0] < e - s for s, _, e in found), (n, found, want)
+
+
+def test_streams_of_many_levels_bad_bytes_and_long_words():
+    raw = b"some words token=abcdef12 and more"
+    for _ in range(2000):
+        raw = zlib.compress(raw)
+    text = base64.b64encode(raw).decode()
+    assert secrets.scan(text)[1] == [(0, 0, len(text.rstrip("=")) if not text.endswith("=") else len(text))]
+    prose = b"words of prose and so on " * 18_000
+    text = base64.b64encode(gzip.compress(prose + b"\xff" + prose + b" password=hunter22 ")).decode()
+    assert any(k == 0 for _, k, _ in secrets.scan(text)[1])
+    text = base64.b64encode(gzip.compress(b"\xff\xfe password=hunter22")).decode()
+    assert any(k == 0 for _, k, _ in secrets.scan(text)[1])
+    binary = bytes(random.Random(3).randrange(256) for _ in range(30_000))
+    text = base64.b64encode(gzip.compress(binary + b"\0token=abcdef99\0" + binary)).decode()
+    assert any(k == 0 for _, k, _ in secrets.scan(text)[1])
+
+
+def test_a_long_word_around_an_escape_takes_little_memory():
+    import tracemalloc
+
+    text = "z" * 8_000_000 + "%41 token%3Dabcdefgh"
+    tracemalloc.start()
+    spans = secrets.scan(text)[1]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert spans == [(8_000_004, 0, 8_000_020)] and most < 12 * len(text)
