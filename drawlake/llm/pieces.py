@@ -12,6 +12,7 @@ neighbours are all so, hence the path equals the library's result.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from dataclasses import dataclass
 from itertools import chain
@@ -322,12 +323,12 @@ class Coder:
         return self.decode_all(np.array(ids, np.int64), np.array([len(ids)]))[0]
 
 
-_CODERS: dict[int, Coder] = {}
+_CODERS: dict[str, Coder] = {}
 
 
 def _coder(v: Vocabulary) -> Coder:
     """One coder a worker process and model: its tables take a second to build."""
-    key = hash((v.unigram, len(v.pieces), tuple(v.pieces[:400]), tuple(v.pieces[-400:])))
+    key = hashlib.sha256(repr((v.unigram, v.unknown, v.pieces, v.kinds, v.scores)).encode("utf-8", "surrogatepass")).hexdigest()
     if key not in _CODERS:
         _CODERS[key] = Coder(v)
     return _CODERS[key]

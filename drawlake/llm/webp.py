@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from drawlake.llm.common import free_name
+
 #: Fixed values of the format.
 CODE_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
 GREENS, LENGTHS, DISTANCES = 256, 24, 40
@@ -1313,17 +1315,19 @@ def text_media(docs: DataFrame) -> DataFrame:
 def pixel_arrays(files: DataFrame, content_col: str = "content") -> DataFrame:
     """``files`` with width, height, pixels (red, green, blue, alpha bytes, row by row) and error in place of the content.
 
-    A null or broken file has null pixels and says why in error.
+    A null or broken file has null pixels and says why in error. Other columns pass, but for those with the new names,
+    which are replaced.
     """
     from pyspark.sql.types import BinaryType, IntegerType, StringType, StructField, StructType
 
     new = ("width", "height", "pixels", "error")
-    names = [c for c in files.columns if c not in (content_col, *new)]
+    names = [c for c in files.columns if c.lower() not in (content_col.lower(), *new)]
+    held = free_name(names, "held_content")
 
     def run(batches):
         for b in batches:
             rows = []
-            for raw in b.column("__raw").to_pylist():
+            for raw in b.column(held).to_pylist():
                 try:
                     if raw is None:
                         raise ValueError("no content")
@@ -1335,5 +1339,5 @@ def pixel_arrays(files: DataFrame, content_col: str = "content") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), *(pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.int32(), pa.binary(), pa.string())))], names=[*names, *new])
 
     fields = [StructField("width", IntegerType()), StructField("height", IntegerType()), StructField("pixels", BinaryType()), StructField("error", StringType())]
-    rows = files.select(*(F.col(f"`{c}`") for c in names), F.col(f"`{content_col}`").alias("__raw"))
+    rows = files.select(*(F.col(f"`{c}`") for c in names), F.col(f"`{content_col}`").alias(held))
     return rows.mapInArrow(run, StructType([*(files.schema[c] for c in names), *fields]))
