@@ -46,18 +46,63 @@ def in_box(px: Column, py: Column, box: DataFrame, margin: float = 0.0, strict:
     return (px >= box["x0"] - margin) & (px <= box["x1"] + margin) & (py >= box["y0"] - margin) & (py <= box["y1"] + margin)
 
 
+#: Boxes of a side up to 2^level are dealt to cells of that side; smaller ones than 2^LOWEST count as points.
+LOWEST = -4
+
+
+def box_join(left: DataFrame, right: DataFrame, keys: Keys, left_box: Sequence[str], right_box: Sequence[str]) -> DataFrame:
+    """All pairs of a left and a right row of a drawing whose boxes (x0, y0, x1, y1; a point twice) meet, borders included.
+
+    The column names of the two may only share ``keys``. A box lies in at most four cells of its own size. Pairs meet in
+    the cells of the larger box: each side goes to its own size and to those larger ones that the other side has, and
+    of the cells that two boxes share only the one at the lower corner of what they share reports them.
+    """
+    def level(box):
+        side = F.greatest(F.col(box[2]) - F.col(box[0]), F.col(box[3]) - F.col(box[1])).cast("double")
+        return F.when(side > 2.0**LOWEST, F.ceil(F.log2(side))).otherwise(LOWEST).cast("int")
+
+    def dealt(df, box, name, others):
+        known = F.array(*[F.lit(x) for x in others]) if others else F.array().cast("array<int>")
+        own = level(box)
+        out = df.where(own.isNotNull()).withColumn(f"_{name}", own).withColumn("_level", F.explode(F.array_union(F.array(own), F.filter(known, lambda x: x > own))))
+        for c, low, high in (("_cx", box[0], box[2]), ("_cy", box[1], box[3])):
+            side = F.pow(F.lit(2.0), F.col("_level"))
+            out = out.withColumn(c, F.explode(F.sequence(F.floor(F.col(low) / side), F.floor(F.col(high) / side))))
+        return out
+
+    sizes = [sorted(r[0] for r in df.select(level(box).alias("k")).where("k is not null").distinct().collect()) for df, box in ((left, left_box), (right, right_box))]  # as many as powers of two
+    pairs = dealt(left, left_box, "a", sizes[1]).join(dealt(right, right_box, "b", sizes[0]), [*keys, "_level", "_cx", "_cy"])
+    pairs = pairs.where(F.col("_level") == F.greatest("_a", "_b"))
+    for c, k in (("_cx", 0), ("_cy", 1)):
+        low, high = F.greatest(left_box[k], right_box[k]), F.least(left_box[k + 2], right_box[k + 2])
+        pairs = pairs.where((low <= high) & (F.floor(low / F.pow(F.lit(2.0), F.col("_level"))) == F.col(c)))
+    return pairs.drop("_level", "_cx", "_cy", "_a", "_b")
+
+
+def _held(points: DataFrame, zones: DataFrame, keys: Keys, margin: float, x: str, y: str) -> DataFrame:
+    """Places (keys, _px, _py) of points with each zone (z_*) whose widened box holds them, border included."""
+    at = points.select(*keys, F.col(x).cast("double").alias("_px"), F.col(y).cast("double").alias("_py")).distinct()
+    z = prefixed(zones, "z_", keys)
+    grow = {c: (F.col(f"z_{c}") + by).cast("double") for c, by in (("x0", -margin), ("y0", -margin), ("x1", margin), ("y1", margin))}
+    return box_join(at, z.withColumns({f"_{c}": v for c, v in grow.items()}), keys, ("_px", "_py", "_px", "_py"), ("_x0", "_y0", "_x1", "_y1"))
+
+
 def exclude_zones(points: DataFrame, zones: DataFrame, keys: Keys, margin: float = 0.0, strict: bool = True, x: str = "x", y: str = "y") -> DataFrame:
     """Points in no zone of their drawing; strict: a point on the border counts as outside."""
-    z = zones.select(*keys, "x0", "y0", "x1", "y1")
-    return points.join(z, _same(points, z, keys) & in_box(points[x], points[y], z, margin, strict), "left_anti")
+    hit = _held(points, zones.select(*keys, "x0", "y0", "x1", "y1"), keys, margin, x, y)
+    if strict:
+        hit = hit.where("_px > _x0 and _px < _x1 and _py > _y0 and _py < _y1")
+    hit = hit.select(*keys, "_px", "_py").distinct()
+    at = {"_px": F.col(x).cast("double"), "_py": F.col(y).cast("double")}
+    return points.withColumns(at).join(hit, [*keys, "_px", "_py"], "left_anti").select(*points.columns)
 
 
 def zone_of(points: DataFrame, zones: DataFrame, keys: Keys, margin: float = 2.0, x: str = "x", y: str = "y", seq: str = "seq") -> DataFrame:
     """Points with the name of the first zone (by the zones' seq) that holds them, or null."""
-    z = zones.select(*keys, "x0", "y0", "x1", "y1", "zone", F.col("seq").alias("_zseq"))
-    hit = points.join(z, _same(points, z, keys) & in_box(points[x], points[y], z, margin), "left")
-    columns = [points[c] for c in points.columns]
-    return hit.groupBy(*columns).agg(F.min_by(z["zone"], "_zseq").alias("zone"))
+    hit = _held(points, zones.select(*keys, "x0", "y0", "x1", "y1", "zone", "seq"), keys, margin, x, y)
+    first = hit.groupBy(*keys, "_px", "_py").agg(F.min_by("z_zone", "z_seq").alias("zone"))
+    at = {"_px": F.col(x).cast("double"), "_py": F.col(y).cast("double")}
+    return points.withColumns(at).join(first, [*keys, "_px", "_py"], "left").select(*points.columns, "zone")
 
 
 def legend_boxes(texts: DataFrame, keys: Keys = ("file_id",), header: str = r"(?iu)условные обозначения|экспликация оборудования", apart: float = 5000.0) -> DataFrame:
@@ -173,18 +218,110 @@ def marker_filter(words: DataFrame, legend: DataFrame, keys: Keys = ("file_id",
     return fits.where((F.col("color_class") != "grey") & ((F.col("_want") == "") | (F.col("color_class") == F.col("_want")))).drop("_want", "_mid", "height")
 
 
-def nearest(left: DataFrame, right: DataFrame, keys: Keys, radius: float | None = None, metric: str = "l2", seq: str = "seq", x: str = "x", y: str = "y") -> DataFrame:
-    """For each left row its nearest right row (ties: the smaller seq): l_* and r_* columns and dist; rows without one are left out.
+#: Points of a leaf cell, finest cells below the natural ones, and points of a drawing up to which it is one leaf.
+LEAF, DEEP, SMALL = 16, 12, 64
+
 
-    Without a radius all of a drawing's pairs are compared, so ``keys`` should name small groups then.
+def _gap(metric: str, dx: Column, dy: Column) -> Column:
+    return dx + dy if metric == "l1" else F.sqrt(dx * dx + dy * dy)
+
+
+def _bounds(metric: str) -> tuple[Column, Column]:
+    """The least and the largest distance of the point (_x, _y) to any point of a cell's own box (bx0, by0, bx1, by1)."""
+    least = [F.greatest(F.col(f"b{c}0") - F.col(f"_{c}"), F.col(f"_{c}") - F.col(f"b{c}1"), F.lit(0.0)) for c in "xy"]
+    most = [F.greatest(F.abs(F.col(f"_{c}") - F.col(f"b{c}0")), F.abs(F.col(f"_{c}") - F.col(f"b{c}1"))) for c in "xy"]
+    return _gap(metric, *least), _gap(metric, *most)
+
+
+def near_candidates(left: DataFrame, right: DataFrame, keys: Keys, k: int, metric: str) -> DataFrame:
+    """(keys, _x, _y, _rx, _ry): for each place of ``left`` (keys, _x, _y) places of ``right`` (keys, _x, _y) of which its k nearest are some.
+
+    The right places of a drawing lie in a tree of cells, each split until it holds LEAF places. A left place looks
+    at the nine cells around it, first of a size that holds a few places on average, then of twice that size and so
+    on, until no place outside the nine can be among the k nearest: those cells promise k places nearer than a side.
+    Of the nine it then follows those that may hold one of the k down to the leaves. What it is compared with so
+    depends on neither the drawing's size nor how its places crowd.
     """
-    if radius is None:
-        a, b = prefixed(left, "l_", keys), prefixed(right, "r_", keys)
-        dx, dy = F.abs(F.col(f"l_{x}") - F.col(f"r_{x}")), F.abs(F.col(f"l_{y}") - F.col(f"r_{y}"))
-        pairs = a.join(b, list(keys)).withColumn("dist", dx + dy if metric == "l1" else F.sqrt(dx * dx + dy * dy))
-    else:
+    from drawlake.operators.graph import checkpointed
+
+    keys = list(keys)
+    frame = right.groupBy(*keys).agg(F.count("*").alias("_n"), F.min("_x").alias("_ox"), F.min("_y").alias("_oy"), F.greatest(F.max("_x") - F.min("_x"), F.max("_y") - F.min("_y"), F.lit(1e-9)).alias("_w"))
+    # the natural level: some LEAF / 4 places a cell if they are spread evenly
+    frame = frame.withColumn("_top", F.greatest(F.lit(0), F.ceil(F.log2(F.col("_n") * 4.0 / LEAF) / 2)).cast("int"))
+    at = lambda c: F.floor((F.col(f"_{c}") - F.col(f"_o{c}")) / F.col("_w") * F.pow(F.lit(2.0), F.col("_fine"))).cast("long")
+    placed = lambda df: df.join(frame, keys).withColumn("_fine", F.col("_top") + DEEP).withColumns({"_cx": at("x"), "_cy": at("y")})
+    up = lambda c, by: F.call_function("shiftright", F.col(c), by)
+    # the largest coordinate would open a cell of its own
+    last = F.pow(F.lit(2.0), F.col("_fine")).cast("long") - 1
+    points = checkpointed(placed(right).withColumns({c: F.least(F.col(c), last) for c in ("_cx", "_cy")}).select(*keys, "_x", "_y", "_cx", "_cy", "_top", "_fine"))
+    each = points.withColumn("level", F.explode(F.sequence(F.lit(0), F.col("_fine")))).withColumns({c: up(f"_{c}", F.col("_fine") - F.col("level")) for c in ("cx", "cy")})
+    box = [f("_" + c).alias(f"b{c}{i}") for c in "xy" for i, f in ((0, F.min), (1, F.max))]
+    cells = checkpointed(each.groupBy(*keys, "level", "cx", "cy").agg(F.count("*").alias("n"), F.max(F.col("level") == F.col("_fine")).alias("last"), F.max("_top").alias("_top"), *box))
+    # leaves are natural cells or finer ones, so that places need not look among the large cells
+    cells = cells.withColumn("leaf", (F.col("level") >= F.col("_top")) & ((F.col("n") <= LEAF) | F.col("last"))).drop("last", "_top")
+    own = ["_x", "_y"]
+    live = placed(left).select(*keys, *own, "_cx", "_cy", "_fine", "_w", F.col("_top").alias("level"), F.lit(float("inf")).alias("best"))
+    live, found = checkpointed(live), None
+    least, most = _bounds(metric)
+    row = Window.partitionBy(*keys, *own)
+
+    def promised(df):
+        """The distance within which the cells of a place hold k others for certain."""
+        first = df.withColumn("_sum", F.sum("n").over(row.orderBy("_most", "level", "cx", "cy").rowsBetween(Window.unboundedPreceding, 0)))
+        return first.withColumn("best", F.least("best", F.min(F.when(F.col("_sum") >= k, F.col("_most"))).over(row)))
+
+    while not live.isEmpty():
+        steps = F.array(*[F.struct(F.lit(i).cast("long").alias("i"), F.lit(j).cast("long").alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+        around = live.withColumn("_d", F.explode(F.when(F.col("level") > 0, steps).otherwise(F.array(F.struct(F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"))))))
+        base = lambda c, d: F.when(F.col("level") > 0, up(f"_{c}", F.col("_fine") - F.col("level")) + F.col(f"_d.{d}")).otherwise(F.lit(0).cast("long"))
+        around = around.withColumns({"cx": base("cx", "i"), "cy": base("cy", "j")}).drop("_d")
+        hits = around.join(cells, [*keys, "level", "cx", "cy"], "left").withColumns({"n": F.coalesce("n", F.lit(0)), "_least": least, "_most": most})
+        side = F.col("_w") / F.pow(F.lit(2.0), F.col("level")) * (1 - 1e-9)
+        hits = checkpointed(promised(hits).withColumn("done", (F.col("best") <= side) | (F.col("level") == 0)))
+        ready = hits.where("done and n > 0 and _least <= best").select(*keys, *own, "level", "cx", "cy", "leaf", "best")
+        found = ready if found is None else found.union(ready)
+        live = checkpointed(hits.where("not done").groupBy(*keys, *own).agg(*(F.min(c).alias(c) for c in ("_cx", "_cy", "_fine", "_w")), (F.min("level") - 1).alias("level"), F.min("best").alias("best")))
+    done, open_ = None, found if found is not None else live.select(*keys, *own, "level", F.lit(0).cast("long").alias("cx"), F.lit(0).cast("long").alias("cy"), F.lit(True).alias("leaf"), "best")
+    while True:
+        ready = open_.where("leaf").select(*keys, *own, "level", "cx", "cy")
+        done = ready if done is None else done.union(ready)
+        rest = open_.where("not leaf")
+        if rest.isEmpty():
+            break
+        below = cells.select(*keys, (F.col("level") - 1).alias("level"), F.call_function("shiftright", "cx", F.lit(1)).alias("cx"), F.call_function("shiftright", "cy", F.lit(1)).alias("cy"), F.col("cx").alias("_kx"), F.col("cy").alias("_ky"), F.col("leaf").alias("_leaf"), "n", *(f"b{c}{i}" for c in "xy" for i in "01"))
+        opened = rest.drop("leaf").join(below, [*keys, "level", "cx", "cy"]).withColumns({"_least": least, "_most": most})
+        opened = promised(opened).where("_least <= best")
+        open_ = checkpointed(opened.select(*keys, *own, (F.col("level") + 1).alias("level"), F.col("_kx").alias("cx"), F.col("_ky").alias("cy"), F.col("_leaf").alias("leaf"), "best"))
+    inside = each.where(F.col("level") >= F.col("_top")).join(cells.where("leaf").select(*keys, "level", "cx", "cy"), [*keys, "level", "cx", "cy"], "left_semi")
+    return done.join(inside.select(*keys, "level", "cx", "cy", F.col("_x").alias("_rx"), F.col("_y").alias("_ry")), [*keys, "level", "cx", "cy"]).select(*keys, *own, "_rx", "_ry")
+
+
+def nearest(left: DataFrame, right: DataFrame, keys: Keys, radius: float | None = None, metric: str = "l2", seq: str = "seq", x: str = "x", y: str = "y", k: int = 1) -> DataFrame:
+    """For each left row its k nearest right rows (ties: the smaller seq): l_* and r_* columns and dist; rows without one are left out.
+
+    Without a radius drawings of up to SMALL right rows compare all of them; in others rings of cells find the
+    candidates (``near_candidates``). Rows without coordinates are near nothing.
+    """
+    if radius is not None:
         pairs = near_pairs(left, right, keys, radius, x, y, metric)
+    else:
+        dist = _gap(metric, F.abs(F.col(f"l_{x}") - F.col(f"r_{x}")), F.abs(F.col(f"l_{y}") - F.col(f"r_{y}"))).alias("dist")
+        a, b = (prefixed(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()), p, keys) for df, p in ((left, "l_"), (right, "r_")))
+        most = b.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+        if most > SMALL:
+            here = {"_x": F.col(f"l_{x}").cast("double"), "_y": F.col(f"l_{y}").cast("double")}
+            there = {"_rx": F.col(f"r_{x}").cast("double"), "_ry": F.col(f"r_{y}").cast("double")}
+            # of right rows at one place only the k of the smallest seq can count
+            b = b.withColumn("_n", F.row_number().over(Window.partitionBy(*keys, f"r_{x}", f"r_{y}").orderBy(f"r_{seq}"))).where(F.col("_n") <= k).drop("_n")
+            places = near_candidates(a.select(*keys, *(c.alias(n) for n, c in here.items())).distinct(), b.select(*keys, there["_rx"].alias("_x"), there["_ry"].alias("_y")).distinct(), keys, k, metric)
+            a, b = a.withColumns(here), b.withColumns(there)
+            pairs = a.join(places, [*keys, "_x", "_y"]).join(b, [*keys, "_rx", "_ry"]).select(*(c for c in [*a.columns, *b.columns[len(keys):]] if c not in ("_x", "_y", "_rx", "_ry")), dist)
+        else:
+            pairs = a.join(b, list(keys)).select("*", dist)
     rest = [c for c in pairs.columns if c not in keys]
+    if k > 1:
+        order = Window.partitionBy(*keys, f"l_{seq}").orderBy("dist", f"r_{seq}")
+        return pairs.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
     best = pairs.groupBy(*keys, F.col(f"l_{seq}").alias("_l")).agg(F.min_by(F.struct(*rest), F.struct("dist", f"r_{seq}")).alias("_m"))
     return best.select(*keys, "_m.*")
 
