@@ -27,8 +27,9 @@ SUB = 4
 FREQUENT = 8
 #: Windows of one string at most: a text that repeats itself is cut, which loses nothing.
 LONGEST = 256
-#: Bytes of text that are hashed at once; a longer text is cut into overlapping parts.
-CHUNK = 8 << 20
+#: Bytes of text that are worked on at once; a longer text is cut into overlapping parts. Bytes of one running sum.
+CHUNK = 4 << 20
+BLOCK = 1 << 17
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _UNBASE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -44,10 +45,17 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def _powers(x: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, x, np.uint64)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
+_held = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """The first n powers, or more, of the base and of its inverse."""
+    if len(_held[0]) < n:
+        for k, x in enumerate((_BASE, _UNBASE)):
+            out = np.full(max(n, 2 * BLOCK), x, np.uint64)
+            out[0] = 1
+            _held[k] = np.multiply.accumulate(out)
+    return _held
 
 
 class Words:
@@ -71,29 +79,21 @@ class Words:
         return self.data
 
     def hashes(self, n: int) -> np.ndarray:
-        """A hash for each run of n words, by its first word."""
-        if len(self.start) < n:
-            return np.empty(0, np.uint64)
-        first, last = self.start[: len(self.start) - n + 1], self.end[n - 1 :]
-        total = np.empty(len(self.data) + 1, np.uint64)
-        total[0] = 0
-        np.cumsum(_BYTE[self.data] * self._up(), out=total[1:])
-        return mixed((total[last] - total[first]) * self._down()[first])
-
-    _held = (np.empty(0, np.uint64), np.empty(0, np.uint64))
-
-    def _grow(self):
-        if len(Words._held[0]) < len(self.data) + 1:
-            n = max(1 << 16, len(self.data) + 1)
-            Words._held = (_powers(_BASE, n), _powers(_UNBASE, n))
-
-    def _up(self):
-        self._grow()
-        return Words._held[0][: len(self.data)]
-
-    def _down(self):
-        self._grow()
-        return Words._held[1]
+        """A hash for each run of n words, by its first word; running sums are made of BLOCK bytes at a time."""
+        count = len(self.start) - n + 1
+        out = np.empty(max(0, count), np.uint64)
+        at = 0
+        while at < count:
+            lo = int(self.start[at])
+            to = min(count, max(at + 1, int(np.searchsorted(self.start, lo + BLOCK))))
+            first, last = self.start[at:to] - lo, self.end[at + n - 1 : to + n - 1] - lo
+            up, down = _powers(int(last[-1]) + 1)
+            total = np.empty(int(last[-1]) + 1, np.uint64)
+            total[0] = 0
+            np.cumsum(_BYTE[self.data[lo : lo + int(last[-1])]] * up[: int(last[-1])], out=total[1:])
+            out[at:to] = mixed((total[last] - total[first]) * down[first])
+            at = to
+        return out
 
 
 def lowest(x: np.ndarray, n: int) -> np.ndarray:
@@ -319,7 +319,7 @@ def repeated_windows(docs: DataFrame, span: int = SPAN, run: int = RUN) -> DataF
     buckets = partitions * SUB
 
     def pack(batches):
-        squeeze = zstandard.ZstdCompressor(level=1)
+        squeeze = zstandard.ZstdCompressor(level=3)
         for ids, tags, froms, texts in _documents(batches):
             low, strings, where = super_kmers(ids, tags, froms, texts, frequent, span, run)
             if not strings:
