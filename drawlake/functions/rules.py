@@ -175,3 +175,6 @@ KEY_REWRITES = (
     (r",?\s*(?:цвет\s+[^\s]+|белый|серый|чёрный|черный)\s*,?", ""), (r"[0-9]{3,4}\s*[kк]\s*", ""), (rf"[0-9]+\s*[вw]t{_W}*", ""), (rf"[0-9]+\s*[лl]м{_W}*", ""),
     (r"сечением?(\s+|$)", ""), (r"\s+", " "),
 )
+
+#: Words below a header that tell a legend without lines from other text.
+TABLE_WORDS = ("светильник", "розетка", "выключатель", "кабель", "щит", "провод", "лампа", "датчик", "извещатель", "оповещатель")
