@@ -139,23 +139,44 @@ WORKS = (
     ("luminaire", r"светильник|светил\.", "Монтаж светильника {}", "шт"),
     ("frame", r"рамк[аи]", "Установка рамки {}", "шт"),
     ("socket", r"розетк", "Монтаж розетки {}", "шт"),
-    ("circuit_breaker", r"(?:выключатель|выкл\.).*дифф?\s*автомат|автомат\S*\s+выкл", "Монтаж автоматического выключателя {}", "шт"),
+    ("circuit_breaker", r"^(?=.*(?:выключатель|выкл\.)).*(?:автомат\S*\s+выкл|дифф?\s*автомат)", "Монтаж автоматического выключателя {}", "шт"),
     ("switch", r"выключатель|выкл\.", "Монтаж выключателя {}", "шт"),
     ("panel", r"^(?:щр|що|щао|щвн|щв|щэ|вру|щу|грщ)(?:[-\s]\d|\d|$)|^щит\s|^пд\s|^ру\s|щит\s+(?:распределительн|осветительн|управлен|силов)", "Монтаж щита распределительного {}", "комп"),
-    ("cable_entry", r"кабельн\S*\s+вывод", "Монтаж кабельного вывода {}", "шт"),
+    ("cable_entry", r"кабельн\S*\s+вывод", "Монтаж кабельного вывода", "шт"),
     ("cable", r"кабель|кабел[ья]|^ввг|^ппгнг|^nym|^кг\s|^кввг|^вбшв|^авбб?шв|^аввг|^пвс\s", "Прокладка кабеля {}", "м"),
     ("ground_rod", r"стержен.*заземлен|электрод.*заземлен|забивк.*заземл", "Забивка стержня заземления {}", "шт"),
     ("ground_strip", r"полос[аы]?\s*(?:стальн|оцинков|заземл|40)", "Прокладка заземлителя горизонтального {}", "м"),
     ("equipotential", r"уравнивани.*потенциал|потенциал.*уравнивани", "Прокладка проводника уравнивания потенциалов", "м"),
     ("grounding", r"проводник.*заземлен|заземлител.*горизонт", "Прокладка горизонтального заземлителя", "м"),
-    ("grounding", r"заземл|зазем\.|заземлител", "Прокладка заземлителя {}", "м"),
-    ("lightning", r"молниезащит|молниеприёмник|молниеприемник|токоотвод", "Монтаж молниезащиты {}", "м"),
-    ("conductor", r"проводник", "Прокладка проводника {}", "м"),
+    ("grounding", r"заземл|зазем\.|заземлител", "Прокладка заземлителя", "м"),
+    ("lightning", r"молниезащит|молниеприёмник|молниеприемник|токоотвод", "Монтаж молниезащиты", "м"),
+    ("conductor", r"проводник", "Прокладка проводника", "м"),
     ("wire", r"провод(?:\s|$|[а-яё])|^пугв|^пув\s", "Прокладка провода {}", "м"),
     ("cable_tray", r"лот[оа]к|кабельрост", "Монтаж лотка кабельного {}", "м"),
+    ("conduit_pipe", r"труба|гофр[аы]?(?:труб)?|^пнд\s|^пвд\s|кабель-?канал|^короб\s", "Монтаж трубы гофрированной {}", "м"),
+    ("sensor", r"датчик|извещатель|детектор", "Монтаж датчика {}", "шт"),
+    ("circuit_breaker", r"автомат\S*\s+выкл|автомат(?:\s|$)|предохранитель|узо(?:\s|$)|дифф?\s*автомат", "Монтаж автоматического выключателя {}", "шт"),
+    ("contactor", r"контактор|пускатель|реле(?:\s|$)", "Монтаж контактора {}", "шт"),
+    ("din_rail", r"дин.?рейк|din.?рейк", "Монтаж оборудования на DIN-рейку {}", "шт"),
+    ("terminal", r"клемм|наконечник|гильз|соединител", "Подключение {}", "шт"),
 )
-#: Leading nouns that a work's detail leaves out.
-NOUNS = r"^(?:светильн[^\s]*|розетк[аи]|выключатель|коробк[аи]|датчик|указатель|кабельн[^\s]*\s+вывод|кабель|провод(?:ник)?|труб[аы]|лот[оа]к|щит|короб|рамк[аи]|полос[аы]|стержен[ьи]|электрод|молниезащит[^\s]*|молниеприёмник|молниеприемник|токоотвод)\s*"
+_E = "[0-9a-zA-Z_а-яА-ЯёЁ]"
+_NOUNS = (r"^(?:светильник|розетк[аи]|выключатель|коробк[аи]|датчик|извещатель|указатель|кабельн\S*\s+вывод|кабель|провод(?:ник)?|труб[аы]|лот[оа]к|щит|короб|автомат(?:ический)?\s*(?:выключатель)?|рамк[аи]|контактор|пускатель|реле|клеммник|полос[аы]|стержен[ьи]|электрод|молниезащит\S*|молниеприёмник|молниеприемник|токоотвод)\s*", "")
+_SECTION = (rf"(?<!{_E})сечением?(?!{_E})\s*", "")
+#: What a work's detail leaves out of the name, by category: (pattern in any case, what stands in its place) in order; the leading noun for the rest.
+DETAILS = {
+    "": (_NOUNS,),
+    "luminaire": ((r"^светильн\S*\s*", ""),),
+    "luminaire_emergency": ((r"^светильн\S*\s*", ""), (r"\s*(?:аварийн\S*|эвакуационн\S*)\s*", " ")),
+    "cable": ((r"^кабель\s*", ""), _SECTION, (rf"(?<!{_E})сеч\.?\s*", ""), (r"\s*\(прокладка\)\s*", " "), (rf"\s*\([^)]*(?:Щ|Гр\.?)(?:{_E}|-)*\)\s*$", ""), (r"\s*\(\?-[^)]*\)\s*", "")),
+    "wire": ((r"^провод\s*", ""), _SECTION),
+    "conduit_pipe": ((r"^(?:труб[аы]|гофр[оа]?труб[аы]?|кабель-?канал|короб)\s*", ""),),
+    "cable_tray": ((r"^лот[оа]к\s*", ""),),
+    "ground_rod": (_NOUNS, (r"^заземлени\S*\s*", "")),
+    "ground_strip": (_NOUNS, (r"^заземлени\S*\s*", "")),
+}
+#: How panels are named; the detail of their works where it occurs.
+PANEL_NAME = rf"((?:ЩР|ЩО|ЩАО|ЩВН|ЩВ|ЩЭ|ВРУ|ПД|ЩУ|ГРЩ|РУ)[\s-]*[0-9]*(?:{_E}|-)*)"
 
 _W = "[0-9a-zA-Z_а-яА-ЯёЁ]"
 #: Rewrites that make names of generated and written bills comparable, in order; for lower-cased text.

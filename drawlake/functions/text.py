@@ -187,23 +187,43 @@ def bill_key(c: Column) -> Column:
     return F.regexp_replace(F.trim(c), r"[,.:; ]+$", "")
 
 
-def map_work(c: Column) -> Column:
-    """(category, work, unit) of an equipment name."""
-    low = F.lower(F.trim(c))
-    detail = F.trim(F.regexp_replace(F.trim(c), "(?iu)" + R.NOUNS, ""))
-    detail = F.when(detail == "", F.trim(c)).otherwise(detail)
-    emergency = F.trim(F.regexp_replace(detail, r"(?iu)\s*(?:аварийн[^\s]*|эвакуационн[^\s]*)\s*", " "))
-    cable = F.regexp_replace(F.regexp_replace(detail, r"(?iu)(^|\s)сечением?(\s+|$)", "$1"), r"(?iu)\s*\(прокладка\)\s*", " ")
-    cable = F.regexp_replace(F.regexp_replace(cable, r"\s*\([^)]*(?:Щ|Гр\.?|гр\.?)[0-9A-Za-zА-Яа-яЁё_-]*\)\s*$", ""), r"\s*\(\?-[^)]*\)\s*", "")
-    panel = F.regexp_extract(c, r"(?iu)((?:ЩР|ЩО|ЩАО|ЩВН|ЩВ|ЩЭ|ВРУ|ПД|ЩУ|ГРЩ|РУ)[\s-]*[0-9]*[0-9A-Za-zА-Яа-яЁё_-]*)", 1)
-    own = {"luminaire_emergency": emergency, "cable": F.trim(cable), "wire": F.trim(cable), "panel": F.when(panel != "", F.trim(panel)).otherwise(F.trim(c))}
-    out = None
-    for category, pattern, template, unit in R.WORKS:
-        work = F.concat(F.lit(template[:-2]), own.get(category, detail)) if template.endswith("{}") else F.lit(template)
-        made = F.struct(F.lit(category).alias("category"), work.alias("work"), F.lit(unit).alias("unit"))
-        out = F.when(low.rlike(pattern), made) if out is None else out.when(low.rlike(pattern), made)
-    other = F.struct(F.lit("other").alias("category"), F.concat(F.lit("Монтаж "), F.trim(c)).alias("work"), F.lit("шт").alias("unit"))
-    return F.when(c.isNotNull(), out.otherwise(other))
+def _detail(name: Column, category: str) -> Column:
+    """What a work of a category says of the thing itself; the whole name where nothing is left of it."""
+    if category == "panel":
+        found = F.trim(F.regexp_extract(name, "(?iu)" + R.PANEL_NAME, 1))
+    else:
+        found = name
+        for pattern, to in R.DETAILS.get(category, R.DETAILS[""]):
+            found = F.regexp_replace(found, "(?iu)" + pattern, to)
+        found = F.trim(found)
+    return F.when(found == "", name).otherwise(found)
+
+
+def map_work(c: Column, unit: Column | None = None) -> Column:
+    """(category, work, unit) of an equipment name; ``unit`` is the source's, for names of no category. A blank name has no work."""
+    source = normalize_unit(F.coalesce(unit, F.lit("шт"))) if unit is not None else F.lit("шт")
+    name = F.trim(c)
+    rule = None
+    for k, (_, pattern, _, _) in enumerate(R.WORKS):
+        hit = F.lower(name).rlike(pattern)
+        rule = F.when(hit, k) if rule is None else rule.when(hit, k)
+
+    def made(v: Column) -> Column:
+        details = None
+        for category in dict.fromkeys(w[0] for w in R.WORKS if w[0] in R.DETAILS or w[0] == "panel"):
+            hit, own = v["rule"].isin(*(k for k, w in enumerate(R.WORKS) if w[0] == category)), _detail(v["name"], category)
+            details = F.when(hit, own) if details is None else details.when(hit, own)
+        with_detail = v["rule"].isin(*(k for k, w in enumerate(R.WORKS) if w[2].endswith("{}")))
+        of = lambda i: F.get(F.array(*(F.lit(w[i].removesuffix("{}")) for w in R.WORKS)), v["rule"])
+        work = F.when(with_detail, F.concat(of(2), details.otherwise(_detail(v["name"], "")))).otherwise(of(2))
+        known = F.struct(of(0).alias("category"), F.regexp_replace(F.trim(work), r"\s{2,}", " ").alias("work"), of(3).alias("unit"))
+        other = F.struct(F.lit("other").alias("category"), F.concat(F.lit("Монтаж "), v["name"]).alias("work"), v["unit"].alias("unit"))
+        blank = F.struct(F.lit("unknown").alias("category"), F.lit("").alias("work"), v["unit"].alias("unit"))
+        return F.when(v["name"] == "", blank).when(v["rule"].isNotNull(), known).otherwise(other)
+
+    # the rule is found once, however many of its fields are read
+    found = F.transform(F.array(F.struct(name.alias("name"), rule.alias("rule"), source.alias("unit"))), made)
+    return F.when(c.isNotNull(), found[0])
 
 
 def grounding_work(c: Column) -> Column:

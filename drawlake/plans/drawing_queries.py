@@ -147,8 +147,30 @@ def b7_normalize_name(spark, sf_dir):
     return rows.select("name", T.normalize_name(F.col("name")).alias("plain")).groupBy("name", "plain").agg(F.count("*").alias("n"))
 
 
+#: (what a name begins with, its category, what its work begins with, unit): one of each rule; None for works without detail.
+_WORK_NAMES = (
+    ("Труба ПВХ гибкая гофр. д.16мм ", "conduit_pipe", "Монтаж трубы гофрированной ПВХ гибкая гофр. д.16мм ", "м"), ("Гофротруба ПВХ d=20 ", "conduit_pipe", "Монтаж трубы гофрированной ПВХ d=20 ", "м"),
+    ("Датчик движения ", "sensor", "Монтаж датчика движения ", "шт"), ("Извещатель ", "sensor", "Монтаж датчика ", "шт"), ("Автоматический выключатель 16А ", "circuit_breaker", "Монтаж автоматического выключателя 16А ", "шт"),
+    ("УЗО 40А 30мА ", "circuit_breaker", "Монтаж автоматического выключателя УЗО 40А 30мА ", "шт"), ("Предохранитель ", "circuit_breaker", "Монтаж автоматического выключателя Предохранитель ", "шт"), ("Контактор КМИ-10910 9А ", "contactor", "Монтаж контактора КМИ-10910 9А ", "шт"),
+    ("Модуль на дин-рейку ", "din_rail", "Монтаж оборудования на DIN-рейку Модуль на дин-рейку ", "шт"), ("Клеммник WAGO 3x2.5 ", "terminal", "Подключение WAGO 3x2.5 ", "шт"), ("Гильза ", "terminal", "Подключение Гильза ", "шт"),
+    ("Лоток перфорированный 200x50 ", "cable_tray", "Монтаж лотка кабельного перфорированный 200x50 ", "м"), ("Провод ПуГВ сечением 1х6 ", "wire", "Прокладка провода ПуГВ 1х6 ", "м"), ("Кабель ППГнг-(А)-HF сеч. 3x1,5 ", "cable", "Прокладка кабеля ППГнг-(А)-HF 3x1,5 ", "м"),
+    ("Кабельный вывод ", "cable_entry", None, "шт"), ("Молниеприёмник ", "lightning", None, "м"), ("Электросчетчик Меркурий 230 ", "other", "Монтаж Электросчетчик Меркурий 230 ", "шт"), ("Рамка 2-постовая ", "frame", "Установка рамки 2-постовая ", "шт"),
+)
+_WORK_BARE = {"cable_entry": "Монтаж кабельного вывода", "lightning": "Монтаж молниезащиты"}
+
+
+def _by_work(k: int) -> str:
+    return case(f"p_partkey % {len(_WORK_NAMES)}", *(f"concat('{w[k]}', p_name)" if k != 2 or w[2] else f"'{_WORK_BARE[w[1]]}'" for w in _WORK_NAMES))
+
+
+@query(f"""SELECT {_by_work(0)} AS name, {case(f'p_partkey % {len(_WORK_NAMES)}', *(f"'{w[1]}'" for w in _WORK_NAMES))} AS category, {_by_work(2)} AS work, {case(f'p_partkey % {len(_WORK_NAMES)}', *(f"'{w[3]}'" for w in _WORK_NAMES))} AS unit FROM part""")
+def b9_work_rules(spark, sf_dir):
+    rows = derived(spark, sf_dir, "part", f"{_by_work(0)} AS name")
+    return rows.select("name", T.map_work(F.col("name")).alias("w")).select("name", "w.*")
+
+
 @query(f"""SELECT name, CASE WHEN name LIKE 'Светильник%' THEN concat('Монтаж светильника ', p_name) WHEN name LIKE 'Розетка%' THEN concat('Монтаж розетки ', p_name) WHEN name LIKE 'Выключатель%' THEN concat('Монтаж выключателя ', p_name)
-WHEN name LIKE 'Щит%' THEN concat('Монтаж щита распределительного ЩО', split_part(p_name, ' ', 1)) WHEN name LIKE 'Кабель%' THEN concat('Прокладка кабеля ', p_name) WHEN name LIKE 'Коробка%' THEN concat('Монтаж коробки распределительная ', p_name) ELSE concat('Монтаж ', name) END AS work, count(*) AS n FROM (SELECT {NAME} AS name, p_name FROM part) GROUP BY ALL""")
+WHEN name LIKE 'Щит%' THEN concat('Монтаж щита распределительного ЩО', split_part(p_name, ' ', 1)) WHEN name LIKE 'Кабель%' THEN concat('Прокладка кабеля ', p_name) WHEN name LIKE 'Коробка%' THEN concat('Монтаж коробки распределительная ', p_name) WHEN name LIKE 'Датчик%' THEN concat('Монтаж датчика ', p_name) ELSE concat('Монтаж ', name) END AS work, count(*) AS n FROM (SELECT {NAME} AS name, p_name FROM part) GROUP BY ALL""")
 def b9_work_text(spark, sf_dir):
     rows = derived(spark, sf_dir, "part", f"{NAME} AS name")
     return rows.select("name", T.map_work(F.col("name"))["work"].alias("work")).groupBy("name", "work").agg(F.count("*").alias("n"))

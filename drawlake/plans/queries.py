@@ -112,7 +112,7 @@ def b8_classify(spark, sf_dir):
     return e.select("name", T.normalize_name(n).alias("plain"), T.classify_equipment(n).alias("category"), T.first_of(n, R.SPECIFICATION[:5], "x").alias("upper_class"), "n")
 
 
-@query(f"SELECT name, CASE WHEN name LIKE 'Коробка распред%' THEN 'junction_box' WHEN name LIKE 'Светильник%' THEN 'luminaire' WHEN name LIKE 'Розетка%' THEN 'socket' WHEN name LIKE 'Выключатель%' THEN 'switch' WHEN name LIKE 'Щит%' THEN 'panel' WHEN name LIKE 'Кабель%' THEN 'cable' ELSE 'other' END AS category, CASE WHEN name LIKE 'Щит%' THEN 'комп' WHEN name LIKE 'Кабель%' THEN 'м' ELSE 'шт' END AS unit, count(*) AS n FROM {E} GROUP BY ALL")
+@query(f"SELECT name, CASE WHEN name LIKE 'Коробка распред%' THEN 'junction_box' WHEN name LIKE 'Светильник%' THEN 'luminaire' WHEN name LIKE 'Розетка%' THEN 'socket' WHEN name LIKE 'Выключатель%' THEN 'switch' WHEN name LIKE 'Щит%' THEN 'panel' WHEN name LIKE 'Кабель%' THEN 'cable' WHEN name LIKE 'Датчик%' THEN 'sensor' ELSE 'other' END AS category, CASE WHEN name LIKE 'Щит%' THEN 'комп' WHEN name LIKE 'Кабель%' THEN 'м' ELSE 'шт' END AS unit, count(*) AS n FROM {E} GROUP BY ALL")
 def b9_map_work(spark, sf_dir):
     w = T.map_work(F.col("name"))
     return equipment(spark, sf_dir).groupBy("name").agg(F.count("*").alias("n")).select("name", w["category"].alias("category"), w["unit"].alias("unit"), "n")

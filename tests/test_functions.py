@@ -10,6 +10,19 @@ CASES = [
     (lambda c: T.map_work(c)["work"], "Кабель ВВГнг 3х1.5", "Прокладка кабеля ВВГнг 3х1.5"),
     (lambda c: T.map_work(c)["work"], "Розетка РА16-003", "Монтаж розетки РА16-003"),
     (lambda c: T.map_work(c)["category"], "Нечто", "other"),
+    *((lambda c: F.to_csv(T.map_work(c, F.lit("компл.")), {"sep": "|"}), name, want) for name, want in (
+        ("Светильник светодиодный UNI/R EVO", "luminaire|Монтаж светильника светодиодный UNI/R EVO|шт"),
+        ("Светильник светодиодный аварийный", "luminaire_emergency|Монтаж светильника аварийного светодиодный|шт"),
+        ("Светильник аварийный MARS 2223-4 LED с пиктограммой", "luminaire_emergency|Монтаж светильника аварийного MARS 2223-4 LED с пиктограммой|шт"),
+        ("Указатель EXIT", "luminaire_exit|Монтаж указателя аварийного освещения EXIT|шт"),
+        ("Щит ЩО1", "panel|Монтаж щита распределительного ЩО1|комп"), ("ВРУ-1", "panel|Монтаж щита распределительного ВРУ-1|комп"),
+        ("Кабель ППГнг-(А)-HF (прокладка)", "cable|Прокладка кабеля ППГнг-(А)-HF|м"), ("Кабель ВВГнг(А)-LS 3x1.5 (ЩО1-Гр.7)", "cable|Прокладка кабеля ВВГнг(А)-LS 3x1.5|м"),
+        ("Кабель 1х40 (?-1х40)", "cable|Прокладка кабеля 1х40|м"), ("Кабель ВВГ сеч. 3х2,5", "cable|Прокладка кабеля ВВГ 3х2,5|м"),
+        ("Труба ПВХ гибкая гофр. д.16мм", "conduit_pipe|Монтаж трубы гофрированной ПВХ гибкая гофр. д.16мм|м"), ("Датчик движения", "sensor|Монтаж датчика движения|шт"),
+        ("УЗО 40А 30мА", "circuit_breaker|Монтаж автоматического выключателя УЗО 40А 30мА|шт"), ("Клеммник WAGO 3x2.5", "terminal|Подключение WAGO 3x2.5|шт"),
+        ("Контактор КМИ-10910 9А", "contactor|Монтаж контактора КМИ-10910 9А|шт"), ("Стержень заземления стальной", "ground_rod|Забивка стержня заземления стальной|шт"),
+        ("Контур заземления", "grounding|Прокладка заземлителя|м"), ("Электросчетчик Меркурий 230", "other|Монтаж Электросчетчик Меркурий 230|комп"), ("Розетка", "socket|Монтаж розетки Розетка|шт"),
+    )),
     (lambda c: C.parse_cable(c)["type"], "ППГнг(А)-HF 3х2,5 в гофре ΔU=0,18% L=13м", "ППГнг(А)-HF 3×2,5"),
     (lambda c: C.parse_cable(c)["length_m"], "ППГнг(А)-HF 3х2,5 в гофре ΔU=0,18% L=13м", 13),
     (C.cable_suffix, "ППГнг(А)-HF 3х2,5 в гофре ΔU=0,18% L=13м", "0.18|в гофре"),
