@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from drawlake.llm.common import CRC32_SQL, crc32_sql, free_name
+from drawlake.llm.common import CRC32_SQL, crc32_sql, free_name, stored
 from drawlake.operators.graph import numbered
 
 BUCKETS = 10_000
@@ -200,7 +200,8 @@ def importance_sample(docs: DataFrame, target: DataFrame, n: int = N, buckets: i
     gain = gains(bucket_counts(docs, n, buckets), bucket_counts(target, n, buckets))
     h = F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"), 256), 1, 8), 16, 10).cast("double")
     noise = F.floor(-1000 * F.log(-F.log((h + 0.5) / 4294967296.0)))
-    rows = weighed(docs, gain, n).withColumn("score", F.col("weight") + noise).withColumns({"_out": (F.col("n_words") < least_words).cast("int"), "_down": -F.col("score"), "_none": F.col("doc_id").isNull().cast("int")})
+    # stored, as dealing by ranges reads its input twice
+    rows = stored(weighed(docs, gain, n), "weighed").withColumn("score", F.col("weight") + noise).withColumns({"_out": (F.col("n_words") < least_words).cast("int"), "_down": -F.col("score"), "_none": F.col("doc_id").isNull().cast("int")})
     placed = numbered(rows, ["_out", "_down", "_none", "doc_id"])
     drawn = placed.where("_out = 0").count() * percent // 100
     rank = F.when((F.col("_out") == 0) & (F.col("number") <= drawn), F.col("number").cast("long"))
