@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from drawlake.functions import cables as C
 from drawlake.functions import geometry as G
 from drawlake.functions import text as T
-from drawlake.operators import compare, counting, iterative, legends, rollup, schedules, sequences, spatial
+from drawlake.operators import compare, counting, iterative, legends, rollup, schedules, sequences, spatial, tables
 from drawlake.operators.graph import shared_dir
 from drawlake.plans.queries import NAME, ORACLES, QUERIES, E, P, Z, _split, equipment, points, query, read, zones
 from drawlake.sources import drawings
@@ -885,6 +885,57 @@ def f10_table_bounds(spark, sf_dir):
     return b.select("file_id", "page", "x0", "x1", "y0", "y1", shown("row_ys"), shown("col_xs"))
 
 
+_ENDS = "l_suppkey AS file_id, l_partkey % 4 AS page, (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey AS seq, round(l_quantity * 2) AS rx0, round(l_quantity * 2 + l_discount * 300) AS rx1"
+
+
+def f10_anchor_groups(spark, sf_dir):
+    """Lines of a page by their two ends: each line's anchor."""
+    return tables.anchor_groups(derived(spark, sf_dir, "lineitem", _ENDS), ["file_id", "page"], "rx0", "rx1").select("file_id", "page", "seq", "anchor")
+
+
+QUERIES["f10_anchor_groups"] = f10_anchor_groups
+
+#: Words of a page without lines: a customer's header, column headers for two thirds of them, and orders as its rows.
+_BARE = "c_custkey AS file_id, 1 AS page, c_custkey AS seq, 90.0 AS x0, 100.0 AS top"
+_BARE_WORD = "o_custkey AS file_id, 1 AS page, o_orderkey AS seq, CASE o_orderkey % 5 WHEN 0 THEN 'Светильник' WHEN 1 THEN 'розетка' WHEN 2 THEN concat(o_orderkey % 40) ELSE o_orderpriority END AS text, 100.0 + o_orderkey % 11 * 20 AS x0, 130.0 + o_orderkey % 11 * 20 AS x1, 130.0 + o_orderkey % 25 * 15 AS top, 140.0 + o_orderkey % 25 * 15 AS bottom"
+_SHOWN = "array_to_string(list_transform({0}, lambda v: v::INT), ',')"
+
+
+@query(f"""WITH h AS (SELECT {_BARE} FROM customer), col AS (SELECT c_custkey AS file_id, unnest([100.0, 200.0, 420.0]) AS x0, unnest([1, 2, 3]) AS k FROM customer WHERE c_custkey % 3 > 0),
+w AS (SELECT file_id, text, x0, x1, top, bottom FROM (SELECT {_BARE_WORD} FROM orders) UNION ALL SELECT file_id, CASE k WHEN 1 THEN 'Обозначение' WHEN 2 THEN 'Наименование' ELSE 'Примечание' END, x0, x0 + 50, 110.0, 118.0 FROM col WHERE NOT (k = 3 AND file_id % 3 = 2)),
+a AS (SELECT h.file_id, 'header words' AS method, 80.0 AS x0, CASE WHEN h.file_id % 3 = 2 THEN 790.0 ELSE 510.0 END AS x1, max(bottom) + 5 AS y1, list_sort(list_concat([100.0], list(DISTINCT w.top))) AS ys, [80.0, 190.0, CASE WHEN h.file_id % 3 = 2 THEN 690.0 ELSE 410.0 END, CASE WHEN h.file_id % 3 = 2 THEN 790.0 ELSE 510.0 END] AS xs FROM h JOIN w ON w.file_id = h.file_id AND h.file_id % 3 > 0 AND w.top > 115 AND w.x0 > 70 AND w.x0 < CASE WHEN h.file_id % 3 = 2 THEN 800 ELSE 520 END GROUP BY ALL),
+b AS (SELECT h.file_id, 'equipment words' AS method, min(w.x0) - 10 AS x0, max(x1) + 10 AS x1, max(bottom) + 5 AS y1, list_sort(list_concat([100.0], list(DISTINCT w.top))) AS ys, coalesce(least(max(CASE WHEN regexp_matches(w.text, '^[0-9]{{1,2}}$') THEN x1 END) + 10, min(w.x0) + 100), min(w.x0) + 75) AS d FROM h JOIN w ON w.file_id = h.file_id AND h.file_id NOT IN (SELECT file_id FROM a) AND w.top > 100 AND w.top < 600 AND abs(w.x0 - 90) < 400 GROUP BY h.file_id HAVING count_if(text IN ('Светильник', 'розетка')) >= 2)
+SELECT file_id, method, x0::DOUBLE AS x0, x1::DOUBLE AS x1, y1::DOUBLE AS y1, {_SHOWN.format('ys')} AS row_ys, {_SHOWN.format('xs')} AS col_xs FROM a UNION ALL SELECT file_id, method, x0, x1, y1, {_SHOWN.format('ys')}, {_SHOWN.format('[x0, d, x1]')} FROM b""")
+def f10_word_bounds(spark, sf_dir):
+    heads = derived(spark, sf_dir, "customer", _BARE)
+    names = heads.where("file_id % 3 > 0").selectExpr("file_id", "page", "stack(3, -1, 'Обозначение', 100.0D, -2, 'Наименование', 200.0D, -3, 'Примечание', 420.0D) AS (seq, text, x0)").where("not (seq = -3 and file_id % 3 = 2)")
+    names = names.selectExpr("file_id", "page", "cast(seq AS LONG) AS seq", "text", "x0", "x0 + 50 AS x1", "110.0D AS top", "118.0D AS bottom")
+    rows = derived(spark, sf_dir, "orders", _BARE_WORD)
+    b = tables.word_bounds(rows.select(*rows.columns[:4], *(F.col(c).cast("double").alias(c) for c in rows.columns[4:])).unionByName(names), heads)
+    shown = lambda c: F.array_join(F.transform(c, lambda v: v.cast("int").cast("string")), ",").alias(c)
+    return b.select("file_id", "method", "x0", "x1", "y1", shown("row_ys"), shown("col_xs"))
+
+
+#: A legend row for each order: two numbers, one above the other for three of four orders; its line items are marks.
+_PART_ROW = "o_orderkey AS file_id, 1 AS page, 1 AS seq, 100.0 AS x0, 200.0 AS y0, 400.0 AS x1, 240.0 AS y1, 150.0 AS symbol_x1"
+_PART_MARK = "l_orderkey AS file_id, 1 AS page, CASE WHEN l_linenumber % 2 = 0 THEN 'line' ELSE 'rect' END AS kind, (l_linenumber * 1000000 + l_partkey) * 100 + l_quantity AS seq, 110.0 + l_quantity AS x0, 196.0 + l_linenumber * 6 AS y0, 118.0 + l_quantity AS x1, 196.0 + l_linenumber * 6 AS y1, CASE l_partkey % 4 WHEN 0 THEN 'red' WHEN 1 THEN 'blue' WHEN 2 THEN 'grey' ELSE 'black' END AS color_class"
+_FIRST = "arg_min(color_class, {'n': -n, 'k': k, 's': s})"
+
+
+@query(f"""WITH r AS (SELECT o_orderkey AS file_id, o_orderkey % 4 > 0 AS two FROM orders), m AS (SELECT * FROM (SELECT {_PART_MARK} FROM lineitem) WHERE color_class <> 'black' AND x0 <= 165),
+c AS (SELECT file_id, color_class, count(*) AS n, min(kind) AS k, arg_min(seq, {{'k': kind, 's': seq}}) AS s FROM m GROUP BY ALL), t AS (SELECT file_id, count(*) AS colors, {_FIRST} AS color FROM c GROUP BY 1),
+s AS (SELECT file_id, unnest([1, 2]) AS part FROM r JOIN t USING (file_id) WHERE two AND colors >= 2),
+p AS (SELECT s.file_id, part, color_class, count(*) AS n, min(kind) AS k, arg_min(seq, {{'k': kind, 's': seq}}) AS s FROM s JOIN m ON m.file_id = s.file_id AND m.y0 BETWEEN CASE part WHEN 1 THEN 197 ELSE 214.5 END AND CASE part WHEN 1 THEN 220.5 ELSE 243 END GROUP BY ALL),
+q AS (SELECT file_id, part, {_FIRST} AS color FROM p GROUP BY ALL)
+SELECT s.file_id, s.part, CASE s.part WHEN 1 THEN '4' ELSE '4АЭ' END AS symbol, CASE s.part WHEN 1 THEN 200.0 ELSE 217.5 END::DOUBLE AS y0, CASE s.part WHEN 1 THEN 217.5 ELSE 240.0 END::DOUBLE AS y1, coalesce(color, '') AS color FROM s LEFT JOIN q USING (file_id, part)
+UNION ALL SELECT file_id, 1, '4', 200.0, 240.0, coalesce(color, '') FROM r LEFT JOIN t USING (file_id) WHERE file_id NOT IN (SELECT file_id FROM s)""")
+def e38_sub_rows(spark, sf_dir):
+    rows = derived(spark, sf_dir, "orders", _PART_ROW)
+    rows = rows.select(*rows.columns[:3], *(F.col(c).cast("double").alias(c) for c in rows.columns[3:]))
+    symbols = rows.selectExpr("file_id", "page", "seq AS row", "stack(2, '4', 202.0D, '4АЭ', CASE WHEN file_id % 4 > 0 THEN 225.0D ELSE 203.0D END) AS (text, top)").selectExpr("*", "CASE text WHEN '4' THEN 105.0D ELSE 115.0D END AS x0", "top + 8 AS bottom")
+    return tables.sub_rows(rows, symbols, derived(spark, sf_dir, "lineitem", _PART_MARK)).select("file_id", "part", "symbol", "y0", "y1", "color")
+
+
 # --- rounds ---------------------------------------------------------------------------------------------------
 
 
@@ -900,6 +951,10 @@ SELECT {columns} FROM {rows} r JOIN s ON s.grp = r.grp AND s.id = r.id WHERE s.i
 _NEAR = "sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))"
 ORACLES["g4_dedup_points"] = kept_sql(f"p AS MATERIALIZED (SELECT *, sheet AS grp, seq AS id FROM {P})", "p", f"SELECT a.sheet AS grp, a.seq AS b, b.seq AS w FROM p a JOIN p b ON a.sheet = b.sheet AND a.seq < b.seq AND {_NEAR} < 150", "r.sheet, r.seq, r.x, r.y, r.symbol")
 
+_FITS = "a.page = b.page AND abs(a.rx0 - b.rx0) < 5 AND abs(a.rx1 - b.rx1) < 5"
+ORACLES["f10_anchor_groups"] = kept_sql(f"p AS MATERIALIZED (SELECT *, file_id * 4 + page AS grp, seq AS id FROM (SELECT {_ENDS} FROM lineitem))", "p", f"SELECT a.grp, a.seq AS b, b.seq AS w FROM p a JOIN p b ON a.file_id = b.file_id AND a.seq < b.seq AND {_FITS}", "r.*")
+ORACLES["f10_anchor_groups"] = ORACLES["f10_anchor_groups"].replace("SELECT r.* FROM p r", "SELECT a.file_id, a.page, a.seq, min(b.seq) AS anchor FROM p a JOIN (SELECT r.* FROM p r", 1) + f") b ON a.file_id = b.file_id AND {_FITS} GROUP BY ALL"
+
 _DETS = "d AS MATERIALIZED (SELECT vec_id AS det_id, vec_id % 10 AS page, label AS symbol_index, CAST(embedding[1] AS DOUBLE) * 1000 AS cx, CAST(embedding[2] AS DOUBLE) * 1000 AS cy, 20.0 AS w, 20.0 AS h, abs(CAST(embedding[3] AS DOUBLE)) AS confidence, vec_id % 10 AS grp, vec_id AS id, CAST(embedding[1] AS DOUBLE) * 1000 AS x, CAST(embedding[2] AS DOUBLE) * 1000 AS y FROM embeddings)"
 _SURER = "(a.confidence > b.confidence OR (a.confidence = b.confidence AND a.id < b.id))"
 _SHARED = "(greatest(0, 20 - abs(a.x - b.x)) * greatest(0, 20 - abs(a.y - b.y)))"
