@@ -10,14 +10,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from drawlake.functions.text import bill_key, drawing_no, tokens
+from drawlake.functions.text import bill_key, drawing_no, is_non_countable, tokens
 
 Keys = Sequence[str]
 
 
 @F.pandas_udf(DoubleType())
 def seq_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Similarity of two strings by matching blocks; only for pairs that share a token."""
+    """Similarity of two strings by matching blocks; for pairs that are alike enough in their characters."""
     return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b)])
 
 
@@ -27,12 +27,36 @@ def pair_files(a: DataFrame, b: DataFrame, path: str = "path") -> DataFrame:
     return first(a, "path_a").join(first(b, "path_b"), "number")
 
 
+def alike_candidates(left: DataFrame, right: DataFrame, keys: Keys, threshold: float) -> DataFrame:
+    """(keys, left, right, l_text, r_text): all pairs whose ``seq_ratio`` may reach ``threshold``, of (keys, left, l_text) and (keys, right, r_text).
+
+    The characters that two texts match are at most those that they share as multisets, and at least threshold / 2 of both
+    lengths must match. So a text of n characters shares threshold / (2 - threshold) of them, whatever the other's length: all
+    but that many of its characters (each with its how-manieth), rarest first, must meet one of the other's. No pair is
+    lost, as matching blocks may be single characters, which longer grams would miss.
+    """
+    share = threshold / (2 - threshold)
+
+    def grams(df, side, text):
+        chars = F.sort_array(F.split(text, ""))
+        own = F.transform(chars, lambda c, i: F.concat(c, (i + 2 - F.array_position(chars, c)).cast("string")))
+        return df.where(F.length(text) > 0).select(*keys, side, text, own.alias("_all"))
+
+    a, b = grams(left, "left", "l_text"), grams(right, "right", "r_text")
+    each = a.select(*keys, F.lit("l").alias("_s"), F.col("left").alias("_id"), F.size("_all").alias("_n"), F.explode("_all").alias("_g")).unionByName(b.select(*keys, F.lit("r").alias("_s"), F.col("right").alias("_id"), F.size("_all").alias("_n"), F.explode("_all").alias("_g")))
+    rare = each.join(each.groupBy(*keys, "_g").agg(F.count("*").alias("_c")), [*keys, "_g"])
+    rare = rare.withColumn("_p", F.row_number().over(Window.partitionBy(*keys, "_s", "_id").orderBy("_c", "_g"))).where(F.col("_p") <= F.col("_n") - F.ceil(F.col("_n") * share - 1e-9) + 1)
+    first = lambda side, name: rare.where(F.col("_s") == side).select(*keys, "_g", F.col("_id").alias(name))
+    met = first("l", "left").join(first("r", "right"), [*keys, "_g"]).select(*keys, "left", "right").distinct()
+    pairs = met.join(a, [*keys, "left"]).join(b.withColumnRenamed("_all", "_other"), [*keys, "right"])
+    return pairs.where(F.size(F.array_intersect("_all", "_other")) >= threshold / 2 * (F.size("_all") + F.size("_other")) - 1e-9).select(*keys, "left", "right", "l_text", "r_text")
+
+
 def reconcile(generated: DataFrame, reference: DataFrame, threshold: float = 0.45, keys: Keys = ("case",)) -> DataFrame:
     """Reference and generated bill rows matched one to one: by equal key first, then each reference row, in the order
     of names, takes the most similar generated row that is left. Rows of a side with equal keys are one, with their sum.
 
     ``generated``: (keys, name, total); ``reference``: (keys, name, qty). Status: matched, quantity, missing, extra.
-    Only rows that share a token of at least four characters are compared.
     """
     from drawlake.operators.iterative import greedy_match
 
@@ -43,9 +67,10 @@ def reconcile(generated: DataFrame, reference: DataFrame, threshold: float = 0.4
     g, r = numbered(generated, "total", "gen"), numbered(reference, "qty", "ref")
     exact = r.withColumnRenamed("ref_key", "key").join(g.withColumnRenamed("gen_key", "key"), [*keys, "key"]).select(*keys, "ref", "gen", F.lit(1.0).alias("score"))
     g2, r2 = g.join(exact.select(*keys, "gen"), [*keys, "gen"], "left_anti"), r.join(exact.select(*keys, "ref"), [*keys, "ref"], "left_anti")
-    words = lambda df, side: df.select(*keys, side, f"{side}_key", F.explode(F.filter(tokens(F.col(f"{side}_key")), lambda t: F.length(t) >= 4)).alias("_t"))
-    close = words(r2, "ref").join(words(g2, "gen"), [*keys, "_t"]).select(*keys, "ref", "gen", "ref_key", "gen_key").distinct()
-    scored = close.withColumn("score", seq_ratio("ref_key", "gen_key")).where(F.col("score") >= threshold)
+    close = alike_candidates(r2.select(*keys, F.col("ref").alias("left"), F.col("ref_key").alias("l_text")), g2.select(*keys, F.col("gen").alias("right"), F.col("gen_key").alias("r_text")), keys, threshold)
+    # projects share names: each pair of texts is compared once
+    alike = close.select("l_text", "r_text").distinct().withColumn("score", seq_ratio("l_text", "r_text")).where(F.col("score") >= threshold)
+    scored = close.join(alike, ["l_text", "r_text"]).select(*keys, F.col("left").alias("ref"), F.col("right").alias("gen"), "score")
     fuzzy = greedy_match(scored.withColumn("_d", F.struct("ref", -F.col("score"))), keys, "ref", "gen", "_d").select(*keys, "ref", "gen", "score")
     pairs = exact.unionByName(fuzzy)
     out = r.join(pairs, [*keys, "ref"], "left").join(g.drop("gen_key"), [*keys, "gen"], "full_outer")
@@ -162,13 +187,25 @@ def bill_patterns(reference: DataFrame, keys: Keys = ()) -> DataFrame:
 
 
 def enrich_annotations(annotations: DataFrame, legend: DataFrame, keys: Keys = ("file_id",), least: float = 0.6) -> DataFrame:
-    """Annotation texts given the legend entry that holds all their numbers of two digits or more and most of their words;
-    each entry is used once: annotations choose in their order, each the best entry that is left."""
+    """Counted annotations under their legend entries' names: (keys, a_seq, b_seq, symbol, name, count).
+
+    An annotation (seq, name, count) of three words at least takes the entry (seq, symbol, description) that has all its
+    numbers of two digits or more and the largest share, ``least`` or more, of its words (Latin or digits). Each entry is
+    used once: annotations choose in their order, of equal entries the first. The others keep their names; entries that
+    nobody chose come with 0, but for those that aren't counted.
+    """
     from drawlake.operators.iterative import greedy_match
 
-    numbers = lambda c: F.array_distinct(F.regexp_extract_all(F.col(c), F.lit("([0-9]{2,})"), F.lit(1)))
-    a = annotations.select(*keys, F.col("seq").alias("a_seq"), F.col("name").alias("a_name"), tokens(F.col("name")).alias("ta"), numbers("name").alias("na"))
-    b = legend.select(*keys, F.col("seq").alias("b_seq"), F.col("description"), "symbol", tokens(F.col("description")).alias("tb"), numbers("description").alias("nb"))
-    pairs = a.join(b, list(keys)).where(F.size(F.array_except("na", "nb")) == 0).withColumn("_c", F.size(F.array_intersect("ta", "tb")))
-    pairs = pairs.where((F.col("_c") >= 3) & (F.col("_c") / F.size("ta") >= least)).withColumn("_d", F.struct("a_seq", -(F.col("_c") / F.size("ta"))))
-    return greedy_match(pairs.select(*keys, "a_seq", "b_seq", "a_name", "description", "symbol", "_d"), keys, "a_seq", "b_seq", "_d").drop("_d")
+    words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("([a-z]+|[0-9]+)"), F.lit(1)))
+    a = annotations.select(*keys, F.col("seq").alias("a_seq"), words("name").alias("ta")).where(F.size("ta") >= 3)
+    b = legend.select(*keys, F.col("seq").alias("b_seq"), words("description").alias("tb"))
+    # entries are found by a shared word, not by the drawing
+    shared = a.select(*keys, "a_seq", "ta", F.explode("ta").alias("_t")).join(b.select(*keys, "b_seq", "tb", F.explode("tb").alias("_t")), [*keys, "_t"]).groupBy(*keys, "a_seq", "b_seq").agg(F.count("*").alias("_c"), F.first("ta").alias("ta"), F.first("tb").alias("tb"))
+    numbers = F.filter("ta", lambda w: w.rlike("^[0-9]{2,}$"))
+    fits = shared.where((F.size(F.array_except(numbers, "tb")) == 0) & (F.col("_c") / F.size("ta") >= least))
+    taken = greedy_match(fits.select(*keys, "a_seq", "b_seq", F.struct("a_seq", (-(F.col("_c") / F.size("ta"))).alias("s")).alias("_d")), keys, "a_seq", "b_seq", "_d").select(*keys, "a_seq", "b_seq")
+    named = legend.select(*keys, F.col("seq").alias("b_seq"), F.col("symbol").alias("_symbol"), "description")
+    own = annotations.withColumnRenamed("seq", "a_seq").join(taken, [*keys, "a_seq"], "left").join(named, [*keys, "b_seq"], "left")
+    own = own.select(*keys, "a_seq", "b_seq", F.coalesce("_symbol", F.lit("")).alias("symbol"), F.coalesce("description", "name").alias("name"), F.col("count").cast("long").alias("count"))
+    rest = named.join(taken, [*keys, "b_seq"], "left_anti").where(~is_non_countable(F.col("description")))
+    return own.unionByName(rest.select(*keys, F.lit(None).cast(own.schema["a_seq"].dataType).alias("a_seq"), "b_seq", F.col("_symbol").alias("symbol"), F.col("description").alias("name"), F.lit(0).cast("long").alias("count")))

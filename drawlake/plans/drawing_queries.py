@@ -936,6 +936,24 @@ def e38_sub_rows(spark, sf_dir):
     return tables.sub_rows(rows, symbols, derived(spark, sf_dir, "lineitem", _PART_MARK)).select("file_id", "part", "symbol", "y0", "y1", "color")
 
 
+#: A file for each size of parts: a legend entry each, and for two of three an annotation that names a part of it.
+_ENTRY = "p_size AS file_id, p_partkey AS seq, concat('S', p_partkey) AS symbol, concat('Светильник ', p_name, ' LED ', p_partkey % 40 + 10, ' ', p_type) AS description"
+_NOTE = "p_size AS file_id, p_partkey AS seq, concat(p_name, ' led ', p_partkey % 40 + 10) AS name, p_partkey % 90 AS count"
+_TOKENS = "list_distinct(regexp_extract_all(lower({0}), '[a-z]+|[0-9]+'))"
+
+
+@query(f"""WITH RECURSIVE e AS MATERIALIZED (SELECT *, {_TOKENS.format('description')} AS tb FROM (SELECT {_ENTRY} FROM part)), n AS MATERIALIZED (SELECT *, {_TOKENS.format('name')} AS ta FROM (SELECT {_NOTE} FROM part WHERE p_partkey % 3 > 0)),
+p AS MATERIALIZED (SELECT n.file_id, n.seq AS l, e.seq AS r, -len(list_intersect(ta, tb)) / len(ta)::DOUBLE AS d FROM n JOIN e ON e.file_id = n.file_id AND len(list_intersect(ta, tb)) / len(ta)::DOUBLE >= 0.6 AND len(list_filter(ta, lambda w: regexp_full_match(w, '[0-9]{{2,}}') AND NOT list_contains(tb, w))) = 0 WHERE len(ta) >= 3),
+g AS (SELECT 0 AS i, *, row_number() OVER (PARTITION BY file_id, l ORDER BY d, r) = 1 AND row_number() OVER (PARTITION BY file_id, r ORDER BY l, d) = 1 AS taken FROM p
+UNION ALL SELECT i, file_id, l, r, d, row_number() OVER (PARTITION BY file_id, l ORDER BY d, r) = 1 AND row_number() OVER (PARTITION BY file_id, r ORDER BY l, d) = 1 FROM (SELECT g.i + 1 AS i, g.file_id, g.l, g.r, g.d FROM g WHERE NOT g.taken AND NOT EXISTS (SELECT 1 FROM g h WHERE h.taken AND h.file_id = g.file_id AND h.l = g.l) AND NOT EXISTS (SELECT 1 FROM g h WHERE h.taken AND h.file_id = g.file_id AND h.r = g.r))),
+t AS (SELECT file_id, l, r FROM g WHERE taken)
+SELECT n.file_id, n.seq AS a_seq, t.r AS b_seq, coalesce(e.symbol, '') AS symbol, coalesce(e.description, n.name) AS name, n.count::BIGINT AS count FROM n LEFT JOIN t ON t.file_id = n.file_id AND t.l = n.seq LEFT JOIN e ON e.file_id = t.file_id AND e.seq = t.r
+UNION ALL SELECT file_id, NULL, seq, symbol, description, 0 FROM e WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.file_id = e.file_id AND t.r = e.seq)""")
+def d5_enrich_annotations(spark, sf_dir):
+    notes = read(spark, sf_dir, "part").where("p_partkey % 3 > 0").selectExpr(*_split(_NOTE))
+    return compare.enrich_annotations(notes, derived(spark, sf_dir, "part", _ENTRY))
+
+
 # --- rounds ---------------------------------------------------------------------------------------------------
 
 

@@ -547,7 +547,7 @@ def s1_stream_bill(spark, sf_dir):
 
     at = f"{shared_dir(spark)}/bill-{uuid.uuid4().hex}"
     _finished(ingest.stream_bill(_events(spark, sf_dir), ["event_type"], "value", f"{at}/state", f"{at}/bill"))
-    return ingest.latest_bill(spark, f"{at}/bill")
+    return ingest.latest_bill(spark, f"{at}/bill", ["event_type"])
 
 
 @query("SELECT DISTINCT user_id, event_type FROM events")

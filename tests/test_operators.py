@@ -317,3 +317,23 @@ def test_orphan_plans_against_a_sequential_form(spark):
     got = rollup.pair_orphans(spark.createDataFrame(rows, "project string, plan_type string, elevation double, seq long, count long")).collect()
     key = lambda t: (t[0], t[1])
     assert sorted(((x["project"], x["seq"], x["elevation"]) for x in got), key=key) == sorted(want, key=key)
+
+
+def test_alike_candidates_lose_no_pair(spark):
+    from difflib import SequenceMatcher
+
+    r = random.Random(8)
+    texts = ["".join(r.choice("abcdeщ ") for _ in range(r.randrange(1, 14))) for _ in range(80)] + ["светильник led", "кинельтевс del", "a", "aa", "aaaaaaaa"]
+    a = spark.createDataFrame([(k % 2, k, t) for k, t in enumerate(texts)], "case int, left int, l_text string")
+    b = spark.createDataFrame([(k % 2, k, t) for k, t in enumerate(texts[::-1])], "case int, right int, r_text string")
+    for threshold in (0.45, 0.8):
+        got = {(x["case"], x["left"], x["right"]) for x in compare.alike_candidates(a, b, ["case"], threshold).collect()}
+        want = {(i % 2, i, j) for i, s in enumerate(texts) for j, t in enumerate(texts[::-1]) if i % 2 == j % 2 and SequenceMatcher(None, s, t).ratio() >= threshold}
+        assert want <= got and len(got) < 85 * 85 / 2
+
+
+def test_annotations_take_legend_names_in_turn(spark):
+    legend = spark.createDataFrame([(1, 1, "1", "Светильник SLICK PRS LED 30 with driver box 5000K"), (1, 2, "2", "Светильник SLICK PRS LED 50 with driver box"), (1, 3, "3", "OPL ECO LED 600"), (1, 4, "", "Прокладка LED")], "file_id int, seq int, symbol string, description string")
+    notes = spark.createDataFrame([(1, 1, "SLICK.PRS LED 30 5000K", 133), (1, 2, "SLICK.PRS LED 30", 7), (1, 3, "LED 50", 4), (1, 4, "SLICK LED 50 box", 9)], "file_id int, seq int, name string, count int")
+    got = sorted((r["symbol"], r["name"], r["count"]) for r in compare.enrich_annotations(notes, legend).collect())
+    assert got == [("", "LED 50", 4), ("", "SLICK.PRS LED 30", 7), ("1", "Светильник SLICK PRS LED 30 with driver box 5000K", 133), ("2", "Светильник SLICK PRS LED 50 with driver box", 9), ("3", "OPL ECO LED 600", 0)]

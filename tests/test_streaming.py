@@ -20,7 +20,10 @@ def test_progress_and_running_bill(spark, tmp_path):
     got = spark.read.parquet(str(tmp_path / "out")).groupBy("file_id").sum("n_items", "n_errors").collect()
     assert sorted(tuple(r) for r in got) == [("", 3, 3), ("f0", 2, 0), ("f1", 2, 0), ("f2", 2, 0)]
     ingest.stream_bill(items(), ["name"], "qty", str(tmp_path / "cp2"), str(tmp_path / "bill")).awaitTermination()
-    assert sorted(tuple(r) for r in ingest.latest_bill(spark, str(tmp_path / "bill")).collect()) == [("a", 6, 9.0), ("b", 3, 3.0)]
+    assert sorted(tuple(r) for r in ingest.latest_bill(spark, str(tmp_path / "bill"), ["name"]).collect()) == [("a", 6, 9.0), ("b", 3, 3.0)]
+    ingest.compact_bill(spark, str(tmp_path / "bill"), ["name"])
+    assert sorted(p.name for p in (tmp_path / "bill").glob("version=*")) == ["version=2"] and not (tmp_path / "bill" / "_folded").exists()
+    assert sorted(tuple(r) for r in ingest.latest_bill(spark, str(tmp_path / "bill"), ["name"]).collect()) == [("a", 6, 9.0), ("b", 3, 3.0)]
     w = ingest.windowed_quantities(items(), "at", ["name"], "qty").writeStream.outputMode("append").format("memory").queryName("win_test").option("checkpointLocation", str(tmp_path / "cp3")).trigger(availableNow=True).start()
     w.awaitTermination()
     # the first file's last row moves the watermark past the first hour; it holds for late rows one batch on, so the third file's early rows come too late
@@ -28,3 +31,54 @@ def test_progress_and_running_bill(spark, tmp_path):
     first = ingest.stream_dedup(items(), ["name"]).select("name").writeStream.format("memory").queryName("first_test").option("checkpointLocation", str(tmp_path / "cp4")).trigger(availableNow=True).start()
     first.awaitTermination()
     assert sorted(r["name"] for r in spark.table("first_test").collect()) == ["a", "b"]
+    within = ingest.stream_dedup(items(), ["name"], "at").select("name").writeStream.format("memory").queryName("within_test").option("checkpointLocation", str(tmp_path / "cp5")).trigger(availableNow=True).start()
+    within.awaitTermination()
+    assert sorted(r["name"] for r in spark.table("within_test").collect()) == ["a", "b"]
+
+
+def test_a_key_that_was_away_is_new_again():
+    """The processor's state machine, with time in its hands."""
+    import pandas as pd
+
+    class Value:
+        now = None
+
+        def exists(self):
+            return self.now is not None
+
+        def get(self):
+            return self.now
+
+        def update(self, v):
+            self.now = v
+
+        def clear(self):
+            self.now = None
+
+    class Handle:
+        def __init__(self):
+            self.timers, self.value = set(), Value()
+
+        def getValueState(self, name, schema):
+            return self.value
+
+        def registerTimer(self, at):
+            self.timers.add(at)
+
+        def deleteTimer(self, at):
+            self.timers.discard(at)
+
+    class Clock:
+        def __init__(self, at):
+            self.at = at
+
+        def getCurrentProcessingTimeInMs(self):
+            return self.at
+
+    handle, p = Handle(), ingest.FirstArrival(100)
+    p.init(handle)
+    rows = lambda: iter([pd.DataFrame({"k": ["x", "x"], "n": [1, 2]})])
+    assert [d["n"].tolist() for d in p.handleInputRows(("x",), rows(), Clock(0))] == [[1]] and handle.timers == {100}
+    assert list(p.handleInputRows(("x",), rows(), Clock(60))) == [] and handle.timers == {160}
+    assert list(p.handleExpiredTimer(("x",), Clock(160), None)) == [] and not handle.value.exists()
+    assert len(list(p.handleInputRows(("x",), rows(), Clock(300)))) == 1
