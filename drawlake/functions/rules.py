@@ -199,3 +199,5 @@ KEY_REWRITES = (
 
 #: Words below a header that tell a legend without lines from other text.
 TABLE_WORDS = ("светильник", "розетка", "выключатель", "кабель", "щит", "провод", "лампа", "датчик", "извещатель", "оповещатель")
+#: Fixed value: words that tell a frame without a header as a legend.
+FRAME_WORDS = (*TABLE_WORDS, "трасса", "автомат", "узо", "дифавтомат")

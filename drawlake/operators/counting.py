@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from drawlake.functions import rules as R
 from drawlake.functions.cables import cable_suffix, laying_method, parse_cable, split_laying
 from drawlake.operators.graph import once
-from drawlake.operators.spatial import exclude_zones
+from drawlake.operators.spatial import box_join, exclude_zones
 
 Keys = Sequence[str]
 
@@ -158,7 +158,7 @@ def vote_color(anchors: DataFrame, marks: DataFrame, keys: Keys, radius: float =
 def row_color(rows: DataFrame, marks: DataFrame, keys: Keys = ("file_id", "page")) -> DataFrame:
     """The most frequent class, black apart, of the marks whose box meets a legend row's symbol cell; and all its classes."""
     m = marks.where(~F.col("color_class").isin("black", "")).select(*keys, F.col("x0").alias("mx0"), F.col("x1").alias("mx1"), F.col("y0").alias("my0"), F.col("y1").alias("my1"), "color_class")
-    hit = rows.join(m, list(keys)).where((F.col("mx1") >= F.col("x0")) & (F.col("mx0") <= F.col("x1")) & (F.col("my1") >= F.col("y0")) & (F.col("my0") <= F.col("y1")))
+    hit = box_join(m, rows.select(*keys, "seq", "x0", "y0", "x1", "y1"), keys, ("mx0", "my0", "mx1", "my1"), ("x0", "y0", "x1", "y1"))
     n = hit.groupBy(*keys, "seq", "color_class").agg(F.count("*").alias("n"))
     return n.groupBy(*keys, "seq").agg(F.min_by("color_class", F.struct((-F.col("n")).alias("n"), "color_class")).alias("color"), F.sort_array(F.collect_set("color_class")).alias("colors"))
 

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from drawlake.functions import rules as R
 from drawlake.functions.text import is_auto_detected, is_non_countable
-from drawlake.operators.sequences import density_runs, identifier_runs, table_bounds
-from drawlake.operators.spatial import exclude_zones, in_box
+from drawlake.operators.sequences import density_runs, identifier_runs
+from drawlake.operators.spatial import box_join, exclude_zones, in_box
+from drawlake.operators.tables import content_frames
 
 Keys = Sequence[str]
 #: Headers, and words that speak of equipment.
@@ -159,12 +160,9 @@ def marker_positions(labels: DataFrame, annotations: DataFrame, inserts: DataFra
 
 def content_legends(words: DataFrame, segments: DataFrame, keys: Keys = ("file_id", "page")) -> DataFrame:
     """Boxes of legends without a header: frames with at least two words of equipment; else runs of identifiers, with one."""
-    frames = table_bounds(segments, words.where(F.col("text").rlike(EQUIPMENT)).select(*keys, "seq", "x0", "top"), keys)
-    boxes = frames.where((F.col("x1") - F.col("x0")).between(80, 700) & (F.size("col_xs") >= 2) & (F.size("row_ys") >= 3)).select(*keys, "x0", "y0", "x1", "y1").distinct()
-    kw = words.where(F.col("text").rlike(EQUIPMENT)).select(*keys, F.col("x0").alias("wx"), F.col("top").alias("wy"))
-    held = boxes.join(kw, list(keys)).where(F.col("wx").between(F.col("x0"), F.col("x1")) & F.col("wy").between(F.col("y0"), F.col("y1"))).groupBy(*keys, "x0", "y0", "x1", "y1").agg(F.count("*").alias("n")).where("n >= 2")
-    order = Window.partitionBy(*keys).orderBy(F.desc("n"), "x0", "y0")
-    framed = held.withColumn("_p", F.row_number().over(order)).where("_p = 1").select(*keys, "x0", "y0", "x1", "y1", F.lit("frame").alias("method"))
+    framed = content_frames(words, segments, keys).select(*keys, "x0", "y0", "x1", "y1", F.lit("frame").alias("method"))
+    kw = words.where(F.lower("text").rlike("|".join(R.FRAME_WORDS))).select(*keys, F.col("x0").cast("double").alias("wx"), F.col("top").cast("double").alias("wy"))
     runs = identifier_runs(words, keys).unionByName(density_runs(words, keys)).groupBy(*keys).agg(F.min("x0").alias("x0"), (F.min("top") - 2).alias("y0"), (F.max("x0") + 400).alias("x1"), (F.max("top") + 20).alias("y1"))
-    near = runs.join(kw, list(keys)).where(F.col("wx").between(F.col("x0"), F.col("x1")) & F.col("wy").between(F.col("y0"), F.col("y1"))).select(*keys, "x0", "y0", "x1", "y1").distinct()
+    runs = runs.select(*keys, *(F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")))
+    near = box_join(kw, runs, keys, ("wx", "wy", "wx", "wy"), ("x0", "y0", "x1", "y1")).select(*keys, "x0", "y0", "x1", "y1").distinct()
     return framed.unionByName(near.join(framed.select(*keys), list(keys), "left_anti").withColumn("method", F.lit("run")))

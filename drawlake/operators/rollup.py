@@ -146,19 +146,34 @@ def transfer_laying(spec: DataFrame, plan: DataFrame, keys: Keys = ("project",))
     return spec.join(donors.select(*keys, "cable_type", "method", "share"), [*keys, "cable_type"]).select(*keys, "cable_type", "method", F.bround(F.col("total_length_m") * F.col("share")).cast("long").alias("m"))
 
 
-def deflate_cables(cables: DataFrame, panels: DataFrame, keys: Keys = ("project",)) -> DataFrame:
-    """Guards against schemas that show whole buildings: where lengths pass 15000 m a panel and 50000 m in all, and the
-    schemas name over twice the specification's panels, lengths shrink by that ratio, or fall away below a fifth.
+def deflate_cables(cables: DataFrame, panels: DataFrame, keys: Keys = ("project",), files: DataFrame | None = None) -> DataFrame:
+    """Guards against schemas that show more than the project's own panels; projects whose specification names none stay as they are.
 
-    ``panels``: (keys, name, source) with source schema or spec.
+    A project whose schema cables come of one file of the building's own (a number like 8.2 before the section in its name, and
+    either sheets of its own or read once) is divided by the schema's panels over the specification's, if that is over 1.5. Else,
+    where lengths pass 15000 m a panel and 50000 m in all, and the schemas name over twice the specification's panels,
+    lengths shrink by that ratio, or fall away below a fifth. Counts follow, but stay 1 at least.
+
+    ``panels``: (keys, name, source) with source schema or spec; ``files``: (keys, filename, n_results, sheeted) of the
+    schemas that give cables.
     """
     n = panels.groupBy(*keys).agg(F.countDistinct(F.when(F.col("source") == "schema", F.col("name"))).alias("n_schema"), F.countDistinct(F.when(F.col("source") == "spec", F.col("name"))).alias("n_spec"))
     total = cables.groupBy(*keys).agg(F.sum("total_length_m").alias("total"))
     c = cables.join(total, list(keys)).join(n, list(keys), "left")
+    own = F.lit(False)
+    if files is not None:
+        building = F.col("filename").rlike(r"(?iu)[0-9]+[.,][0-9]+.*(?:ЭО|ЭМ|EO|EM)") & (F.col("sheeted") | (F.col("n_results") == 1))
+        c = c.join(files.groupBy(*keys).agg(F.when(F.count("*") == 1, F.bool_and(building)).alias("_own")), list(keys), "left")
+        own = F.coalesce("_own", F.lit(False))
     ratio = F.col("n_spec") / F.col("n_schema")
-    much = (F.col("total") >= 50000) & (F.col("total") > 15000 * F.greatest("n_spec", F.lit(1))) & (F.col("n_schema") > 2 * F.col("n_spec"))
-    factor = F.when(F.coalesce(much, F.lit(False)), F.when(ratio < 0.2, 0.0).otherwise(ratio)).otherwise(1.0)
-    return c.withColumn("total_length_m", F.bround(F.col("total_length_m") * factor).cast("long")).drop("total", "n_schema", "n_spec").where("total_length_m > 0")
+    much = (F.col("total") >= 50000) & (F.col("total") / F.col("n_spec") > 15000) & (F.col("n_schema") > 2 * F.col("n_spec"))
+    known = F.coalesce((F.col("n_spec") > 0) & (F.col("n_schema") > 0), F.lit(False))
+    several = (F.col("n_schema") > 1) & (F.col("n_schema") / F.col("n_spec") > 1.5)
+    factor = F.when(~known, 1.0).when(own, F.when(several, ratio).otherwise(1.0)).when(much, F.when(ratio < 0.2, 0.0).otherwise(ratio)).otherwise(1.0)
+    c = c.withColumn("_factor", factor).where("_factor > 0").withColumn("total_length_m", F.bround(F.col("total_length_m") * F.col("_factor")).cast("long"))
+    if "count" in cables.columns:
+        c = c.withColumn("count", F.greatest(F.lit(1), F.bround(F.col("count") * F.col("_factor"))).cast(cables.schema["count"].dataType))
+    return c.where("total_length_m > 0").select(*cables.columns)
 
 
 def split_even(equip: DataFrame, elevations: str = "elevations", count: str = "count") -> DataFrame:

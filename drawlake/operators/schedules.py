@@ -18,6 +18,9 @@ LENGTH = r"^L=([0-9]+(?:[,.][0-9]+)?)м$"
 BRAND = r"^(ВБШвнг|ВБШв|ППГнг|ППГ|АВВГ|ВВГнг|ВВГ|КГ|NYM)"
 KNOWN_DIMENSIONS = (6000.0, 3000.0, 4500.0, 7200.0, 9000.0, 12000.0)
 
+#: Dimensions in rows of which lines can verify the scale.
+ROW_DIMENSIONS = (6000.0, 4800.0, 4200.0, 3600.0, 3000.0, 12000.0, 9000.0, 7200.0)
+
 
 def pair_row_cells(cells: DataFrame, keys: Keys = ("file_id", "table_id"), tol: float = 50.0) -> DataFrame:
     """Each type cell of a table row with the length cell of the same row that is nearest to it."""
@@ -125,3 +128,34 @@ def attach_near(anchors: DataFrame, marks: DataFrame, keys: Keys, radius: float)
     """How many marks lie within the radius of each anchor and how far the nearest is."""
     pairs = near_pairs(anchors, marks, keys, radius)
     return pairs.groupBy(*keys, F.col("l_seq").alias("seq")).agg(F.count("*").alias("n_near"), F.round(F.min("dist"), 4).alias("nearest"))
+
+
+def verified_scale(words: DataFrame, segments: DataFrame, pages: DataFrame, keys: Keys = ("file_id", "page"), known: Sequence[float] = ROW_DIMENSIONS, reach: float = 30.0) -> DataFrame:
+    """Millimetres a point for each page, with where they come from and how sure that is (3, 2, 1).
+
+    Of the known dimensions written in rows (tops rounded to 10) the row with most words, two at least, gives the upper
+    median of its spacing. Horizontal lines over 30 long, nearer than ``reach`` to the row, verify it if the upper median
+    of their widths is less than 20 off, and are then the measure. Pages without such a row get what their paper size suggests.
+    """
+    from drawlake.operators.sequences import upper_median
+    from drawlake.operators.spatial import box_join
+
+    value = F.col("text").try_cast("double")
+    d = words.where(F.col("text").rlike("^[0-9]{3,5}$")).withColumn("value", value).where(F.col("value").isin(*known))
+    d = d.withColumn("_row", F.bround(F.col("top") / 10) * 10)
+    row = [*keys, "value", "_row"]
+    most = d.groupBy(*row).agg(F.count("*").alias("n"), F.min("seq").alias("_first"), F.min_by("top", F.struct("x0", "seq")).cast("double").alias("_y")).where("n >= 2")
+    best = most.groupBy(*keys).agg(F.max_by(F.struct("value", "_row", "_y"), F.struct("n", (-F.col("_first")).alias("o"))).alias("b")).select(*keys, "b.*")
+    spaced = d.join(best, row).withColumn("_gap", F.col("x0") - F.lag("x0").over(Window.partitionBy(*row).orderBy("x0", "seq"))).where("_gap is not null")
+    spacing = best.join(upper_median(spaced, row, "_gap").withColumnRenamed("median", "_gap"), row).where("_gap > 10")
+    flat = segments.where((F.abs(F.col("y1") - F.col("y0")) < 2) & (F.abs(F.col("x1") - F.col("x0")) > 30)).select(*keys, F.lit(0.0).alias("_0"), F.least("y0", "y1").cast("double").alias("_top"), F.abs(F.col("x1") - F.col("x0")).alias("_width"))
+    bands = spacing.withColumns({"_b0": F.lit(0.0), "_b1": F.col("_y") - reach, "_b3": F.col("_y") + reach})
+    near = box_join(flat, bands, keys, ("_0", "_top", "_0", "_top"), ("_b0", "_b1", "_b0", "_b3")).where(F.abs(F.col("_top") - F.col("_y")) < reach)
+    lines = upper_median(near, keys, "_width").withColumnRenamed("median", "_line")
+    found = spacing.join(lines, list(keys), "left").withColumn("_ok", F.coalesce(F.abs(F.col("_line") - F.col("_gap")) < 20, F.lit(False)))
+    found = found.select(*keys, F.round(F.col("value") / F.when(F.col("_ok"), F.col("_line")).otherwise(F.col("_gap")), 4).alias("_mm"), F.when(F.col("_ok"), 3).otherwise(2).alias("_sure"))
+    side = F.greatest("width", "height")
+    paper = side / 72 * 25.4
+    guess = F.round(25.4 / 72 * F.when((paper > 550) & (paper <= 780), 50).otherwise(100), 4)
+    source = F.when(F.col("_sure") == 3, "lines").when(F.col("_sure") == 2, "text").otherwise("paper")
+    return pages.join(found, list(keys), "left").select(*keys, F.coalesce("_mm", guess).alias("mm_per_pt"), source.alias("source"), F.coalesce("_sure", F.lit(1)).alias("confidence"))

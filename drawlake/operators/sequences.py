@@ -21,19 +21,12 @@ def cluster_by_gap(df: DataFrame, keys: Keys, y: str, tol: float, order: Sequenc
 
 
 def cluster_by_anchor(df: DataFrame, keys: Keys, y: str, tol: float) -> DataFrame:
-    """Adds cluster: a new one starts where y is over ``tol`` from the cluster's first. Of each page only its distinct y are folded."""
-    ys = df.groupBy(*keys).agg(F.sort_array(F.collect_set(y)).alias("_ys"))
+    """Adds cluster: a new one starts where y is over ``tol`` from the cluster's first. A page's distinct y are folded to the
+    firsts of its clusters, of which it has its height over ``tol`` at most."""
+    from drawlake.operators.tables import anchors
 
-    def step(acc, v):
-        new = acc["n"].isNull() | (v - acc["first"] > tol)
-        n = F.when(acc["n"].isNull(), F.lit(0)).when(new, acc["n"] + 1).otherwise(acc["n"])
-        return F.struct(n.cast("long").alias("n"), F.when(new, v).otherwise(acc["first"]).alias("first"), F.concat(acc["out"], F.array(F.struct(v.alias("v"), n.cast("long").alias("n")))).alias("out"))
-
-    start = F.struct(F.lit(None).cast("long").alias("n"), F.lit(None).cast("double").alias("first"), F.array().cast("array<struct<v:double,n:bigint>>").alias("out"))
-    folded = ys.select(*keys, F.explode(F.aggregate(F.transform("_ys", lambda v: v.cast("double")), start, step, lambda a: a["out"])).alias("_c"))
-    folded = folded.select(*keys, F.col("_c.v").alias("_v"), F.col("_c.n").alias("cluster"))
-    on = [*keys, "_v"]
-    return df.withColumn("_v", F.col(y).cast("double")).join(folded, on).drop("_v")
+    firsts = df.where(F.col(y).isNotNull()).groupBy(*keys).agg(anchors(F.collect_set(F.col(y).cast("double")), tol).alias("_firsts"))
+    return df.where(F.col(y).isNotNull()).join(firsts, list(keys)).withColumn("cluster", (F.size(F.filter("_firsts", lambda v: v <= F.col(y).cast("double"))) - 1).cast("long")).drop("_firsts")
 
 
 def runs(df: DataFrame, keys: Keys, order: Sequence[str], joined: Column) -> DataFrame:
@@ -105,10 +98,15 @@ def upper_median(df: DataFrame, keys: Keys, value: str) -> DataFrame:
 
 def assign_rows(words: DataFrame, rows: DataFrame, keys: Keys = ("file_id", "page"), slack: float = 3.0) -> DataFrame:
     """Words with the number of the table row that they stand in: from a row line, less the slack, to the next; above the first: 0."""
+    from drawlake.operators.spatial import box_join
+
     w = Window.partitionBy(*keys).orderBy("y")
     spans = rows.select(*keys, "y").distinct().select(*keys, (F.row_number().over(w) - 1).alias("row"), (F.col("y") - slack).alias("_lo"), (F.lead("y").over(w) - slack).alias("_hi"))
-    spans = spans.withColumn("_lo", F.when(F.col("row") == 0, F.lit(float("-inf"))).otherwise(F.col("_lo"))).withColumn("_hi", F.coalesce("_hi", F.lit(float("inf"))))
-    return words.join(spans, list(keys)).where((F.col("top") >= F.col("_lo")) & (F.col("top") < F.col("_hi"))).drop("_lo", "_hi")
+    # open ends reach further than any page
+    spans = spans.withColumn("_lo", F.when(F.col("row") == 0, F.lit(-(2.0**50))).otherwise(F.col("_lo"))).withColumn("_hi", F.coalesce("_hi", F.lit(2.0**50))).withColumn("_s", F.lit(0.0))
+    at = words.select(*keys, F.col("top").cast("double").alias("_top")).distinct().withColumn("_p", F.lit(0.0))
+    own = box_join(at, spans, keys, ("_p", "_top", "_p", "_top"), ("_s", "_lo", "_s", "_hi")).where("_top < _hi").select(*keys, "_top", "row")
+    return words.withColumn("_top", F.col("top").cast("double")).join(own, [*keys, "_top"]).select(*words.columns, "row")
 
 
 def row_texts(assigned: DataFrame, keys: Keys = ("file_id", "page")) -> DataFrame:
@@ -159,17 +157,3 @@ def spec_rows(cells: DataFrame, keys: Keys = ("file_id", "table_id"), tol: float
     model = F.filter("own", lambda s: s.rlike("|".join((*R.SERIES, *R.MODELS))))
     row = row.withColumns({"supplier": F.coalesce(F.try_element_at("supplier", F.lit(-1)), F.lit("")), "catalog_code": F.coalesce(F.try_element_at("code", F.lit(-1)), F.lit("")), "model": F.coalesce(F.try_element_at(model, F.lit(1)), F.lit(""))})
     return row.select(*keys, F.element_at("t", 1).alias("position"), F.array_join("own", " ").alias("description"), "model", "catalog_code", "supplier", F.element_at("t", F.col("u").cast("int")).alias("unit"), F.bround(quantity).cast("int").alias("quantity"))
-
-
-def table_bounds(segments: DataFrame, headers: DataFrame, keys: Keys = ("file_id", "page"), tol: float = 5.0) -> DataFrame:
-    """The framed table nearest to a header: equal spans of at least two horizontal lines, with their heights and the verticals across them."""
-    flat = segments.where((F.abs(F.col("y1") - F.col("y0")) < 2) & (F.abs(F.col("x1") - F.col("x0")) > 25)).select(*keys, F.least("x0", "x1").alias("lx0"), F.greatest("x0", "x1").alias("lx1"), F.least("y0", "y1").alias("ly"))
-    up = segments.where((F.abs(F.col("x1") - F.col("x0")) < 2) & (F.abs(F.col("y1") - F.col("y0")) > 25)).select(*keys, F.least("x0", "x1").alias("vx"), F.least("y0", "y1").alias("vy0"), F.greatest("y0", "y1").alias("vy1"))
-    heads = headers.select(*keys, F.col("seq").alias("head_seq"), F.col("x0").alias("hx"), F.col("top").alias("hy"))
-    near = flat.join(heads, list(keys)).where(F.col("lx0").between(F.col("hx") - 300, F.col("hx") + 800) & F.col("ly").between(F.col("hy") - 30, F.col("hy") + 1000))
-    near = near.withColumns({"_a": F.round(F.col("lx0") / tol), "_b": F.round(F.col("lx1") / tol)})
-    group = near.groupBy(*keys, "head_seq", "_a", "_b").agg(F.min("lx0").alias("x0"), F.max("lx1").alias("x1"), F.min("ly").alias("y0"), F.max("ly").alias("y1"), F.sort_array(F.collect_set("ly")).alias("row_ys"), F.min("hx").alias("hx")).where((F.size("row_ys") >= 2) & (F.col("x1") - F.col("x0")).between(40, 800))
-    best = top_k(group, [*keys, "head_seq"], [F.abs(F.col("x0") - F.col("hx")), F.desc(F.size("row_ys")), F.col("x0")], 1).drop("_a", "_b", "hx")
-    across = best.join(up, list(keys)).where(F.col("vx").between(F.col("x0") - tol, F.col("x1") + tol) & (F.col("vy0") <= F.col("y0") + 20) & (F.col("vy1") >= F.col("y1") - 20))
-    cols = across.groupBy(*keys, "head_seq").agg(F.sort_array(F.collect_set("vx")).alias("col_xs"))
-    return best.join(cols, [*keys, "head_seq"], "left").withColumn("col_xs", F.coalesce("col_xs", F.array("x0", "x1")))

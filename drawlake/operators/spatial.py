@@ -111,7 +111,9 @@ def legend_boxes(texts: DataFrame, keys: Keys = ("file_id",), header: str = r"(?
 
     heads = dedup_points(texts.where(F.col("text").rlike(header)), keys, apart)
     h = heads.select(*keys, F.col("seq").alias("head_seq"), F.col("x").alias("hx"), F.col("y").alias("hy"))
-    near = texts.join(h, list(keys)).where((F.abs(F.col("x") - F.col("hx")) < 15000) & (F.col("hy") - F.col("y") > -2000) & (F.col("hy") - F.col("y") < 15000))
+    around = {"_h0": F.col("hx") - 15000, "_h1": F.col("hy") - 15000, "_h2": F.col("hx") + 15000, "_h3": F.col("hy") + 2000}
+    near = box_join(texts.select(*keys, "x", "y"), h.withColumns(around), keys, ("x", "y", "x", "y"), tuple(around))
+    near = near.where((F.abs(F.col("x") - F.col("hx")) < 15000) & (F.col("hy") - F.col("y") > -2000) & (F.col("hy") - F.col("y") < 15000))
     box = near.groupBy(*keys, "head_seq").agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"))
     return box.select(*keys, F.col("head_seq").alias("seq"), (F.col("x0") - 2000).alias("x0"), (F.col("y0") - 2000).alias("y0"), (F.col("x1") + 5000).alias("x1"), (F.col("y1") + 2000).alias("y1"))
 
@@ -155,7 +157,8 @@ def spec_zones(words: DataFrame, segments: DataFrame, keys: Keys = ("file_id", "
     heads = heads if legends is None else exclude_zones(heads, legends, keys, x="x0", y="top", strict=False)
     heads = heads.select(*keys, F.col("seq").alias("head_seq"), F.col("x0").alias("hx"), F.col("top").alias("hy"))
     lines = segments.where((F.abs(F.col("y1") - F.col("y0")) < 2) & (F.abs(F.col("x1") - F.col("x0")) > 25)).select(*keys, F.least("x0", "x1").alias("lx0"), F.greatest("x0", "x1").alias("lx1"), F.col("y0").alias("ly"))
-    near = heads.join(lines, list(keys)).where((F.col("ly") >= F.col("hy")) & (F.col("ly") - F.col("hy") < dy) & (F.abs(F.col("lx0") - F.col("hx")) < dx))
+    below = {"_h0": F.col("hx") - dx, "_h1": F.col("hy"), "_h2": F.col("hx") + dx, "_h3": F.col("hy") + dy}
+    near = box_join(lines, heads.withColumns(below), keys, ("lx0", "ly", "lx0", "ly"), tuple(below)).where((F.col("ly") >= F.col("hy")) & (F.col("ly") - F.col("hy") < dy) & (F.abs(F.col("lx0") - F.col("hx")) < dx))
     return near.groupBy(*keys, "head_seq").agg(F.count("*").alias("n_lines"), F.min("lx0").alias("x0"), F.min("hy").alias("y0"), F.max("lx1").alias("x1"), F.max("ly").alias("y1")).where(F.col("n_lines") >= least)
 
 
@@ -163,7 +166,7 @@ def note_zones(words: DataFrame, keys: Keys = ("file_id", "page"), word: str = r
     """Zones of notes: a heading word with at least five words in the box below it."""
     heads = words.where(F.col("text").rlike(word)).select(*keys, F.col("seq").alias("head_seq"), F.col("x0").alias("hx"), F.col("top").alias("hy"))
     w = words.select(*keys, "seq", F.col("x0").alias("wx"), F.col("top").alias("wy"))
-    near = heads.join(w, list(keys)).where((F.col("seq") != F.col("head_seq")) & F.col("wx").between(F.col("hx"), F.col("hx") + width) & F.col("wy").between(F.col("hy"), F.col("hy") + height))
+    near = box_join(w, heads.withColumns({"_h2": F.col("hx") + width, "_h3": F.col("hy") + height}), keys, ("wx", "wy", "wx", "wy"), ("hx", "hy", "_h2", "_h3")).where(F.col("seq") != F.col("head_seq"))
     return near.groupBy(*keys, "head_seq").agg(F.count("*").alias("n_words"), F.min("hx").alias("x0"), F.min("hy").alias("y0"), F.max(F.col("hx") + width).alias("x1"), F.max(F.col("hy") + height).alias("y1")).where(F.col("n_words") >= least)
 
 
@@ -342,9 +345,10 @@ def sheet_elevations(sheet: DataFrame, elevations: DataFrame, keys: Keys = ("fil
 
 def assign_sheet(points: DataFrame, sheet: DataFrame, keys: Keys = ("file_id",), x: str = "x") -> DataFrame:
     """Points with the number of the first sheet that their x lies in, or null."""
-    s = sheet.select(*keys, "sheet_no", "x_left", "x_right")
-    hit = points.join(s, _same(points, s, keys) & (points[x] >= s["x_left"]) & (points[x] <= s["x_right"]), "left")
-    return hit.groupBy(*[points[c] for c in points.columns]).agg(F.min("sheet_no").alias("sheet_no"))
+    s = sheet.select(*keys, "sheet_no", *(F.col(c).cast("double").alias(c) for c in ("x_left", "x_right")), F.lit(0.0).alias("_s"))
+    at = points.select(*keys, F.col(x).cast("double").alias("_px")).distinct().withColumn("_p", F.lit(0.0))
+    first = box_join(at, s, keys, ("_px", "_p", "_px", "_p"), ("x_left", "_s", "x_right", "_s")).groupBy(*keys, "_px").agg(F.min("sheet_no").alias("sheet_no"))
+    return points.withColumn("_px", F.col(x).cast("double")).join(first, [*keys, "_px"], "left").select(*points.columns, "sheet_no")
 
 
 def union_positions(a: DataFrame, b: DataFrame, keys: Keys, tol: float = 15.0, seq: str = "seq") -> DataFrame:

@@ -173,3 +173,29 @@ def sub_rows(rows: DataFrame, symbols: DataFrame, marks: DataFrame, keys: Keys =
     whole = rows.join(split, [*keys, "seq"], "left_anti").join(heads.select(*keys, "seq", "symbol"), [*keys, "seq"], "left").join(many.select(*keys, "seq", "color"), [*keys, "seq"], "left")
     out = halves.unionByName(whole.select(*keys, "seq", F.lit(1).alias("part"), "symbol", "x0", "y0", "x1", "y1", "color"))
     return out.withColumn("color", F.coalesce("color", F.lit("")))
+
+
+def content_frames(words: DataFrame, segments: DataFrame, keys: Keys = ("file_id", "page")) -> DataFrame:
+    """The frame of a page that its content tells as a legend: x0, y0, x1, y1, row_ys, col_xs, n_words.
+
+    Candidates are equal rounded ends of at least three horizontal lines; those with more lines come first, then narrower
+    ones. The first one 80 to 700 wide, with two verticals across it and two words of equipment inside, is taken.
+    """
+    flat = segments.where((F.abs(F.col("y1") - F.col("y0")) < 2) & (F.abs(F.col("x1") - F.col("x0")) > 25)).select(*keys, F.bround(F.least("x0", "x1")).alias("lx0"), F.bround(F.greatest("x0", "x1")).alias("lx1"), F.least("y0", "y1").cast("double").alias("ly"))
+    up = segments.where((F.abs(F.col("x1") - F.col("x0")) < 2) & (F.abs(F.col("y1") - F.col("y0")) > 25)).select(*keys, F.col("x0").cast("double").alias("vx"), F.least("y0", "y1").cast("double").alias("vy0"), F.greatest("y0", "y1").cast("double").alias("vy1"))
+    ends = flat.groupBy(*keys, "lx0", "lx1").agg(F.count("*").alias("n"))
+    able = ends.where((F.col("n") >= 3) & (F.col("lx1") - F.col("lx0")).between(80, 700)).select(*keys, F.col("lx0").alias("x"), F.col("lx1").alias("y"), "n")
+    # lines of a frame may end a little off; pairs of ends are points that lie near each other
+    close = near_pairs(able, flat.select(*keys, F.col("lx0").alias("x"), F.col("lx1").alias("y"), "ly"), keys, TOL * 2**0.5).where((F.abs(F.col("l_x") - F.col("r_x")) < TOL) & (F.abs(F.col("l_y") - F.col("r_y")) < TOL))
+    frame = close.groupBy(*keys, F.col("l_x").alias("x0"), F.col("l_y").alias("x1"), F.col("l_n").alias("n")).agg(F.sort_array(F.collect_set(F.bround("r_ly", 1))).alias("row_ys"))
+    frame = frame.withColumns({"y0": F.element_at("row_ys", 1), "y1": F.element_at("row_ys", -1)})
+    by = [*keys, "x0", "x1"]
+    bounds = frame.select(*by, "y0", "y1").withColumns({"_t0": F.col("x0") - 5, "_t1": F.col("y0") - 20, "_t2": F.col("x1") + 5, "_t3": F.col("y1") + 20})
+    box = ("_t0", "_t1", "_t2", "_t3")
+    across = box_join(up, bounds, keys, ("vx", "vy0", "vx", "vy1"), box).where("vx > _t0 and vx < _t2 and vy0 < y0 + 20 and vy1 > y1 - 20")
+    cols = across.groupBy(*by).agg(F.sort_array(F.collect_set(F.bround("vx", 1))).alias("col_xs")).where(F.size("col_xs") >= 2)
+    said = words.where(F.lower("text").rlike("|".join(R.FRAME_WORDS))).select(*keys, F.col("x0").cast("double").alias("wx"), F.col("top").cast("double").alias("wy"))
+    inside = box_join(said, bounds, keys, ("wx", "wy", "wx", "wy"), box).where("wy > y0 - 5 and wy < y1 + 5 and wx > _t0 and wx < _t2")
+    told = inside.groupBy(*by).agg(F.count("*").alias("n_words")).where("n_words >= 2")
+    order = F.struct((-F.col("n")).alias("a"), (F.col("x1") - F.col("x0")).alias("b"), F.col("x0").alias("c"))
+    return frame.join(cols, by).join(told, by).groupBy(*keys).agg(F.min_by(F.struct("x0", "y0", "x1", "y1", "row_ys", "col_xs", "n_words"), order).alias("f")).select(*keys, "f.*")

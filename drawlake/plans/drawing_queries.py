@@ -339,13 +339,13 @@ _LEGEND_BOX = "s_suppkey AS file_id, 1 AS page, 50.0 AS x0, 40.0 AS y0, 200.0 +
 _LINES = "l_suppkey AS file_id, 1 AS page, 250.0 + l_linenumber * 12 AS x0, 300 + l_quantity AS y0, 320.0 + l_linenumber * 12 + l_partkey % 7 AS x1, 300 + l_quantity + l_partkey % 4 AS y1"
 
 
-@query(f"""WITH p AS (SELECT {_PAGES} FROM supplier), s AS (SELECT {_LINES} FROM lineitem WHERE l_partkey % 5 = 0),
+@query(f"""WITH p AS (SELECT {_PAGES} FROM supplier), s AS (SELECT {_LINES} FROM lineitem),
 l AS (SELECT s.file_id, s.page, least(x0, x1) AS lx, least(y0, y1) AS ly, width, height FROM s JOIN p USING (file_id, page) WHERE abs(y1 - y0) < 2 AND abs(x1 - x0) > 50 AND least(x0, x1) > 0.4 * width AND least(y0, y1) > 0.6 * height),
 g AS (SELECT file_id, page, round(lx) AS rx, count(*) AS n FROM l GROUP BY ALL), m AS (SELECT file_id, page, coalesce(min(CASE WHEN n >= 3 THEN rx END), arg_max(rx, n * 1000000 - rx)) AS bx, sum(n) AS n FROM g GROUP BY ALL HAVING sum(n) >= 6)
 SELECT file_id, page, 'left' AS zone, 0.0 AS x0, 0.0 AS y0, 60.0 AS x1, height AS y1 FROM p UNION ALL SELECT file_id, page, 'right', width - 60, 0.0, width, height FROM p UNION ALL SELECT file_id, page, 'top', 0.0, 0.0, width, 60.0 FROM p UNION ALL SELECT file_id, page, 'bottom', 0.0, height - 60, width, height FROM p
 UNION ALL SELECT file_id, page, 'legend', x0 - 10, y0 - 30, x1 + 10, y1 + 10 FROM (SELECT {_LEGEND_BOX} FROM supplier) UNION ALL SELECT file_id, page, 'title', min(bx), min(ly), max(width), max(height) FROM l JOIN m USING (file_id, page) WHERE abs(lx - bx) <= 10 GROUP BY file_id, page""")
 def c4_page_zones(spark, sf_dir):
-    s = read(spark, sf_dir, "lineitem").where("l_partkey % 5 = 0").selectExpr(*_split(_LINES))
+    s = derived(spark, sf_dir, "lineitem", _LINES)
     z = spatial.page_zones(derived(spark, sf_dir, "supplier", _PAGES), s, derived(spark, sf_dir, "supplier", _LEGEND_BOX))
     return z.select("file_id", "page", "zone", *[F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")])
 
@@ -604,12 +604,14 @@ def e16_replace_with_spec(spark, sf_dir):
 
 @query("""WITH c AS (SELECT l_suppkey AS project, l_returnflag AS cable_type, sum(l_quantity * 50)::BIGINT AS m FROM lineitem GROUP BY ALL), t AS (SELECT project, sum(m) AS total FROM c GROUP BY 1),
 n AS (SELECT l_suppkey AS project, count(DISTINCT CASE WHEN l_linestatus = 'O' THEN l_partkey % 20 END) AS a, count(DISTINCT CASE WHEN l_linestatus <> 'O' THEN l_partkey % (1 + l_suppkey % 10) END) AS b FROM lineitem GROUP BY 1),
-f AS (SELECT project, CASE WHEN total >= 50000 AND total > 15000 * greatest(b, 1) AND a > 2 * b THEN CASE WHEN b / a < 0.2 THEN 0.0::DOUBLE ELSE b / a END ELSE 1.0::DOUBLE END AS k FROM t JOIN n USING (project))
+f AS (SELECT project, CASE WHEN a = 0 OR b = 0 THEN 1.0::DOUBLE WHEN project % 3 = 0 THEN CASE WHEN a > 1 AND a / b > 1.5 THEN b / a ELSE 1.0::DOUBLE END WHEN total >= 50000 AND total / b > 15000 AND a > 2 * b THEN CASE WHEN b / a < 0.2 THEN 0.0::DOUBLE ELSE b / a END ELSE 1.0::DOUBLE END AS k FROM t JOIN n USING (project))
 SELECT project, cable_type, round_even(m * k, 0)::BIGINT AS total_length_m FROM c JOIN f USING (project) WHERE round_even(m * k, 0) > 0""")
 def e17_deflate_cables(spark, sf_dir):
     c = read(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("project"), F.col("l_returnflag").alias("cable_type")).agg(F.sum(F.col("l_quantity") * 50).cast("long").alias("total_length_m"))
     p = derived(spark, sf_dir, "lineitem", "l_suppkey AS project, CASE WHEN l_linestatus = 'O' THEN l_partkey % 20 ELSE l_partkey % (1 + l_suppkey % 10) END AS name, CASE WHEN l_linestatus = 'O' THEN 'schema' ELSE 'spec' END AS source")
-    return rollup.deflate_cables(c, p)
+    # a schema file for each supplier, of which every third one is the building's own
+    f = read(spark, sf_dir, "supplier").selectExpr("s_suppkey AS project", "concat('1-Д-24-', CASE WHEN s_suppkey % 3 = 0 THEN '8.2' ELSE '8' END, '-ЭО.dxf') AS filename", "CASE WHEN s_suppkey % 2 = 0 THEN 1 ELSE 2 END AS n_results", "s_suppkey % 2 = 1 AS sheeted")
+    return rollup.deflate_cables(c, p, files=f)
 
 
 _RUNS = "l_suppkey AS file_id, CASE WHEN l_linenumber < 4 THEN concat('ЩР-Гр.', l_partkey % 15) END AS group_label, 'ЩР' AS panel, concat(l_linenumber, 'х1,5') AS section, l_returnflag AS brand, CASE WHEN l_partkey % 3 = 0 THEN l_quantity END AS length_m, l_partkey % 5 AS page"
@@ -658,6 +660,25 @@ def e23_detect_scale(spark, sf_dir):
     return s.select("file_id", "page", F.round("m_per_pt", 8).alias("m_per_pt"), F.round("confidence", 6).alias("confidence"))
 
 
+#: Rows of dimensions, 200 to 260 apart, and lines below them of about that width; some pages have neither.
+_ROW_WORD = "l_suppkey AS file_id, l_orderkey % 4 AS page, " + _SEQ + " AS seq, CASE l_partkey % 3 WHEN 0 THEN '6000' WHEN 1 THEN '4800' ELSE 'текст' END AS text, l_quantity * 25 + l_orderkey % 7 AS x0, l_linenumber * 50.0 AS top"
+_ROW_LINE = "o_custkey % 100 AS file_id, o_orderkey % 4 AS page, 100.0 AS x0, 50.0 + o_orderkey % 350 AS y0, 100.0 + o_orderkey % 120 AS x1, 50.0 + o_orderkey % 350 AS y1"
+
+
+@query(f"""WITH w AS (SELECT *, text::DOUBLE AS value, round_even(top / 10, 0) * 10 AS r FROM (SELECT {_ROW_WORD} FROM lineitem) WHERE text <> 'текст'),
+m AS (SELECT file_id, page, value, r, count(*) AS n, min(seq) AS f, arg_min(top, {{'x': x0, 's': seq}}) AS y FROM w GROUP BY ALL HAVING count(*) >= 2), b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY file_id, page ORDER BY n DESC, f) AS k FROM m) WHERE k = 1),
+g AS (SELECT * FROM (SELECT w.file_id, w.page, w.value, b.y, x0 - lag(x0) OVER (PARTITION BY w.file_id, w.page ORDER BY x0, seq) AS gap FROM w JOIN b USING (file_id, page, value, r)) WHERE gap IS NOT NULL),
+s AS (SELECT file_id, page, value, y, gap FROM (SELECT *, row_number() OVER (PARTITION BY file_id, page ORDER BY gap) AS k, count(*) OVER (PARTITION BY file_id, page) AS c FROM g) WHERE k = c // 2 + 1 AND gap > 10),
+l AS (SELECT s.file_id, s.page, x1 - o.x0 AS wide FROM s JOIN (SELECT {_ROW_LINE} FROM orders) o ON o.file_id = s.file_id AND o.page = s.page AND abs(o.y0 - s.y) < 30 AND x1 - o.x0 > 30),
+v AS (SELECT file_id, page, wide FROM (SELECT *, row_number() OVER (PARTITION BY file_id, page ORDER BY wide) AS k, count(*) OVER (PARTITION BY file_id, page) AS c FROM l) WHERE k = c // 2 + 1),
+p AS (SELECT s_suppkey AS file_id, unnest([0, 1, 2, 3]) AS page, 1000.0 + s_suppkey % 5 * 400 AS width FROM supplier)
+SELECT p.file_id, p.page, CASE WHEN abs(wide - gap) < 20 THEN round(value / wide, 4) WHEN gap IS NOT NULL THEN round(value / gap, 4) ELSE round(25.4 / 72 * CASE WHEN greatest(width, 900) / 72 * 25.4 > 550 AND greatest(width, 900) / 72 * 25.4 <= 780 THEN 50 ELSE 100 END, 4) END::DOUBLE AS mm_per_pt,
+CASE WHEN abs(wide - gap) < 20 THEN 'lines' WHEN gap IS NOT NULL THEN 'text' ELSE 'paper' END AS source, CASE WHEN abs(wide - gap) < 20 THEN 3 WHEN gap IS NOT NULL THEN 2 ELSE 1 END AS confidence FROM p LEFT JOIN s USING (file_id, page) LEFT JOIN v USING (file_id, page)""")
+def e23_verified_scale(spark, sf_dir):
+    pages = read(spark, sf_dir, "supplier").selectExpr("s_suppkey AS file_id", "explode(array(0L, 1L, 2L, 3L)) AS page", "1000.0D + s_suppkey % 5 * 400 AS width", "900.0D AS height")
+    return schedules.verified_scale(derived(spark, sf_dir, "lineitem", _ROW_WORD), derived(spark, sf_dir, "orders", _ROW_LINE), pages)
+
+
 _VOTE = f"l_suppkey AS file_id, {_SEQ} AS seq, l_quantity * 20 AS x, l_extendedprice / 50 AS y, CASE l_partkey % 5 WHEN 0 THEN 'red' WHEN 1 THEN 'blue' ELSE 'black' END AS color_class, l_linenumber AS k"
 
 
@@ -873,14 +894,14 @@ def f9_spec_tables(spark, sf_dir):
 
 
 #: Frames: a customer's orders are horizontal lines of one span, with three verticals across.
-@query("""WITH r AS (SELECT o_custkey AS file_id, 100 + (o_orderkey % 40) * 20.0::DOUBLE AS y FROM orders), g AS (SELECT file_id, min(y) AS y0, max(y) AS y1, count(DISTINCT y) AS n, string_agg(DISTINCT y::INT, ',' ORDER BY y::INT) AS row_ys FROM r GROUP BY 1 HAVING count(DISTINCT y) >= 2)
+@query("""WITH r AS (SELECT o_custkey AS file_id, 100 + (o_orderkey % 40) * 20.0::DOUBLE AS y FROM orders), g AS (SELECT file_id, min(y) AS y0, max(y) AS y1, count(DISTINCT y) AS n, string_agg(DISTINCT y::INT, ',' ORDER BY y::INT) AS row_ys FROM r GROUP BY 1)
 SELECT file_id, 1 AS page, 50.0::DOUBLE + file_id % 7 AS x0, 450.0::DOUBLE + file_id % 7 AS x1, y0, y1, row_ys, concat_ws(',', (50 + file_id % 7)::INT, 200, (450 + file_id % 7)::INT) AS col_xs FROM g""")
 def f10_table_bounds(spark, sf_dir):
-    o = read(spark, sf_dir, "orders").selectExpr("o_custkey AS file_id", "100 + (o_orderkey % 40) * 20.0D AS y")
-    flat = o.selectExpr("file_id", "1 AS page", "50.0D + file_id % 7 AS x0", "y AS y0", "450.0D + file_id % 7 AS x1", "y AS y1")
-    up = o.select("file_id").distinct().selectExpr("file_id", "1 AS page", "explode(array(50.0D + file_id % 7, 200.0D, 450.0D + file_id % 7)) AS x0").selectExpr("file_id", "page", "x0", "90.0D AS y0", "x0 AS x1", "910.0D AS y1")
+    o = read(spark, sf_dir, "orders").selectExpr("o_custkey AS file_id", "o_orderkey AS seq", "100 + (o_orderkey % 40) * 20.0D AS y")
+    flat = o.selectExpr("file_id", "1 AS page", "seq", "50.0D + file_id % 7 AS x0", "y AS y0", "450.0D + file_id % 7 AS x1", "y AS y1")
+    up = o.select("file_id").distinct().selectExpr("file_id", "1 AS page", "explode(array(50.0D + file_id % 7, 200.0D, 450.0D + file_id % 7)) AS x0").selectExpr("file_id", "page", "-1L AS seq", "x0", "90.0D AS y0", "x0 AS x1", "910.0D AS y1")
     heads = o.select("file_id").distinct().selectExpr("file_id", "1 AS page", "file_id AS seq", "60.0D AS x0", "95.0D AS top")
-    b = sequences.table_bounds(flat.unionByName(up), heads)
+    b = tables.line_bounds(flat.unionByName(up), heads)
     shown = lambda c: F.array_join(F.transform(c, lambda v: v.cast("int").cast("string")), ",").alias(c)
     return b.select("file_id", "page", "x0", "x1", "y0", "y1", shown("row_ys"), shown("col_xs"))
 
@@ -954,6 +975,40 @@ def d5_enrich_annotations(spark, sf_dir):
     return compare.enrich_annotations(notes, derived(spark, sf_dir, "part", _ENTRY))
 
 
+#: Pages with frames of two widths, of lines by orders; words by line items.
+_FRAME_LINE = "o_custkey % 60 AS file_id, o_orderkey % 3 AS page, 100.0 + o_orderkey % 2 * 300 AS x0, 100.0 + o_orderkey % 23 * 12 AS y0, 100.0 + o_orderkey % 2 * 300 + CASE WHEN o_custkey % 4 = 0 THEN 150.0 ELSE 200.0 END AS x1, 100.0 + o_orderkey % 23 * 12 AS y1"
+_FRAME_WORD = "l_suppkey % 60 AS file_id, l_orderkey % 3 AS page, CASE l_partkey % 40 WHEN 0 THEN 'Светильник' WHEN 1 THEN 'УЗО 40А' ELSE l_shipmode END AS text, l_quantity * 16 AS x0, l_extendedprice / 200 AS top".replace("l_shipmode", "l_returnflag")
+
+
+@query(f"""WITH f AS (SELECT * FROM (SELECT {_FRAME_LINE} FROM orders)), e AS (SELECT file_id, page, round(x0) AS a, round(x1) AS b, count(*) AS n, min(y0) AS y0, max(y0) AS y1, string_agg(DISTINCT y0::INT::VARCHAR, ',' ORDER BY y0::INT::VARCHAR) AS row_ys FROM f GROUP BY ALL HAVING count(*) >= 3),
+v AS (SELECT DISTINCT o_custkey % 60 AS file_id, o_orderkey % 3 AS page, o_custkey % 60 % 2 AS side FROM orders),
+w AS (SELECT e.file_id, e.page, e.a, e.b, count(*) AS n_words FROM e JOIN (SELECT {_FRAME_WORD} FROM lineitem) w ON w.file_id = e.file_id AND w.page = e.page AND text IN ('Светильник', 'УЗО 40А') AND w.x0 > a - 5 AND w.x0 < b + 5 AND top > y0 - 5 AND top < y1 + 5 GROUP BY ALL HAVING count(*) >= 2),
+r AS (SELECT e.*, n_words, row_number() OVER (PARTITION BY e.file_id, e.page ORDER BY n DESC, e.b - e.a, e.a) AS k FROM e JOIN w USING (file_id, page, a, b) JOIN v ON v.file_id = e.file_id AND v.page = e.page AND e.a = 100 + v.side * 300)
+SELECT file_id, page, a::DOUBLE AS x0, b::DOUBLE AS x1, y0::DOUBLE AS y0, y1::DOUBLE AS y1, n_words, row_ys FROM r WHERE k = 1""")
+def f14_content_frames(spark, sf_dir):
+    flat = derived(spark, sf_dir, "orders", _FRAME_LINE)
+    # verticals across one of the two frames of each page
+    up = flat.select("file_id", "page").distinct().selectExpr("file_id", "page", "explode(array(102.0D + file_id % 2 * 300, 180.0D + file_id % 2 * 300)) AS x0").selectExpr("file_id", "page", "x0", "90.0D AS y0", "x0 AS x1", "900.0D AS y1")
+    flat = flat.select("file_id", "page", *(F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")))
+    f = tables.content_frames(derived(spark, sf_dir, "lineitem", _FRAME_WORD), flat.unionByName(up))
+    return f.select("file_id", "page", "x0", "x1", "y0", "y1", "n_words", F.array_join(F.sort_array(F.transform("row_ys", lambda y: y.cast("int").cast("string"))), ",").alias("row_ys"))
+
+
+_MARK_AT = "l_suppkey AS file_id, (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey AS seq, l_quantity * 40 AS x, l_extendedprice / 40 AS y"
+
+
+def g7_marker_positions(spark, sf_dir):
+    """Items of a drawing by the convention of their symbols: labels, annotations, circles, and blocks where there is no label."""
+    at = lambda more: derived(spark, sf_dir, "lineitem", f"{_MARK_AT}, {more}, l_linenumber AS k")
+    labels, notes = at("concat(' ', l_partkey % 8, ' ') AS text").where("k <= 2").drop("k"), at("concat('прибор ', l_partkey % 5) AS name").where("k = 3").drop("k")
+    inserts, circles = at("concat('B', l_partkey % 4) AS block_name").where("k between 4 and 5").drop("k"), at("l_partkey % 6 AS color").where("k >= 6").drop("k")
+    items = read(spark, sf_dir, "supplier").selectExpr("s_suppkey AS file_id", "explode(array('1', '2', '30', 'P1', 'P7', 'C2', 'B1', 'B3')) AS symbol").selectExpr("file_id", "symbol", "CASE symbol WHEN 'P1' THEN 'прибор 1' WHEN 'P7' THEN 'прибор 3' ELSE 'имя' END AS name")
+    return legends.marker_positions(labels, notes, inserts, circles, items).select("file_id", "symbol", "seq", "x", "y")
+
+
+QUERIES["g7_marker_positions"] = g7_marker_positions
+
+
 # --- rounds ---------------------------------------------------------------------------------------------------
 
 
@@ -969,6 +1024,8 @@ SELECT {columns} FROM {rows} r JOIN s ON s.grp = r.grp AND s.id = r.id WHERE s.i
 _NEAR = "sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))"
 ORACLES["g4_dedup_points"] = kept_sql(f"p AS MATERIALIZED (SELECT *, sheet AS grp, seq AS id FROM {P})", "p", f"SELECT a.sheet AS grp, a.seq AS b, b.seq AS w FROM p a JOIN p b ON a.sheet = b.sheet AND a.seq < b.seq AND {_NEAR} < 150", "r.sheet, r.seq, r.x, r.y, r.symbol")
 
+_MARKED = f"p AS MATERIALIZED (SELECT *, hash(file_id, symbol) AS grp, seq AS id FROM (SELECT file_id, seq, x, y, CASE WHEN k <= 2 AND p % 8 IN (1, 2) THEN concat(p % 8) WHEN k = 3 AND p % 5 = 1 THEN 'P1' WHEN k = 3 AND p % 5 = 3 THEN 'P7' WHEN k BETWEEN 4 AND 5 AND p % 4 IN (1, 3) THEN concat('B', p % 4) WHEN k >= 6 AND p % 6 = 2 THEN 'C2' END AS symbol FROM (SELECT {_MARK_AT}, l_partkey AS p, l_linenumber AS k FROM lineitem)) WHERE symbol IS NOT NULL)"
+ORACLES["g7_marker_positions"] = kept_sql(_MARKED, "p", f"SELECT a.grp, a.seq AS b, b.seq AS w FROM p a JOIN p b ON a.grp = b.grp AND a.seq < b.seq AND {_NEAR} < 50", "r.file_id, r.symbol, r.seq, r.x, r.y")
 _FITS = "a.page = b.page AND abs(a.rx0 - b.rx0) < 5 AND abs(a.rx1 - b.rx1) < 5"
 ORACLES["f10_anchor_groups"] = kept_sql(f"p AS MATERIALIZED (SELECT *, file_id * 4 + page AS grp, seq AS id FROM (SELECT {_ENDS} FROM lineitem))", "p", f"SELECT a.grp, a.seq AS b, b.seq AS w FROM p a JOIN p b ON a.file_id = b.file_id AND a.seq < b.seq AND {_FITS}", "r.*")
 ORACLES["f10_anchor_groups"] = ORACLES["f10_anchor_groups"].replace("SELECT r.* FROM p r", "SELECT a.file_id, a.page, a.seq, min(b.seq) AS anchor FROM p a JOIN (SELECT r.* FROM p r", 1) + f") b ON a.file_id = b.file_id AND {_FITS} GROUP BY ALL"

@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from drawlake.operators import compare, counting, iterative, rollup, schedules, sequences, spatial
+from drawlake.operators import compare, counting, iterative, rollup, schedules, sequences, spatial, tables
 from drawlake.sources import drawings
 
 
@@ -97,9 +97,9 @@ def test_identifier_runs(spark):
 
 def test_table_bounds(spark):
     rows = [(200.0, y, 240.0, y) for y in (120.0, 140.0, 160.0)] + [(x, 120.0, x, 160.0) for x in (200.0, 240.0)]
-    segs = spark.createDataFrame([("f", 1, *r) for r in rows], "file_id string, page int, x0 double, y0 double, x1 double, y1 double")
+    segs = spark.createDataFrame([("f", 1, k, *r) for k, r in enumerate(rows)], "file_id string, page int, seq long, x0 double, y0 double, x1 double, y1 double")
     head = spark.createDataFrame([("f", 1, 0, 200.0, 110.0)], "file_id string, page int, seq long, x0 double, top double")
-    got = sequences.table_bounds(segs, head).first()
+    got = tables.line_bounds(segs, head).first()
     assert (got["x0"], got["x1"], got["row_ys"], got["col_xs"]) == (200.0, 240.0, [120.0, 140.0, 160.0], [200.0, 240.0])
 
 
