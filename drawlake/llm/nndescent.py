@@ -28,8 +28,8 @@ LIST, LONGEST_LIST = 6, 24
 ROUNDS, TRIES = 3, 3
 #: A round that changes fewer of the entries than this ends the descent.
 SETTLED = 0.02
-#: Query vectors of a label: this often the root of its rows.
-AUDIT_ROOTS, ENOUGH = 2, 0.99
+#: Every vector whose id has this divisor is a query of the audit; the share of their links that the graph must hold.
+ASKED, ENOUGH = 20, 0.99
 #: Rows of a block: for links counted, for links between components and for the audit.
 BLOCK, WIDE = 512, 256
 #: A product that is so near to the threshold is worked out again by the one form that decides.
@@ -222,14 +222,13 @@ def _answered(batches):
             yield _pairs([u for u, _ in found], [v for _, v in found])
 
 
-def _audit(vectors: DataFrame, attempt: int) -> DataFrame:
-    """Links (u, v) of query vectors, others at each attempt, with all others of their part, by brute force in blocks."""
-    rows = vectors.select("part", "id", "unit")
+def _audit(vectors: DataFrame) -> DataFrame:
+    """Links (u, v) of the query vectors (those that a query id is a copy of, other ids at each attempt) with all others of their part, by brute force in blocks."""
+    rows = vectors.select("part", "id", "unit", "query")
     sizes = rows.groupBy("part").agg(F.count("*").alias("size"))
-    sizes = sizes.select("part", F.ceil(F.col("size") / WIDE).cast("long").alias("blocks"), (AUDIT_ROOTS / F.sqrt("size")).alias("share"))
+    sizes = sizes.select("part", F.ceil(F.col("size") / WIDE).cast("long").alias("blocks"))
     rows = rows.join(sizes, "part").withColumn("asked", F.lit(False)).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
-    chance = F.pmod(F.xxhash64("id", F.lit(SEED + attempt)), F.lit(1 << 20)) / (1 << 20)
-    asked = rows.where(chance < F.col("share")).withColumn("asked", F.lit(True)).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    asked = rows.where("query").withColumn("asked", F.lit(True)).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     both = rows.unionByName(asked).select("part", "block", "asked", "id", "unit")
     return both.repartition("part", "block").sortWithinPartitions("part", "block").mapInArrow(_answered, "u long, v long")
 
@@ -303,12 +302,14 @@ def _degrees(comp: DataFrame, vectors: DataFrame) -> DataFrame:
 
 
 def near_duplicate_vectors(embeddings: DataFrame) -> DataFrame:
-    """One row per vector: vec_id, n_links, component_id, kept.
+    """One row per vector: vec_id, n_links, component_id, kept, recall.
 
     Vectors are compared only under equal, non-null labels and at equal length; a null, empty or zero vector
     and one with null or non-finite components link with nothing. Exact copies (equal label and components)
     form a class that is compared once and counted with its size. A null vec_id: kept, no links, null
     component. Of rows that share a vec_id the first class by hash counts, as one. Other columns are ignored.
+    ``recall`` is the share of the audited links of the vector's label whose ends the graph had in one component before
+    the audit added the rest; null where the audit found none.
     """
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), "label", F.col("embedding").cast("array<double>").alias("embedding"))
     rows = rows.withColumn("label", F.col("label").cast("string"))
@@ -317,7 +318,7 @@ def near_duplicate_vectors(embeddings: DataFrame) -> DataFrame:
         schema = "id long, part string, h1 long, h2 long, unit binary, " + "".join(f"{w} long, " for w in _WORDS) + "codes array<long>"
         prepared = stored(rows.mapInArrow(_prepare(attempt), schema), "vectors")
         named = prepared.groupBy("id").agg(F.min(F.struct("part", "h1", "h2")).alias("c")).select("id", "c.*")
-        classes = stored(named.groupBy("part", "h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "vector-classes")
+        classes = stored(named.groupBy("part", "h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.max(F.pmod(F.col("id") - attempt, F.lit(ASKED)) == 0).alias("query")), "vector-classes")
         vectors = prepared.dropDuplicates(["id", "part", "h1", "h2"]).join(classes.withColumnRenamed("rep", "id"), ["id", "part", "h1", "h2"])
         vectors = stored(vectors, "distinct-vectors")
         graph = descend(vectors)
@@ -329,7 +330,7 @@ def near_duplicate_vectors(embeddings: DataFrame) -> DataFrame:
         if not crossed.isEmpty():
             links = links.unionByName(crossed)
             comp = components(links, "u", "v")
-        checked = stored(_audit(vectors, attempt), "audit")
+        checked = stored(_audit(vectors), "audit")
         cu, cv = comp.select(F.col("id").alias("u"), F.col("comp").alias("cu")), comp.select(F.col("id").alias("v"), F.col("comp").alias("cv"))
         seen = checked.join(vectors.select(F.col("id").alias("u"), "part"), "u").join(cu, "u", "left").join(cv, "v", "left")
         seen = stored(seen.groupBy("part").agg(F.count("*").alias("n"), F.count_if(F.col("cu") == F.col("cv")).alias("held")), "recall")
@@ -346,9 +347,10 @@ def near_duplicate_vectors(embeddings: DataFrame) -> DataFrame:
         comp = components(links.unionByName(crossed), "u", "v")
     degree = _degrees(comp, vectors)
     each = classes.join(comp, classes["rep"] == comp["id"], "left").drop("id").join(degree, F.col("rep") == F.col("id"), "left")
-    each = each.select("part", "h1", "h2", F.coalesce("comp", "rep").alias("component_id"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    linked = named.join(each, ["part", "h1", "h2"]).select(F.col("id"), "n_links", "component_id")
+    audited = seen.select("part", (F.col("held") / F.col("n")).alias("recall"))  # a row a label
+    each = each.join(audited, "part", "left").select("part", "h1", "h2", "recall", F.coalesce("comp", "rep").alias("component_id"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    linked = named.join(each, ["part", "h1", "h2"]).select(F.col("id"), "n_links", "component_id", "recall")
     ids = rows.where("vec_id is not null").select("vec_id").distinct().join(linked, F.col("vec_id") == F.col("id"), "left")
-    out = ids.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
-    none = rows.where("vec_id is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return out.unionByName(none).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+    out = ids.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"), "recall")
+    none = rows.where("vec_id is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(None).cast("double").alias("recall"))
+    return out.unionByName(none).select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"), "recall")

@@ -850,3 +850,27 @@ def test_a_long_word_around_an_escape_takes_little_memory():
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert spans == [(8_000_004, 0, 8_000_020)] and most < 12 * len(text)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no tables here")
+def test_planted_copies_and_chains_among_given_vectors(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").where("embedding is not null").select("vec_id", "embedding", "label").collect()
+    rng = np.random.default_rng(6)
+    data = [(r["vec_id"], list(map(float, r["embedding"])), r["label"]) for r in rows]
+    unit = lambda v: v / np.linalg.norm(v)
+    for k, (_, v, label) in enumerate(data[:60]):
+        v = unit(np.array(v))
+        if k % 3 == 0:  # copies, exact and near
+            data += [(10_000 + 10 * k, v.tolist(), label), (10_001 + 10 * k, v.tolist(), label), (10_002 + 10 * k, (v + rng.normal(size=len(v)) * 0.01).tolist(), label)]
+        elif k % 3 == 1:  # a chain, whose ends don't link
+            side = unit(rng.normal(size=len(v)))
+            data += [(10_000 + 10 * k + j, unit(v + 0.15 * (j + 1) * side).tolist(), label) for j in range(6)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in nndescent.near_duplicate_vectors(spark.createDataFrame(data, "vec_id long, embedding array<double>, label long")).collect()}
+    ids, label = np.array([d[0] for d in data]), np.array([-1 if d[2] is None else d[2] for d in data])
+    x = np.stack([unit(np.array(d[1])) for d in data])
+    near = (x @ x.T >= 0.98) & (label[:, None] == label[None, :]) & (label >= 0)[:, None]
+    np.fill_diagonal(near, False)
+    comp = ids.copy()
+    for _ in range(20):
+        comp = np.minimum(comp, np.where(near, comp[None, :], np.iinfo(np.int64).max).min(axis=1))
+    assert near.sum() > 200 and got == {int(i): (int(n), int(c)) for i, n, c in zip(ids, near.sum(axis=1), comp)}
