@@ -59,26 +59,33 @@ def _before(conf: str, seq: str) -> Column:
     return (F.col(f"l_{conf}") > F.col(f"r_{conf}")) | ((F.col(f"l_{conf}") == F.col(f"r_{conf}")) & (F.col(f"l_{seq}") < F.col(f"r_{seq}")))
 
 
-def nms(det: DataFrame, keys: Keys, ratio: float = 0.6, min_radius: float = 60.0, iou: float = 0.3, seq: str = "det_id", reach: float | None = None) -> DataFrame:
+def nms(det: DataFrame, keys: Keys, ratio: float = 0.6, min_radius: float = 60.0, iou: float = 0.3, seq: str = "det_id") -> DataFrame:
     """Detections kept by confidence: one is dropped if it lies nearer to a kept one than the kept one's radius, or overlaps it by ``iou``.
 
-    ``reach`` bounds boxes' sides and radii; by default it is taken from the data.
+    A kept one's reach is a box of its own size, so that a huge one sets no other's cells.
     """
-    from drawlake.operators.spatial import near_pairs
+    from drawlake.operators.spatial import box_join
+
+    radius = F.greatest(ratio * F.greatest("w", "h"), F.lit(min_radius))
+    slim = det.select(*keys, seq, F.col("cx").cast("double").alias("x"), F.col("cy").cast("double").alias("y"), "w", "h", "confidence").withColumn("radius", radius)
+
+    def side(prefix, half):
+        d = slim.select(*keys, *(F.col(c).alias(prefix + c) for c in slim.columns if c not in keys))
+        for c, s in (("x", "w"), ("y", "h")):
+            reach = half(F.col(f"{prefix}{s}") / 2, F.col(f"{prefix}radius")).cast("double")
+            d = d.withColumns({f"{prefix}{c}0": F.col(f"{prefix}{c}") - reach, f"{prefix}{c}1": F.col(f"{prefix}{c}") + reach})
+        return d
 
-    if reach is None:
-        side = float(det.agg(F.max(F.greatest("w", "h"))).first()[0] or 0.0)
-        reach = max(min_radius, ratio * side, side)
-    slim = det.select(*keys, seq, F.col("cx").alias("x"), F.col("cy").alias("y"), "w", "h", "confidence")
-    pairs = near_pairs(slim, slim, keys, reach * 2**0.5).where(_before("confidence", seq) & (F.col(f"l_{seq}") != F.col(f"r_{seq}")))
-    radius = F.greatest(ratio * F.greatest("l_w", "l_h"), F.lit(min_radius))
+    box = lambda p: (f"{p}x0", f"{p}y0", f"{p}x1", f"{p}y1")
+    pairs = box_join(side("l_", F.greatest), side("r_", lambda half, r: half), keys, box("l_"), box("r_")).where(_before("confidence", seq) & (F.col(f"l_{seq}") != F.col(f"r_{seq}")))
+    dx, dy = F.col("l_x") - F.col("r_x"), F.col("l_y") - F.col("r_y")
 
     def shared(c, s):
         return F.greatest(F.lit(0.0), F.least(F.col(f"l_{c}") + F.col(f"l_{s}") / 2, F.col(f"r_{c}") + F.col(f"r_{s}") / 2) - F.greatest(F.col(f"l_{c}") - F.col(f"l_{s}") / 2, F.col(f"r_{c}") - F.col(f"r_{s}") / 2))
 
     both = shared("x", "w") * shared("y", "h")
     union = F.col("l_w") * F.col("l_h") + F.col("r_w") * F.col("r_h") - both
-    hit = pairs.where((F.col("dist") < radius) | ((union > 0) & (both / union >= iou)))
+    hit = pairs.where((F.sqrt(dx * dx + dy * dy) < F.col("l_radius")) | ((union > 0) & (both / union >= iou)))
     return _kept(det, suppressed(hit, keys, f"l_{seq}", f"r_{seq}"), keys, seq)
 
 
@@ -152,3 +159,39 @@ def detect_counts(det: DataFrame, zones: DataFrame, keys: Keys = ("file_id", "pa
     for df, name in ((sure, "n_sure"), (outside, "n_outside"), (single, "n_single"), (capped, "n_capped"), (final, "n_final")):
         out = out.join(count(df, name), by, "left")
     return out.na.fill(0, ["n_sure", "n_outside", "n_single", "n_capped", "n_final"])
+
+
+def detection_stages(det: DataFrame, zones: DataFrame, classes: DataFrame, words: DataFrame, hints: DataFrame, exempt: DataFrame | None = None, keys: Keys = ("file_id", "page"), seq: str = "det_id", label: str = "symbol_index", cap: int = 80) -> tuple[DataFrame, DataFrame]:
+    """(counts, detections): detections by class as they pass all stages, with what each stage leaves of every class.
+
+    ``classes`` (label, one_letter, color): symbols of one letter and a mark take an adaptive threshold, a wide suppression
+    (1.2 sides, 120 at least), the surest of each cell and at most ``cap``; all others the threshold they came with and the usual
+    suppression. Detections over text or of the wrong shape (flags over_text, bad_shape) go, and those whose own color is
+    another than their class's; none seen is accepted. Then classes suppress each other, but for exempt pairs, and each place
+    takes the class that most of its hint words name.
+    """
+    from drawlake.operators.graph import checkpointed
+    from drawlake.operators.sequences import best_per_cell, top_k
+    from drawlake.operators.spatial import exclude_zones
+
+    by = [*keys, label]
+    stages = {}
+    own = det.join(classes.select(label, "one_letter", F.coalesce("color", F.lit("")).alias("_color")), label)
+    letter = F.coalesce(F.col("one_letter"), F.lit(False))
+    limit = adaptive_threshold(own.where(letter), by)
+    stages["n_sure"] = now = own.join(limit, by, "left").where(F.col("threshold").isNull() | (F.col("confidence") >= F.col("threshold"))).drop("threshold")
+    stages["n_outside"] = now = checkpointed(exclude_zones(now, zones, keys, x="cx", y="cy"))
+    stages["n_single"] = now = nms(now.where(letter), by, 1.2, 120.0, seq=seq).unionByName(nms(now.where(~letter), by, seq=seq))
+    flagged = F.coalesce(F.col("over_text"), F.lit(False)) | F.coalesce(F.col("bad_shape"), F.lit(False))
+    stages["n_shaped"] = now = now.where(~flagged)
+    seen = F.coalesce(F.col("color"), F.lit(""))
+    stages["n_colored"] = now = checkpointed(now.where((F.col("_color") == "") | (seen == "") | (seen == F.col("_color"))))
+    few = top_k(best_per_cell(now.where(letter), by, seq=seq), by, [F.desc("confidence"), F.col(seq)], cap)
+    stages["n_capped"] = now = few.unionByName(now.where(~letter))
+    stages["n_crossed"] = now = checkpointed(cross_nms(now, keys, exempt, seq=seq, label=label))
+    final = disambiguate(now, words, hints, keys, seq=seq, label=label)
+    out = own.groupBy(*by).agg(F.count("*").alias("n_raw"))
+    for name, df in stages.items():
+        out = out.join(df.groupBy(*by).agg(F.count("*").alias(name)), by, "left")
+    out = out.join(final.groupBy(*by).agg(F.count("*").alias("n_final")), by, "full_outer")
+    return out.na.fill(0), final

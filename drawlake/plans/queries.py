@@ -268,6 +268,27 @@ def g6_detect_counts(spark, sf_dir):
     return iterative.detect_counts(detections(spark, sf_dir), z, ("page",))
 
 
+def _page_words(spark, sf_dir):
+    """Parts as words of the detections' pages, and the sizes that hint at each class."""
+    words = read(spark, sf_dir, "part").selectExpr("p_partkey % 10 AS page", "concat('s', p_size % 12) AS text", "p_retailprice - 1400 AS x0", "(p_partkey % 97 - 48) * 20.0D AS top")
+    return words, read(spark, sf_dir, "embeddings").select("label").distinct().selectExpr("label", "concat('s', label) AS token")
+
+
+@query()
+def g5_disambiguate(spark, sf_dir):
+    words, hints = _page_words(spark, sf_dir)
+    return iterative.disambiguate(detections(spark, sf_dir), words, hints, ["page"], cluster=100.0, reach=200.0)
+
+
+@query()
+def g6_detection_stages(spark, sf_dir):
+    det = detections(spark, sf_dir).withColumns({"over_text": F.col("det_id") % 11 == 0, "bad_shape": F.col("det_id") % 13 == 0, "color": F.element_at(F.array(F.lit(""), F.lit("red"), F.lit("blue")), (F.col("det_id") % 3 + 1).cast("int"))})
+    classes = det.select("symbol_index").distinct().selectExpr("symbol_index", "symbol_index % 2 = 0 AS one_letter", "CASE symbol_index % 3 WHEN 0 THEN 'red' ELSE '' END AS color")
+    z = read(spark, sf_dir, "region").selectExpr("cast(r_regionkey AS BIGINT) AS page", "-100.0D AS x0", "-100.0D AS y0", "50.0D AS x1", "50.0D AS y1")
+    words, hints = _page_words(spark, sf_dir)
+    return iterative.detection_stages(det, z, classes, words, hints, keys=("page",))[0]
+
+
 # --- ordered rows ---------------------------------------------------------------------------------------------
 
 

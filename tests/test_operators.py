@@ -337,3 +337,72 @@ def test_annotations_take_legend_names_in_turn(spark):
     notes = spark.createDataFrame([(1, 1, "SLICK.PRS LED 30 5000K", 133), (1, 2, "SLICK.PRS LED 30", 7), (1, 3, "LED 50", 4), (1, 4, "SLICK LED 50 box", 9)], "file_id int, seq int, name string, count int")
     got = sorted((r["symbol"], r["name"], r["count"]) for r in compare.enrich_annotations(notes, legend).collect())
     assert got == [("", "LED 50", 4), ("", "SLICK.PRS LED 30", 7), ("1", "Светильник SLICK PRS LED 30 with driver box 5000K", 133), ("2", "Светильник SLICK PRS LED 50 with driver box", 9), ("3", "OPL ECO LED 600", 0)]
+
+
+def iou(a, b):
+    x = min(a[3] + a[5] / 2, b[3] + b[5] / 2) - max(a[3] - a[5] / 2, b[3] - b[5] / 2)
+    y = min(a[4] + a[6] / 2, b[4] + b[6] / 2) - max(a[4] - a[6] / 2, b[4] - b[6] / 2)
+    both = max(0, x) * max(0, y)
+    return both / (a[5] * a[6] + b[5] * b[6] - both)
+
+
+def kept(some, bad):
+    out = []
+    for d in sorted(some, key=lambda d: (-d[7], d[0])):
+        if not any(bad(k, d) for k in out):
+            out.append(d)
+    return out
+
+
+def test_all_detection_stages_against_a_sequential_form(spark):
+    import numpy as np
+
+    r = random.Random(12)
+    base = made_detections(6, 200)
+    flags = [(r.random() < 0.1, r.random() < 0.05, r.choice(["", "red", "blue"])) for _ in base]
+    rows = [(*d, *f) for d, f in zip(base, flags)]
+    zones = [(0, 100.0, 100.0, 220.0, 260.0)]
+    classes = {0: (True, "red"), 1: (False, ""), 2: (False, "blue")}
+    exempt = [(0, 1)]
+    words = [(p, r.choice(["one", "two", "three"]), r.uniform(0, 600), r.uniform(0, 600)) for p in range(2) for _ in range(80)]
+    hints = [(0, "one"), (1, "two"), (2, "three")]
+    far = lambda a, b: ((a[3] - b[3]) ** 2 + (a[4] - b[4]) ** 2) ** 0.5
+    want, finals = {}, []
+    for page in range(2):
+        left = []
+        for k, (letter, color) in classes.items():
+            own = [d for d in rows if d[1] == page and d[2] == k]
+            p97, p99 = np.percentile([d[7] for d in own], [97, 99])
+            sure = [d for d in own if not letter or d[7] >= max(0.3, min(0.62, max(0.32, p97, p99 - 0.015)))]
+            outside = [d for d in sure if not any(z[0] == page and z[1] < d[3] < z[3] and z[2] < d[4] < z[4] for z in zones)]
+            ratio, least = (1.2, 120) if letter else (0.6, 60)
+            one = kept(outside, lambda a, b: far(a, b) < max(ratio * max(a[5], a[6]), least) or iou(a, b) >= 0.3)
+            shaped = [d for d in one if not d[8] and not d[9]]
+            colored = [d for d in shaped if not color or not d[10] or d[10] == color]
+            capped = colored
+            if letter:
+                cells = {}
+                for d in sorted(colored, key=lambda d: (-d[7], d[0])):
+                    cells.setdefault((d[3] // 120, d[4] // 120), d)
+                capped = sorted(cells.values(), key=lambda d: (-d[7], d[0]))[:80]
+            want[page, k] = [len(own), len(sure), len(outside), len(one), len(shaped), len(colored), len(capped)]
+            left += capped
+        crossed = kept(left, lambda a, b: a[2] != b[2] and {a[2], b[2]} != {0, 1} and far(a, b) <= 25 and a[7] - b[7] >= 0.04)
+        for k in classes:
+            want[page, k].append(sum(d[2] == k for d in crossed))
+        rest = sorted(crossed, key=lambda d: (-d[7], d[0]))
+        order = {d[0]: i for i, d in enumerate(rest)}
+        while rest:
+            place = [d for d in rest if far(d, rest[0]) < 25]
+            said = {k: sum(w[0] == page and w[1] == t and ((w[2] - rest[0][3]) ** 2 + (w[3] - rest[0][4]) ** 2) ** 0.5 <= 40 for w in words) for k, t in hints}
+            finals.append((page, max(place, key=lambda d: (said[d[2]], -order[d[0]]))[2]))
+            rest = [d for d in rest if d not in place]
+    det = spark.createDataFrame(rows, DETECTION + ", over_text boolean, bad_shape boolean, color string")
+    counts, final = iterative.detection_stages(
+        det, spark.createDataFrame(zones, "page long, x0 double, y0 double, x1 double, y1 double"), spark.createDataFrame([(k, *v) for k, v in classes.items()], "symbol_index long, one_letter boolean, color string"),
+        spark.createDataFrame(words, "page long, text string, x0 double, top double"), spark.createDataFrame(hints, "label long, token string"), spark.createDataFrame(exempt, "a long, b long"), ("page",),
+    )
+    assert sorted((x["page"], x["symbol_index"]) for x in final.collect()) == sorted(finals)
+    names = ["n_raw", "n_sure", "n_outside", "n_single", "n_shaped", "n_colored", "n_capped", "n_crossed", "n_final"]
+    for x in counts.collect():
+        assert [x[n] for n in names] == [*want[x["page"], x["symbol_index"]], finals.count((x["page"], x["symbol_index"]))]
