@@ -14,6 +14,8 @@ Keys = Sequence[str]
 #: How groups, panels, lengths and brands are written on sheets.
 GROUP = r"^([ЩЦ][А-Яа-я0-9.]+)[-–]Гр\.?([0-9]{1,3}[А-Яа-яЁё0-9]*)$"
 PANEL = r"^[ЩЦ][А-Яа-я]*[0-9][0-9.]*$"
+MERGED = r"^([ЩЦ][^-–]*)[-–]Гр\.?([0-9]+[А-Яа-яЁё0-9]*)"
+PART = r"^Гр\.?([0-9]{1,3}[А-Яа-яЁё0-9]*)$"
 LENGTH = r"^L=([0-9]+(?:[,.][0-9]+)?)м$"
 BRAND = r"^(ВБШвнг|ВБШв|ППГнг|ППГ|АВВГ|ВВГнг|ВВГ|КГ|NYM)"
 KNOWN_DIMENSIONS = (6000.0, 3000.0, 4500.0, 7200.0, 9000.0, 12000.0)
@@ -35,18 +37,45 @@ def pair_row_cells(cells: DataFrame, keys: Keys = ("file_id", "table_id"), tol:
     return best.select(*keys, "cluster", F.col("t_seq").alias("seq"), "type", "length_m")
 
 
-def cable_runs(words: DataFrame, keys: Keys = ("file_id", "page")) -> DataFrame:
-    """A run for each cross-section word, with the nearest group label (120), brand (60), length (50)."""
-    from drawlake.functions.cables import is_cross_section, normalize_section
+def cable_runs(words: DataFrame, keys: Keys = ("file_id", "page"), schemas: DataFrame | None = None) -> DataFrame:
+    """A run for each cross-section word, with what stands nearest to its middle: group label (120), brand (60), length (50), mm² (15).
 
-    w = words.select(*keys, "seq", F.col("x0").alias("x"), F.col("top").alias("y"), "text")
-    out = w.where(is_cross_section(F.col("text"))).withColumn("section", normalize_section(F.col("text")))
-    anchors = out
-    for name, pattern, radius in (("group_label", GROUP, 120.0), ("brand", BRAND, 60.0), ("length", LENGTH, 50.0)):
-        got = nearest(anchors, w.where(F.col("text").rlike(pattern)), keys, radius).select(*keys, F.col("l_seq").alias("seq"), F.col("r_text").alias(name))
-        out = out.join(got, [*keys, "seq"], "left")
-    metres = F.replace(F.regexp_extract("length", LENGTH, 1), F.lit(","), F.lit(".")).try_cast("double")
-    return out.withColumns({"panel": F.nullif(F.regexp_extract("group_label", GROUP, 1), F.lit("")), "grp": F.nullif(F.regexp_extract("group_label", GROUP, 2), F.lit("")), "length_m": metres}).drop("length")
+    Where no label is near, the nearest panel and the nearest group number make one. On the pages of ``schemas`` (keys) all
+    reaches are 60, sections, brands and lengths may be written backwards, and there is no mm². One join finds all of them.
+    """
+    from drawlake.functions.cables import is_cross_section, normalize_section, reverse_section, reversed_brand, reversed_length
+
+    t = F.col("text")
+    middle = lambda a, b: (F.col(a) + F.coalesce(F.col(b), F.col(a))) / 2 if b in words.columns else F.col(a)
+    w = words.select(*keys, "seq", middle("x0", "x1").alias("x"), middle("top", "bottom").alias("y"), "text")
+    metres = lambda c: F.replace(F.regexp_extract(c, LENGTH, 1), F.lit(","), F.lit(".")).try_cast("double")
+    number = F.replace(F.regexp_extract(t, r"^([0-9]{1,3}(?:[,.][0-9]{1,2})?)$", 1), F.lit(","), F.lit(".")).try_cast("double")
+    roles = {"label": t.rlike(MERGED), "panel": t.rlike(PANEL), "part": t.rlike(PART), "brand": t.rlike(BRAND), "back_brand": reversed_brand(t).isNotNull(), "length": t.rlike(LENGTH), "back_length": reversed_length(t).isNotNull(), "mm2": F.coalesce(number.between(0.5, 50), F.lit(False))}
+    role = F.array_compact(F.array(*(F.when(c, F.lit(k)) for k, c in roles.items())))
+    said = w.withColumn("role", F.explode(role))
+    runs = w.where(is_cross_section(t))
+    schema = schemas.select(*keys).distinct().withColumn("schema", F.lit(True)) if schemas is not None else runs.select(*keys).limit(0).withColumn("schema", F.lit(True))
+    runs = runs.join(schema, list(keys), "left").withColumn("schema", F.coalesce("schema", F.lit(False)))
+    pairs = near_pairs(runs.select(*keys, "seq", "x", "y", "schema"), said, keys, 120.0).where(F.col("l_seq") != F.col("r_seq"))
+    pairs = pairs.withColumns({"role": F.regexp_replace("r_role", "^back_", ""), "back": F.startswith("r_role", F.lit("back_"))}).where("l_schema or not back")
+    reach = F.when(F.col("l_schema"), F.when(F.col("role") == "mm2", -1.0).otherwise(60.0)).when(F.col("role") == "brand", 60.0).when(F.col("role") == "length", 50.0).when(F.col("role") == "mm2", 15.0).otherwise(120.0)
+    near = pairs.where(F.col("dist") <= reach).groupBy(*keys, F.col("l_seq").alias("seq"))
+    first = lambda k: F.min_by(F.struct(F.col("r_text").alias("text"), "back"), F.when(F.col("role") == k, F.struct("dist", "r_seq"))).alias(f"_{k}")
+    got = near.agg(*(first(k) for k in ("label", "panel", "part", "brand", "length", "mm2")))
+    out = runs.join(got, [*keys, "seq"], "left")
+    label, part = F.col("_label.text"), F.regexp_extract("_part.text", PART, 1)
+    both = F.col("_panel").isNotNull() & F.col("_part").isNotNull()
+    made = {
+        "section": F.coalesce(F.when(F.col("schema"), reverse_section(t, fix_size=True)), normalize_section(t)),
+        "is_reversed": F.col("schema") & reverse_section(t, fix_size=True).isNotNull(),
+        "group_label": F.coalesce(label, F.when(both, F.concat("_panel.text", F.lit("-Гр."), part))),
+        "panel": F.when(label.isNotNull(), F.regexp_extract(label, MERGED, 1)).when(both, F.col("_panel.text")),
+        "grp": F.when(label.isNotNull(), F.regexp_extract(label, MERGED, 2)).when(both, part),
+        "brand": F.when(F.col("_brand.back"), F.reverse("_brand.text")).otherwise(F.col("_brand.text")),
+        "length_m": F.when(F.col("_length.back"), reversed_length(F.col("_length.text"))).otherwise(metres(F.col("_length.text"))),
+        "mm2": F.replace(F.col("_mm2.text"), F.lit(","), F.lit(".")).try_cast("double"),
+    }
+    return out.select(*keys, "seq", "x", "y", "text", *(c.alias(k) for k, c in made.items()))
 
 
 def cable_schedule(runs: DataFrame, keys: Keys = ("file_id",)) -> DataFrame:

@@ -1009,6 +1009,26 @@ def g7_marker_positions(spark, sf_dir):
 QUERIES["g7_marker_positions"] = g7_marker_positions
 
 
+#: Words of cable plans; files that divide by four are schemas.
+_CABLE_WORD = f"l_suppkey AS file_id, l_orderkey % 3 AS page, {_SEQ} AS seq, l_quantity * 60 AS x0, l_extendedprice / 25 AS top, l_partkey % 8 AS role, " + case("l_partkey % 8", "concat(l_linenumber + 1, 'х', l_partkey % 7 + 1)", "concat('ЩО', l_partkey % 5, '-Гр.', l_partkey % 9)", "concat('ЩР', l_partkey % 4)", "concat('Гр.', l_partkey % 6)", "concat('ППГнг', l_partkey % 3)", "concat('L=', l_partkey % 50, ',5м')", "concat('м', l_partkey % 50, '=L')", "concat(l_partkey % 60, '.5')") + " AS text"
+
+
+def _nearest_sql(name: str, role: str, reach: str) -> str:
+    return f"{name} AS (SELECT file_id, page, seq, arg_min(w, {{'d': d, 's': s}}) AS w FROM n WHERE {role} AND d <= {reach} GROUP BY ALL)"
+
+
+@query(f"""WITH w AS MATERIALIZED (SELECT * FROM (SELECT {_CABLE_WORD} FROM lineitem)), n AS MATERIALIZED (SELECT a.file_id, a.page, a.seq, b.seq AS s, b.role, b.text AS w, sqrt((a.x0 - b.x0) * (a.x0 - b.x0) + (a.top - b.top) * (a.top - b.top)) AS d, a.file_id % 4 = 0 AS schema FROM w a JOIN w b USING (file_id, page) WHERE a.role = 0 AND b.role > 0 AND sqrt((a.x0 - b.x0) * (a.x0 - b.x0) + (a.top - b.top) * (a.top - b.top)) <= 120),
+{_nearest_sql('g', 'role = 1', 'CASE WHEN schema THEN 60 ELSE 120 END')}, {_nearest_sql('p', 'role = 2', 'CASE WHEN schema THEN 60 ELSE 120 END')}, {_nearest_sql('q', 'role = 3', 'CASE WHEN schema THEN 60 ELSE 120 END')}, {_nearest_sql('b', 'role = 4', '60')},
+{_nearest_sql('l', '(role = 5 OR (role = 6 AND schema))', 'CASE WHEN schema THEN 60 ELSE 50 END')}, {_nearest_sql('m', 'role = 7 AND NOT schema', "15 AND regexp_extract(w, '^[0-9]+')::INT < 50")}
+SELECT w.file_id, w.page, w.seq, CASE WHEN w.file_id % 4 = 0 THEN concat(split_part(text, 'х', 2), 'х', split_part(text, 'х', 1)) ELSE text END AS section, coalesce(g.w, p.w || '-' || q.w) AS group_label, coalesce(split_part(g.w, '-', 1), CASE WHEN q.w IS NOT NULL THEN p.w END) AS panel,
+b.w AS brand, CASE WHEN l.w LIKE 'L%' THEN replace(l.w[3:-2], ',', '.')::DOUBLE ELSE reverse(regexp_extract(l.w, '[0-9]+'))::DOUBLE END AS length_m, m.w::DOUBLE AS mm2
+FROM w LEFT JOIN g USING (file_id, page, seq) LEFT JOIN p USING (file_id, page, seq) LEFT JOIN q USING (file_id, page, seq) LEFT JOIN b USING (file_id, page, seq) LEFT JOIN l USING (file_id, page, seq) LEFT JOIN m USING (file_id, page, seq) WHERE role = 0""")
+def d2_cable_runs(spark, sf_dir):
+    w = derived(spark, sf_dir, "lineitem", _CABLE_WORD)
+    runs = schedules.cable_runs(w.drop("role"), schemas=w.where("file_id % 4 = 0").select("file_id", "page"))
+    return runs.select("file_id", "page", "seq", "section", "group_label", "panel", "brand", "length_m", "mm2")
+
+
 # --- rounds ---------------------------------------------------------------------------------------------------
 
 
