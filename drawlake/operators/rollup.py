@@ -16,14 +16,16 @@ LABELS = [label for _, label in R.HEIGHTS] + [R.HIGHEST]
 MIDDLES = dict(zip(LABELS, (2.5, 9.0, 16.5, 27.5)))
 
 
-def merge_elevations(equip: DataFrame, project: str = "project") -> DataFrame:
+def merge_elevations(equip: DataFrame, project: str = "project", pair: tuple[str, str] | None = None) -> DataFrame:
     """Equipment over overlapping plans: by name and elevation the plan type with the largest total, then sums by height class.
 
     Needs (project, plan_type, elevation, name, category, count). Rows without an elevation join the project's only
-    elevation if it has just one.
+    elevation if it has just one. With ``pair`` (and a column seq) plans of these two types that lack their counterpart first
+    join one of their height class that has it (``pair_orphans``).
     """
     from drawlake.functions.text import height_category
 
+    equip = equip if pair is None else pair_orphans(equip, (project,), pair)
     own = equip.groupBy(project).agg(F.min("elevation").alias("_lo"), F.max("elevation").alias("_hi"))
     e = equip.join(own, project).withColumn("elevation", F.coalesce("elevation", F.when(F.col("_lo") == F.col("_hi"), F.col("_lo"))))
     by_plan = e.groupBy(project, "elevation", "category", "name", "plan_type").agg(F.sum("count").cast("long").alias("count"))

@@ -1029,6 +1029,18 @@ def d2_cable_runs(spark, sf_dir):
     return runs.select("file_id", "page", "seq", "section", "group_label", "panel", "brand", "length_m", "mm2")
 
 
+#: Plans of a project: lighting stands at 2.5, its counterpart at 3.0, sockets at 2.5 again.
+_ORPHAN = f"l_suppkey AS project, {_SEQ} AS seq, CASE l_linenumber % 3 WHEN 0 THEN 'освещение' WHEN 1 THEN 'привязка' ELSE 'розетки' END AS plan_type, CASE WHEN l_linenumber % 3 = 1 THEN 3.0 ELSE 2.5 END AS elevation, concat('N', l_partkey % 6) AS name, 'luminaire' AS category, cast(l_quantity AS INT) AS count"
+
+
+@query(f"""WITH t AS (SELECT {_ORPHAN} FROM lineitem), f AS (SELECT project, arg_max(elevation, s) AS later, count(*) AS n FROM (SELECT project, elevation, min(seq) AS s FROM t WHERE plan_type <> 'розетки' GROUP BY ALL) GROUP BY 1),
+m AS (SELECT t.project, name, plan_type, CASE WHEN n = 2 AND plan_type <> 'розетки' THEN later ELSE elevation END AS e, sum(count) AS c FROM t LEFT JOIN f USING (project) GROUP BY ALL), k AS (SELECT project, name, e, max(c) AS c FROM m GROUP BY ALL)
+SELECT project, 'до 5 метров' AS height, 'luminaire' AS category, name, sum(c)::BIGINT AS count FROM k GROUP BY ALL""")
+def e10_pair_orphans(spark, sf_dir):
+    e = derived(spark, sf_dir, "lineitem", _ORPHAN).withColumn("elevation", F.col("elevation").cast("double"))
+    return rollup.merge_elevations(e, pair=("освещение", "привязка"))
+
+
 # --- rounds ---------------------------------------------------------------------------------------------------
 
 
