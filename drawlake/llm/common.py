@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from drawlake.operators.graph import checkpointed, components, shared_dir, stored
 
-__all__ = ["CRC32_SQL", "checkpointed", "components", "crc32_sql", "fold_of", "free_name", "shared_dir", "stored"]
+__all__ = ["CRC32_SQL", "checkpointed", "components", "crc32_sql", "fold_of", "free_name", "giving_back", "shared_dir", "stored"]
 
 
 def fold_of(key: Column, n: int) -> Column:
@@ -33,3 +37,19 @@ def crc32_sql(text: str) -> str:
     code = f"hex(encode({text}))"
     bytes_ = f"list_transform(range(1, length({code}), 2), lambda p: ('0x' || substr({code}, p, 2))::BIGINT)"
     return f"xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, {bytes_}), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])))"
+
+
+def giving_back(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for mapInArrow; at its end the worker, which Spark keeps for later tasks, hands free memory back to the system."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # another C library has none
+                pass
+
+    return wrapped

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from drawlake.llm.common import components, free_name, shared_dir, stored
+from drawlake.llm.common import components, free_name, giving_back, shared_dir, stored
 
 WORDS = 5
 ROWS, BANDS = 4, 32
@@ -173,7 +173,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     shared_dir(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    signed = stored(texts.mapInArrow(_sign, "doc_id long, n long, h1 long, h2 long, " + "".join(f"{p} long, " for p in PLANES) + "bands array<long>"), "signed")
+    signed = stored(texts.mapInArrow(giving_back(_sign), "doc_id long, n long, h1 long, h2 long, " + "".join(f"{p} long, " for p in PLANES) + "bands array<long>"), "signed")
     slim = signed.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.struct("n", (-F.col("h1")).alias("o"), "h1", "h2")).alias("s")).select("doc_id", "s.n", "s.h1", "s.h2")
     ids = stored(slim, "sets")
     classes = ids.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"))
@@ -221,7 +221,7 @@ def _links(texts: DataFrame, mine: DataFrame) -> DataFrame:
         pairs = stored(pairs.select("a", "b"), f"{name}-pairs")
         ta, tb = (texts.select(F.col("doc_id").alias(k), F.col("text").alias(f"t{k}")) for k in ("a", "b"))
         rows = pairs.hint("merge").join(ta, "a").hint("merge").join(tb, "b").select("a", "b", "ta", "tb")
-        found = rows.mapInArrow(_confirm, "a long, b long, n_both long, n_any long").where(F.col("n_both") * SIMILAR[1] >= F.col("n_any") * SIMILAR[0]).select("a", "b")
+        found = rows.mapInArrow(giving_back(_confirm), "a long, b long, n_both long, n_any long").where(F.col("n_both") * SIMILAR[1] >= F.col("n_any") * SIMILAR[0]).select("a", "b")
         return pairs, stored(found, f"{name}-links")
 
     def across(pairs: DataFrame, comp: DataFrame) -> DataFrame:
@@ -243,7 +243,7 @@ def _links(texts: DataFrame, mine: DataFrame) -> DataFrame:
     apart = placed.groupBy("key").agg(F.count("*").alias("size"), F.max(~F.col("main")).alias("odd")).where("odd").select("key", F.ceil(F.col("size") / PART).cast("int").alias("parts"))
     placed = stored(placed.join(apart, "key"), "apart")
     ids = placed.select("doc_id").distinct()
-    sets = texts.join(ids, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, shingles array<long>")
+    sets = texts.join(ids, "doc_id", "left_semi").mapInArrow(giving_back(_sets), "doc_id long, shingles array<long>")
     full = stored(mine.join(ids, "doc_id", "left_semi").select("doc_id", "bands", F.struct(*PLANES).alias("s")).join(sets, "doc_id").dropDuplicates(["doc_id"]), "apart-sets")
     rows = placed.join(full, "doc_id")
     # the members of a large bucket are dealt to parts, and the odd ones are held against each part

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from drawlake.llm.common import free_name
+from drawlake.llm.common import free_name, giving_back
 
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -360,7 +360,7 @@ def encoded(docs: DataFrame, model_file: str = MODEL_FILE, text_col: str = "text
 
     rows = docs.select(*(F.col(f"`{c}`") for c in names), F.col(f"`{text_col}`").cast("string").alias(held))
     fields = [docs.schema[c] for c in names]
-    return rows.mapInArrow(run, StructType([*fields, StructField("ids", ArrayType(IntegerType())), StructField("n_tokens", LongType()), StructField("round_trip", BooleanType())]))
+    return rows.mapInArrow(giving_back(run), StructType([*fields, StructField("ids", ArrayType(IntegerType())), StructField("n_tokens", LongType()), StructField("round_trip", BooleanType())]))
 
 
 def decoded(rows: DataFrame, model_file: str = MODEL_FILE, ids_col: str = "ids") -> DataFrame:
@@ -376,4 +376,4 @@ def decoded(rows: DataFrame, model_file: str = MODEL_FILE, ids_col: str = "ids")
             texts = [None if i is None else coder.decode(i) for i in b.column(ids_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*b.schema.names, "text"])
 
-    return keep.mapInArrow(run, StructType([*keep.schema.fields, StructField("text", StringType())]))
+    return keep.mapInArrow(giving_back(run), StructType([*keep.schema.fields, StructField("text", StringType())]))

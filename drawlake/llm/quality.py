@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from drawlake.llm.common import fold_of, free_name
+from drawlake.llm.common import fold_of, free_name, giving_back
 
 FOLDS, HELD_OUT = 5, 0
 THRESHOLD = 0.3
@@ -126,7 +126,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
                     out.append(p)
             yield pa.RecordBatch.from_arrays([pa.array(y, pa.int32()), pa.array(out, pa.binary())], names=["y", "piece"])
 
-    cuts = sorted((r[0], bytes(r[1])) for r in rows.where("in_dict").select("y", "text").mapInArrow(cut, "y int, piece binary").collect())
+    cuts = sorted((r[0], bytes(r[1])) for r in rows.where("in_dict").select("y", "text").mapInArrow(giving_back(cut), "y int, piece binary").collect())
     good, bad = (trained([p for y, p in cuts if y == k]) for k in (1, 0))
 
     def measure(batches):
@@ -135,7 +135,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
             x = [sizes.features(t.as_py()) for t in b.column("text")]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), *(pa.array(c, pa.float64()) for c in np.array(x).reshape(-1, len(FEATURES)).T)], names=["doc_id", "y", *FEATURES])
 
-    seen = sorted(tuple(r) for r in rows.where("not in_dict").select("doc_id", "y", "text").mapInArrow(measure, "doc_id long, y int, " + ", ".join(f"{f} double" for f in FEATURES)).collect())
+    seen = sorted(tuple(r) for r in rows.where("not in_dict").select("doc_id", "y", "text").mapInArrow(giving_back(measure), "doc_id long, y int, " + ", ".join(f"{f} double" for f in FEATURES)).collect())
     return fitted(good, bad, np.array([r[2:] for r in seen]), np.array([r[1] for r in seen], float))
 
 
@@ -154,7 +154,7 @@ def with_score(docs: DataFrame, model: Model, score_col: str = "score", text_col
             s = scores((t.as_py() for t in b.column(text_col)), model, sizes)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64())], names=[*b.schema.names, score_col])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(score_col, DoubleType())]))
+    return docs.mapInArrow(giving_back(run), StructType([*docs.schema.fields, StructField(score_col, DoubleType())]))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:

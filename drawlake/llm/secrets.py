@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from drawlake.llm.common import giving_back
+
 KINDS = ("assign", "access", "hex")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
 #: A failing run holds no passing one, so the two runs may ask for their length at once; the assign pattern may not.
@@ -467,7 +469,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     repeated rows pass through. Other columns are ignored. The work is per row, with no shuffle.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_scanned, f"doc_id long, {_OUT}")
+    return rows.mapInArrow(giving_back(_scanned), f"doc_id long, {_OUT}")
 
 
 def _masked(batches):
@@ -489,4 +491,4 @@ def _masked(batches):
 
 def mask_secrets(docs: DataFrame) -> DataFrame:
     """``docs`` with every secret in ``text`` replaced by its kind in brackets; overlapping spans give one mark. All other columns stay."""
-    return docs.mapInArrow(_masked, docs.schema)
+    return docs.mapInArrow(giving_back(_masked), docs.schema)
