@@ -958,12 +958,12 @@ def e38_sub_rows(spark, sf_dir):
 
 
 #: A file for each size of parts: a legend entry each, and for two of three an annotation that names a part of it.
-_ENTRY = "p_size AS file_id, p_partkey AS seq, concat('S', p_partkey) AS symbol, concat('Светильник ', p_name, ' LED ', p_partkey % 40 + 10, ' ', p_type) AS description"
-_NOTE = "p_size AS file_id, p_partkey AS seq, concat(p_name, ' led ', p_partkey % 40 + 10) AS name, p_partkey % 90 AS count"
-_TOKENS = "list_distinct(regexp_extract_all(lower({0}), '[a-z]+|[0-9]+'))"
+_PART_ENTRY = "p_size AS file_id, p_partkey AS seq, concat('S', p_partkey) AS symbol, concat('Светильник ', p_name, ' LED ', p_partkey % 40 + 10, ' ', p_type) AS description"
+_PART_NOTE = "p_size AS file_id, p_partkey AS seq, concat(p_name, ' led ', p_partkey % 40 + 10) AS name, p_partkey % 90 AS count"
+_WORD_LIST = "list_distinct(regexp_extract_all(lower({0}), '[a-z]+|[0-9]+'))"
 
 
-@query(f"""WITH RECURSIVE e AS MATERIALIZED (SELECT *, {_TOKENS.format('description')} AS tb FROM (SELECT {_ENTRY} FROM part)), n AS MATERIALIZED (SELECT *, {_TOKENS.format('name')} AS ta FROM (SELECT {_NOTE} FROM part WHERE p_partkey % 3 > 0)),
+@query(f"""WITH RECURSIVE e AS MATERIALIZED (SELECT *, {_WORD_LIST.format('description')} AS tb FROM (SELECT {_PART_ENTRY} FROM part)), n AS MATERIALIZED (SELECT *, {_WORD_LIST.format('name')} AS ta FROM (SELECT {_PART_NOTE} FROM part WHERE p_partkey % 3 > 0)),
 p AS MATERIALIZED (SELECT n.file_id, n.seq AS l, e.seq AS r, -len(list_intersect(ta, tb)) / len(ta)::DOUBLE AS d FROM n JOIN e ON e.file_id = n.file_id AND len(list_intersect(ta, tb)) / len(ta)::DOUBLE >= 0.6 AND len(list_filter(ta, lambda w: regexp_full_match(w, '[0-9]{{2,}}') AND NOT list_contains(tb, w))) = 0 WHERE len(ta) >= 3),
 g AS (SELECT 0 AS i, *, row_number() OVER (PARTITION BY file_id, l ORDER BY d, r) = 1 AND row_number() OVER (PARTITION BY file_id, r ORDER BY l, d) = 1 AS taken FROM p
 UNION ALL SELECT i, file_id, l, r, d, row_number() OVER (PARTITION BY file_id, l ORDER BY d, r) = 1 AND row_number() OVER (PARTITION BY file_id, r ORDER BY l, d) = 1 FROM (SELECT g.i + 1 AS i, g.file_id, g.l, g.r, g.d FROM g WHERE NOT g.taken AND NOT EXISTS (SELECT 1 FROM g h WHERE h.taken AND h.file_id = g.file_id AND h.l = g.l) AND NOT EXISTS (SELECT 1 FROM g h WHERE h.taken AND h.file_id = g.file_id AND h.r = g.r))),
@@ -971,8 +971,8 @@ t AS (SELECT file_id, l, r FROM g WHERE taken)
 SELECT n.file_id, n.seq AS a_seq, t.r AS b_seq, coalesce(e.symbol, '') AS symbol, coalesce(e.description, n.name) AS name, n.count::BIGINT AS count FROM n LEFT JOIN t ON t.file_id = n.file_id AND t.l = n.seq LEFT JOIN e ON e.file_id = t.file_id AND e.seq = t.r
 UNION ALL SELECT file_id, NULL, seq, symbol, description, 0 FROM e WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.file_id = e.file_id AND t.r = e.seq)""")
 def d5_enrich_annotations(spark, sf_dir):
-    notes = read(spark, sf_dir, "part").where("p_partkey % 3 > 0").selectExpr(*_split(_NOTE))
-    return compare.enrich_annotations(notes, derived(spark, sf_dir, "part", _ENTRY))
+    notes = read(spark, sf_dir, "part").where("p_partkey % 3 > 0").selectExpr(*_split(_PART_NOTE))
+    return compare.enrich_annotations(notes, derived(spark, sf_dir, "part", _PART_ENTRY))
 
 
 #: Pages with frames of two widths, of lines by orders; words by line items.
@@ -1060,7 +1060,7 @@ _MARKED = f"p AS MATERIALIZED (SELECT *, hash(file_id, symbol) AS grp, seq AS id
 ORACLES["g7_marker_positions"] = kept_sql(_MARKED, "p", f"SELECT a.grp, a.seq AS b, b.seq AS w FROM p a JOIN p b ON a.grp = b.grp AND a.seq < b.seq AND {_NEAR} < 50", "r.file_id, r.symbol, r.seq, r.x, r.y")
 _FITS = "a.page = b.page AND abs(a.rx0 - b.rx0) < 5 AND abs(a.rx1 - b.rx1) < 5"
 ORACLES["f10_anchor_groups"] = kept_sql(f"p AS MATERIALIZED (SELECT *, file_id * 4 + page AS grp, seq AS id FROM (SELECT {_ENDS} FROM lineitem))", "p", f"SELECT a.grp, a.seq AS b, b.seq AS w FROM p a JOIN p b ON a.file_id = b.file_id AND a.seq < b.seq AND {_FITS}", "r.*")
-ORACLES["f10_anchor_groups"] = ORACLES["f10_anchor_groups"].replace("SELECT r.* FROM p r", "SELECT a.file_id, a.page, a.seq, min(b.seq) AS anchor FROM p a JOIN (SELECT r.* FROM p r", 1) + f") b ON a.file_id = b.file_id AND {_FITS} GROUP BY ALL"
+ORACLES["f10_anchor_groups"] = ORACLES["f10_anchor_groups"].replace("SELECT r.* FROM p r", "SELECT q.file_id, q.page, q.seq, anchor FROM p q JOIN (SELECT a.file_id, a.page, a.seq, min(b.seq) AS anchor FROM p a JOIN (SELECT r.* FROM p r", 1) + f") b ON a.file_id = b.file_id AND {_FITS} GROUP BY ALL) x ON q.file_id = x.file_id AND q.page = x.page AND q.seq = x.seq"
 
 _DETS = "d AS MATERIALIZED (SELECT vec_id AS det_id, vec_id % 10 AS page, label AS symbol_index, CAST(embedding[1] AS DOUBLE) * 1000 AS cx, CAST(embedding[2] AS DOUBLE) * 1000 AS cy, 20.0 AS w, 20.0 AS h, abs(CAST(embedding[3] AS DOUBLE)) AS confidence, vec_id % 10 AS grp, vec_id AS id, CAST(embedding[1] AS DOUBLE) * 1000 AS x, CAST(embedding[2] AS DOUBLE) * 1000 AS y FROM embeddings)"
 _SURER = "(a.confidence > b.confidence OR (a.confidence = b.confidence AND a.id < b.id))"
