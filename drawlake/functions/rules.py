@@ -201,3 +201,6 @@ KEY_REWRITES = (
 TABLE_WORDS = ("светильник", "розетка", "выключатель", "кабель", "щит", "провод", "лампа", "датчик", "извещатель", "оповещатель")
 #: Fixed value: words that tell a frame without a header as a legend.
 FRAME_WORDS = (*TABLE_WORDS, "трасса", "автомат", "узо", "дифавтомат")
+#: What names of lit signs hold besides their model.
+SIGN_NAME = rf"(?:светов{_E}*\s+указател{_E}*|указател{_E}*)"
+SIGN_TEXT = r"[\s\"«»“”]*[\"«“]?выход[\"»”]?[\s\"«»“”]*"

@@ -226,6 +226,12 @@ def map_work(c: Column, unit: Column | None = None) -> Column:
     return F.when(c.isNotNull(), found[0])
 
 
+def model_core(c: Column) -> Column:
+    """What is left of a lit sign's name without the words for the sign and what it says, in small letters."""
+    bare = F.trim(F.regexp_replace(c, "(?iu)" + R.SIGN_NAME, ""))
+    return F.lower(F.trim(F.regexp_replace(bare, "(?iu)" + R.SIGN_TEXT, " ")))
+
+
 def grounding_work(c: Column) -> Column:
     """The work row of an earthing part: its work, and the name with a small first letter."""
     return F.concat_ws(" ", first_of(c, R.GROUNDING_WORKS, "Монтаж"), F.concat(F.lower(F.substring(c, 1, 1)), F.substring(c, F.lit(2), F.length(c))))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from drawlake.functions.text import bill_key, drawing_no, is_non_countable, tokens
+from drawlake.functions.text import bill_key, drawing_no, is_non_countable, model_core, normalize_name, tokens
 
 Keys = Sequence[str]
 
@@ -131,6 +131,21 @@ def not_in_plan(spec: DataFrame, plan: DataFrame, keys: Keys = ("project",), bot
     return spec.withColumn("_n", F.lower("name")).join(found.distinct(), [*keys, "_n"], "left_anti").select(*spec.columns)
 
 
+def signs_not_in_plan(spec: DataFrame, plan: DataFrame, keys: Keys = ("project",)) -> DataFrame:
+    """Lit signs of a specification (name, model) that the plan (name) lacks: none of its names holds the row's model or plain name
+    (three characters at least), nor do the cores of either (six at least) hold each other."""
+    own = spec.select(*keys, "name", "model", F.explode(F.array(F.coalesce("model", F.lit("")), F.coalesce(normalize_name(F.col("name")), F.lit("")))).alias("_t"))
+    own = own.select(*keys, "name", "model", F.lower(F.trim("_t")).alias("_n"), model_core(F.col("_t")).alias("_core"))
+    there = plan.select(*keys, F.lower("name").alias("_n"), model_core(F.col("name")).alias("_core")).where("_n is not null")
+    names = lambda df, c, least: df.select(*keys, F.col(c).alias("_n")).where(F.length("_n") >= least).distinct()
+    plain = _inside(names(own, "_n", 3), names(there, "_n", 1), keys).select(*keys, F.col("small").alias("_n")).distinct()
+    a, b = names(own, "_core", 6), names(there, "_core", 6)
+    cores = _inside(a, b, keys).select(*keys, F.col("small").alias("_core")).unionByName(_inside(b, a, keys).select(*keys, F.col("large").alias("_core"))).distinct()
+    known = own.join(plain, [*keys, "_n"], "left_semi").select(*keys, "name", "model").unionByName(own.join(cores, [*keys, "_core"], "left_semi").select(*keys, "name", "model")).distinct()
+    same = [spec[k] == known[k] for k in keys] + [spec[c].eqNullSafe(known[c]) for c in ("name", "model")]
+    return spec.join(known, same, "left_anti")
+
+
 def confusable_pairs(legend: DataFrame, apart: Sequence[str], keys: Keys = ("file_id",)) -> DataFrame:
     """Pairs of legend entries told apart by known words only: at least three shared tokens (two for short ones) and an
     overlap of 0.8 (0.6)."""

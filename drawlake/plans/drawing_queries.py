@@ -1041,6 +1041,14 @@ def e10_pair_orphans(spark, sf_dir):
     return rollup.merge_elevations(e, pair=("освещение", "привязка"))
 
 
+@query("""WITH s AS (SELECT p_partkey, p_brand AS project, lower(p_name) AS core FROM part), p AS (SELECT p_brand AS project, lower(CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE split_part(p_name, ' ', 1) END) AS core FROM part WHERE p_partkey % 5 = 0)
+SELECT p_partkey, project FROM s WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.project = s.project AND (contains(p.core, s.core) OR (length(p.core) >= 6 AND contains(s.core, p.core))))""")
+def d12_signs_not_in_plan(spark, sf_dir):
+    spec = derived(spark, sf_dir, "part", "p_partkey, p_brand AS project, concat('Световой указатель ', p_name) AS name, CASE WHEN p_size % 2 = 0 THEN '' ELSE p_name END AS model")
+    plan = read(spark, sf_dir, "part").where("p_partkey % 5 = 0").selectExpr("p_brand AS project", "concat('«ВЫХОД» ', CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE split(p_name, ' ')[0] END) AS name")
+    return compare.signs_not_in_plan(spec, plan).select("p_partkey", "project")
+
+
 # --- rounds ---------------------------------------------------------------------------------------------------
 
 

@@ -406,3 +406,10 @@ def test_all_detection_stages_against_a_sequential_form(spark):
     names = ["n_raw", "n_sure", "n_outside", "n_single", "n_shaped", "n_colored", "n_capped", "n_crossed", "n_final"]
     for x in counts.collect():
         assert [x[n] for n in names] == [*want[x["page"], x["symbol_index"]], finals.count((x["page"], x["symbol_index"]))]
+
+
+def test_signs_by_their_models_core(spark):
+    plan = spark.createDataFrame([("p", '"ВЫХОД" MERCURY LED 24'), ("p", "Указатель Exit-1")], "project string, name string")
+    spec = [("p", "Световой указатель MERCURY LED", ""), ("p", "Световой указатель MARS 22", ""), ("p", "Световой указатель MERCURY LED 24 IP65", None), ("p", "Знак", "exit-1"), ("q", "Световой указатель MERCURY LED", ""), ("p", "Знак Z", "ab")]
+    got = compare.signs_not_in_plan(spark.createDataFrame(spec, "project string, name string, model string"), plan)
+    assert sorted((r["project"], r["name"]) for r in got.collect()) == [("p", "Знак Z"), ("p", "Световой указатель MARS 22"), ("q", "Световой указатель MERCURY LED")]
