@@ -874,3 +874,18 @@ def test_planted_copies_and_chains_among_given_vectors(spark):
     for _ in range(20):
         comp = np.minimum(comp, np.where(near, comp[None, :], np.iinfo(np.int64).max).min(axis=1))
     assert near.sum() > 200 and got == {int(i): (int(n), int(c)) for i, n, c in zip(ids, near.sum(axis=1), comp)}
+
+
+def test_pixel_arrays_keep_clashing_names(spark):
+    image = webp.encode(np.zeros((2, 3, 4), np.uint8))
+    frame = spark.createDataFrame([(bytearray(image), "raw", "held", 7)], "content binary, __raw string, held_content string, Width int")
+    row = webp.pixel_arrays(frame).first()
+    assert (row["__raw"], row["held_content"], row["width"], row["height"], len(row["pixels"])) == ("raw", "held", 3, 2, 24)
+
+
+@TOKENIZER
+def test_models_that_differ_in_a_middle_piece_share_no_coder():
+    v = pieces.load()
+    other = pieces.Vocabulary([*v.pieces[:5000], "zzqq", *v.pieces[5001:]], v.scores, v.kinds, v.unigram, v.unknown)
+    assert pieces._coder(v) is pieces._coder(v) and pieces._coder(other) is not pieces._coder(v)
+    assert pieces._coder(pieces.Vocabulary(v.pieces, [s - 1 for s in v.scores], v.kinds, v.unigram, v.unknown)) is not pieces._coder(v)
