@@ -204,3 +204,57 @@ FRAME_WORDS = (*TABLE_WORDS, "трасса", "автомат", "узо", "диф
 #: What names of lit signs hold besides their model.
 SIGN_NAME = rf"(?:светов{_E}*\s+указател{_E}*|указател{_E}*)"
 SIGN_TEXT = r"[\s\"«»“”]*[\"«“]?выход[\"»”]?[\s\"«»“”]*"
+
+#: Sections of a whole bill in order, with their headers; '' for rows under the header before.
+BILL_SECTIONS = (
+    ("panels", "Щитовое оборудование"), ("lights", "Монтаж светильников и ламп"), ("devices", "Монтаж электроустановочных изделий"), ("materials", "Монтажные изделия и материалы"),
+    ("cables", "Кабель {}"), ("wires", "Провод"), ("spec_cables", "Кабельная продукция (дополнительно по спецификации)"), ("trays", "Монтаж кабельных лотков и соединительных деталей"),
+    ("penetrations", ""), ("conduit", "Монтаж ПВХ изделий и труб"), ("grounding", "Монтаж системы заземления"), ("lightning", "Монтаж системы молниезащиты"), ("tests", "Пусконаладочные работы"),
+)
+#: The header of specified cables where none are drawn, and the sections that every bill has.
+SPEC_CABLES_ONLY = "Кабельная продукция (по спецификации)"
+ALWAYS = ("conduit", "grounding", "lightning", "tests")
+#: Works of single items: (kind, section, place in it, work).
+ITEM_WORKS = (
+    ("spec_panel", "panels", 2, "Монтаж {}"), ("switch", "devices", 1, "Монтаж {}"), ("socket", "devices", 2, "Монтаж {}"), ("outlet", "devices", 3, "Монтаж {}"),
+    ("material", "materials", 1, "{}"), ("spec_cable", "spec_cables", 1, "Кабель {}"), ("lightning", "lightning", 1, "{}"),
+)
+PANEL_WORK = "Монтаж щита распределительного {}"
+#: Works of luminaires by how they are mounted, in order; of signs; and what luminaires are called below.
+MOUNTING_WORKS = (
+    ("stud", "Монтаж светильников на шпильках к перекрытию на высоте {}:"), ("wall", "Монтаж настенного светодиодного светильника на высоте {}:"),
+    ("anchor", "Монтаж светильников анкерный на высоте {}:"), ("pendant", "Монтаж светильников подвесной на высоте {}:"),
+)
+SIGN_WORK, LUMINAIRE = "Монтаж настенного указателя светодиодного (с пиктограммой) {}:", "Светодиодный светильник {}"
+#: Works and materials that follow from others: (what, section, place in it, line, name); line 0 is a work of its own.
+DERIVED_ROWS = (
+    ("connections", "panels", 3, 0, "Подключение жил кабелей до 10 мм2"), ("boxes_power", "devices", 4, 0, "Монтаж коробки соединительной с кабельными вводами 100x100x50 мм"),
+    ("boxes_lighting", "devices", 5, 0, "Монтаж коробки распределительной 85x85x40 мм"), ("sleeves", "devices", 6, 1, "Луженая гильза ГМЛ"), ("shrink", "devices", 6, 2, "Термоусадочная трубка ТТК (4:1)"),
+    ("foam", "penetrations", 1, 1, "Двухкомпонентная огнестойкая пена, DN1201"), ("gun", "penetrations", 1, 2, "Пистолет для двухкомпонентной пены, DN1202"),
+    ("steel_sleeves", "penetrations", 1, 3, "Гильза закладная труба сталь ВГП Ду 20 (Дн 26,8x2,5) ГОСТ 3262-75"),
+)
+#: Works without a quantity over derived materials: (what must be there, section, place in it, name).
+DERIVED_HEADS = (("sleeves", "devices", 6, "Соединение жил кабелей методом опрессовки"), ("steel_sleeves", "penetrations", 1, "Выполнение проходки кабеля через стены"))
+#: Names of a bill's own items that stand for derived boxes and sleeves.
+OWN_BOXES, OWN_SLEEVES = r"коробк", r"гмл|^(?!.*закладн).*гильза"
+#: How cables are laid, by patterns in small letters, and their works.
+UNDERGROUND, IN_TRAY, IN_CONDUIT, USUAL_LAYING = r"в трубе|в земле|в траншее", r"лотке|лотк", r"гофре|кабель-канал", "в лотке"
+LIGHT_CABLE = "массой до 1 кг"
+UNDERGROUND_WORK, WIRE_WORK = "Прокладка кабеля в земле", "Прокладка провода с медной многопроволочной жилой, допускающего частые изгибы. Размотка провода с барабана"
+TRAY_WORK = "Лоток металлический штампованный по установленным конструкциям, ширина лотка: до 200 мм, высота {}:"
+METRES = ("м", "м.", "м.п.", "м. п.")
+#: Tray accessories: (name, metres of tray to one, how many at least); bolts go with plates and turns twice, with supports once.
+TRAY_PARTS = (("Соединительная пластина для лотка", 3.0, 1), ("Угол горизонтальный 90 гр.", 15.0, 1), ("Т-ответвитель", 25.0, 1), ("Консоль / подвес для лотка", 1.5, 2), ("Анкерный болт с гайкой", 1.5, 2))
+TRAY_BOLTS = "Болт, гайка, шайба (комплект крепежа)"
+CONDUIT_WORK, CONDUIT_PIPE = "Монтаж гофрированной трубы ПВХ гибкой гофр. с креплением клипсами каждые 0,8 метра на высоте {}:", "Труба ПВХ гибкая гофр. д.{}мм, лёгкой с протяжкой"
+CONDUIT_HOLDER, PULLING_WORK, PULLING_LINES = "Держатель оцинкованный двусторонний, д.{}мм, с крепежными отверстиями 6,5 х 5 мм", "Затяжка кабеля в гофрированные трубы", "~{} линий (уточнить по планам)"
+#: Rows for the hand to fill in where nothing is known.
+BLANK = {"pulling": "[Гофротруба ПВХ -- марка и количество по кабеленесущим планам]", "conduit": "[Заполнить вручную]", "grounding": "[Заполнить вручную из проекта заземления]", "lightning": "[Заполнить вручную из проекта молниезащиты]"}
+ELECTRODES, EQUALISATION, EQUALISATION_WORK = r"стержень заземления|электрод", r"уравнивания потенциалов|коробка уравнивания|шина уравнивания", "Монтаж системы уравнивания потенциалов"
+EARTHWORKS = ("Разработка грунта для прокладки горизонтального заземлителя.", "Засыпка траншеи (под горизонтальное заземление).")
+#: Tests: (quantity, work, unit) in order; of each panel; of the lighting network.
+TESTS = (
+    ("lines", "Измерение сопротивления изоляции", "каб."), ("lines", "Определение целостности жил кабеля и фазировка кабельной линии", "каб."),
+    ("measurements", "Проверка наличия цепи между заземлителями и заземленными элементами", "изм."), ("phase_checks", "Лаборатория передвижная монтажно-измерительная", "маш/час"),
+)
+PANEL_TEST, LIGHTING_TEST = "Проверка срабатывания автоматических выключателей в щите {} (однополюсных/трехполюсных)", "Проверка осветительной сети на правильность зажигания групп внутреннего освещения"
