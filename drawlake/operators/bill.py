@@ -102,7 +102,7 @@ def _shares(projects: DataFrame, shares: DataFrame | None, keys: Keys) -> DataFr
 
 
 def _cable_rows(cables: DataFrame, heights: DataFrame, keys: Keys) -> list[DataFrame]:
-    c = cables.withColumn("at", cable_attrs(F.col("cable_type"))).withColumns({"brand": F.col("at.brand"), "wire": F.col("at.is_wire")})
+    c = cables.withColumns({"brand": F.col("at.brand"), "wire": F.col("at.is_wire")})
     wires = _grouped(c.where("wire").select(*keys, F.lit(PART["wires"]).alias("part"), F.lit(0).alias("sub"), F.lit(HEAD["wires"]).alias("head"), F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(R.WIRE_WORK).alias("work"), F.lit("").alias("own"), F.lit("м").alias("unit"), F.col("at.material").alias("name"), F.col("total_length_m").alias("m"), F.lit(True).alias("adds"), F.lit(1).alias("line"), "seq", F.lit(0).alias("pos")), keys)
     c = c.where("not wire")
     c = c.join(c.groupBy(*keys, "brand").agg(F.min("seq").alias("sub")), [*keys, "brand"]).join(heights, list(keys))
@@ -205,9 +205,12 @@ def section_bill(items: DataFrame, cables: DataFrame, panels: DataFrame, derived
     known = reduce(lambda c, k: c & F.col(k).isNotNull(), keys, F.lit(True))
     items = items.where(known & F.col("name").isNotNull() | known & (F.col("kind") == "tray")).withColumns({"qty": F.coalesce(F.col("qty").cast("double"), F.lit(0.0)), "unit": F.coalesce("unit", F.lit("шт"))})
     cables = cables.where(known & F.col("cable_type").isNotNull()).na.fill(0, ["count", "total_length_m"])
+    # written once: every section reads its own kinds
+    items, cables = stored(items, "items"), stored(cables.withColumn("at", cable_attrs(F.col("cable_type"))), "cables")
     panels, derived = panels.where(known & F.col("name").isNotNull()), derived.where(known).na.fill(0, ["qty"])
     projects = items.select(*keys).unionByName(cables.select(*keys)).unionByName(panels.select(*keys)).unionByName(derived.select(*keys)).distinct()
-    heights = _shares(projects, shares, keys)
+    projects = stored(projects, "projects")
+    heights = stored(_shares(projects, shares, keys), "heights")
     having = lambda kind, pattern="": items.where((F.col("kind") == kind) & F.lower("name").rlike(pattern)).select(*keys).distinct()
 
     one = items.where(F.col("kind").isin(*(w[0] for w in R.ITEM_WORKS))).groupBy(*keys, "kind", "name", "unit").agg(F.min("seq").alias("seq"), F.sum("qty").alias("qty"))

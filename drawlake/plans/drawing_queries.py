@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from drawlake.functions import cables as C
 from drawlake.functions import geometry as G
 from drawlake.functions import text as T
-from drawlake.operators import compare, counting, iterative, legends, rollup, schedules, sequences, spatial, tables
+from drawlake.operators import bill, compare, counting, iterative, legends, rollup, schedules, sequences, spatial, tables
 from drawlake.operators.graph import shared_dir
 from drawlake.plans.queries import NAME, ORACLES, QUERIES, E, P, Z, _split, equipment, points, query, read, zones
 from drawlake.sources import drawings
@@ -736,6 +736,75 @@ def e33_commissioning(spark, sf_dir):
     return rollup.commissioning(p, c, floors=3).join(e, "project", "left")
 
 
+@query("""WITH t AS (SELECT l_suppkey AS project, sum(l_quantity) AS m FROM lineitem WHERE l_linenumber = 5 GROUP BY 1), n AS (SELECT project, greatest(round_even(m / 3.0::DOUBLE, 0), 1) AS a, greatest(round_even(m / 15.0::DOUBLE, 0), 1) AS b, greatest(round_even(m / 25.0::DOUBLE, 0), 1) AS c, greatest(round_even(m / 1.5::DOUBLE, 0), 2) AS d FROM t)
+SELECT project, unnest([1, 2, 3, 4, 5, 6]) AS line, unnest([a, b, c, d, d, 2 * a + 2 * b + d])::BIGINT AS qty FROM n""")
+def e33_tray_accessories(spark, sf_dir):
+    return bill.tray_accessories(read(spark, sf_dir, "lineitem").where("l_linenumber = 5").selectExpr("l_suppkey AS project", "l_quantity AS qty")).drop("name")
+
+
+#: A supplier's line items as what a bill lists: the kind by line number, names and heights by part.
+_CLASS = case("p_size % 4", "'до 5 метров'", "'от 5 до 13 метров'", "'от 13 до 20 метров'", "'от 20 до 35 метров'")
+_LISTED = f"l_suppkey AS project, {_SEQ} AS seq, l_partkey AS k, cast(l_quantity AS INT) AS q, p_size AS size, p_name, {_CLASS} AS height, l_linenumber AS line"
+_BRAND = "CASE WHEN size % 3 = 0 THEN 'ВВГнг(А)-LS' WHEN size % 3 = 1 THEN 'ППГнг(А)-HF' ELSE 'ПуВВнг' END"
+_GAUGE = "CASE WHEN size % 5 = 0 THEN '1,5' WHEN size % 5 = 1 THEN '2,5' WHEN size % 5 = 2 THEN '4' ELSE '25' END"
+_LIGHT, _EARTH = case("size % 5", "concat('Подвесной ', p_name)", "concat('MARS 1 ', p_name)", "concat('INSEL LED ', p_name)", "p_name"), case("size % 3", "concat('Стержень заземления ', p_name)", "concat('Шина уравнивания ', p_name)", "concat('Полоса ', p_name)")
+
+
+@query(f"""WITH t AS (SELECT {_LISTED} FROM lineitem JOIN part ON l_partkey = p_partkey), p AS (SELECT s_suppkey AS project FROM supplier UNION SELECT project FROM t),
+r4(height, rank) AS (VALUES ('до 5 метров', 0), ('от 5 до 13 метров', 1), ('от 13 до 20 метров', 2), ('от 20 до 35 метров', 3)),
+h AS (SELECT project, height, sum(q)::DOUBLE AS m FROM t WHERE line = 5 GROUP BY ALL), hs AS (SELECT project, height, m / sum(m) OVER (PARTITION BY project) AS share FROM h UNION ALL SELECT project, 'до 5 метров', 1 FROM p WHERE project NOT IN (SELECT project FROM h)), s AS (SELECT project, height, rank, share FROM hs JOIN r4 USING (height)),
+c AS (SELECT *, {_BRAND} AS brand, {_GAUGE} AS gauge, size % 4 + 2 AS n, replace({_GAUGE}, ',', '.')::DOUBLE AS g FROM t WHERE line = 7), cs AS (SELECT c.*, s.height AS ch, rank, share, min(seq) OVER (PARTITION BY project, brand) AS sub, replace(brand, 'ППГнг(', 'ППГнг-(') AS head FROM c JOIN s USING (project) WHERE brand <> 'ПуВВнг'),
+l AS (SELECT *, unnest(CASE k % 3 WHEN 0 THEN [{{'pos': 0, 'm': q, 'how': 'в гофре'}}] WHEN 1 THEN [{{'pos': 0, 'm': q, 'how': 'в лотке'}}] ELSE [{{'pos': 0, 'm': q // 2, 'how': 'в земле'}}, {{'pos': 1, 'm': q, 'how': 'в лотке'}}] END) AS l FROM cs WHERE round_even(q * share, 0) > 0),
+e AS (SELECT project, sub, rank, head, seq, l.pos AS pos, l.how AS how, round_even(l.m * share, 0)::BIGINT AS m, concat('Кабель ', head, ' сечением ', n, 'х', gauge) AS material, l.how = 'в земле' AS under, l.how = 'в лотке' AND g = 25 AND n >= 3 AS heavy, ch,
+    CASE WHEN l.how = 'в гофре' THEN concat(' (суммарное сечение до ', CASE WHEN n * g <= 6 THEN 6 WHEN n * g <= 16 THEN 16 WHEN n * g <= 35 THEN 35 WHEN n * g <= 70 THEN 70 WHEN n * g <= 120 THEN 120 ELSE 240 END, ' мм2)') ELSE '' END AS sized FROM l WHERE round_even(l.m * share, 0) > 0),
+w AS (SELECT project, 4 AS part, sub, rank AS a, CASE WHEN under THEN 3 WHEN heavy THEN 1 ELSE 2 END AS b, concat('Кабель ', head) AS head, CASE WHEN under THEN 'Прокладка кабеля в земле' WHEN heavy THEN concat('Прокладка кабеля (массой до 2 кг) ', how, ' на высоте ', ch) ELSE concat('Прокладка кабеля ', how, ' на высоте ', ch, sized, ':') END AS work, CASE WHEN under OR heavy THEN seq * 2 + pos ELSE 0 END AS own, 'м' AS unit, material AS name, m, 1 AS line, seq, pos FROM e
+    UNION ALL SELECT project, 5, 0, 0, 0, 'Провод', 'Прокладка провода с медной многопроволочной жилой, допускающего частые изгибы. Размотка провода с барабана', 0, 'м', concat('Провод ПуВВнг сечением ', n, 'х', gauge), q, 1, seq, 0 FROM c WHERE brand = 'ПуВВнг'
+    UNION ALL SELECT project, 1, rank * 10 + CASE size % 5 WHEN 0 THEN 3 WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 0 END, 0, 0, 'Монтаж светильников и ламп', concat(CASE size % 5 WHEN 0 THEN 'Монтаж светильников подвесной' WHEN 1 THEN 'Монтаж настенного светодиодного светильника' WHEN 2 THEN 'Монтаж светильников анкерный' ELSE 'Монтаж светильников на шпильках к перекрытию' END, ' на высоте ', height, ':'), 0, 'шт', concat('Светодиодный светильник ', {_LIGHT}), q, 1, seq, 0 FROM t JOIN r4 USING (height) WHERE line = 1
+    UNION ALL SELECT project, 1, 100 + rank, 0, 0, 'Монтаж светильников и ламп', concat('Монтаж настенного указателя светодиодного (с пиктограммой) ', height, ':'), 0, 'шт', p_name, q, CASE WHEN k % 2 = 0 THEN 1 ELSE 2 END, seq, 0 FROM t JOIN r4 USING (height) WHERE line = 2 AND (k % 2 = 0 OR project IN (SELECT project FROM t WHERE line = 2 AND k % 2 = 0))),
+g AS (SELECT project, part, sub, a, b, head, work, own, unit, sum(CASE WHEN line = 1 THEN m END) AS m, min(seq * 2 + pos) AS first FROM w GROUP BY ALL HAVING count_if(line = 1) > 0),
+one AS (SELECT project, CASE WHEN line = 3 THEN 2 WHEN size > 40 THEN 3 ELSE 2 END AS part, CASE WHEN line = 3 THEN 1 WHEN size > 40 THEN 1 ELSE 2 END AS a, concat(CASE WHEN line = 4 AND size > 40 THEN '' ELSE 'Монтаж ' END, p_name) AS name, min(seq) AS seq, sum(q) AS q, CASE WHEN line = 4 AND size > 40 THEN 'Монтажные изделия и материалы' ELSE 'Монтаж электроустановочных изделий' END AS head FROM t WHERE line IN (3, 4) GROUP BY ALL),
+y AS (SELECT project, sum(q) AS m FROM t WHERE line = 5 GROUP BY 1), yn AS (SELECT project, greatest(round_even(m / 3.0::DOUBLE, 0), 1)::BIGINT AS a, greatest(round_even(m / 15.0::DOUBLE, 0), 1)::BIGINT AS b, greatest(round_even(m / 25.0::DOUBLE, 0), 1)::BIGINT AS c, greatest(round_even(m / 1.5::DOUBLE, 0), 2)::BIGINT AS d FROM y),
+el AS (SELECT project, replace(printf('%.1f', sum(q) * 3.2::DOUBLE), '.', ',') AS q FROM t WHERE line = 6 AND size % 3 = 0 GROUP BY 1),
+tests AS (SELECT s_suppkey AS project, coalesce(n, 0) + CASE WHEN s_suppkey % 3 = 0 THEN 1 ELSE 0 END AS runs, greatest(s_suppkey % 5, 1) + CASE WHEN s_suppkey % 3 = 0 THEN 1 ELSE 0 END AS circuits FROM supplier LEFT JOIN (SELECT project, sum(1 + k % 3) AS n FROM c GROUP BY 1) ON project = s_suppkey), ln AS (SELECT project, (CASE WHEN runs > 0 THEN runs ELSE circuits END)::BIGINT AS n FROM tests),
+rows(project, part, sub, a, b, c, line, e, name, unit, qty, formula, head) AS (
+SELECT project, part, sub, a, b, first, 0, 0, work, unit, m::VARCHAR, NULL, head FROM g
+UNION ALL SELECT w.project, w.part, w.sub, w.a, w.b, g.first, w.line, w.seq * 2 + w.pos, w.name, w.unit, w.m::VARCHAR, NULL, w.head FROM w JOIN g USING (project, part, sub, a, b, head, work, own, unit)
+UNION ALL SELECT project, 1, 200, 0, 0, min(seq), 0, 0, p_name, 'шт', sum(q)::VARCHAR, NULL, 'Монтаж светильников и ламп' FROM t WHERE line = 2 AND project NOT IN (SELECT project FROM t WHERE line = 2 AND k % 2 = 0) GROUP BY project, p_name
+UNION ALL SELECT project, part, 0, a, 0, seq, 0, 0, name, 'шт', q::VARCHAR, NULL, head FROM one
+UNION ALL SELECT s_suppkey, 0, 0, 1, 0, 0, 0, 0, concat('Монтаж щита распределительного ЩО-', s_suppkey), 'шт', '1', NULL, 'Щитовое оборудование' FROM supplier
+UNION ALL SELECT s_suppkey, 0, 0, 3, 0, 0, 0, 0, 'Подключение жил кабелей до 10 мм2', 'шт', (s_suppkey * 2)::VARCHAR, NULL, 'Щитовое оборудование' FROM supplier WHERE s_suppkey > 0
+UNION ALL SELECT s_suppkey, 2, 0, 6, 0, 0, 0, 0, 'Соединение жил кабелей методом опрессовки', '', '', NULL, 'Монтаж электроустановочных изделий' FROM supplier WHERE s_suppkey % 4 > 0
+UNION ALL SELECT s_suppkey, 2, 0, 6, 0, 0, 1, 0, 'Луженая гильза ГМЛ', 'шт', (s_suppkey % 4)::VARCHAR, NULL, 'Монтаж электроустановочных изделий' FROM supplier WHERE s_suppkey % 4 > 0
+UNION ALL SELECT s_suppkey, 2, 0, 6, 0, 0, 2, 0, 'Термоусадочная трубка ТТК (4:1)', 'шт', (s_suppkey % 3)::VARCHAR, NULL, 'Монтаж электроустановочных изделий' FROM supplier WHERE s_suppkey % 4 > 0 AND s_suppkey % 3 > 0
+UNION ALL SELECT project, 7, 0, 1, rank, 0, 0, 0, concat('Лоток металлический штампованный по установленным конструкциям, ширина лотка: до 200 мм, высота ', height, ':'), 'м', sum(q)::VARCHAR, NULL, 'Монтаж кабельных лотков и соединительных деталей' FROM t JOIN r4 USING (height) WHERE line = 5 GROUP BY project, height, rank
+UNION ALL SELECT project, 7, 0, 4, 0, 0, unnest([1, 2, 3, 4, 5, 6]), 0, unnest(['Соединительная пластина для лотка', 'Угол горизонтальный 90 гр.', 'Т-ответвитель', 'Консоль / подвес для лотка', 'Анкерный болт с гайкой', 'Болт, гайка, шайба (комплект крепежа)']), 'шт', unnest([a, b, c, d, d, 2 * a + 2 * b + d])::VARCHAR, NULL, 'Монтаж кабельных лотков и соединительных деталей' FROM yn
+UNION ALL SELECT project, 9, 0, 4, 0, 0, 0, 0, 'Затяжка кабеля в гофрированные трубы', 'м', sum(q)::VARCHAR, concat('~', sum(1 + k % 3), ' линий (уточнить по планам)'), NULL FROM c GROUP BY project
+UNION ALL SELECT project, 9, 0, 4, 0, 0, 1, 0, '[Гофротруба ПВХ -- марка и количество по кабеленесущим планам]', 'м', '', NULL, NULL FROM c GROUP BY project
+UNION ALL SELECT project, 9, 0, 5, 0, 0, 1, 0, '[Заполнить вручную]', '', '', NULL, NULL FROM p WHERE project NOT IN (SELECT project FROM c)
+UNION ALL SELECT project, 10, 0, 1, 0, unnest([0, 1]), 0, 0, unnest(['Разработка грунта для прокладки горизонтального заземлителя.', 'Засыпка траншеи (под горизонтальное заземление).']), 'м³', q, NULL, NULL FROM el
+UNION ALL SELECT project, 10, 0, CASE size % 3 WHEN 0 THEN 2 WHEN 1 THEN 5 ELSE 3 END, 0, seq, 0, 0, concat(CASE size % 3 WHEN 0 THEN 'Забивка стержень заземления ' WHEN 1 THEN 'Установка шина уравнивания ' ELSE 'Прокладка полоса ' END, p_name), 'шт', q::VARCHAR, NULL, NULL FROM t WHERE line = 6
+UNION ALL SELECT DISTINCT project, 10, 0, 4, 0, 0, 0, 0, 'Монтаж системы уравнивания потенциалов', '', '', NULL, NULL FROM t WHERE line = 6 AND size % 3 = 1
+UNION ALL SELECT project, 10, 0, 6, 0, 0, 1, 0, '[Заполнить вручную из проекта заземления]', '', '', NULL, NULL FROM p WHERE project NOT IN (SELECT project FROM t WHERE line = 6)
+UNION ALL SELECT project, 11, 0, 0, 0, 0, 1, 0, '[Заполнить вручную из проекта молниезащиты]', '', '', NULL, NULL FROM p
+UNION ALL SELECT project, 12, 0, 1, 0, unnest([0, 1, 2, 3]), 0, 0, unnest(['Измерение сопротивления изоляции', 'Определение целостности жил кабеля и фазировка кабельной линии', 'Проверка наличия цепи между заземлителями и заземленными элементами', 'Лаборатория передвижная монтажно-измерительная']), unnest(['каб.', 'каб.', 'изм.', 'маш/час']), unnest([n, n, 2 * n, (n + 2) // 3])::VARCHAR, NULL, NULL FROM ln
+UNION ALL SELECT s_suppkey, 12, 0, 2, 0, 0, 0, 0, concat('Проверка срабатывания автоматических выключателей в щите ЩО-', s_suppkey, ' (однополюсных/трехполюсных)'), 'шт', concat(greatest(s_suppkey % 5, 1), CASE WHEN s_suppkey % 2 = 0 THEN '/1' ELSE '' END), NULL, NULL FROM supplier
+UNION ALL SELECT s_suppkey, 12, 0, 3, 0, 0, 0, 0, 'Проверка осветительной сети на правильность зажигания групп внутреннего освещения', 'шт', '1', NULL, NULL FROM supplier),
+every AS (SELECT * FROM rows UNION ALL SELECT DISTINCT project, part, CASE WHEN part = 4 THEN sub ELSE 0 END, -1, 0, 0, -1, 0, head, NULL, NULL, NULL, head FROM rows WHERE head IS NOT NULL
+UNION ALL SELECT project, unnest([9, 10, 11, 12]), 0, -1, 0, 0, -1, 0, unnest(['Монтаж ПВХ изделий и труб', 'Монтаж системы заземления', 'Монтаж системы молниезащиты', 'Пусконаладочные работы']), NULL, NULL, NULL, NULL FROM p)
+SELECT project, row_number() OVER o AS place, CASE WHEN line < 0 THEN 'section' WHEN line = 0 THEN 'work' ELSE 'material' END AS level, CASE WHEN line = 0 THEN (count_if(line = 0) OVER (o ROWS UNBOUNDED PRECEDING))::BIGINT END AS number, name, unit, qty, formula FROM every WINDOW o AS (PARTITION BY project ORDER BY part, sub, a, b, c, line, e, name)""")
+def e34_section_bill(spark, sf_dir):
+    t = read(spark, sf_dir, "lineitem").join(read(spark, sf_dir, "part"), F.expr("l_partkey = p_partkey")).selectExpr(*_split(_LISTED))
+    kind = "CASE line WHEN 1 THEN 'luminaire' WHEN 2 THEN if(k % 2 = 0, 'indicator', 'pictogram') WHEN 3 THEN 'switch' WHEN 4 THEN if(size > 40, 'material', 'socket') WHEN 5 THEN 'tray' ELSE 'grounding' END AS kind"
+    named = f"CASE line WHEN 1 THEN {_LIGHT} WHEN 6 THEN {_EARTH} ELSE p_name END AS name"
+    listed = t.where("line < 7").selectExpr("project", "seq", kind, named, "'шт' AS unit", "height", "cast(q AS DOUBLE) AS qty")
+    laying = "CASE k % 3 WHEN 0 THEN array(named_struct('method', 'в гофре', 'm', cast(q AS BIGINT))) WHEN 1 THEN NULL ELSE array(named_struct('method', 'в земле', 'm', q div 2), named_struct('method', 'в лотке', 'm', cast(q AS BIGINT))) END AS laying"
+    cables = t.where("line = 7").selectExpr("project", "seq", f"concat({_BRAND}, ' ', size % 4 + 2, 'х', {_GAUGE}) AS cable_type", "1 + k % 3 AS count", "cast(q AS BIGINT) AS total_length_m", laying)
+    of = lambda columns: derived(spark, sf_dir, "supplier", f"s_suppkey AS project, {columns}")
+    panels = of("s_suppkey AS seq, concat('ЩО-', s_suppkey) AS name, CASE WHEN s_suppkey % 2 = 0 THEN 'QF1' END AS breaker, s_suppkey % 5 AS circuit_count, s_suppkey % 3 = 0 AS has_feed")
+    made = of("inline(array(struct('connections', s_suppkey * 2), struct('sleeves', s_suppkey % 4), struct('shrink', s_suppkey % 3))) AS (what, qty)").selectExpr("project", "what", "cast(NULL AS INT) AS size", "qty")
+    return bill.section_bill(listed, cables, panels, made, t.where("line = 5").selectExpr("project", "height", "cast(q AS BIGINT) AS length_m"))
+
+
 @query("SELECT p_brand AS \"case\", p_type AS method, count(*) AS n_items, count_if(p_size % 4 = 0) AS no_symbol, count_if(p_size % 3 = 0 OR length(p_name) < 8) AS poor_description FROM part GROUP BY ALL")
 def e36_legend_quality(spark, sf_dir):
     return compare.legend_quality(derived(spark, sf_dir, "part", "p_brand AS case, p_type AS method, CASE WHEN p_size % 4 = 0 THEN '' ELSE 'S' END AS symbol, CASE WHEN p_size % 3 = 0 THEN NULL ELSE p_name END AS description"))
