@@ -18,6 +18,7 @@ MERGED = r"^([ЩЦ][^-–]*)[-–]Гр\.?([0-9]+[А-Яа-яЁё0-9]*)"
 PART = r"^Гр\.?([0-9]{1,3}[А-Яа-яЁё0-9]*)$"
 LENGTH = r"^L=([0-9]+(?:[,.][0-9]+)?)м$"
 BRAND = r"^(ВБШвнг|ВБШв|ППГнг|ППГ|АВВГ|ВВГнг|ВВГ|КГ|NYM)"
+FEED, CIRCUIT, CONTACTOR = r"(?s)^н.*(?:ППГ|ВБШ)", r"^QF[-\s]?[0-9]+\.[0-9]+$", r"^KM-[0-9]+$"
 KNOWN_DIMENSIONS = (6000.0, 3000.0, 4500.0, 7200.0, 9000.0, 12000.0)
 
 #: Dimensions in rows of which lines can verify the scale.
@@ -94,6 +95,29 @@ def panels(texts: DataFrame, breakers: DataFrame, circuits: DataFrame, keys: Key
     return first.join(b, [*keys, "seq"], "left").join(c, [*keys, "seq"], "left").na.fill(0, ["circuit_count"])
 
 
+def panel_details(found: DataFrame, texts: DataFrame, cells: DataFrame, keys: Keys = ("file_id",)) -> DataFrame:
+    """``found`` panels (keys, seq, name, x, y) with ``feed``, the first feeding cable that names the panel, and ``circuit_count``.
+
+    A feed's text (of ``texts``: keys, seq, text) begins with н, holds a brand, and holds the panel's name, blanks, hyphens and
+    case aside; shorter names are found in longer ones too. Circuits are the most breakers that a table (``cells``: keys, table_id,
+    x, y, text, the place being the table's) nearest to the panel lists, by the sum of distances; of the first lighting panel that
+    is no emergency one, the drawing's contactors if they are more; 0 where nothing is known.
+    """
+    from drawlake.operators.compare import _inside
+
+    bare = lambda c: F.lower(F.regexp_replace(c, "[- ]", ""))
+    feeds = texts.where(F.col("text").rlike(FEED)).select(*keys, "seq", "text", bare("text").alias("large"))
+    named = found.select(*keys, bare("name").alias("_n")).where("_n <> ''").distinct()
+    fed = _inside(named, feeds.select(*keys, F.col("large").alias("_n")).distinct(), keys).join(feeds, [*keys, "large"])
+    fed = fed.groupBy(*keys, F.col("small").alias("_n")).agg(F.min_by("text", "seq").alias("feed"))
+    n = cells.where(F.trim("text").rlike(CIRCUIT)).groupBy(*keys, F.col("table_id").alias("seq")).agg(F.min("x").alias("x"), F.min("y").alias("y"), F.count("*").alias("n"))
+    most = nearest(n, found.select(*keys, "seq", "x", "y"), keys, metric="l1").groupBy(*keys, F.col("r_seq").alias("seq")).agg(F.max("l_n").alias("_b"))
+    switched = texts.where(F.trim("text").rlike(CONTACTOR)).groupBy(*keys).agg(F.count("*").alias("_k"))
+    lit = found.where(F.contains("name", F.lit("ЩО")) & ~F.contains("name", F.lit("А"))).groupBy(*keys).agg(F.min("seq").alias("seq")).join(switched, list(keys))
+    out = found.drop("circuit_count").withColumn("_n", bare("name")).join(fed, [*keys, "_n"], "left").join(most, [*keys, "seq"], "left").join(lit, [*keys, "seq"], "left")
+    return out.withColumn("circuit_count", F.greatest(F.coalesce("_b", F.lit(0)), F.coalesce("_k", F.lit(0)))).drop("_n", "_b", "_k")
+
+
 def own_section(panels: DataFrame, keys: Keys = ("file_id",), name: str = "name") -> DataFrame:
     """Panels of the building's own section: where two or more share a suffix like 3.12, only those whose name holds the most
     frequent one (on ties that of the first panel, emergency panels before others, by name)."""

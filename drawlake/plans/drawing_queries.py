@@ -636,6 +636,21 @@ def e21_panels(spark, sf_dir):
     return p.select("file_id", "name", "seq", "breaker", "circuit_count")
 
 
+_FED = f"l_suppkey AS file_id, {_SEQ} AS seq, l_quantity * 100 AS x, l_extendedprice / 10 AS y, l_partkey AS pk, l_linenumber AS k, CASE l_linenumber WHEN 1 THEN concat(CASE WHEN l_partkey % 4 = 0 THEN 'ЩО' ELSE 'ЩР' END, l_partkey % 30) WHEN 4 THEN concat('н', l_partkey, CASE WHEN l_partkey % 2 = 0 THEN ' ППГнг щ' ELSE ' КГ щ' END, CASE WHEN l_partkey % 4 = 0 THEN 'о-' ELSE 'р-' END, l_partkey % 30) WHEN 5 THEN concat('QF', l_partkey, CASE WHEN l_partkey % 3 > 0 THEN '.1' ELSE '' END) ELSE concat('KM-', l_partkey, CASE WHEN l_partkey % 2 = 0 THEN '' ELSE 'x' END) END AS text"
+
+
+@query(f"""WITH t AS (SELECT {_FED} FROM lineitem), f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY file_id, text ORDER BY seq) AS p FROM t WHERE k = 1) WHERE p = 1),
+d AS (SELECT f.seq AS s, arg_min(t.text, t.seq) AS feed FROM f JOIN t ON f.file_id = t.file_id AND t.k = 4 AND t.pk % 2 = 0 AND contains(lower(replace(replace(t.text, '-', ''), ' ', '')), lower(f.text)) GROUP BY 1),
+b AS (SELECT file_id, pk % 20 AS id, count(*) AS n FROM t WHERE k = 5 AND pk % 3 > 0 GROUP BY ALL), q AS (SELECT s, max(n) AS n FROM (SELECT f.seq AS s, b.n, row_number() OVER (PARTITION BY b.file_id, b.id ORDER BY abs(f.x - b.id * 250.0) + abs(f.y - b.id * 400.0), f.seq) AS p FROM b JOIN f ON f.file_id = b.file_id) WHERE p = 1 GROUP BY 1),
+m AS (SELECT file_id, count(*) AS n FROM t WHERE k = 6 AND pk % 2 = 0 GROUP BY 1), o AS (SELECT min(seq) AS s, file_id FROM f WHERE pk % 4 = 0 GROUP BY 2)
+SELECT f.file_id, f.seq, f.text AS name, feed, greatest(coalesce(q.n, 0), coalesce(m.n, 0)) AS circuit_count FROM f LEFT JOIN d ON d.s = f.seq LEFT JOIN q ON q.s = f.seq LEFT JOIN o ON o.s = f.seq LEFT JOIN m ON m.file_id = o.file_id""")
+def e21_panel_details(spark, sf_dir):
+    t = derived(spark, sf_dir, "lineitem", _FED)
+    found = t.where("k = 1").groupBy("file_id", F.col("text").alias("name")).agg(F.min_by(F.struct("seq", "x", "y"), "seq").alias("f")).select("file_id", "name", "f.*")
+    cells = t.where("k = 5").selectExpr("file_id", "pk % 20 AS table_id", "(pk % 20) * 250.0D AS x", "(pk % 20) * 400.0D AS y", "text")
+    return schedules.panel_details(found, t.where("k IN (4, 6)"), cells).select("file_id", "seq", "name", "feed", "circuit_count")
+
+
 _SECTIONED = "p_brand AS file_id, p_partkey AS seq, CASE WHEN p_size % 9 = 0 THEN 'ВРУ' ELSE concat(CASE WHEN p_size % 7 = 0 THEN 'ЩАО' ELSE 'ЩР' END, p_partkey % 3 + 1, '.', p_size % 4) END AS name"
 
 

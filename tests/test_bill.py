@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from drawlake.operators import bill
+from drawlake.operators import bill, schedules
 
 ITEM = "project string, seq long, kind string, name string, unit string, height string, qty double"
 CABLE = "project string, seq long, cable_type string, count long, total_length_m long, laying array<struct<method:string,m:long>>"
@@ -105,3 +105,13 @@ def test_places_over_many_ranges(spark):
             n += w
             want.append((p, k, place, n if w else None))
     assert sorted((x["project"], x["k"], x["place"], x["number"]) for x in got) == sorted(want, key=lambda x: x[:2])
+
+
+def test_panels_feeds_and_circuits(spark):
+    found = spark.createDataFrame([("f", 1, "ЩО-1", 0.0, 0.0), ("f", 2, "ЩАО-1", 100.0, 0.0), ("f", 3, "ЩР-12", 0.0, 100.0), ("f", 4, "ЩР-1", 500.0, 500.0), ("g", 1, "ЩО-1", None, None)], "file_id string, seq long, name string, x double, y double")
+    texts = [("f", 1, "н2 ППГнг щ р 12"), ("f", 2, "н1 ВБШв ЩР-1\nвторая строка ППГ"), ("f", 3, "ЩО-1 ППГ"), ("f", 4, "н5 КГ ЩО-1"), ("f", 5, None), ("g", 1, "KM-1"), *(("f", 6 + k, f"KM-{k}") for k in range(3)), ("f", 20, "KM-1a")]
+    cells = [("f", 1, 90.0, 1.0, f"QF-1.{k}") for k in range(4)] + [("f", 2, 120.0, 0.0, "QF2.1"), ("f", 3, 10.0, 10.0, "QF 1.1"), ("f", 3, 10.0, 10.0, "QF1"), ("f", 4, 0.0, 0.0, None)]
+    got = schedules.panel_details(found, spark.createDataFrame(texts, "file_id string, seq long, text string"), spark.createDataFrame(cells, "file_id string, table_id long, x double, y double, text string"))
+    assert sorted((r["file_id"], r["name"], r["feed"], r["circuit_count"]) for r in got.collect()) == sorted([
+        ("f", "ЩО-1", None, 3), ("f", "ЩАО-1", None, 4), ("f", "ЩР-12", "н2 ППГнг щ р 12", 0), ("f", "ЩР-1", "н2 ППГнг щ р 12", 0), ("g", "ЩО-1", None, 1)], key=lambda r: (r[0], r[1]))
+    assert schedules.panel_details(found.limit(0), spark.createDataFrame([], "file_id string, seq long, text string"), spark.createDataFrame([], "file_id string, table_id long, x double, y double, text string")).count() == 0
