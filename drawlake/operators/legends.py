@@ -15,6 +15,8 @@ from drawlake.operators.spatial import box_join, exclude_zones, in_box
 from drawlake.operators.tables import content_frames
 
 Keys = Sequence[str]
+#: How legends are found, surest first.
+METHODS = ("header", "content", "spec", "density")
 #: Headers, and words that speak of equipment.
 HEADER = r"(?iu)условн\S*\s+обозначен|экспликаци"
 EQUIPMENT = r"(?iu)светильник|розетк|выключател|щит|указател|датчик|коробк|кабел|лоток"
@@ -166,3 +168,44 @@ def content_legends(words: DataFrame, segments: DataFrame, keys: Keys = ("file_i
     runs = runs.select(*keys, *(F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")))
     near = box_join(kw, runs, keys, ("wx", "wy", "wx", "wy"), ("x0", "y0", "x1", "y1")).select(*keys, "x0", "y0", "x1", "y1").distinct()
     return framed.unionByName(near.join(framed.select(*keys), list(keys), "left_anti").withColumn("method", F.lit("run")))
+
+
+def legend_of_file(items: DataFrame, keys: Keys = ("file_id",)) -> DataFrame:
+    """The legend of each file from what the methods found: (keys, best_page, method, page, seq, symbol, description, x0, y0, x1, y1).
+
+    ``items``: (keys, page, method, tolerance, seq, symbol, description, x0, y0, x1, y1), seq unique in a file. Items of a page, method
+    and tolerance are a candidate. A header's counts by page, at the tolerance that scores most of those up to the first at which half
+    of the symbols have descriptions over three characters; content on pages without a header's; specifications on every page; density
+    only in files where nothing else was found. A candidate scores 1000 a symbol, 10 an item and 1 a description. The best one (on
+    ties the earlier page, then the earlier method) stands alone unless other pages bring a symbol that it lacks; then
+    all their candidates join: of a symbol, or description where there is none, the longest description stays, the better
+    candidate's on ties. The box is that of all that joined. Null texts are empty.
+    """
+    filled = {c: F.coalesce(c, F.lit("")) for c in ("symbol", "description")}
+    it = items.withColumns({**filled, "tolerance": F.coalesce("tolerance", F.lit(0))}).withColumn("_m", F.array_position(F.array(*map(F.lit, METHODS)), F.col("method"))).where("_m > 0")
+    has, good = F.col("symbol") != "", F.length(F.trim("description")) > 3
+    one = ["page", "method", "tolerance"]
+    found = it.groupBy(*keys, *one, "_m").agg(
+        (1000 * F.count_if(has) + 10 * F.count("*") + F.count_if(F.col("description") != "")).alias("score"), (2 * F.count_if(has & good) >= F.greatest(F.count_if(has), F.lit(1))).alias("good"),
+        *(f(c).alias(f"_{c}") for f, c in ((F.min, "x0"), (F.min, "y0"), (F.max, "x1"), (F.max, "y1"))),
+    )
+    head = found.where("method = 'header'").withColumn("_g", F.min(F.when(F.col("good"), F.col("tolerance"))).over(Window.partitionBy(*keys, "page"))).where("_g is null or tolerance <= _g")
+    head = head.withColumn("_p", F.row_number().over(Window.partitionBy(*keys, "page").orderBy(F.desc("score"), "tolerance"))).where("_p = 1").drop("_p", "_g")
+    kept = head.unionByName(found.where("method = 'content'").join(head.select(*keys, "page"), [*keys, "page"], "left_anti").select(*head.columns)).unionByName(found.where("method = 'spec'"))
+    kept = kept.unionByName(found.where("method = 'density'").join(kept.select(*keys).distinct(), list(keys), "left_anti").select(*head.columns))
+    best = kept.groupBy(*keys).agg(F.min_by(F.struct("page", "method", "tolerance"), F.struct((-F.col("score")).alias("a"), "page", "_m", "tolerance")).alias("_b"))
+    kept = kept.join(best, list(keys)).withColumn("_base", F.struct("page", "method", "tolerance") == F.col("_b")).where(F.col("_base") | (F.col("page") != F.col("_b.page")))
+    key = F.struct(has.alias("s"), F.lower(F.trim(F.when(has, F.col("symbol")).otherwise(F.col("description")))).alias("t"))
+    rows = it.withColumn("_k", key).join(kept.drop("_m", "good"), [*keys, *one])
+    own = rows.where("_base").select(*keys, "_k").distinct()
+    joined = rows.where(~F.col("_base") & F.col("_k.s")).join(own, [*keys, "_k"], "left_anti").select(*keys).distinct().withColumn("_all", F.lit(True))
+    rows = rows.join(joined, list(keys), "left").where("_base or _all")
+    box = kept.join(joined, list(keys), "left").where("_base or _all").groupBy(*keys).agg(*(f(f"_{c}").alias(c) for f, c in ((F.min, "x0"), (F.min, "y0"), (F.max, "x1"), (F.max, "y1"))))
+    same = Window.partitionBy(*keys, "_k")
+    rank = F.struct((-F.col("score")).alias("a"), F.col("page").alias("b"), F.col("_m").alias("c"), F.col("seq").alias("d"))
+    rows = rows.withColumns({"_o": rank, "_f": F.min(F.when(F.col("_base"), F.col("seq"))).over(same)})
+    alone = rows.where("_all is null")
+    # of equal keys in the best candidate only the first takes part
+    merged = rows.where("_all and (not _base or seq = _f)").withColumn("_p", F.row_number().over(same.orderBy(F.desc(F.length("description")), "_o"))).where("_p = 1").drop("_p")
+    out = alone.unionByName(merged).drop("x0", "y0", "x1", "y1", "method").join(box, list(keys))
+    return out.select(*keys, F.col("_b.page").alias("best_page"), F.col("_b.method").alias("method"), "page", "seq", "symbol", "description", "x0", "y0", "x1", "y1")

@@ -733,6 +733,23 @@ def e30_merge_legends(spark, sf_dir):
     return m.select("file_id", "symbol", "description", *[F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")])
 
 
+_FOUND = f"l_suppkey * 60 + l_orderkey % 60 AS file_id, l_partkey % 3 AS page, CASE WHEN l_orderkey % 60 < 20 THEN 'density' WHEN l_linenumber < 4 THEN 'header' WHEN l_linenumber < 6 THEN 'content' WHEN l_linenumber = 6 THEN 'spec' ELSE 'density' END AS method, CASE WHEN l_orderkey % 60 < 20 THEN 0 WHEN l_linenumber = 1 THEN 7 WHEN l_linenumber < 4 THEN 3 ELSE 0 END AS tolerance, {_SEQ} AS seq, CASE WHEN l_partkey % 4 = 0 THEN '' ELSE concat(CASE WHEN l_partkey % 2 = 0 THEN 's' ELSE 'S' END, l_partkey % 5) END AS symbol, CASE WHEN l_partkey % 2 = 0 THEN '' ELSE concat('name', l_suppkey % 7, l_orderkey % 13 * l_orderkey % 13) END AS description, l_quantity * 1.0 AS x0, l_quantity * 2.0 AS y0, l_quantity + 10.0 AS x1, l_quantity * 2.0 + 5.0 AS y1"
+
+
+@query(f"""WITH i AS (SELECT *, row_number() OVER () AS id FROM (SELECT {_FOUND} FROM lineitem)), f AS (SELECT file_id, page, method, tolerance, CASE method WHEN 'header' THEN 1 WHEN 'content' THEN 2 WHEN 'spec' THEN 3 ELSE 4 END AS m, sum(10 + CASE WHEN symbol <> '' THEN 1000 ELSE 0 END + CASE WHEN description <> '' THEN 1 ELSE 0 END) AS score, count_if(symbol <> '') > 0 AND count_if(symbol <> '' AND length(description) > 3) * 2 >= count_if(symbol <> '') AS good, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM i GROUP BY ALL),
+h AS (SELECT * FROM f WHERE method = 'header' AND (tolerance = 3 OR NOT EXISTS (SELECT 1 FROM f o WHERE o.file_id = f.file_id AND o.page = f.page AND o.method = 'header' AND o.tolerance = 3 AND (o.good OR o.score >= f.score))) AND (tolerance = 7 OR good OR NOT EXISTS (SELECT 1 FROM f o WHERE o.file_id = f.file_id AND o.page = f.page AND o.method = 'header' AND o.tolerance = 7 AND o.score > f.score))),
+k AS (SELECT * FROM h UNION ALL SELECT * FROM f WHERE method = 'content' AND (file_id, page) NOT IN (SELECT (file_id, page) FROM h) UNION ALL SELECT * FROM f WHERE method = 'spec' UNION ALL SELECT * FROM f WHERE method = 'density' AND file_id NOT IN (SELECT file_id FROM f WHERE method <> 'density')),
+b AS (SELECT file_id, page AS bp, method AS bm FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY score DESC, page, m) AS p FROM k) WHERE p = 1),
+c AS (SELECT k.*, bp, bm, k.page = bp AND k.method = bm AS base FROM k JOIN b USING (file_id) WHERE k.page <> bp OR k.method = bm), r AS (SELECT i.file_id, i.page, i.seq, i.id, symbol, description, score, m, base, bp, bm, CASE WHEN symbol <> '' THEN concat('s', lower(symbol)) ELSE concat('d', lower(description)) END AS key, symbol <> '' AS has FROM i JOIN c ON i.file_id = c.file_id AND i.page = c.page AND i.method = c.method AND i.tolerance = c.tolerance),
+j AS (SELECT DISTINCT file_id FROM r o WHERE NOT base AND has AND NOT EXISTS (SELECT 1 FROM r e WHERE e.file_id = o.file_id AND e.base AND e.key = o.key)), x AS (SELECT file_id, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM c WHERE base OR file_id IN (SELECT file_id FROM j) GROUP BY 1),
+g AS (SELECT * FROM r WHERE file_id IN (SELECT file_id FROM j) AND (NOT base OR seq = (SELECT min(seq) FROM r e WHERE e.file_id = r.file_id AND e.base AND e.key = r.key))), o AS (SELECT *, row_number() OVER (PARTITION BY file_id, key ORDER BY length(description) DESC, score DESC, page, m, seq) AS p FROM g),
+z AS (SELECT file_id, page, seq, symbol, description, bp, bm FROM r WHERE base AND file_id NOT IN (SELECT file_id FROM j) UNION ALL SELECT file_id, page, seq, symbol, description, bp, bm FROM o WHERE p = 1)
+SELECT file_id, bp AS best_page, bm AS method, page, seq, symbol, description, x0::DOUBLE AS x0, y0::DOUBLE AS y0, x1::DOUBLE AS x1, y1::DOUBLE AS y1 FROM z JOIN x USING (file_id)""")
+def e30_legend_of_file(spark, sf_dir):
+    out = legends.legend_of_file(derived(spark, sf_dir, "lineitem", _FOUND))
+    return out.select(*out.columns[:7], *(F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")))
+
+
 @query("""WITH h AS (SELECT l_suppkey AS file_id, l_orderkey % 9 AS page, l_linenumber + 0.5::DOUBLE AS v, l_quantity AS q FROM lineitem), m AS (SELECT file_id, page, v FROM (SELECT file_id, page, v, row_number() OVER (PARTITION BY file_id, page ORDER BY n DESC, v) AS k FROM (SELECT file_id, page, v, count(*) AS n FROM h WHERE q > 25 GROUP BY ALL)) WHERE k = 1), l AS (SELECT file_id, page, q FROM (SELECT file_id, page, q, row_number() OVER (PARTITION BY file_id, page ORDER BY q) AS k, count(*) OVER (PARTITION BY file_id, page) AS n FROM h WHERE v < 4) WHERE k = n // 2 + 1)
 SELECT file_id, page, v AS mount_height, q AS level FROM m FULL JOIN l USING (file_id, page)""")
 def e31_page_defaults(spark, sf_dir):

@@ -37,3 +37,25 @@ def test_content_legend(spark):
     segs = spark.createDataFrame([("f", 1, *r) for r in lines], "file_id string, page int, x0 double, y0 double, x1 double, y1 double")
     got = legends.content_legends(words, segs).first()
     assert (got["x0"], got["x1"], got["method"]) == (200.0, 400.0, "frame")
+
+
+def test_methods_in_order(spark):
+    def rows(file, page, method, tolerance, start, *texts):
+        return [(file, page, method, tolerance, start + k, s, d, 10.0 * page, 0.0, 10.0 * page + k, 5.0) for k, (s, d) in enumerate(texts)]
+
+    found = [
+        # the wider tolerance counts, as the descriptions of the narrower are poor; content of a page with a header does not
+        *rows("a", 0, "header", 3, 0, ("1", ""), ("2", "x")), *rows("a", 0, "header", 7, 10, ("1", "лампа"), ("2", "щит"), ("3", None)), *rows("a", 0, "content", None, 20, ("9", "нет")), *rows("a", 0, "density", None, 30, ("8", "нет")),
+        # good descriptions end the search though the wider tolerance would score more; the other page brings nothing new
+        *rows("b", 0, "header", 3, 0, ("1", "лампа"), ("1", "лампа большая"), ("", "выход")), *rows("b", 0, "header", 7, 10, ("1", "a"), ("2", "b"), ("3", "c"), ("4", "d")), *rows("b", 1, "content", None, 20, ("1", "лампа очень большая"), ("", "вход")),
+        # a new symbol on one page lets all others join; the longest description stays, of equal ones the better candidate's
+        *rows("c", 0, "content", None, 0, ("A", "ab"), ("B", "первый"), ("B", "первый длинный"), ("", "Выход")), *rows("c", 1, "spec", None, 10, ("a ", "abc"), ("b", "второй")), *rows("c", 2, "content", None, 20, ("z", ""), ("", "выход")),
+        # nothing but density
+        *rows("d", 1, "density", None, 0, ("1", "")), *rows("d", 0, "density", None, 10, ("2", "")),
+    ]
+    got = legends.legend_of_file(spark.createDataFrame(found, "file_id string, page long, method string, tolerance int, seq long, symbol string, description string, x0 double, y0 double, x1 double, y1 double")).collect()
+    of = lambda f: (sorted((r["seq"], r["symbol"], r["description"]) for r in got if r["file_id"] == f), {(r["best_page"], r["method"], r["x0"], r["y0"], r["x1"], r["y1"]) for r in got if r["file_id"] == f})
+    assert of("a") == ([(10, "1", "лампа"), (11, "2", "щит"), (12, "3", "")], {(0, "header", 0.0, 0.0, 2.0, 5.0)})
+    assert of("b") == ([(0, "1", "лампа"), (1, "1", "лампа большая"), (2, "", "выход")], {(0, "header", 0.0, 0.0, 2.0, 5.0)})
+    assert of("c") == ([(1, "B", "первый"), (3, "", "Выход"), (10, "a ", "abc"), (20, "z", "")], {(0, "content", 0.0, 0.0, 21.0, 5.0)})
+    assert of("d") == ([(0, "1", ""), (10, "2", "")], {(0, "density", 0.0, 0.0, 10.0, 5.0)})
