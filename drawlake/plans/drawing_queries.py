@@ -34,9 +34,12 @@ def derived(spark, sf_dir, table: str, columns: str):
 # --- sources --------------------------------------------------------------------------------------------------
 
 
-@query("SELECT * FROM (VALUES ('benchmark'), ('conversations'), ('customer'), ('documents'), ('embeddings'), ('events'), ('labels'), ('lineitem'), ('nation'), ('orders'), ('pages'), ('part'), ('region'), ('supplier')) AS t(stem)")
+@query("SELECT o_orderstatus AS section, 'txt' AS ext, sum(length(concat(o_orderkey, ';', o_orderpriority)) + 1)::BIGINT AS size FROM orders GROUP BY 1")
 def a1_file_inventory(spark, sf_dir):
-    return drawings.file_inventory(spark, sf_dir, ("parquet",)).select("stem")
+    o, at = read(spark, sf_dir, "orders"), f"{shared_dir(spark)}/files-{uuid.uuid4().hex}"
+    for status in "FOP":  # a folder each
+        o.where(F.col("o_orderstatus") == status).select(F.concat_ws(";", "o_orderkey", "o_orderpriority")).write.text(f"{at}/{status}")
+    return drawings.file_inventory(spark, at, ("txt",)).groupBy("section", "ext").agg(F.sum("size").alias("size"))
 
 
 #: Each order is an entity of its customer's drawing, in two chunks of text, with a first place that a later one overrides.
