@@ -62,6 +62,11 @@ def _grouped(entries: DataFrame, keys: Keys) -> DataFrame:
     return top.unionByName(_rows(below, keys, "cables", **(place | {"line": F.col("line"), "e": F.col("seq"), "f": F.col("pos"), "name": F.col("name"), "qty": shown(F.col("m"))})))
 
 
+def _written(parts: list[DataFrame]) -> DataFrame:
+    """Rows of a section, written: one plan over all sections would take more of the driver's memory than its rows deserve."""
+    return stored(reduce(DataFrame.unionByName, parts).withColumns({"c": F.coalesce("c", F.lit(0)), "e": F.coalesce("e", F.lit(0))}), "bill")
+
+
 def place_rows(rows: DataFrame, keys: Keys, order: Sequence[str], counted: Column, place: str = "place", number: str = "number") -> DataFrame:
     """``rows`` with their place among the rows of equal keys, from 1, and the number of those that are counted (null for others).
 
@@ -240,19 +245,22 @@ def section_bill(items: DataFrame, cables: DataFrame, panels: DataFrame, derived
     d = d.where(led.isNull()).unionByName(d.where(led.isNotNull()).withColumn("_led", led).join(group.withColumnRenamed("what", "_led"), [*keys, "_led"], "left_semi").drop("_led"))
     parts.append(_rows(d, keys, of(1, R.DERIVED_ROWS), a=of(2, R.DERIVED_ROWS), line=of(3, R.DERIVED_ROWS), name=of(4, R.DERIVED_ROWS), unit="шт", qty=shown(F.col("qty"))))
     parts.append(_rows(group, keys, of(1, R.DERIVED_HEADS), a=of(2, R.DERIVED_HEADS), name=of(3, R.DERIVED_HEADS), unit="", qty=""))
+    done = [_written(parts)]
 
     trays = items.where("kind = 'tray' and qty > 0").groupBy(*keys, "height").agg(F.sum("qty").alias("qty")).withColumn("rank", _of(F.col("height"), {x: k for k, x in enumerate(LABELS)})).where("rank is not null")
     tray_items, metres = items.where("kind = 'tray_item'"), F.col("unit").isin(*R.METRES)
-    parts += [
+    done.append(_written([
         _rows(trays, keys, "trays", a=1, b=F.col("rank"), name=filled(R.TRAY_WORK, F.col("height")), unit="м", qty=shown(F.col("qty"))),
         _rows(tray_items, keys, "trays", a=F.when(metres, 2).otherwise(3), c=F.when(metres, F.col("seq")), line=F.when(metres, 0).otherwise(1), e=F.when(metres, 0).otherwise(F.col("seq")), name=name, unit=F.col("unit"), qty=shown(F.col("qty"))),
         _rows(tray_accessories(trays.join(tray_items.where(~metres), list(keys), "left_anti"), keys), keys, "trays", a=4, line=F.col("line"), name=name, unit="шт", qty=F.col("qty").cast("string")),
-    ]
-    parts += _lights(items, keys, items.where("kind = 'indicator' and qty > 0").select(*keys).distinct()) + _cable_rows(cables, heights, keys)
-    parts += _conduit(items, derived, cables, heights, projects, keys) + _grounding(items, projects, keys) + _tests(items, panels, cables, keys, floors)
-
-    body = reduce(DataFrame.unionByName, parts).withColumns({"c": F.coalesce("c", F.lit(0)), "e": F.coalesce("e", F.lit(0))})
-    body = stored(body, "bill")
+    ]))
+    done.append(_written(_lights(items, keys, items.where("kind = 'indicator' and qty > 0").select(*keys).distinct())))
+    done += [_written([rows]) for rows in _cable_rows(cables, heights, keys)]
+    done.append(_written(_conduit(items, derived, cables, heights, projects, keys)))
+    done.append(_written(_grounding(items, projects, keys)))
+    done.append(_written(_tests(items, panels, cables, keys, floors)))
+
+    body = reduce(DataFrame.unionByName, done)
     always = projects.select(*keys, F.explode(F.array(*map(F.lit, R.ALWAYS))).alias("s")).select(*keys, _of(F.col("s"), PART).alias("part"), F.lit(0).cast("long").alias("_g"), _of(F.col("s"), HEAD).alias("head"))
     sub = F.when(F.col("part") == PART["cables"], F.col("sub")).otherwise(0)
     heads = body.where("head is not null").select(*keys, "part", sub.alias("_g"), "head").unionByName(always).distinct()
