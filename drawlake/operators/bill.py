@@ -219,14 +219,14 @@ def section_bill(items: DataFrame, cables: DataFrame, panels: DataFrame, derived
     having = lambda kind, pattern="": items.where((F.col("kind") == kind) & F.lower("name").rlike(pattern)).select(*keys).distinct()
 
     one = items.where(F.col("kind").isin(*(w[0] for w in R.ITEM_WORKS))).groupBy(*keys, "kind", "name", "unit").agg(F.min("seq").alias("seq"), F.sum("qty").alias("qty"))
-    one = one.where(~F.col("kind").isin("socket", "outlet") | (F.col("qty") > 0))
+    one = stored(one.where(~F.col("kind").isin("socket", "outlet") | (F.col("qty") > 0)), "single")
     bare = lambda c: F.regexp_replace(c, "[- ]", "")
     spec = not_in_plan(one.where("kind = 'spec_panel'").withColumns({"_full": F.col("name"), "name": bare("name")}), panels.withColumn("name", bare("name")), keys, both_ways=True).withColumn("name", F.col("_full")).drop("_full")
     lower = lambda df, c: df.select(*keys, F.lower(c).alias("_n")).distinct()
     drawn = _inside(lower(cables, "cable_type"), lower(one.where("kind = 'spec_cable'"), "name"), keys).select(*keys, F.col("large").alias("_low")).distinct()
     extra = one.where("kind = 'spec_cable'").withColumn("_low", F.lower("name")).join(drawn, [*keys, "_low"], "left_anti").drop("_low")
     with_cables = cables.select(*keys).distinct().withColumn("_drawn", F.lit(True))
-    one = one.where("kind not in ('spec_panel', 'spec_cable')").unionByName(spec).unionByName(extra).join(with_cables, list(keys), "left")
+    one = one.where("kind not in ('spec_panel', 'spec_cable')").unionByName(stored(spec, "spec")).unionByName(stored(extra, "spec")).join(with_cables, list(keys), "left")
     section, name = _of(F.col("kind"), {w[0]: w[1] for w in R.ITEM_WORKS}), F.col("name")
     before, after = (_of(F.col("kind"), {w[0]: w[3].split("{}")[i] for w in R.ITEM_WORKS}) for i in (0, 1))
     head = F.when((F.col("kind") == "spec_cable") & F.col("_drawn").isNull(), R.SPEC_CABLES_ONLY).otherwise(_of(section, HEAD))
@@ -245,7 +245,7 @@ def section_bill(items: DataFrame, cables: DataFrame, panels: DataFrame, derived
     d = d.where(led.isNull()).unionByName(d.where(led.isNotNull()).withColumn("_led", led).join(group.withColumnRenamed("what", "_led"), [*keys, "_led"], "left_semi").drop("_led"))
     parts.append(_rows(d, keys, of(1, R.DERIVED_ROWS), a=of(2, R.DERIVED_ROWS), line=of(3, R.DERIVED_ROWS), name=of(4, R.DERIVED_ROWS), unit="шт", qty=shown(F.col("qty"))))
     parts.append(_rows(group, keys, of(1, R.DERIVED_HEADS), a=of(2, R.DERIVED_HEADS), name=of(3, R.DERIVED_HEADS), unit="", qty=""))
-    done = [_written(parts)]
+    done = [_written(parts[:2]), _written(parts[2:])]
 
     trays = items.where("kind = 'tray' and qty > 0").groupBy(*keys, "height").agg(F.sum("qty").alias("qty")).withColumn("rank", _of(F.col("height"), {x: k for k, x in enumerate(LABELS)})).where("rank is not null")
     tray_items, metres = items.where("kind = 'tray_item'"), F.col("unit").isin(*R.METRES)
