@@ -59,7 +59,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     live = checkpointed(live)
     labels = None
     while not live.isEmpty():
-        both = live.union(live.select("b", "a"))
+        both = live.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.a", "e.b")
         hook = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("to"))
         for _ in range(2):
             up = hook.select(F.col("id").alias("to"), F.col("to").alias("up"))

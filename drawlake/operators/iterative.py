@@ -103,15 +103,23 @@ def cross_nms(det: DataFrame, keys: Keys, exempt: DataFrame | None = None, radiu
 
 def routes(segments: DataFrame, keys: Keys = ("file_id", "page", "color", "linewidth"), tol: float = 2.0) -> DataFrame:
     """Connected runs of segments that share an end (both coordinates within ``tol``): count, length and box of each."""
-    from drawlake.operators.spatial import near_pairs
-
     at = segments.withColumn("sid", F.xxhash64(*keys, "seq"))
-    ends = at.select(*keys, "sid", F.col("x0").alias("x"), F.col("y0").alias("y")).union(at.select(*keys, "sid", "x1", "y1"))
-    pairs = near_pairs(ends, ends, keys, tol * 2**0.5).where((F.col("l_sid") < F.col("r_sid")) & (F.abs(F.col("l_x") - F.col("r_x")) < tol) & (F.abs(F.col("l_y") - F.col("r_y")) < tol))
-    comp = components(pairs.select(F.col("l_sid").alias("a"), F.col("r_sid").alias("b")))
-    rows = at.join(comp, at["sid"] == comp["id"], "left").withColumn("route", F.coalesce("comp", "sid"))
+    ends = at.select(*keys, "sid", F.explode(F.array(F.struct(F.col("x0").alias("x"), F.col("y0").alias("y")), F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")))).alias("p")).select(*keys, "sid", F.col("p.x").cast("double").alias("x"), F.col("p.y").cast("double").alias("y"))
+    # an end goes to the cells that its square of the tolerance meets; they are wide, so mostly to one, and one shuffle serves all
+    cell = lambda c: F.floor(c / (8.0 * tol)).cast("long")
+    met = lambda c: F.explode(F.sequence(cell(F.col(c) - tol - F.abs(c) * 1e-12), cell(F.col(c) + tol + F.abs(c) * 1e-12)))
+    dealt = ends.withColumn("_cx", met("x")).withColumn("_cy", met("y")).repartition(*keys, "_cx", "_cy")
+    # ends at one place hang on the smallest of them, and only places are held against each other
+    dealt = dealt.withColumn("first", F.min("sid").over(Window.partitionBy(*keys, "_cx", "_cy", "x", "y")))
+    places = dealt.where("sid = first").select(*keys, "_cx", "_cy", "sid", "x", "y")
+    side = lambda k: places.select(*keys, "_cx", "_cy", *(F.col(c).alias(f"{k}_{c}") for c in ("sid", "x", "y")))
+    close = (F.col("a_sid") < F.col("b_sid")) & (F.abs(F.col("a_x") - F.col("b_x")) < tol) & (F.abs(F.col("a_y") - F.col("b_y")) < tol)
+    pairs = side("a").hint("merge").join(side("b"), [*keys, "_cx", "_cy"]).where(close)
+    comp = components(pairs.select(F.col("a_sid").alias("a"), F.col("b_sid").alias("b")).union(dealt.where("sid <> first").select("first", "sid")))
     length = F.sqrt((F.col("x1") - F.col("x0")) ** 2 + (F.col("y1") - F.col("y0")) ** 2)
-    return rows.groupBy(*keys, "route").agg(F.count("*").alias("n_segments"), F.round(F.sum(length), 4).alias("length"), F.min(F.least("x0", "x1")).alias("x0"), F.min(F.least("y0", "y1")).alias("y0"), F.max(F.greatest("x0", "x1")).alias("x1"), F.max(F.greatest("y0", "y1")).alias("y1"))
+    slim = at.select(*keys, "sid", length.alias("length"), F.least("x0", "x1").alias("x0"), F.least("y0", "y1").alias("y0"), F.greatest("x0", "x1").alias("x1"), F.greatest("y0", "y1").alias("y1"))
+    rows = slim.join(comp, slim["sid"] == comp["id"], "left").withColumn("route", F.coalesce("comp", "sid"))
+    return rows.groupBy(*keys, "route").agg(F.count("*").alias("n_segments"), F.round(F.sum("length"), 4).alias("length"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
 
 
 def adaptive_threshold(det: DataFrame, keys: Keys, base: float = 0.32, low: float = 0.30, high: float = 0.62) -> DataFrame:
