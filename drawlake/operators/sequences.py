@@ -21,12 +21,18 @@ def cluster_by_gap(df: DataFrame, keys: Keys, y: str, tol: float, order: Sequenc
 
 
 def cluster_by_anchor(df: DataFrame, keys: Keys, y: str, tol: float) -> DataFrame:
-    """Adds cluster: a new one starts where y is over ``tol`` from the cluster's first. A page's distinct y are folded to the
-    firsts of its clusters, of which it has its height over ``tol`` at most."""
+    """Adds cluster: a new one starts where y is over ``tol`` from the cluster's first. A gap of over ``tol`` starts one for
+    certain, so distinct y between two gaps are folded by themselves, and no list holds a page's."""
     from drawlake.operators.tables import anchors
 
-    firsts = df.where(F.col(y).isNotNull()).groupBy(*keys).agg(anchors(F.collect_set(F.col(y).cast("double")), tol).alias("_firsts"))
-    return df.where(F.col(y).isNotNull()).join(firsts, list(keys)).withColumn("cluster", (F.size(F.filter("_firsts", lambda v: v <= F.col(y).cast("double"))) - 1).cast("long")).drop("_firsts")
+    at = df.withColumn("_y", F.col(y).cast("double")).where("_y is not null")
+    w = Window.partitionBy(*keys).orderBy("_y")
+    ys = at.select(*keys, "_y").distinct().withColumn("_far", F.when(F.col("_y") - F.lag("_y").over(w) > tol, 1).otherwise(0)).withColumn("_run", F.sum("_far").over(w))
+    folded = ys.groupBy(*keys, "_run").agg(F.collect_list("_y").alias("_ys"))
+    firsts = folded.select(*keys, F.explode(anchors(F.col("_ys"), tol)).alias("_y"), F.lit(1).alias("_first"))
+    starts = ys.select(*keys, "_y").join(firsts, [*keys, "_y"], "left").withColumn("_first", F.coalesce("_first", F.lit(0)))
+    places = starts.select(*keys, "_y", (F.sum("_first").over(w) - 1).cast("long").alias("cluster"))
+    return at.join(places.hint("merge"), [*keys, "_y"]).drop("_y").select(*df.columns, "cluster")
 
 
 def runs(df: DataFrame, keys: Keys, order: Sequence[str], joined: Column) -> DataFrame:
