@@ -149,29 +149,46 @@ def signs_not_in_plan(spec: DataFrame, plan: DataFrame, keys: Keys = ("project",
 def confusable_pairs(legend: DataFrame, apart: Sequence[str], keys: Keys = ("file_id",)) -> DataFrame:
     """Pairs of legend entries told apart by known words only: at least three shared tokens (two for short ones) and an
     overlap of 0.8 (0.6)."""
-    t = legend.select(*keys, "symbol", tokens(F.col("description")).alias("t"))
-    a, b = t.select(*keys, F.col("symbol").alias("a"), F.col("t").alias("ta")), t.select(*keys, F.col("symbol").alias("b"), F.col("t").alias("tb"))
-    pairs = a.join(b, list(keys)).where("a < b")
+    known = F.array(*[F.lit(x) for x in apart])
+    t = legend.select(*keys, "symbol", F.array_sort(tokens(F.col("description"))).alias("t"))
+    # but for the known words two entries' tokens are equal, so that few sets of tokens meet
+    core = F.array_except("t", known)
+    sets = t.select(*keys, "t").distinct().withColumn("_core", F.array_sort(core))
+    a, b = sets.select(*keys, "_core", F.col("t").alias("ta")), sets.select(*keys, "_core", F.col("t").alias("tb"))
     shared, most = F.size(F.array_intersect("ta", "tb")), F.greatest(F.size("ta"), F.size("tb"))
-    short = most <= 4
-    other = F.concat(F.array_except("ta", "tb"), F.array_except("tb", "ta"))
-    known = F.size(F.array_except(other, F.array(*[F.lit(x) for x in apart]))) == 0
-    enough = F.when(short, (shared >= 2) & (shared / most >= 0.6)).otherwise((shared >= 3) & (shared / most >= 0.8))
-    return pairs.where(enough & known & (F.size(other) > 0)).select(*keys, "a", "b")
+    enough = F.when(most <= 4, (shared >= 2) & (shared / most >= 0.6)).otherwise((shared >= 3) & (shared / most >= 0.8))
+    alike = a.join(b, [*keys, "_core"]).where((F.col("ta") != F.col("tb")) & enough).select(*keys, "ta", "tb")
+    first, second = (t.select(*keys, F.col("symbol").alias(k), F.col("t").alias(f"t{k}")) for k in "ab")
+    return first.join(alike.hint("merge"), [*keys, "ta"]).join(second.hint("merge"), [*keys, "tb"]).where("a < b").select(*keys, "a", "b")
 
 
 def validate_legend(items: DataFrame, similarity: DataFrame, keys: Keys = ("file_id",), alike: float = 0.9) -> DataFrame:
     """Each legend item as ok, conflict or unresolvable: same symbol twice, or a symbol that looks like another's.
 
-    Items that differ in colour, or carry different text, can be told apart; ``similarity``: (keys, a, b, score) by seq.
+    Items that differ in colour, or carry different text, can be told apart. ``similarity``: (keys, a, b, score) by seq, a < b,
+    or, where items have a column ``look`` (how the symbol is drawn), by look, a <= b. An item needs no list of those that it is
+    like, only whether there are any and whether one of them has its colour and text, so they are counted. A null symbol or colour is an empty one.
     """
-    i = items.select(*keys, "seq", "symbol", F.coalesce("color", F.lit("")).alias("color"))
-    a, b = i.select(*keys, *[F.col(c).alias(f"a_{c}") for c in ("seq", "symbol", "color")]), i.select(*keys, *[F.col(c).alias(f"b_{c}") for c in ("seq", "symbol", "color")])
-    pairs = a.join(b, list(keys)).where("a_seq < b_seq").join(similarity.select(*keys, F.col("a").alias("a_seq"), F.col("b").alias("b_seq"), "score"), [*keys, "a_seq", "b_seq"], "left")
-    same, looks = (F.col("a_symbol") == F.col("b_symbol")) & (F.col("a_symbol") != ""), F.coalesce(F.col("score") >= alike, F.lit(False))
-    hit = pairs.where(same | looks).withColumn("resolved", F.when(F.col("a_color") != F.col("b_color"), True).otherwise(~(F.col("a_symbol") == F.col("b_symbol"))))
-    each = hit.select(*keys, F.explode(F.array("a_seq", "b_seq")).alias("seq"), "resolved").groupBy(*keys, "seq").agg(F.bool_and("resolved").alias("resolved"))
-    return items.join(each, [*keys, "seq"], "left").withColumn("status", F.when(F.col("resolved").isNull(), "ok").when(F.col("resolved"), "conflict").otherwise("unresolvable")).drop("resolved")
+    looks = "look" in items.columns
+    rows = items.withColumns({"_symbol": F.coalesce("symbol", F.lit("")), "_color": F.coalesce("color", F.lit("")), "_look": F.col("look" if looks else "seq")})
+    i = rows.select(*keys, F.col("_symbol").alias("symbol"), F.col("_color").alias("color"), F.col("_look").alias("look"))
+    near = similarity.where(F.col("score") >= alike).where("a <= b" if looks else "a < b").select(*keys, "a", "b").distinct()
+    both = near.select(*keys, F.explode(F.array(F.struct(F.col("a").alias("look"), F.col("b").alias("other")), F.struct(F.col("b").alias("look"), F.col("a").alias("other")))).alias("p")).select(*keys, "p.look", "p.other").distinct()
+
+    def met(*same):
+        """(keys, look, same, n): rows of the looks that a look is like, itself included where it is like itself."""
+        n = i.groupBy(*keys, F.col("look").alias("other"), *same).agg(F.count("*").alias("n"))
+        own = both.join(n, [*keys, "other"]).groupBy(*keys, "look", *same)
+        return own.agg(F.sum("n").alias("n"), F.max((F.col("look") == F.col("other")).cast("int")).alias("own"))
+
+    looked = met().select(*keys, F.col("look").alias("_look"), (F.col("n") - F.col("own")).alias("_looks"))
+    equal = met("symbol", "color").select(*keys, F.col("look").alias("_look"), F.col("symbol").alias("_symbol"), F.col("color").alias("_color"), (F.col("n") - F.col("own")).alias("_equal"))
+    named = i.where("symbol <> ''").groupBy(*keys, F.col("symbol").alias("_symbol"), F.col("color").alias("_color")).agg(F.count("*").alias("_m"))
+    named = named.withColumn("_n", F.sum("_m").over(Window.partitionBy(*keys, "_symbol")))
+    each = rows.join(looked, [*keys, "_look"], "left").join(equal, [*keys, "_look", "_symbol", "_color"], "left").join(named, [*keys, "_symbol", "_color"], "left")
+    bad = (F.coalesce("_m", F.lit(1)) > 1) | (F.coalesce("_equal", F.lit(0)) > 0)
+    hit = (F.coalesce("_n", F.lit(1)) > 1) | (F.coalesce("_looks", F.lit(0)) > 0)
+    return each.select(*items.columns, F.when(bad, "unresolvable").when(hit, "conflict").otherwise("ok").alias("status"))
 
 
 def merge_legends(items: DataFrame, keys: Keys = ("file_id",)) -> DataFrame:

@@ -1,6 +1,6 @@
 """Steps that must not grow faster than their input: what they deal, compare or broadcast, and that results stay the same."""
 
-from drawlake.operators import iterative
+from drawlake.operators import compare, iterative, sequences, spatial
 
 
 def test_routes_hang_equal_ends_on_one(spark, monkeypatch):
@@ -13,3 +13,40 @@ def test_routes_hang_equal_ends_on_one(spark, monkeypatch):
     got = iterative.routes(df, ("file_id",)).collect()
     assert sorted(r.n_segments for r in got) == [1, 1, 61]
     assert edges[0] < 2 * len(s)
+
+
+def test_legend_checks_are_counted_not_paired(spark):
+    """4000 items of one symbol and look are 8 million pairs, which the check must not make."""
+    items = [(1, i, "7" if i < 4000 else "", "red" if i % 2 else "blue", i % 3) for i in range(4003)] + [(2, 1, "a", "red", 0), (2, 2, "b", "red", 1), (2, 3, "c", None, 9)]
+    df = spark.createDataFrame(items, "file_id int, seq int, symbol string, color string, look int")
+    near = spark.createDataFrame([(1, 0, 1, 0.95), (2, 0, 1, 0.95), (2, 9, 9, 0.95)], "file_id int, a int, b int, score double")
+    got = compare.validate_legend(df, near)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "a_seq" not in plan
+    status = {(r.file_id, r.seq): r.status for r in got.collect()}
+    assert len(status) == len(items) and {status[1, i] for i in range(4000)} == {"unresolvable"}
+    # of the last three two look alike, blue both and without text; those of file 2 carry different text
+    assert [status[1, i] for i in (4000, 4001, 4002)] == ["unresolvable", "ok", "unresolvable"] and [status[2, i] for i in (1, 2, 3)] == ["conflict", "conflict", "ok"]
+
+
+def test_confusable_entries_meet_by_their_other_words(spark):
+    df = spark.createDataFrame([(1, i, f"светильник вид {i} {('левый', 'правый')[i % 2]}") for i in range(40)] + [(1, 90, "светильник вид 5 левый"), (1, 91, "вид 5 правый светильник")], "file_id int, symbol int, description string")
+    got = compare.confusable_pairs(df, ("левый", "правый"))
+    assert {(r.a, r.b) for r in got.collect()} == {(5, 90), (90, 91)}
+    assert "_core" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_clusters_hold_no_list_of_a_page(spark):
+    df = spark.range(3000).selectExpr("1 AS file_id", "id AS seq", "id DIV 3 * 20.0 + id % 3 * 3 AS y")
+    got = sequences.cluster_by_anchor(df, ["file_id"], "y", 5.0)
+    assert {(r.seq, r.cluster) for r in got.collect()} == {(i, i // 3 * 2 + (i % 3 == 2)) for i in range(3000)}
+    assert "_run" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_dealt_rows_are_not_broadcast(spark):
+    """A table's size is guessed before its rows are dealt to cells, so that its copies would go to the driver."""
+    p = spark.range(50).selectExpr("1 AS file_id", "id AS seq", "id * 3.0D AS x", "0.0D AS y")
+    b = p.selectExpr("file_id", "x AS b0", "y AS b1", "x + 4 AS b2", "y + 4 AS b3")
+    for got, n in ((spatial.near_pairs(p, p, ["file_id"], 3.0), 148), (spatial.box_join(p, b, ["file_id"], ("x", "y", "x", "y"), ("b0", "b1", "b2", "b3")), 99)):
+        assert got.count() == n
+        assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
