@@ -186,8 +186,9 @@ def content_frames(words: DataFrame, segments: DataFrame, keys: Keys = ("file_id
     ends = flat.groupBy(*keys, "lx0", "lx1").agg(F.count("*").alias("n"))
     able = ends.where((F.col("n") >= 3) & (F.col("lx1") - F.col("lx0")).between(80, 700)).select(*keys, F.col("lx0").alias("x"), F.col("lx1").alias("y"), "n")
     # lines of a frame may end a little off; pairs of ends are points that lie near each other
-    close = near_pairs(able, flat.select(*keys, F.col("lx0").alias("x"), F.col("lx1").alias("y"), "ly"), keys, TOL * 2**0.5).where((F.abs(F.col("l_x") - F.col("r_x")) < TOL) & (F.abs(F.col("l_y") - F.col("r_y")) < TOL))
-    frame = close.groupBy(*keys, F.col("l_x").alias("x0"), F.col("l_y").alias("x1"), F.col("l_n").alias("n")).agg(F.sort_array(F.collect_set(F.bround("r_ly", 1))).alias("row_ys"))
+    at = flat.groupBy(*keys, F.col("lx0").alias("x"), F.col("lx1").alias("y")).agg(F.collect_set(F.bround("ly", 1)).alias("ys"))
+    close = near_pairs(able, at, keys, TOL * 2**0.5).where((F.abs(F.col("l_x") - F.col("r_x")) < TOL) & (F.abs(F.col("l_y") - F.col("r_y")) < TOL))
+    frame = close.groupBy(*keys, F.col("l_x").alias("x0"), F.col("l_y").alias("x1"), F.col("l_n").alias("n")).agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("r_ys")))).alias("row_ys"))
     frame = frame.withColumns({"y0": F.element_at("row_ys", 1), "y1": F.element_at("row_ys", -1)})
     by = [*keys, "x0", "x1"]
     bounds = frame.select(*by, "y0", "y1").withColumns({"_t0": F.col("x0") - 5, "_t1": F.col("y0") - 20, "_t2": F.col("x1") + 5, "_t3": F.col("y1") + 20})
