@@ -87,7 +87,25 @@ def numbered(df: DataFrame, order: list[str], name: str = "number") -> DataFrame
     return rows.withColumn(name, F.col(place) + F.col(before)).drop(part, place, before)
 
 
-def once(df: DataFrame, text: str, **columns: Column) -> DataFrame:
-    """``df`` with columns that are worked out of one text column, for each distinct text once; rows without a text fall away."""
-    parsed = df.select(text).distinct().select(text, *(c.alias(k) for k, c in columns.items()))
-    return df.join(parsed, text)
+#: Distinct texts, and their characters in all, up to which a table of them goes to every task.
+FEW, SHORT = 100_000, 8_000_000
+#: Parts that a text's rows are dealt to where there are more.
+SALTS = 8
+
+
+def once(df: DataFrame, text: str, nulls: bool = False, **columns: Column) -> DataFrame:
+    """``df`` with columns that are worked out of one text column, for each distinct text once; rows without a text fall away, unless ``nulls``.
+
+    The distinct texts are written and counted first. Few ones go to the rows, so that no row is dealt by its text, of which
+    a few may have most rows; of many ones each is dealt in SALTS parts.
+    """
+    texts = df.select(text).distinct() if nulls else df.where(F.col(text).isNotNull()).select(text).distinct()
+    parsed = stored(texts.select(F.col(text).alias("_once"), *(c.alias(k) for k, c in columns.items())), "once")
+    n, size = parsed.agg(F.count("*"), F.coalesce(F.sum(F.length("_once")), F.lit(0))).first()
+    same = F.col(text).eqNullSafe(F.col("_once")) if nulls else F.col(text) == F.col("_once")
+    if n <= FEW and size <= SHORT:
+        return df.join(F.broadcast(parsed), same).drop("_once")
+    rest = [F.col(c) for c in df.columns if c != text]
+    dealt = df.withColumn("_salt", F.pmod(F.xxhash64(*rest), F.lit(SALTS)).cast("int") if rest else F.lit(0))
+    each = parsed.withColumn("_part", F.explode(F.array(*[F.lit(k) for k in range(SALTS)])))
+    return dealt.join(each.hint("merge"), same & (F.col("_salt") == F.col("_part"))).drop("_once", "_salt", "_part")
