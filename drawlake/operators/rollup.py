@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from drawlake.functions import rules as R
-from drawlake.operators.graph import numbered
+from drawlake.operators.graph import numbered, once, stored
 
 Keys = Sequence[str]
 LABELS = [label for _, label in R.HEIGHTS] + [R.HIGHEST]
@@ -193,7 +193,9 @@ def derive_materials(cables: DataFrame, equip: DataFrame, keys: Keys = ("project
     """
     from drawlake.functions.cables import cable_attrs
 
-    a = cables.withColumn("a", cable_attrs(F.col("cable_type")))
+    # types repeat within a project: what they say is worked out of their sums
+    by_type = cables.groupBy(*keys, "cable_type").agg(F.sum("count").alias("count"), F.sum("total_length_m").alias("total_length_m"))
+    a = by_type.withColumn("a", cable_attrs(F.col("cable_type")))
     c = a.groupBy(*keys).agg(F.sum(F.col("count") * F.col("a.conductors")).alias("ends"), F.sum("count").alias("n_cables"), F.sum("total_length_m").alias("m"))
     e = equip.groupBy(*keys).agg(F.sum(F.when(F.col("category").isin("luminaire", "indicator", "socket", "switch"), F.col("count")).otherwise(0)).alias("points"))
     out = c.join(e, list(keys), "left").na.fill(0, ["points"])
@@ -208,7 +210,8 @@ def conduit_by_diameter(cables: DataFrame, keys: Keys = ("project",)) -> DataFra
     """(keys, diameter, length_m, holders): nine tenths of the metres, by the conduit that each section takes."""
     from drawlake.functions.cables import cable_attrs
 
-    m = cables.groupBy(*keys, cable_attrs(F.col("cable_type"))["conduit_mm"].alias("diameter")).agg(F.sum("total_length_m").alias("m"))
+    by_type = cables.groupBy(*keys, "cable_type").agg(F.sum("total_length_m").alias("total_length_m"))
+    m = by_type.groupBy(*keys, cable_attrs(F.col("cable_type"))["conduit_mm"].alias("diameter")).agg(F.sum("total_length_m").alias("m"))
     length = F.bround(F.col("m") * 0.9)
     return m.select(*keys, "diameter", length.cast("long").alias("length_m"), F.ceil(length / 0.8).cast("long").alias("holders"))
 
@@ -306,18 +309,25 @@ def assemble_bill(equip: DataFrame, cables: DataFrame, keys: Keys = ("project",)
     from drawlake.functions.cables import cable_attrs
     from drawlake.functions.text import map_work
 
-    w = map_work(F.col("name"))
+    # names and cable types repeat over projects: what they say is worked out once
+    w, a = F.col("_w"), F.col("_a")
     order = F.create_map(*[F.lit(x) for k, label in enumerate(LABELS) for x in (label, k)])
-    e = equip.where("count > 0").select(*keys, F.lit(1).alias("part"), F.col("category").alias("section"), F.try_element_at(order, F.col("height")).alias("rank"), F.concat_ws(" на высоте ", w["work"], F.col("height")).alias("work"), w["unit"].alias("unit"), F.col("name").alias("material"), F.col("count").cast("long").alias("qty"))
-    a = cable_attrs(F.col("cable_type"))
+    equip = stored(equip.where("count > 0").select(*keys, "category", "name", "height", "count"), "bill-equip")
+    named = once(equip, "name", nulls=True, _w=map_work(F.col("name")))
+    e = named.select(*keys, F.lit(1).alias("part"), F.col("category").alias("section"), F.try_element_at(order, F.col("height")).alias("rank"), F.concat_ws(" на высоте ", w["work"], F.col("height")).alias("work"), w["unit"].alias("unit"), F.col("name").alias("material"), F.col("count").cast("long").alias("qty"))
     where = F.coalesce(F.nullif(F.col("method"), F.lit("")), F.lit("открыто"))
     klass = F.when(F.contains(where, F.lit("лотке")), a["mass_class"]).otherwise(a["section_class"])
-    c = cables.where("length_m > 0").select(*keys, F.lit(2).alias("part"), a["normal_brand"].alias("section"), F.lit(0).alias("rank"), F.concat_ws(" ", F.lit("Прокладка кабеля"), where, klass).alias("work"), F.lit("м").alias("unit"), a["material"].alias("material"), F.col("length_m").cast("long").alias("qty"))
+    cables = stored(cables.where("length_m > 0").select(*keys, "cable_type", "method", "length_m"), "bill-cables")
+    typed = once(cables, "cable_type", nulls=True, _a=cable_attrs(F.col("cable_type")))
+    c = typed.select(*keys, F.lit(2).alias("part"), a["normal_brand"].alias("section"), F.lit(0).alias("rank"), F.concat_ws(" ", F.lit("Прокладка кабеля"), where, klass).alias("work"), F.lit("м").alias("unit"), a["material"].alias("material"), F.col("length_m").cast("long").alias("qty"))
     rows = e.unionByName(c)
-    works = rows.groupBy(*keys, "part", "section", "rank", "work", "unit").agg(F.sum("qty").alias("qty"))
-    works = works.withColumn("number", F.row_number().over(Window.partitionBy(*keys).orderBy("part", "section", "rank", "work", "unit")))
-    materials = rows.groupBy(*keys, "part", "section", "rank", "work", "unit", "material").agg(F.sum("qty").alias("qty"))
-    materials = materials.join(works.select(*keys, "part", "section", "rank", "work", "unit", "number"), [*keys, "part", "section", "rank", "work", "unit"])
-    top = works.select(*keys, "number", F.lit(0).alias("line"), "section", F.col("work").alias("name"), "unit", "qty")
-    sub = materials.select(*keys, "number", F.row_number().over(Window.partitionBy(*keys, "number").orderBy("material")).alias("line"), "section", F.col("material").alias("name"), "unit", "qty")
-    return top.unionByName(sub)
+    # one shuffle serves sums, numbers and lines
+    place = ["part", "section", "rank", "work", "unit"]
+    lines = rows.repartition(*keys).groupBy(*keys, *place, "material").agg(F.sum("qty").alias("qty"))
+    lines = lines.withColumn("number", F.dense_rank().over(Window.partitionBy(*keys).orderBy(*place)))
+    own = Window.partitionBy(*keys, "number")
+    lines = lines.withColumns({"line": F.row_number().over(own.orderBy("material")), "total": F.sum("qty").over(own)})
+    one = lambda line, name, qty: F.struct(line.alias("line"), F.col(name).alias("name"), F.col(qty).alias("qty"))
+    top, sub = one(F.lit(0), "work", "total"), one(F.col("line"), "material", "qty")
+    lines = lines.select(*keys, "number", "section", "unit", F.explode(F.when(F.col("line") == 1, F.array(top, sub)).otherwise(F.array(sub))).alias("_r"))
+    return lines.select(*keys, "number", "_r.line", "section", "_r.name", "unit", "_r.qty")

@@ -1,6 +1,8 @@
 """Steps that must not grow faster than their input: what they deal, compare or broadcast, and that results stay the same."""
 
-from drawlake.operators import compare, iterative, schedules, sequences, spatial
+from pyspark.sql import functions as F
+
+from drawlake.operators import compare, graph, iterative, rollup, schedules, sequences, spatial
 
 
 def test_routes_hang_equal_ends_on_one(spark, monkeypatch):
@@ -66,3 +68,26 @@ def test_panels_told_apart_by_seq_alone(spark):
     rows = lambda **more: sorted((r.file_id, r.feed, r.circuit_count) for r in schedules.panel_details(found, words, cells, **more).collect())
     assert rows() == [(1, "н1 ППГнг що-1", 3), (2, "н2 ППГнг що-1", 1)]
     assert rows(ids=("seq",)) == [(f, "н2 ППГнг що-1", 3) for f in (1, 1, 2, 2)]
+
+
+def test_rows_are_not_dealt_by_their_text(spark, monkeypatch):
+    """Of few texts each has many rows: they stay where they are; of many texts a frequent one is dealt in parts."""
+    df = spark.range(200).selectExpr("id", "CASE WHEN id % 50 = 0 THEN NULL WHEN id < 150 THEN 'hot' ELSE concat('t', id) END AS text")
+    for few in (graph.FEW, 3):
+        monkeypatch.setattr(graph, "FEW", few)
+        got = graph.once(df, "text", n=F.length("text"))
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert ("strategy=broadcast" in plan) == (few > 3) and ("_salt" in plan) == (few == 3)
+        assert {(r.id, r.n) for r in got.collect()} == {(i, 3 if i < 150 else 4) for i in range(200) if i % 50}
+        kept = graph.once(df, "text", nulls=True, n=F.coalesce(F.length("text"), F.lit(-1))).collect()
+        assert len(kept) == 200 and {r.n for r in kept if r.id % 50 == 0} == {-1}
+
+
+def test_bill_reads_a_name_once(spark):
+    """Works are told from distinct names, and an item whose height is unknown keeps its material row."""
+    equip = spark.createDataFrame([(p, "socket", "Розетка 1", h, 2) for p in range(40) for h in ("до 5 метров", None)], "project int, category string, name string, height string, count int")
+    cables = spark.createDataFrame([(p, "ППГнг(А)-HF 3×1,5", "в лотке", 9) for p in range(40)], "project int, cable_type string, method string, length_m int")
+    got = rollup.assemble_bill(equip, cables)
+    assert "RLIKE" not in got._jdf.queryExecution().optimizedPlan().toString()
+    rows = [(r.number, r.line, r.qty) for r in got.where("project = 7").collect()]
+    assert sorted(rows) == [(n, line, q) for n, q in ((1, 2), (2, 2), (3, 9)) for line in (0, 1)]
