@@ -307,7 +307,7 @@ def near_candidates(left: DataFrame, right: DataFrame, keys: Keys, k: int, metri
 def nearest(left: DataFrame, right: DataFrame, keys: Keys, radius: float | None = None, metric: str = "l2", seq: str = "seq", x: str = "x", y: str = "y", k: int = 1) -> DataFrame:
     """For each left row its k nearest right rows (ties: the smaller seq): l_* and r_* columns and dist; rows without one are left out.
 
-    Without a radius drawings of up to SMALL right rows compare all of them; in others rings of cells find the
+    Without a radius drawings of up to SMALL right rows compare all of them as a list; in others rings of cells find the
     candidates (``near_candidates``). Rows without coordinates are near nothing.
     """
     if radius is not None:
@@ -325,7 +325,7 @@ def nearest(left: DataFrame, right: DataFrame, keys: Keys, radius: float | None
             a, b = a.withColumns(here), b.withColumns(there)
             pairs = a.join(places, [*keys, "_x", "_y"]).join(b, [*keys, "_rx", "_ry"]).select(*(c for c in [*a.columns, *b.columns[len(keys):]] if c not in ("_x", "_y", "_rx", "_ry")), dist)
         else:
-            pairs = a.join(b, list(keys)).select("*", dist)
+            return _nearest_of_few(a, b, keys, metric, seq, x, y, k)
     rest = [c for c in pairs.columns if c not in keys]
     if k > 1:
         order = Window.partitionBy(*keys, f"l_{seq}").orderBy("dist", f"r_{seq}")
@@ -334,6 +334,19 @@ def nearest(left: DataFrame, right: DataFrame, keys: Keys, radius: float | None
     return best.select(*keys, "_m.*")
 
 
+def _nearest_of_few(a: DataFrame, b: DataFrame, keys: Keys, metric: str, seq: str, x: str, y: str, k: int) -> DataFrame:
+    """``nearest`` in drawings of up to SMALL right rows: these travel as one list, so that no pair is made or sorted."""
+    own = [c for c in b.columns if c not in keys]
+    lists = b.groupBy(*keys).agg(F.collect_list(F.struct(*own)).alias("_b"))
+    gap = lambda r: _gap(metric, F.abs(F.col(f"l_{x}") - r[f"r_{x}"]), F.abs(F.col(f"l_{y}") - r[f"r_{y}"]))
+    each = F.transform("_b", lambda r, i: F.struct(gap(r).alias("dist"), r[f"r_{seq}"].alias("seq"), i.alias("i")))
+    best = F.array(F.array_min(each)) if k == 1 else F.slice(F.array_sort(each), 1, k)
+    left = [c for c in a.columns if c not in keys]
+    out = a.join(lists, list(keys)).withColumn("_p", best).select(*keys, *left, "_b", F.posexplode("_p").alias("_n", "_m"))
+    out = out.withColumn("_r", F.get("_b", F.col("_m.i"))).select(*keys, *left, *(F.col(f"_r.{c}").alias(c) for c in own), F.col("_m.dist").alias("dist"), (F.col("_n") + 1).alias("place"))
+    return out if k > 1 else out.drop("place")
+
+
 def sheets(legends: DataFrame, keys: Keys = ("file_id",)) -> DataFrame:
     """Sheets of a drawing: borders half-way between neighbouring legends, 40000 beyond the outer ones."""
     w = Window.partitionBy(*keys).orderBy("x", "seq")

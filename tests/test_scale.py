@@ -91,3 +91,16 @@ def test_bill_reads_a_name_once(spark):
     assert "RLIKE" not in got._jdf.queryExecution().optimizedPlan().toString()
     rows = [(r.number, r.line, r.qty) for r in got.where("project = 7").collect()]
     assert sorted(rows) == [(n, line, q) for n, q in ((1, 2), (2, 2), (3, 9)) for line in (0, 1)]
+
+
+def test_nearest_of_few_makes_no_pairs(spark):
+    """Each left row meets its drawing's few right rows as one list; ties go to the smaller seq, also for the k nearest."""
+    a = spark.range(90).selectExpr("id % 3 AS file_id", "id AS seq", "id * 1.0D AS x", "5.0D AS y")
+    b = spark.range(60).selectExpr("id % 3 AS file_id", "99 - id AS seq", "id DIV 3 * 4.0D AS x", "5.0D AS y").where("file_id < 2")
+    right = [tuple(r) for r in b.collect()]
+    for k in (1, 3):
+        got = spatial.nearest(a, b, ["file_id"], metric="l1", k=k)
+        want = {(r.seq, n + 1, *m) for r in a.collect() for n, m in enumerate(sorted((abs(r.x - x), s) for f, s, x, _ in right if f == r.file_id)[:k])}
+        assert {(r.l_seq, r.place if k > 1 else 1, r.dist, r.r_seq) for r in got.collect()} == want
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert "min_by" not in plan and "row_number" not in plan
