@@ -226,16 +226,30 @@ def enrich_annotations(annotations: DataFrame, legend: DataFrame, keys: Keys = (
     used once: annotations choose in their order, of equal entries the first. The others keep their names; entries that
     nobody chose come with 0, but for those that aren't counted.
     """
-    from drawlake.operators.iterative import greedy_match
+    from drawlake.operators.iterative import serial_match
 
     words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("([a-z]+|[0-9]+)"), F.lit(1)))
     a = annotations.select(*keys, F.col("seq").alias("a_seq"), words("name").alias("ta")).where(F.size("ta") >= 3)
     b = legend.select(*keys, F.col("seq").alias("b_seq"), words("description").alias("tb"))
-    # entries are found by a shared word, not by the drawing
-    shared = a.select(*keys, "a_seq", "ta", F.explode("ta").alias("_t")).join(b.select(*keys, "b_seq", "tb", F.explode("tb").alias("_t")), [*keys, "_t"]).groupBy(*keys, "a_seq", "b_seq").agg(F.count("*").alias("_c"), F.first("ta").alias("ta"), F.first("tb").alias("tb"))
+    # equal texts are compared once; an entry is found by the number that fewest entries have or, for want of one, by those
+    # rarest words of which it must share one
+    ta, tb = a.select(*keys, "ta").distinct(), b.select(*keys, "tb").distinct()
+    with_words = tb.select(*keys, "tb", F.explode("tb").alias("_t"))
+    often = with_words.groupBy(*keys, "_t").agg(F.count("*").alias("_n"))
+    number = F.col("_t").rlike("^[0-9]{2,}$")
+    ranked = ta.select(*keys, "ta", F.explode("ta").alias("_t")).join(often, [*keys, "_t"], "left").withColumns({"_n": F.coalesce("_n", F.lit(0)), "_is": number})
+    own = Window.partitionBy(*keys, "ta")
+    ranked = ranked.withColumns({"_place": F.row_number().over(own.orderBy(F.desc("_is"), "_n", "_t")), "_any": F.max("_is").over(own)})
+    probes = F.when(F.col("_any"), 1).otherwise(F.size("ta") - F.ceil(F.size("ta") * least - 1e-9) + 1)
+    met = ranked.where(F.col("_place") <= probes).select(*keys, "ta", "_t").join(with_words, [*keys, "_t"]).select(*keys, "ta", "tb").distinct()
+    share = F.size(F.array_intersect("ta", "tb")) / F.size("ta")
     numbers = F.filter("ta", lambda w: w.rlike("^[0-9]{2,}$"))
-    fits = shared.where((F.size(F.array_except(numbers, "tb")) == 0) & (F.col("_c") / F.size("ta") >= least))
-    taken = greedy_match(fits.select(*keys, "a_seq", "b_seq", F.struct("a_seq", (-(F.col("_c") / F.size("ta"))).alias("s")).alias("_d")), keys, "a_seq", "b_seq", "_d").select(*keys, "a_seq", "b_seq")
+    alike = met.where((F.size(F.array_except(numbers, "tb")) == 0) & (share >= least)).select(*keys, "ta", "tb", share.alias("_share"))
+    # the k-th annotation of one set of words can't get any of the first k - 1 entries of its list
+    a = a.withColumn("_k", F.row_number().over(Window.partitionBy(*keys, "ta").orderBy("a_seq")))
+    fits = a.join(alike.hint("merge"), [*keys, "ta"]).join(b.hint("merge"), [*keys, "tb"])
+    fits = fits.select(*keys, "a_seq", "b_seq", "_k", F.row_number().over(Window.partitionBy(*keys, "a_seq").orderBy(F.desc("_share"), "b_seq")).alias("_p")).where("_p >= _k")
+    taken = serial_match(fits, keys, "a_seq", "b_seq", "_p")
     named = legend.select(*keys, F.col("seq").alias("b_seq"), F.col("symbol").alias("_symbol"), "description")
     own = annotations.withColumnRenamed("seq", "a_seq").join(taken, [*keys, "a_seq"], "left").join(named, [*keys, "b_seq"], "left")
     own = own.select(*keys, "a_seq", "b_seq", F.coalesce("_symbol", F.lit("")).alias("symbol"), F.coalesce("description", "name").alias("name"), F.col("count").cast("long").alias("count"))

@@ -30,6 +30,21 @@ def greedy_match(pairs: DataFrame, group: Keys, left: str, right: str, dist: str
     return live if taken is None else taken
 
 
+def serial_match(pairs: DataFrame, group: Keys, left: str, right: str, place: str) -> DataFrame:
+    """One-to-one pairs as left rows in their order choose what is left of their lists, by ``place``: (group, left, right).
+
+    In each round all left rows ask for the best on their lists at once, and a right row strikes itself off the lists of all that
+    come after the first that asks: whom it gets in the end is that one or an earlier one. Rounds end when no two ask for one.
+    """
+    live = checkpointed(pairs.select(*group, left, right, place))
+    while True:
+        asked = checkpointed(live.groupBy(*group, left).agg(F.min_by(right, place).alias(right)))
+        first = asked.groupBy(*group, right).agg(F.min(left).alias("_first"))
+        if first.count() == asked.count():
+            return asked.select(*group, left, right)
+        live = checkpointed(live.join(first, [*group, right], "left").where(F.col("_first").isNull() | (F.col(left) <= F.col("_first"))).drop("_first"))
+
+
 def suppressed(conflicts: DataFrame, keys: Keys, better: str = "better", worse: str = "worse") -> DataFrame:
     """(keys, id) of rows that a kept row suppresses; ``conflicts`` holds (keys, better, worse)."""
     live, gone = checkpointed(conflicts.select(*keys, F.col(better).alias("b"), F.col(worse).alias("w")).distinct()), None

@@ -104,3 +104,21 @@ def test_nearest_of_few_makes_no_pairs(spark):
         assert {(r.l_seq, r.place if k > 1 else 1, r.dist, r.r_seq) for r in got.collect()} == want
         plan = got._jdf.queryExecution().optimizedPlan().toString()
         assert "min_by" not in plan and "row_number" not in plan
+
+
+def test_serial_choice_in_few_rounds(spark, monkeypatch):
+    """All may want all, yet rounds are few; the pairs are those of rows that choose one after another."""
+    import random
+
+    rnd, rounds = random.Random(3), []
+    own = iterative.checkpointed
+    monkeypatch.setattr(iterative, "checkpointed", lambda df: rounds.append(1) or own(df))
+    lists = {(g, a): rnd.sample(range(40), 40 if g else 3) for g in range(2) for a in range(30)}
+    rows = [(g, a, b, p) for (g, a), bs in lists.items() for p, b in enumerate(bs)]
+    got = iterative.serial_match(spark.createDataFrame(rows, "g int, a int, b int, p int"), ["g"], "a", "b", "p")
+    want, taken = set(), set()
+    for (g, a), bs in sorted(lists.items()):
+        b = next((b for b in bs if (g, b) not in taken), None)
+        taken.add((g, b))
+        want |= {(g, a, b)} if b is not None else set()
+    assert {tuple(r) for r in got.collect()} == want and len(rounds) < 40
