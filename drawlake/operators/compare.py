@@ -31,25 +31,30 @@ def alike_candidates(left: DataFrame, right: DataFrame, keys: Keys, threshold: f
     """(keys, left, right, l_text, r_text): all pairs whose ``seq_ratio`` may reach ``threshold``, of (keys, left, l_text) and (keys, right, r_text).
 
     The characters that two texts match are at most those that they share as multisets, and at least threshold / 2 of both
-    lengths must match. So a text of n characters shares threshold / (2 - threshold) of them, whatever the other's length: all
-    but that many of its characters (each with its how-manieth), rarest first, must meet one of the other's. No pair is
-    lost, as matching blocks may be single characters, which longer grams would miss.
+    lengths must match. Nearly all texts of a bill share that many, so that no index by characters spares comparisons, as single
+    characters may match. But drawings share texts: of all that meet in one, each pair of texts is told once.
     """
-    share = threshold / (2 - threshold)
+    met = _met_texts(left, right, keys, threshold)
+    return _with_texts(left, right, keys, met).select(*keys, "left", "right", "l_text", "r_text")
 
-    def grams(df, side, text):
+
+def _met_texts(left: DataFrame, right: DataFrame, keys: Keys, threshold: float) -> DataFrame:
+    """Distinct (l_text, r_text) that meet under some key and share enough characters."""
+    shorter, both = F.least(F.length("l_text"), F.length("r_text")), F.length("l_text") + F.length("r_text")
+    texts = [df.where(F.length(c) > 0).select(*keys, c).distinct() for df, c in ((left, "l_text"), (right, "r_text"))]
+    met = texts[0].join(texts[1], list(keys)).where(shorter >= threshold / 2 * both - 1e-9).select("l_text", "r_text").distinct()
+
+    def marked(df, text, name):
         chars = F.sort_array(F.split(text, ""))
-        own = F.transform(chars, lambda c, i: F.concat(c, (i + 2 - F.array_position(chars, c)).cast("string")))
-        return df.where(F.length(text) > 0).select(*keys, side, text, own.alias("_all"))
+        return df.select(text).distinct().select(text, F.transform(chars, lambda c, i: F.concat(c, (i + 2 - F.array_position(chars, c)).cast("string"))).alias(name))
+
+    pairs = met.join(marked(texts[0], "l_text", "_all"), "l_text").join(marked(texts[1], "r_text", "_other"), "r_text")
+    return pairs.where(F.size(F.array_intersect("_all", "_other")) >= threshold / 2 * (F.size("_all") + F.size("_other")) - 1e-9).select("l_text", "r_text")
 
-    a, b = grams(left, "left", "l_text"), grams(right, "right", "r_text")
-    each = a.select(*keys, F.lit("l").alias("_s"), F.col("left").alias("_id"), F.size("_all").alias("_n"), F.explode("_all").alias("_g")).unionByName(b.select(*keys, F.lit("r").alias("_s"), F.col("right").alias("_id"), F.size("_all").alias("_n"), F.explode("_all").alias("_g")))
-    rare = each.join(each.groupBy(*keys, "_g").agg(F.count("*").alias("_c")), [*keys, "_g"])
-    rare = rare.withColumn("_p", F.row_number().over(Window.partitionBy(*keys, "_s", "_id").orderBy("_c", "_g"))).where(F.col("_p") <= F.col("_n") - F.ceil(F.col("_n") * share - 1e-9) + 1)
-    first = lambda side, name: rare.where(F.col("_s") == side).select(*keys, "_g", F.col("_id").alias(name))
-    met = first("l", "left").join(first("r", "right"), [*keys, "_g"]).select(*keys, "left", "right").distinct()
-    pairs = met.join(a, [*keys, "left"]).join(b.withColumnRenamed("_all", "_other"), [*keys, "right"])
-    return pairs.where(F.size(F.array_intersect("_all", "_other")) >= threshold / 2 * (F.size("_all") + F.size("_other")) - 1e-9).select(*keys, "left", "right", "l_text", "r_text")
+
+def _with_texts(left: DataFrame, right: DataFrame, keys: Keys, texts: DataFrame) -> DataFrame:
+    """Rows of both sides under one key whose texts are a row of ``texts`` (l_text, r_text, more)."""
+    return left.join(right, list(keys)).join(texts, ["l_text", "r_text"])
 
 
 def reconcile(generated: DataFrame, reference: DataFrame, threshold: float = 0.45, keys: Keys = ("case",)) -> DataFrame:
@@ -58,20 +63,26 @@ def reconcile(generated: DataFrame, reference: DataFrame, threshold: float = 0.4
 
     ``generated``: (keys, name, total); ``reference``: (keys, name, qty). Status: matched, quantity, missing, extra.
     """
-    from drawlake.operators.iterative import greedy_match
+    from drawlake.operators.graph import once, stored
+    from drawlake.operators.iterative import serial_match
 
     def numbered(df, q, side):
-        rows = df.groupBy(*keys, bill_key(F.col("name")).alias(f"{side}_key")).agg(F.min("name").alias(f"{side}_name"), F.sum(F.col(q).cast("double")).alias(f"{side}_qty"))
+        rows = once(df, "name", nulls=True, _key=bill_key(F.col("name")))
+        rows = rows.groupBy(*keys, F.col("_key").alias(f"{side}_key")).agg(F.min("name").alias(f"{side}_name"), F.sum(F.col(q).cast("double")).alias(f"{side}_qty"))
         return rows.withColumn(side, F.row_number().over(Window.partitionBy(*keys).orderBy(f"{side}_name", f"{side}_key")))
 
-    g, r = numbered(generated, "total", "gen"), numbered(reference, "qty", "ref")
+    g, r = stored(numbered(generated, "total", "gen"), "gen"), stored(numbered(reference, "qty", "ref"), "ref")
     exact = r.withColumnRenamed("ref_key", "key").join(g.withColumnRenamed("gen_key", "key"), [*keys, "key"]).select(*keys, "ref", "gen", F.lit(1.0).alias("score"))
     g2, r2 = g.join(exact.select(*keys, "gen"), [*keys, "gen"], "left_anti"), r.join(exact.select(*keys, "ref"), [*keys, "ref"], "left_anti")
-    close = alike_candidates(r2.select(*keys, F.col("ref").alias("left"), F.col("ref_key").alias("l_text")), g2.select(*keys, F.col("gen").alias("right"), F.col("gen_key").alias("r_text")), keys, threshold)
+    # of the earlier rows each takes one, so that the k-th has one left among its k most similar
+    left = r2.select(*keys, "ref", F.col("ref_key").alias("l_text"), F.row_number().over(Window.partitionBy(*keys).orderBy("ref")).alias("_k"))
+    right = g2.select(*keys, "gen", F.col("gen_key").alias("r_text"))
     # projects share names: each pair of texts is compared once
-    alike = close.select("l_text", "r_text").distinct().withColumn("score", seq_ratio("l_text", "r_text")).where(F.col("score") >= threshold)
-    scored = close.join(alike, ["l_text", "r_text"]).select(*keys, F.col("left").alias("ref"), F.col("right").alias("gen"), "score")
-    fuzzy = greedy_match(scored.withColumn("_d", F.struct("ref", -F.col("score"))), keys, "ref", "gen", "_d").select(*keys, "ref", "gen", "score")
+    alike = stored(_met_texts(left, right, keys, threshold).repartition("l_text", "r_text").withColumn("score", seq_ratio("l_text", "r_text")).where(F.col("score") >= threshold), "alike")
+    scored = _with_texts(left, right, keys, alike).select(*keys, "ref", "gen", "score", "_k")
+    scored = scored.withColumn("_p", F.row_number().over(Window.partitionBy(*keys, "ref").orderBy(F.desc("score"), "gen"))).where("_p <= _k").drop("_k")
+    scored = stored(scored, "scored")
+    fuzzy = scored.join(serial_match(scored, keys, "ref", "gen", "_p"), [*keys, "ref", "gen"]).select(*keys, "ref", "gen", "score")
     pairs = exact.unionByName(fuzzy)
     out = r.join(pairs, [*keys, "ref"], "left").join(g.drop("gen_key"), [*keys, "gen"], "full_outer")
     status = F.when(F.col("gen").isNull(), "missing").when(F.col("ref").isNull(), "extra").when(F.abs(F.col("ref_qty") - F.col("gen_qty")) >= 0.01, "quantity").otherwise("matched")
