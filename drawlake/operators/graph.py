@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 import tempfile
 import uuid
@@ -87,6 +88,15 @@ def numbered(df: DataFrame, order: list[str], name: str = "number") -> DataFrame
     return rows.withColumn(name, F.col(place) + F.col(before)).drop(part, place, before)
 
 
+#: Rows of a part that one task groups or sorts: some 50 MB in each of its steps.
+PART = 250_000
+
+
+def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """``df`` of so many rows dealt by keys in parts that don't grow with it: their number does."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, math.ceil(rows / PART)), *keys)
+
+
 #: Distinct texts, and their characters in all, up to which a table of them goes to every task.
 FEW, SHORT = 100_000, 8_000_000
 #: Parts that a text's rows are dealt to where there are more.

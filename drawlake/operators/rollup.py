@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from drawlake.functions import rules as R
-from drawlake.operators.graph import numbered, once, stored
+from drawlake.operators.graph import dealt, numbered, once, stored
 
 Keys = Sequence[str]
 LABELS = [label for _, label in R.HEIGHTS] + [R.HIGHEST]
@@ -16,18 +16,21 @@ LABELS = [label for _, label in R.HEIGHTS] + [R.HIGHEST]
 MIDDLES = dict(zip(LABELS, (2.5, 9.0, 16.5, 27.5)))
 
 
-def merge_elevations(equip: DataFrame, project: str = "project", pair: tuple[str, str] | None = None) -> DataFrame:
+def merge_elevations(equip: DataFrame, project: str = "project", pair: tuple[str, str] | None = None, rows: int | None = None) -> DataFrame:
     """Equipment over overlapping plans: by name and elevation the plan type with the largest total, then sums by height class.
 
     Needs (project, plan_type, elevation, name, category, count). Rows without an elevation join the project's only
     elevation if it has just one. With ``pair`` (and a column seq) plans of these two types that lack their counterpart first
-    join one of their height class that has it (``pair_orphans``).
+    join one of their height class that has it (``pair_orphans``). ``rows``, how many there are, is counted where it isn't given.
     """
     from drawlake.functions.text import height_category
 
     equip = equip if pair is None else pair_orphans(equip, (project,), pair)
-    own = equip.groupBy(project).agg(F.min("elevation").alias("_lo"), F.max("elevation").alias("_hi"))
-    e = equip.join(own, project).withColumn("elevation", F.coalesce("elevation", F.when(F.col("_lo") == F.col("_hi"), F.col("_lo"))))
+    # only rows without an elevation meet their project's
+    own = equip.groupBy(project).agg(F.min("elevation").alias("_lo"), F.max("elevation").alias("_hi")).where("_lo = _hi").select(project, "_lo")
+    bare = equip.where("elevation is null").join(own, project, "left").withColumn("elevation", F.col("_lo")).select(*equip.columns)
+    e = equip.where("elevation is not null").unionByName(bare)
+    e = dealt(e, equip.count() if rows is None else rows, project, "category", "name")
     by_plan = e.groupBy(project, "elevation", "category", "name", "plan_type").agg(F.sum("count").cast("long").alias("count"))
     most = by_plan.groupBy(project, "elevation", "category", "name").agg(F.max("count").alias("count"))
     height = F.coalesce(height_category(F.col("elevation")), F.lit(LABELS[0]))

@@ -15,7 +15,7 @@ from drawlake.functions import cables as C
 from drawlake.functions import rules as R
 from drawlake.functions import text as T
 from drawlake.operators import compare, counting, iterative, rollup, schedules, sequences, spatial
-from drawlake.operators.graph import once, shared_dir
+from drawlake.operators.graph import dealt, once, shared_dir
 from drawlake.sources import drawings
 from drawlake.streaming import ingest
 
@@ -382,7 +382,10 @@ def e26_color_palette(spark, sf_dir):
 @query(f"""WITH e AS (SELECT *, {CLASS} AS category FROM {E}), p AS (SELECT project, elevation, category, name, plan_type, sum(count) AS count FROM e GROUP BY ALL), m AS (SELECT project, elevation, category, name, max(count) AS count FROM p GROUP BY ALL)
 SELECT project, {HEIGHT} AS height, category, name, sum(count)::BIGINT AS count FROM m GROUP BY ALL""")
 def e10_merge_elevations(spark, sf_dir):
-    return rollup.merge_elevations(once(equipment(spark, sf_dir), "name", category=T.classify_equipment(F.col("name"))))
+    parts = once(read(spark, sf_dir, "part").selectExpr("*", f"{NAME} AS name"), "name", category=T.classify_equipment(F.col("name")))
+    li = read(spark, sf_dir, "lineitem")
+    e = li.join(parts, F.col("l_partkey") == F.col("p_partkey")).selectExpr("name", "category", *_split(EQUIPMENT)[1:])
+    return rollup.merge_elevations(e, rows=li.count())
 
 
 @query(f"""WITH e AS (SELECT *, {CLASS} AS category FROM {E}), p AS (SELECT project, elevation, category, name, plan_type, sum(count) AS count FROM e GROUP BY ALL), m AS (SELECT project, elevation, category, name, max(count) AS count FROM p GROUP BY ALL), h AS (SELECT project, {PLAIN} AS name, category, elevation, count FROM m)

@@ -122,3 +122,17 @@ def test_serial_choice_in_few_rounds(spark, monkeypatch):
         taken.add((g, b))
         want |= {(g, a, b)} if b is not None else set()
     assert {tuple(r) for r in got.collect()} == want and len(rounds) < 40
+
+
+def test_elevations_in_parts_of_so_many_rows(spark, monkeypatch):
+    """A task's rows are as many in a larger table, and only rows without an elevation meet their project's."""
+    monkeypatch.setattr(graph, "PART", 50)
+    rows = [(p, f"s{k % 2}", float(k % 3) if p < 19 else 7.0, f"n{k % 9}", "socket", 1) for p in range(20) for k in range(60)] + [(p, "s0", None, "n0", "socket", 5) for p in (18, 19)]
+    df = spark.createDataFrame(rows, "project int, plan_type string, elevation double, name string, category string, count int")
+    for given in (None, len(rows)):
+        got = rollup.merge_elevations(df, rows=given)
+        assert got.rdd.getNumPartitions() >= len(rows) / 50
+        sums = {(r.project, r.height, r.name): r["count"] for r in got.collect()}
+        low, next_ = rollup.LABELS[:2]
+        # the project of one elevation takes its loose row there: 4 of s0 and 3 of s1 have the name n0; elsewhere it stays apart
+        assert sums[19, next_, "n0"] == 9 and (19, low, "n0") not in sums and sums[18, low, "n0"] == sums[0, low, "n0"] + 5
