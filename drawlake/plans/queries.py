@@ -543,7 +543,8 @@ def a5_reference_bill(spark, sf_dir):
 @query("""WITH t AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey) AS n FROM lineitem)
 SELECT l_suppkey AS file_id, n * 3 AS seq, l_returnflag AS name, cast(l_quantity AS INT) AS qty FROM t""")
 def a6_bill_from_lines(spark, sf_dir):
-    li = read(spark, sf_dir, "lineitem").withColumn("n", F.expr("row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey)"))
+    li = read(spark, sf_dir, "lineitem")
+    li = dealt(li, li.count() * 3, "l_suppkey").withColumn("n", F.expr("row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey)"))
     lines = li.select(F.col("l_suppkey").alias("file_id"), F.posexplode(F.array("l_returnflag", F.lit("шт"), F.col("l_quantity").cast("int").cast("string"))).alias("k", "text"), "n")
     return drawings.bill_from_lines(lines.select("file_id", (F.col("n") * 3 + F.col("k")).alias("seq"), "text"))
 

@@ -111,9 +111,8 @@ def bill_from_lines(lines: DataFrame, keys: Sequence[str] = ("file_id",)) -> Dat
     t = lines.select(*keys, "seq", F.trim("text").alias("name"), F.lower(F.trim(F.lead("text", 1).over(w))).alias("u"), F.trim(F.lead("text", 2).over(w)).alias("q"), F.row_number().over(w).alias("n"))
     hit = t.where(F.col("u").isin("шт", "шт.") & F.col("q").rlike("^[0-9]+$") & (F.col("name") != ""))
     # matches that start two lines apart share a line: of such a chain every other one holds
-    h = Window.partitionBy(*keys).orderBy("n")
-    hit = hit.withColumn("_new", F.when(F.col("n") - F.lag("n").over(h) == 2, 0).otherwise(1)).withColumn("_run", F.sum("_new").over(h.rowsBetween(Window.unboundedPreceding, 0)))
-    hit = hit.withColumn("_k", F.row_number().over(Window.partitionBy(*keys, "_run").orderBy("n"))).where("_k % 2 = 1")
+    hit = hit.withColumn("_from", F.when(F.coalesce(F.col("n") - F.lag("n").over(w), F.lit(0)) != 2, F.col("n")))
+    hit = hit.withColumn("_from", F.max("_from").over(w.rowsBetween(Window.unboundedPreceding, 0))).where("(n - _from) % 4 = 0")
     return hit.select(*keys, "seq", "name", F.col("q").cast("int").alias("qty"))
 
 

@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from drawlake.operators import compare, graph, iterative, rollup, schedules, sequences, spatial
+from drawlake.operators import compare, graph, iterative, legends, rollup, schedules, sequences, spatial, tables
+from drawlake.sources import drawings
 
 
 def test_routes_hang_equal_ends_on_one(spark, monkeypatch):
@@ -136,3 +137,13 @@ def test_elevations_in_parts_of_so_many_rows(spark, monkeypatch):
         low, next_ = rollup.LABELS[:2]
         # the project of one elevation takes its loose row there: 4 of s0 and 3 of s1 have the name n0; elsewhere it stays apart
         assert sums[19, next_, "n0"] == 9 and (19, low, "n0") not in sums and sums[18, low, "n0"] == sums[0, low, "n0"] + 5
+
+
+def test_lines_are_sorted_once(spark):
+    """Names, units and numbers follow one another in one order; of matches that share a line every other one holds."""
+    lines = ["a", "шт", "2", "шт", "3", "шт", "4", "b", "шт.", "5", "", "шт", "6", "c", "шт", "x", "d", "шт", "7"]
+    df = spark.createDataFrame([(f, 10 * i, text) for f in range(3) for i, text in enumerate(lines)], "file_id int, seq int, text string")
+    got = drawings.bill_from_lines(df)
+    assert got._jdf.queryExecution().executedPlan().toString().count("Sort [") == 1
+    want = {(f, *r) for f in range(3) for r in ((0, "a", 2), (40, "3", 4), (70, "b", 5), (160, "d", 7))}
+    assert {tuple(r) for r in got.collect()} == want
