@@ -59,7 +59,7 @@ def box_join(left: DataFrame, right: DataFrame, keys: Keys, left_box: Sequence[s
     """All pairs of a left and a right row of a drawing whose boxes (x0, y0, x1, y1; a point twice) meet, borders included.
 
     The column names of the two may only share ``keys``. A box lies in at most four cells of its own size. Pairs meet in
-    the cells of the larger box: each side goes to its own size and to those larger ones that the other side has, and
+    the cells of the larger box: each side goes to its own size, where the other has boxes as small, and to those larger ones that the other side has, and
     of the cells that two boxes share only the one at the lower corner of what they share reports them.
     """
     def level(box):
@@ -69,7 +69,8 @@ def box_join(left: DataFrame, right: DataFrame, keys: Keys, left_box: Sequence[s
     def dealt(df, box, name, others):
         known = F.array(*[F.lit(x) for x in others]) if others else F.array().cast("array<int>")
         own = level(box)
-        out = df.where(own.isNotNull()).withColumn(f"_{name}", own).withColumn("_level", F.explode(F.array_union(F.array(own), F.filter(known, lambda x: x > own))))
+        met = F.filter(F.array(own), lambda x: x >= others[0]) if others else known  # its own size serves those that are no larger
+        out = df.where(own.isNotNull()).withColumn(f"_{name}", own).withColumn("_level", F.explode(F.concat(met, F.filter(known, lambda x: x > own))))
         for c, low, high in (("_cx", box[0], box[2]), ("_cy", box[1], box[3])):
             side = F.pow(F.lit(2.0), F.col("_level"))
             out = out.withColumn(c, F.explode(F.sequence(F.floor(F.col(low) / side), F.floor(F.col(high) / side))))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from drawlake.functions import rules as R
+from drawlake.operators.graph import stored
 from drawlake.operators.iterative import suppressed
 from drawlake.operators.spatial import box_join, near_pairs
 
@@ -138,41 +139,50 @@ def legend_tables(segments: DataFrame, headers: DataFrame, words: DataFrame, key
     return first.withColumn("table_no", F.lit(1)).unionByName(second.withColumn("table_no", F.lit(2)))
 
 
-def _colours(cells: DataFrame, marks: DataFrame, keys: Keys, ids: Keys) -> DataFrame:
-    """(keys, ids, color_class, n, first) of the marks (lines and rects, black apart) that meet a cell, but for the borders of tables."""
-    m = marks.where(~F.coalesce(F.col("color_class").isin("black", ""), F.lit(True))).select(*keys, F.col("kind").alias("m_kind"), F.col("seq").alias("m_seq"), "color_class", *(f(a, b).cast("double").alias(f"m_{c}") for c, f, a, b in (("x0", F.least, "x0", "x1"), ("y0", F.least, "y0", "y1"), ("x1", F.greatest, "x0", "x1"), ("y1", F.greatest, "y0", "y1"))))
-    c = cells.withColumns({"_c0": F.col("x0") - 5.0, "_c1": F.col("y0") - 3.0, "_c2": F.col("x1") + 5.0, "_c3": F.col("y1") + 3.0})
-    hit = box_join(m, c, keys, ("m_x0", "m_y0", "m_x1", "m_y1"), ("_c0", "_c1", "_c2", "_c3"))
-    w, h, high = F.col("m_x1") - F.col("m_x0"), F.col("m_y1") - F.col("m_y0"), F.col("y1") - F.col("y0")
-    border = F.when(F.col("m_kind") == "line", (F.greatest(w, h) > high * 2) & (F.greatest(w, h) > 100)).otherwise((w > F.col("x1") - F.col("x0") + 20) & (h > high + 10))
-    return hit.where(~border).groupBy(*keys, *ids, "color_class").agg(F.count("*").alias("n"), F.min(F.struct("m_kind", "m_seq")).alias("first"))
-
-
 def sub_rows(rows: DataFrame, symbols: DataFrame, marks: DataFrame, keys: Keys = ("file_id", "page")) -> DataFrame:
     """Items of legend rows: seq, part, symbol, x0, y0, x1, y1, color. A row whose symbol cell holds two numbers or more, one above
     the other, and marks of two colours, is split half-way between one number's bottom and the next one's top.
 
     ``rows`` (seq, x0, y0, x1, y1, symbol_x1) end their symbol cell at symbol_x1; ``symbols`` are the numbers' words with their
     row; ``marks`` have kind (line or rect), seq, a box and color_class. Of equally frequent colours the first mark's wins, lines first.
+    A mark meets a row once, and is told apart by the row's parts there: those of its numbers, and part 0, the whole cell.
     """
-    cells = rows.select(*keys, "seq", "x0", "y0", F.least("x1", F.col("symbol_x1") + 10).alias("x1"), "y1")
-    many = _colours(cells, marks, keys, ["seq"]).groupBy(*keys, "seq").agg(F.count("*").alias("n_colors"), F.min_by("color_class", F.struct((-F.col("n")).alias("n"), "first")).alias("color"))
-    # a row's own numbers are few: their heights fit one array
-    heads = symbols.groupBy(*keys, F.col("row").alias("seq")).agg(anchors(F.collect_set(F.col("top").cast("double")), 3.0).alias("ys"), F.min_by("text", F.struct("top", "x0")).alias("symbol"))
-    split = heads.where(F.size("ys") >= 2).join(many.where("n_colors >= 2"), [*keys, "seq"]).select(*keys, "seq", "ys")
-    groups = symbols.join(split.withColumnRenamed("seq", "row"), [*keys, "row"]).withColumn("part", F.size(F.filter("ys", lambda y: y <= F.col("top"))))
-    groups = groups.groupBy(*keys, F.col("row").alias("seq"), "part").agg(F.min("top").cast("double").alias("top"), F.max("bottom").cast("double").alias("bottom"), F.min_by("text", F.struct("top", "x0")).alias("symbol"))
-    ends = groups.groupBy(*keys, "seq").agg(F.sort_array(F.collect_list(F.struct("part", "top", "bottom"))).alias("g"))
-    cuts = F.transform(F.sequence(F.lit(1), F.size("g") - 1), lambda k: (F.element_at("g", k)["bottom"] + F.element_at("g", k + 1)["top"]) / 2)
-    cuts = ends.select(*keys, "seq", cuts.alias("cuts"))
-    parts = groups.join(cuts, [*keys, "seq"]).join(rows, [*keys, "seq"])
-    parts = parts.select(*keys, "seq", "part", "symbol", "x0", F.when(F.col("part") == 1, F.col("y0")).otherwise(F.try_element_at("cuts", F.greatest(F.col("part") - 1, F.lit(1)))).alias("y0"), "x1", F.coalesce(F.try_element_at("cuts", "part"), "y1").alias("y1"), "symbol_x1")
-    inner = parts.select(*keys, "seq", "part", "x0", "y0", F.least("x1", F.col("symbol_x1") + 10).alias("x1"), "y1")
-    own = _colours(inner, marks, keys, ["seq", "part"]).groupBy(*keys, "seq", "part").agg(F.min_by("color_class", F.struct((-F.col("n")).alias("n"), "first")).alias("color"))
-    halves = parts.drop("symbol_x1").join(own, [*keys, "seq", "part"], "left")
-    whole = rows.join(split, [*keys, "seq"], "left_anti").join(heads.select(*keys, "seq", "symbol"), [*keys, "seq"], "left").join(many.select(*keys, "seq", "color"), [*keys, "seq"], "left")
-    out = halves.unionByName(whole.select(*keys, "seq", F.lit(1).alias("part"), "symbol", "x0", "y0", "x1", "y1", "color"))
-    return out.withColumn("color", F.coalesce("color", F.lit("")))
+    # a row's own numbers are few: they fit one array
+    word = F.struct(F.col("top").cast("double").alias("top"), "x0", "text", F.col("bottom").cast("double").alias("bottom"))
+    heads = symbols.groupBy(*keys, F.col("row").alias("seq")).agg(F.sort_array(F.collect_list(word)).alias("_w"))
+    heads = heads.withColumn("_ys", anchors(F.filter(F.transform("_w", lambda w: w["top"]), lambda y: y.isNotNull()), 3.0)).withColumn("_n", F.size("_ys"))
+    held = lambda k: F.filter("_w", lambda w: (w["top"] >= F.element_at("_ys", k)) & F.coalesce(w["top"] < F.try_element_at("_ys", k + 1), F.lit(True)))
+    group = lambda ws: F.struct(ws[0]["text"].alias("symbol"), ws[0]["top"].alias("top"), F.array_max(F.transform(ws, lambda w: w["bottom"])).alias("bottom"))
+    heads = heads.withColumn("_g", F.when(F.col("_n") >= 2, F.transform(F.sequence(F.lit(1), F.col("_n")), lambda k: group(held(k)))))
+    cut = lambda k: (F.try_element_at("_g", k)["bottom"] + F.try_element_at("_g", k + 1)["top"]) / 2
+    part = lambda k, symbol, y0, y1: F.struct(k.cast("int").alias("part"), symbol.alias("symbol"), y0.cast("double").alias("y0"), y1.cast("double").alias("y1"))
+    whole = part(F.lit(0), F.col("_w")[0]["text"], F.col("y0"), F.col("y1"))
+    split = F.transform(F.sequence(F.lit(1), F.col("_n")), lambda k: part(k, F.element_at("_g", k)["symbol"], F.when(k == 1, F.col("y0")).otherwise(cut(F.greatest(k - 1, F.lit(1)))), F.coalesce(cut(k), F.col("y1"))))
+    base = rows.select(*keys, "seq", "x0", "y0", "x1", "y1", "symbol_x1").join(heads, [*keys, "seq"], "left")
+    base = stored(base.withColumn("_p", F.when(F.col("_n") >= 2, F.concat(F.array(whole), split)).otherwise(F.array(whole))).drop("_w", "_ys", "_n", "_g"), "sub-rows")
+
+    m = marks.where(~F.coalesce(F.col("color_class").isin("black", ""), F.lit(True))).select(*keys, F.col("kind").alias("m_kind"), F.col("seq").alias("m_seq"), "color_class", *(f(a, b).cast("double").alias(f"m_{c}") for c, f, a, b in (("x0", F.least, "x0", "x1"), ("y0", F.least, "y0", "y1"), ("x1", F.greatest, "x0", "x1"), ("y1", F.greatest, "y0", "y1"))))
+    edge = lambda f, c: f(F.transform("_p", lambda p: p[c]))
+    right = F.least("x1", F.col("symbol_x1") + 10)
+    cells = base.select(*keys, "seq", (right - F.col("x0")).alias("_wide"), "_p", (F.col("x0") - 5.0).alias("_c0"), (edge(F.array_min, "y0") - 3.0).alias("_c1"), (right + 5.0).alias("_c2"), (edge(F.array_max, "y1") + 3.0).alias("_c3"))
+    hit = box_join(m, cells, keys, ("m_x0", "m_y0", "m_x1", "m_y1"), ("_c0", "_c1", "_c2", "_c3"))
+    w, h = F.col("m_x1") - F.col("m_x0"), F.col("m_y1") - F.col("m_y0")
+
+    def meets(p):  # but for the borders of tables
+        high = p["y1"] - p["y0"]
+        border = F.when(F.col("m_kind") == "line", (F.greatest(w, h) > high * 2) & (F.greatest(w, h) > 100)).otherwise((w > F.col("_wide") + 20) & (h > high + 10))
+        return (F.col("m_y0") <= p["y1"] + 3.0) & (F.col("m_y1") >= p["y0"] - 3.0) & ~border
+
+    hit = hit.select(*keys, "seq", "color_class", "m_kind", "m_seq", F.explode(F.transform(F.filter("_p", meets), lambda p: p["part"])).alias("part"))
+    n = hit.groupBy(*keys, "seq", "part", "color_class").agg((-F.count("*")).alias("n"), F.min(F.struct("m_kind", "m_seq")).alias("first"))
+    # colours are classes, so that a row has few
+    found = n.groupBy(*keys, "seq").agg(F.collect_list(F.struct("part", "n", "first", "color_class")).alias("_f"))
+    out = base.join(found, [*keys, "seq"], "left").withColumn("_f", F.coalesce("_f", F.array().cast(found.schema["_f"].dataType)))
+    own = lambda k: F.filter("_f", lambda f: f["part"] == k)
+    item = lambda p: F.struct(F.greatest(p["part"], F.lit(1)).alias("part"), p["symbol"].alias("symbol"), p["y0"].alias("y0"), p["y1"].alias("y1"), F.coalesce(F.array_min(own(p["part"]))["color_class"], F.lit("")).alias("color"))
+    parts = F.when((F.size("_p") > 1) & (F.size(own(F.lit(0))) >= 2), F.filter("_p", lambda p: p["part"] > 0)).otherwise(F.filter("_p", lambda p: p["part"] == 0))
+    out = out.select(*keys, "seq", "x0", "x1", F.explode(F.transform(parts, item)).alias("_i"))
+    return out.select(*keys, "seq", "_i.part", "_i.symbol", "x0", "_i.y0", "x1", "_i.y1", "_i.color")
 
 
 def content_frames(words: DataFrame, segments: DataFrame, keys: Keys = ("file_id", "page")) -> DataFrame:

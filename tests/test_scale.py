@@ -147,3 +147,19 @@ def test_lines_are_sorted_once(spark):
     assert got._jdf.queryExecution().executedPlan().toString().count("Sort [") == 1
     want = {(f, *r) for f in range(3) for r in ((0, "a", 2), (40, "3", 4), (70, "b", 5), (160, "d", 7))}
     assert {tuple(r) for r in got.collect()} == want
+
+
+def test_marks_meet_rows_once(spark, monkeypatch):
+    """A row's parts are told apart where its marks meet it; a mark goes to cells of its own size only where boxes are as small."""
+    joins, own = [], tables.box_join
+    monkeypatch.setattr(tables, "box_join", lambda *a: joins.append(a) or own(*a))
+    rows = spark.createDataFrame([(1, 1, s, 0.0, 100.0 * s, 300.0, 100.0 * s + 40, 50.0) for s in range(3)], "file_id int, page int, seq int, x0 double, y0 double, x1 double, y1 double, symbol_x1 double")
+    numbers = [(1, 1, s, text, 5.0, 100.0 * s + top, 100.0 * s + top + 8) for s in range(2) for text, top in (("1", 2.0), ("2", 25.0))]
+    symbols = spark.createDataFrame(numbers, "file_id int, page int, row int, text string, x0 double, top double, bottom double")
+    drawn = [(0, "red", 3.0), (0, "blue", 30.0), (0, "blue", 36.0), (1, "red", 3.0), (1, "black", 30.0)]
+    marks = spark.createDataFrame([(1, 1, "line", i, 9.0, 100.0 * s + y, 17.0, 100.0 * s + y, c) for i, (s, c, y) in enumerate(drawn)], "file_id int, page int, kind string, seq int, x0 double, y0 double, x1 double, y1 double, color_class string")
+    got = {(r.seq, r.part): (r.symbol, r.y0, r.y1, r.color) for r in tables.sub_rows(rows, symbols, marks).collect()}
+    assert got == {(0, 1): ("1", 0.0, 17.5, "red"), (0, 2): ("2", 17.5, 40.0, "blue"), (1, 1): ("1", 100.0, 140.0, "red"), (2, 1): (None, 200.0, 240.0, "")}
+    assert len(joins) == 1
+    plan = own(*joins[0])._jdf.queryExecution().optimizedPlan().toString()
+    assert "array(3)" not in plan
