@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from drawlake.functions import rules as R
 from drawlake.functions.text import is_auto_detected, is_non_countable
+from drawlake.operators.graph import stored
 from drawlake.operators.sequences import density_runs, identifier_runs
 from drawlake.operators.spatial import box_join, exclude_zones, in_box
 from drawlake.operators.tables import content_frames
@@ -189,14 +190,16 @@ def legend_of_file(items: DataFrame, keys: Keys = ("file_id",)) -> DataFrame:
         (1000 * F.count_if(has) + 10 * F.count("*") + F.count_if(F.col("description") != "")).alias("score"), (2 * F.count_if(has & good) >= F.greatest(F.count_if(has), F.lit(1))).alias("good"),
         *(f(c).alias(f"_{c}") for f, c in ((F.min, "x0"), (F.min, "y0"), (F.max, "x1"), (F.max, "y1"))),
     )
+    found = stored(found, "candidates")  # each step below would group the items again
     head = found.where("method = 'header'").withColumn("_g", F.min(F.when(F.col("good"), F.col("tolerance"))).over(Window.partitionBy(*keys, "page"))).where("_g is null or tolerance <= _g")
     head = head.withColumn("_p", F.row_number().over(Window.partitionBy(*keys, "page").orderBy(F.desc("score"), "tolerance"))).where("_p = 1").drop("_p", "_g")
     kept = head.unionByName(found.where("method = 'content'").join(head.select(*keys, "page"), [*keys, "page"], "left_anti").select(*head.columns)).unionByName(found.where("method = 'spec'"))
     kept = kept.unionByName(found.where("method = 'density'").join(kept.select(*keys).distinct(), list(keys), "left_anti").select(*head.columns))
     best = kept.groupBy(*keys).agg(F.min_by(F.struct("page", "method", "tolerance"), F.struct((-F.col("score")).alias("a"), "page", "_m", "tolerance")).alias("_b"))
     kept = kept.join(best, list(keys)).withColumn("_base", F.struct("page", "method", "tolerance") == F.col("_b")).where(F.col("_base") | (F.col("page") != F.col("_b.page")))
+    kept = stored(kept, "kept-candidates")
     key = F.struct(has.alias("s"), F.lower(F.trim(F.when(has, F.col("symbol")).otherwise(F.col("description")))).alias("t"))
-    rows = it.withColumn("_k", key).join(kept.drop("_m", "good"), [*keys, *one])
+    rows = stored(it.withColumn("_k", key).join(kept.drop("_m", "good", "_x0", "_y0", "_x1", "_y1"), [*keys, *one]).drop("x0", "y0", "x1", "y1"), "legend-items")
     own = rows.where("_base").select(*keys, "_k").distinct()
     joined = rows.where(~F.col("_base") & F.col("_k.s")).join(own, [*keys, "_k"], "left_anti").select(*keys).distinct().withColumn("_all", F.lit(True))
     rows = rows.join(joined, list(keys), "left").where("_base or _all")
@@ -207,5 +210,5 @@ def legend_of_file(items: DataFrame, keys: Keys = ("file_id",)) -> DataFrame:
     alone = rows.where("_all is null")
     # of equal keys in the best candidate only the first takes part
     merged = rows.where("_all and (not _base or seq = _f)").withColumn("_p", F.row_number().over(same.orderBy(F.desc(F.length("description")), "_o"))).where("_p = 1").drop("_p")
-    out = alone.unionByName(merged).drop("x0", "y0", "x1", "y1", "method").join(box, list(keys))
+    out = alone.unionByName(merged).drop("method").join(box, list(keys))
     return out.select(*keys, F.col("_b.page").alias("best_page"), F.col("_b.method").alias("method"), "page", "seq", "symbol", "description", "x0", "y0", "x1", "y1")

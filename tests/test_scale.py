@@ -163,3 +163,14 @@ def test_marks_meet_rows_once(spark, monkeypatch):
     assert len(joins) == 1
     plan = own(*joins[0])._jdf.queryExecution().optimizedPlan().toString()
     assert "array(3)" not in plan
+
+
+def test_legend_items_are_grouped_once(spark):
+    """What the methods found is written once: the result reads that, not the items again."""
+    cols = "file_id int, page int, method string, tolerance int, seq int, symbol string, description string, x0 double, y0 double, x1 double, y1 double"
+    found = [(1, 1, 1, "a", "first one"), (1, 1, 2, "b", "second"), (1, 2, 3, "A", "the longer first one"), (1, 2, 4, "c", None), (2, 1, 5, "a", "x"), (2, 2, 6, "A", "y")]
+    items = spark.createDataFrame([(f, p, "spec", None, s, symbol, text, 1.0 * p, 0.0, 9.0, 9.0) for f, p, s, symbol, text in found], cols)
+    got = legends.legend_of_file(items)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "LogicalRDD" not in plan and "LocalRelation" not in plan
+    assert {(r.file_id, r.best_page, r.seq, r.x0) for r in got.collect()} == {(1, 1, 2, 1.0), (1, 1, 3, 1.0), (1, 1, 4, 1.0), (2, 1, 5, 1.0)}
