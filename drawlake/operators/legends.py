@@ -55,16 +55,49 @@ def legend_descriptions(texts: DataFrame, boxes: DataFrame, keys: Keys = ("file_
     return first.select(*keys, F.concat(F.lit("L"), F.row_number().over(order)).alias("symbol"), "description", F.col("p.x").alias("x"), F.col("p.y").alias("y"), F.col("p.seq").alias("seq"))
 
 
-def _level_pairs(left: DataFrame, right: DataFrame, keys: Keys, reach: str) -> DataFrame:
-    """Pairs of rows of a drawing (l_seq, r_seq, dist) whose heights are at most ``reach`` apart: a column of ``left`` that is equal for a drawing."""
+def _level_pairs(left: DataFrame, right: DataFrame, keys: Keys) -> DataFrame:
+    """Pairs of rows of a drawing (l_seq, r_seq, dist) whose heights are at most ``reach`` apart: a column that is equal for a drawing."""
     cell = lambda y: F.floor(F.col(y) / F.col("_reach")).cast("long")
-    a = left.select(*keys, F.col("seq").alias("l_seq"), F.col("y").alias("l_y"), F.col(reach).alias("_reach")).withColumn("_cell", cell("l_y"))
-    b = right.join(left.select(*keys, F.col(reach).alias("_reach")).distinct(), list(keys)).select(*keys, F.col("seq").alias("r_seq"), F.col("y").alias("r_y"), "_reach")
+    a = left.select(*keys, F.col("seq").alias("l_seq"), F.col("y").alias("l_y"), F.col("reach").alias("_reach")).withColumn("_cell", cell("l_y"))
+    b = right.select(*keys, F.col("seq").alias("r_seq"), F.col("y").alias("r_y"), F.col("reach").alias("_reach"))
     b = b.withColumn("_cell", F.explode(F.array(cell("r_y") - 1, cell("r_y"), cell("r_y") + 1))).drop("_reach")
     dist = F.abs(F.col("l_y") - F.col("r_y"))
     return a.join(b, [*keys, "_cell"]).withColumn("dist", dist).where(F.col("dist") <= F.col("_reach")).select(*keys, "l_seq", "r_seq", "dist")
 
 
+#: Pairs of a drawing up to which it is matched as one row's lists.
+LISTED = 1024
+
+
+def _level_match(rows: DataFrame, keys: Keys) -> DataFrame:
+    """Left and right rows of a drawing one to one, nearest in height first: (keys, l_seq, l_y, l_text, r_seq, r_text).
+
+    ``rows``: (keys, left, seq, y, text, reach), reach how far apart a drawing's pairs may lie. A drawing of few pairs is a row of
+    two lists, so that most drawings take one shuffle; the pairs of a larger one are dealt by height and taken in rounds.
+    """
+    from drawlake.operators.iterative import greedy_match
+
+    w = Window.partitionBy(*keys)
+    rows = rows.withColumn("_pairs", F.count_if("left").over(w) * F.count_if(~F.col("left")).over(w)).where("_pairs > 0")
+    rows = stored(rows.select(*keys, "left", "seq", "y", "text", "reach", "_pairs"), "level")
+    side = lambda of: F.collect_list(F.when(of, F.struct("seq", "y", "text")))
+    lists = rows.where(F.col("_pairs") <= LISTED).groupBy(*keys).agg(side(F.col("left")).alias("l"), side(~F.col("left")).alias("r"), F.max("reach").alias("reach"))
+    dist = lambda a, b: F.abs(a["y"] - b["y"])
+    near = F.flatten(F.transform("l", lambda a: F.transform(F.filter("r", lambda b: dist(a, b) <= F.col("reach")), lambda b: F.struct(dist(a, b).alias("dist"), a["seq"].alias("l_seq"), b["seq"].alias("r_seq")))))
+    free = lambda got, p: ~F.exists(got, lambda q: (q["l_seq"] == p["l_seq"]) | (q["r_seq"] == p["r_seq"]))
+    taken = F.aggregate(F.sort_array("near"), F.slice("near", 1, 0), lambda got, p: F.when(free(got, p), F.array_append(got, p)).otherwise(got))
+    of = lambda c, seq: F.filter(c, lambda a: a["seq"] == seq)
+    both = lambda p: F.flatten(F.transform(of("l", p["l_seq"]), lambda a: F.transform(of("r", p["r_seq"]), lambda b: F.struct(a["seq"].alias("l_seq"), a["y"].alias("l_y"), a["text"].alias("l_text"), b["seq"].alias("r_seq"), b["text"].alias("r_text")))))
+    listed = lists.withColumn("near", near).withColumn("taken", taken).select(*keys, F.inline(F.flatten(F.transform("taken", both))))
+    many = rows.where(F.col("_pairs") > LISTED)
+    if many.isEmpty():
+        return listed
+    left, right = many.where("left"), many.where("not left")
+    dealt = greedy_match(_level_pairs(left, right, keys), keys, "l_seq", "r_seq", "dist").drop("dist")
+    dealt = dealt.join(left.select(*keys, F.col("seq").alias("l_seq"), F.col("y").alias("l_y"), F.col("text").alias("l_text")), [*keys, "l_seq"])
+    return listed.unionByName(dealt.join(right.select(*keys, F.col("seq").alias("r_seq"), F.col("text").alias("r_text")), [*keys, "r_seq"]))
+
+
 def _inside(df: DataFrame, boxes: DataFrame, keys: Keys) -> DataFrame:
     b = boxes.select(*keys, "x0", "y0", "x1", "y1")
     same = reduce(lambda a, c: a & c, [df[k] == b[k] for k in keys])
@@ -79,44 +112,41 @@ def legend_numbered(texts: DataFrame, boxes: DataFrame, keys: Keys = ("file_id",
     the upper median gap (over 20) between symbols, 1000 where there are fewer than three or no gap; and three times as much, if
     both are left over. Symbols at one height are no legend. Of equal symbols the lowest one's description holds.
     """
-    from drawlake.operators.iterative import greedy_match
-    from drawlake.operators.sequences import upper_median
-
-    line = F.trim(F.element_at(F.split("text", "\n"), 1))
-    t = _inside(texts, boxes, keys).withColumn("line", line).where(~F.col("line").isin(*R.LEGEND_SKIP) & ~F.col("line").rlike(R.LEGEND_NOISE))
-    is_symbol = F.col("line").rlike(R.LABEL) & (F.length("line") <= 4)
-    symbols, long = t.where(is_symbol), t.where(~is_symbol & (F.length("line") >= 8))
-    mid = upper_median(symbols, keys, "x").withColumnRenamed("median", "_mid")
-    every = long.join(mid, list(keys), "left")
-    named = every.where(~is_non_countable(F.col("line")) & (F.col("_mid").isNull() | (F.col("x") > F.col("_mid"))))
-    descriptions = named.unionByName(every.join(named.select(*keys).distinct(), list(keys), "left_anti"))
-    n = symbols.groupBy(*keys).agg(F.count("*").alias("_n"))
-    symbols = symbols.join(mid, list(keys)).join(n, list(keys)).where((F.col("_n") < 3) | (F.abs(F.col("x") - F.col("_mid")) < 2000))
-    flat = symbols.groupBy(*keys).agg((F.max("y") - F.min("y")).alias("_high"), F.count("*").alias("_left"))
-    symbols = symbols.drop("_n", "_mid").join(flat.where((F.col("_high") >= 300) | (F.col("_left") <= 3)), list(keys)).drop("_high")
-    w = Window.partitionBy(*keys).orderBy("y", "seq")
-    gap = upper_median(symbols.withColumn("gap", F.col("y") - F.lag("y").over(w)).where("gap > 20"), keys, "gap")
-    bound = F.when((F.col("_left") >= 3) & F.col("median").isNotNull(), F.greatest(F.lit(500.0), F.col("median") * 1.2)).otherwise(1000.0)
-    symbols = symbols.join(gap, list(keys), "left").withColumn("_reach3", bound * 3)
+    text, left, x, y = F.trim(F.element_at(F.split("text", "\n"), 1)), F.col("left"), F.col("x"), F.col("y")
+    t = texts.select(*keys, "seq", "x", "y", text.alias("text")).where(~F.col("text").isin(*R.LEGEND_SKIP) & ~F.col("text").rlike(R.LEGEND_NOISE))
+    t = t.withColumn("left", F.col("text").rlike(R.LABEL) & (F.length("text") <= 4)).where(left | (F.length("text") >= 8))
+    # a drawing's texts are dealt once: what is known of it are windows over them
+    t = _inside(t.withColumn("_named", F.when(~left, ~is_non_countable(F.col("text")))), boxes, keys)
+    every, side = Window.partitionBy(*keys), Window.partitionBy(*keys, "left")
+
+    def median(df, value, n, name):
+        """The value at place n div 2 of a drawing's sorted ones of left rows, of which ``n`` are not null."""
+        df = df.withColumns({"_k": F.row_number().over(side.orderBy(F.asc_nulls_last(value))), "_n": n.over(every)})
+        return df.withColumn(name, F.max(F.when(left & (F.col("_k") == F.floor(F.col("_n") / 2) + 1), F.col(value))).over(every)).drop("_k")
+
+    t = median(t, "x", F.count_if("left"), "_mid")
+    t = t.where(~left | (F.col("_n") < 3) | (F.abs(x - F.col("_mid")) < 2000))
+    t = t.withColumn("_named", ~left & F.col("_named") & (F.col("_mid").isNull() | (x > F.col("_mid"))))
+    high = F.max(F.when(left, y)).over(every) - F.min(F.when(left, y)).over(every)
+    t = t.withColumns({"_any": F.max("_named").over(every), "_high": high, "_left": F.count_if("left").over(every)})
+    t = t.where(F.when(left, (F.col("_high") >= 300) | (F.col("_left") <= 3)).otherwise(F.col("_named") | ~F.col("_any")))
+    gap = y - F.lag("y").over(side.orderBy("y", "seq"))
+    t = median(t.withColumn("_gap", gap).withColumn("_gap", F.when(left & (F.col("_gap") > 20), F.col("_gap"))), "_gap", F.count("_gap"), "_usual")
+    bound = F.when((F.col("_left") >= 3) & F.col("_usual").isNotNull(), F.greatest(F.lit(500.0), F.col("_usual") * 1.2)).otherwise(1000.0)
     # a second pass at three times the bound takes what one pass at that bound would
-    taken = greedy_match(_level_pairs(symbols, descriptions, keys, "_reach3"), keys, "l_seq", "r_seq", "dist")
-    pairs = taken.join(symbols.select(*keys, F.col("seq").alias("l_seq"), F.col("line").alias("symbol"), F.col("y").alias("_y")), [*keys, "l_seq"])
-    pairs = pairs.join(descriptions.select(*keys, F.col("seq").alias("r_seq"), F.col("line").alias("description")), [*keys, "r_seq"])
-    return pairs.groupBy(*keys, "symbol").agg(F.min_by("description", F.struct("_y", (-F.col("l_seq")).alias("o"))).alias("description"))
+    pairs = _level_match(t.withColumn("reach", bound * 3), keys)
+    return pairs.groupBy(*keys, F.col("l_text").alias("symbol")).agg(F.min_by("r_text", F.struct("l_y", (-F.col("l_seq")).alias("o"))).alias("description"))
 
 
 def legend_blocks(inserts: DataFrame, texts: DataFrame, boxes: DataFrame, keys: Keys = ("file_id",)) -> DataFrame:
     """(keys, symbol, block_name, description): a legend's block inserts and descriptions one to one, nearest in height first, 3000
     apart at most; symbols B1, B2, ... go from the top."""
-    from drawlake.operators.iterative import greedy_match
-
-    line = F.trim(F.element_at(F.split("text", "\n"), 1))
-    d = _inside(texts, boxes, keys).withColumn("line", line).where(~F.col("line").isin(*R.LEGEND_SKIP) & (F.length("line") >= 8))
-    b = _inside(inserts, boxes, keys).where(~F.lower("block_name").rlike(R.NO_BLOCK)).withColumn("_reach", F.lit(3000.0))
-    taken = greedy_match(_level_pairs(b, d, keys, "_reach"), keys, "l_seq", "r_seq", "dist")
-    pairs = taken.join(b.select(*keys, F.col("seq").alias("l_seq"), "block_name", F.col("y").alias("_y")), [*keys, "l_seq"]).join(d.select(*keys, F.col("seq").alias("r_seq"), F.col("line").alias("description")), [*keys, "r_seq"])
-    order = Window.partitionBy(*keys).orderBy(F.desc("_y"), "l_seq")
-    return pairs.select(*keys, F.concat(F.lit("B"), F.row_number().over(order)).alias("symbol"), "block_name", "description")
+    rows = lambda df, left, text: df.select(*keys, F.lit(left).alias("left"), "seq", "x", "y", text.alias("text"), F.lit(3000.0).alias("reach"))
+    d = rows(texts, False, F.trim(F.element_at(F.split("text", "\n"), 1))).where(~F.col("text").isin(*R.LEGEND_SKIP) & (F.length("text") >= 8))
+    b = rows(inserts, True, F.col("block_name")).where(~F.lower("text").rlike(R.NO_BLOCK))
+    pairs = _level_match(_inside(b.unionByName(d), boxes, keys), keys)
+    order = Window.partitionBy(*keys).orderBy(F.desc("l_y"), "l_seq")
+    return pairs.select(*keys, F.concat(F.lit("B"), F.row_number().over(order)).alias("symbol"), F.col("l_text").alias("block_name"), F.col("r_text").alias("description"))
 
 
 def legend_headers(words: DataFrame, keys: Keys = ("file_id", "page"), guard: float = 15.0) -> DataFrame:

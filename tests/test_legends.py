@@ -1,4 +1,6 @@
-from drawlake.operators import legends
+import random
+
+from drawlake.operators import iterative, legends
 
 
 def test_descriptions_and_lines(spark):
@@ -59,3 +61,32 @@ def test_methods_in_order(spark):
     assert of("b") == ([(0, "1", "лампа"), (1, "1", "лампа большая"), (2, "", "выход")], {(0, "header", 0.0, 0.0, 2.0, 5.0)})
     assert of("c") == ([(1, "B", "первый"), (3, "", "Выход"), (10, "a ", "abc"), (20, "z", "")], {(0, "content", 0.0, 0.0, 21.0, 5.0)})
     assert of("d") == ([(0, "1", ""), (10, "2", "")], {(0, "density", 0.0, 0.0, 10.0, 5.0)})
+
+
+def test_small_legends_are_matched_as_lists(spark, monkeypatch):
+    r = random.Random(5)
+    rows = [(f, left, 10 * k + left, r.choice([0.0, 1.0, 2.5]) + r.randrange(9) * 100, f"{f}{k}", reach) for f, n, reach in (("a", 4, 300.0), ("b", 7, 1000.0), ("c", 1, 0.5)) for left in (True, False) for k in range(n + left)]
+    rows += [("d", True, 1, 0.0, "only", 300.0), ("e", False, 1, 0.0, "only", 300.0)]
+    want = []
+    for f in "abc":
+        used = set()
+        sides = [[x for x in rows if x[0] == f and x[1] is left] for left in (True, False)]
+        for d, a, b in sorted((abs(x[3] - y[3]), x[2], y[2]) for x in sides[0] for y in sides[1] if abs(x[3] - y[3]) <= x[5]):
+            if ("l", a) not in used and ("r", b) not in used:
+                used |= {("l", a), ("r", b)}
+                want.append((f, a, b))
+    df = spark.createDataFrame(rows, "file_id string, left boolean, seq long, y double, text string, reach double")
+    pairs = lambda: sorted((x["file_id"], x["l_seq"], x["r_seq"]) for x in legends._level_match(df, ["file_id"]).collect())
+    for listed in (0, 20):  # all of them in rounds, or the larger one alone
+        monkeypatch.setattr(legends, "LISTED", listed)
+        assert pairs() == sorted(want)
+    monkeypatch.setattr(legends, "LISTED", 1024)
+
+    def rounds(*_):
+        raise AssertionError("small legends take no rounds")
+
+    monkeypatch.setattr(iterative, "greedy_match", rounds)
+    assert pairs() == sorted(want)
+    texts = spark.createDataFrame([("f", 1, "1", 10.0, 10.0), ("f", 2, "2", 10.0, 400.0), ("f", 3, "Светильник первый", 20.0, 30.0), ("f", 4, "Светильник второй", 20.0, 380.0), ("f", 5, "Прокладка кабеля", 20.0, 10.0), ("f", 6, "2", 10.0, 300.0)], "file_id string, seq long, text string, x double, y double")
+    boxes = spark.createDataFrame([("f", 0.0, 0.0, 100.0, 500.0)], "file_id string, x0 double, y0 double, x1 double, y1 double")
+    assert sorted(tuple(x) for x in legends.legend_numbered(texts, boxes).collect()) == [("f", "1", "Светильник первый"), ("f", "2", "Светильник второй")]
