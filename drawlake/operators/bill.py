@@ -2,7 +2,7 @@
 
 Every row carries its place as columns: section (part), group in it (sub), two ranks (a, b), the first item of its work (c, d),
 line (0 the work, else its materials), and the material's own place (e, f). Sorting by them gives the bill; no project's rows meet
-in one task, but for the counts that a quantity sums.
+in one task, but the entries of one work do, and what a quantity sums.
 """
 
 from __future__ import annotations
@@ -10,14 +10,17 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from drawlake.functions import rules as R
 from drawlake.functions.cables import cable_attrs
 from drawlake.functions.text import grounding_work, mounting_type, pvc_diameters
 from drawlake.operators.compare import _inside, not_in_plan
-from drawlake.operators.graph import stored
+from drawlake.operators.graph import once, stored
 from drawlake.operators.rollup import LABELS, commissioning, earthwork
 
 Keys = Sequence[str]
@@ -54,12 +57,15 @@ def _grouped(entries: DataFrame, keys: Keys) -> DataFrame:
     """Works with what they sum over below: entries (keys, part, sub, head, a, b, work, own, unit, name, m, adds, line, seq, pos) of one
     work are those of equal place and text, and ``own`` where they stand for themselves. Works come in the order of their first entry;
     those that nothing adds to, and what belongs to them, fall away."""
-    by = [*keys, "part", "sub", "head", "a", "b", "work", "own", "unit"]
-    works = entries.groupBy(*by).agg(F.sum(F.when(F.col("adds"), F.col("m"))).alias("total"), F.min(F.struct("seq", "pos")).alias("first")).where("total is not null")
+    # entries of a work meet once; its first one carries the work's own row
+    w = Window.partitionBy(*keys, "part", "sub", "a", "b", "head", "work", "own", "unit").orderBy("seq", "pos")
+    all_of = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    total, first = F.sum(F.when(F.col("adds"), F.col("m"))).over(all_of), F.first(F.struct("seq", "pos")).over(all_of)
+    e = entries.withColumns({"total": total, "first": first, "_k": F.row_number().over(w)}).where("total is not null")
+    e = e.withColumn("top", F.explode(F.when(F.col("_k") == 1, F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False)))))
+    own = lambda work, entry: F.when(F.col("top"), work).otherwise(entry)
     place = {"part": F.col("part"), "sub": F.col("sub"), "a": F.col("a"), "b": F.col("b"), "c": F.col("first.seq"), "d": F.col("first.pos"), "head": F.col("head"), "unit": F.col("unit")}
-    top = _rows(works, keys, "cables", **(place | {"name": F.col("work"), "qty": shown(F.col("total"))}))
-    below = entries.join(works.drop("total"), by)
-    return top.unionByName(_rows(below, keys, "cables", **(place | {"line": F.col("line"), "e": F.col("seq"), "f": F.col("pos"), "name": F.col("name"), "qty": shown(F.col("m"))})))
+    return _rows(e, keys, "cables", **(place | {"line": own(F.lit(0), F.col("line")), "e": own(F.lit(0), F.col("seq")), "f": own(F.lit(0), F.col("pos")), "name": own(F.col("work"), F.col("name")), "qty": shown(own(F.col("total"), F.col("m")))}))
 
 
 def _written(parts: list[DataFrame]) -> DataFrame:
@@ -67,21 +73,32 @@ def _written(parts: list[DataFrame]) -> DataFrame:
     return stored(reduce(DataFrame.unionByName, parts).withColumns({"c": F.coalesce("c", F.lit(0)), "e": F.coalesce("e", F.lit(0))}), "bill")
 
 
-def place_rows(rows: DataFrame, keys: Keys, order: Sequence[str], counted: Column, place: str = "place", number: str = "number") -> DataFrame:
-    """``rows`` with their place among the rows of equal keys, from 1, and the number of those that are counted (null for others).
+def place_rows(rows: DataFrame, keys: Keys, order: Sequence[str], counted: Column, place: str = "place", number: str = "number", keep: Sequence[str] | None = None) -> DataFrame:
+    """``rows`` (their columns ``keep``, if given) with their place among the rows of equal keys, from 1, and the number of those that are counted (null for others).
 
     Ranges of (keys, order) deal the rows; what lies before a range and what lies before its keys are sums of a row a range and
     a row a key, so that no task sees all rows of a key.
     """
     every = [*keys, *order]
-    r = stored(rows.repartitionByRange(*every).withColumns({"_part": F.spark_partition_id(), "_w": counted.cast("long")}), "placed")
-    sizes = r.groupBy("_part").agg(F.count("*").alias("_n"), F.sum("_w").alias("_m"))  # a row a range
+
+    def counted_up(batches):
+        """A sorted range with each row's place in it and the sum of _w up to it."""
+        n = m = 0
+        for b in batches:
+            sums = m + np.cumsum(b.column("_w").to_numpy())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.arange(n + 1, n + 1 + b.num_rows)), pa.array(sums)], [*b.schema.names, "_n", "_m"])
+            if b.num_rows:
+                n, m = n + b.num_rows, int(sums[-1])
+
+    r = rows.withColumn("_w", F.coalesce(counted, F.lit(False)).cast("long")).repartitionByRange(*every).sortWithinPartitions(*every)
+    r = r.select(*(rows.columns if keep is None else keep), "_w", F.spark_partition_id().alias("_part"))
+    r = stored(r.mapInArrow(counted_up, StructType([*r.schema.fields, StructField("_n", LongType()), StructField("_m", LongType())])), "placed")
+    sizes = r.groupBy("_part").agg(F.max("_n").alias("_n"), F.max("_m").alias("_m"))  # a row a range
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select("_part", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c + "0") for c in ("_n", "_m")))
-    upto = Window.partitionBy("_part").orderBy(*every).rowsBetween(Window.unboundedPreceding, 0)
-    r = r.withColumns({"_n": F.count("*").over(upto), "_m": F.sum("_w").over(upto)}).join(F.broadcast(sizes), "_part")
-    r = stored(r.withColumns({"_n": F.col("_n") + F.col("_n0"), "_m": F.col("_m") + F.col("_m0")}).drop("_n0", "_m0", "_part"), "placed")
-    first = r.groupBy(*keys).agg((F.min("_n") - 1).alias("_n1"), F.min(F.col("_m") - F.col("_w")).alias("_m1"))
+    sizes = stored(sizes.select("_part", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c + "0") for c in ("_n", "_m"))), "sizes")
+    r = r.join(F.broadcast(sizes), "_part").withColumns({"_n": F.col("_n") + F.col("_n0"), "_m": F.col("_m") + F.col("_m0")}).drop("_n0", "_m0", "_part")
+    # written, so that a small one goes to the rows and these stay where they are
+    first = stored(r.groupBy(*keys).agg((F.min("_n") - 1).alias("_n1"), F.min(F.col("_m") - F.col("_w")).alias("_m1")), "first")
     out = r.join(first, list(keys))
     return out.withColumns({place: F.col("_n") - F.col("_n1"), number: F.when(F.col("_w") == 1, F.col("_m") - F.col("_m1"))}).drop("_n", "_m", "_n1", "_m1", "_w")
 
@@ -110,7 +127,8 @@ def _cable_rows(cables: DataFrame, heights: DataFrame, keys: Keys) -> list[DataF
     c = cables.withColumns({"brand": F.col("at.brand"), "wire": F.col("at.is_wire")})
     wires = _grouped(c.where("wire").select(*keys, F.lit(PART["wires"]).alias("part"), F.lit(0).alias("sub"), F.lit(HEAD["wires"]).alias("head"), F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(R.WIRE_WORK).alias("work"), F.lit("").alias("own"), F.lit("м").alias("unit"), F.col("at.material").alias("name"), F.col("total_length_m").alias("m"), F.lit(True).alias("adds"), F.lit(1).alias("line"), "seq", F.lit(0).alias("pos")), keys)
     c = c.where("not wire")
-    c = c.join(c.groupBy(*keys, "brand").agg(F.min("seq").alias("sub")), [*keys, "brand"]).join(heights, list(keys))
+    brands = c.groupBy(*keys, "brand").agg(F.min("seq").alias("sub")).join(heights, list(keys))  # few a project
+    c = c.join(brands, [*keys, "brand"])
     length = F.bround(F.col("total_length_m") * F.col("share")).cast("long")
     laid = F.filter(F.transform(F.coalesce("laying", F.array().cast("array<struct<method:string,m:bigint>>")), lambda x: F.struct(x["method"].alias("method"), F.bround(x["m"] * F.col("share")).cast("long").alias("m"))), lambda x: x["m"] > 0)
     usual = F.array(F.struct(F.lit(R.USUAL_LAYING).alias("method"), length.alias("m")))
@@ -128,7 +146,7 @@ def _cable_rows(cables: DataFrame, heights: DataFrame, keys: Keys) -> list[DataF
 def _lights(items: DataFrame, keys: Keys, signs: DataFrame) -> list[DataFrame]:
     """Luminaires by height and mounting; signs by height with the pictograms of that height; pictograms alone where no sign is."""
     rank, name = _of(F.col("height"), {x: k for k, x in enumerate(LABELS)}), F.col("name")
-    lit = items.where(F.col("kind").isin("luminaire", "indicator", "pictogram") & (F.col("qty") > 0)).withColumns({"rank": rank, "mount": mounting_type(name)})
+    lit = once(items.where(F.col("kind").isin("luminaire", "indicator", "pictogram") & (F.col("qty") > 0)), "name", mount=mounting_type(name)).withColumn("rank", rank)
     is_light, at = F.col("kind") == "luminaire", F.col("height")
     mount = {k: n for n, (k, _) in enumerate(R.MOUNTING_WORKS)}
     works = None
@@ -168,14 +186,14 @@ def _conduit(items: DataFrame, derived: DataFrame, cables: DataFrame, heights: D
 
 
 def _grounding(items: DataFrame, projects: DataFrame, keys: Keys) -> list[DataFrame]:
-    g = items.where("kind = 'grounding'").withColumn("low", F.lower("name"))
-    block = F.when(F.col("low").rlike(R.ELECTRODES), 2).when(F.col("low").rlike(R.EQUALISATION), 5).otherwise(3)
-    g = g.withColumn("block", block)
+    low = F.lower("name")
+    block = F.when(low.rlike(R.ELECTRODES), 2).when(low.rlike(R.EQUALISATION), 5).otherwise(3)
+    g = once(items.where("kind = 'grounding'"), "name", block=block, work=grounding_work(F.col("name")))
     earth = earthwork(g.where("block = 2 and qty > 0").withColumnRenamed("qty", "count"), keys).select("*", F.posexplode(F.array(*map(F.lit, R.EARTHWORKS))).alias("k", "name"))
     same = g.where("block = 5").select(*keys).distinct()
     return [
         _rows(earth, keys, "grounding", a=1, c=F.col("k"), name=F.col("name"), unit="м³", qty=F.col("qty")),
-        _rows(g, keys, "grounding", a=F.col("block"), c=F.col("seq"), name=grounding_work(F.col("name")), unit=F.col("unit"), qty=shown(F.col("qty"))),
+        _rows(g, keys, "grounding", a=F.col("block"), c=F.col("seq"), name=F.col("work"), unit=F.col("unit"), qty=shown(F.col("qty"))),
         _rows(same, keys, "grounding", a=4, name=R.EQUALISATION_WORK, unit="", qty=""),
         _rows(projects.join(g, list(keys), "left_anti"), keys, "grounding", a=6, line=1, name=R.BLANK["grounding"], unit="", qty=""),
         _rows(projects.join(items.where("kind = 'lightning'"), list(keys), "left_anti"), keys, "lightning", line=1, name=R.BLANK["lightning"], unit="", qty=""),
@@ -211,7 +229,7 @@ def section_bill(items: DataFrame, cables: DataFrame, panels: DataFrame, derived
     items = items.where(known & F.col("name").isNotNull() | known & (F.col("kind") == "tray")).withColumns({"qty": F.coalesce(F.col("qty").cast("double"), F.lit(0.0)), "unit": F.coalesce("unit", F.lit("шт"))})
     cables = cables.where(known & F.col("cable_type").isNotNull()).na.fill(0, ["count", "total_length_m"])
     # written once: every section reads its own kinds
-    items, cables = stored(items, "items"), stored(cables.withColumn("at", cable_attrs(F.col("cable_type"))), "cables")
+    items, cables = stored(items, "items"), stored(once(stored(cables, "cables"), "cable_type", at=cable_attrs(F.col("cable_type"))), "cables")
     panels, derived = panels.where(known & F.col("name").isNotNull()), derived.where(known).na.fill(0, ["qty"])
     projects = items.select(*keys).unionByName(cables.select(*keys)).unionByName(panels.select(*keys)).unionByName(derived.select(*keys)).distinct()
     projects = stored(projects, "projects")
@@ -264,7 +282,7 @@ def section_bill(items: DataFrame, cables: DataFrame, panels: DataFrame, derived
     always = projects.select(*keys, F.explode(F.array(*map(F.lit, R.ALWAYS))).alias("s")).select(*keys, _of(F.col("s"), PART).alias("part"), F.lit(0).cast("long").alias("_g"), _of(F.col("s"), HEAD).alias("head"))
     sub = F.when(F.col("part") == PART["cables"], F.col("sub")).otherwise(0)
     heads = body.where("head is not null").select(*keys, "part", sub.alias("_g"), "head").unionByName(always).distinct()
-    heads = _rows(heads, keys, "tests", part=F.col("part"), sub=F.col("_g"), a=-1, line=-1, head=F.col("head"), name=F.col("head"))
-    out = place_rows(body.unionByName(heads), keys, [*PLACE, "name"], F.col("line") == 0)
+    heads = stored(_rows(heads, keys, "tests", part=F.col("part"), sub=F.col("_g"), a=-1, line=-1, head=F.col("head"), name=F.col("head")), "heads")  # small, and ranges read their rows twice
+    out = place_rows(body.unionByName(heads).drop("head"), keys, [*PLACE, "name"], F.col("line") == 0, keep=[*keys, "line", "name", "unit", "qty", "formula"])
     level = F.when(F.col("line") < 0, "section").when(F.col("line") == 0, "work").otherwise("material")
     return out.select(*keys, "place", level.alias("level"), "number", "name", "unit", "qty", "formula")

@@ -115,3 +115,17 @@ def test_panels_feeds_and_circuits(spark):
     assert sorted((r["file_id"], r["name"], r["feed"], r["circuit_count"]) for r in got.collect()) == sorted([
         ("f", "ЩО-1", None, 3), ("f", "ЩАО-1", None, 4), ("f", "ЩР-12", "н2 ППГнг щ р 12", 0), ("f", "ЩР-1", "н2 ППГнг щ р 12", 0), ("g", "ЩО-1", None, 1)], key=lambda r: (r[0], r[1]))
     assert schedules.panel_details(found.limit(0), spark.createDataFrame([], "file_id string, seq long, text string"), spark.createDataFrame([], "file_id string, table_id long, x double, y double, text string")).count() == 0
+
+
+def test_works_and_places_take_one_shuffle(spark):
+    entry = "project string, part int, sub long, head string, a int, b int, work string, own string, unit string, name string, m long, adds boolean, line int, seq long, pos int"
+    rows = [("p", 1, 5, "h", 0, 0, w, "", "шт", f"{w}{k}", k, w != "z" and k != 3, 1, 10 - k, 0) for w in "xyz" for k in (1, 2, 3)]
+    got = bill._grouped(spark.createDataFrame(rows, entry).repartition(3), ["project"])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
+    assert sorted((r["line"], r["name"], r["qty"], r["c"], r["d"], r["e"]) for r in got.collect()) == sorted(
+        [(0, w, "3", 7, 0, 0) for w in "xy"] + [(1, f"{w}{k}", str(k), 7, 0, 10 - k) for w in "xy" for k in (1, 2, 3)])
+    df = spark.range(1000).selectExpr("concat('p', id % 7) AS project", "id AS k", "id % 3 = 0 AS w", "'long' AS dropped")
+    placed = bill.place_rows(df, ["project"], ["k"], F.col("w"), keep=["project", "k"])
+    assert placed.columns == ["project", "k", "place", "number"] and "Exchange hashpartitioning(project" not in placed._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["k"], r["place"], r["number"]) for r in placed.where("project = 'p1'").collect()) == [(k, n + 1, sum(x % 3 == 0 for x in range(1, k + 1, 7)) if k % 3 == 0 else None) for n, k in enumerate(range(1, 1000, 7))]
