@@ -8,7 +8,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from drawlake.functions.text import bill_key, drawing_no, is_non_countable, model_core, normalize_name, tokens
 
@@ -57,6 +57,42 @@ def _with_texts(left: DataFrame, right: DataFrame, keys: Keys, texts: DataFrame)
     return left.join(right, list(keys)).join(texts, ["l_text", "r_text"])
 
 
+#: Pairs of rows of a bill, and rows of its right side, up to which one task compares them.
+PAIRS, RIGHT = 1_000_000, 20_000
+
+
+def _alike_in_turn(left: DataFrame, right: DataFrame, keys: Keys, threshold: float) -> DataFrame:
+    """(keys, ref, gen, score): left rows (ref, l_text), in their order, take the most similar right row (gen, r_text) that is left.
+
+    Of most bills few rows are left: they go in turn, and nothing is paired. In the others all pairs of texts that may be alike are
+    compared apart, each once, and rows choose in rounds.
+    """
+    from drawlake.operators.graph import stored
+    from drawlake.operators.iterative import serial_match
+    from drawlake.operators.turns import in_turn, most_alike
+
+    known = F.lit(True)
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    row = lambda df, side, n, text: df.where(known).select(*keys, F.lit(side).alias("_side"), F.col(n).alias("_n"), F.col(text).alias("_text"))
+    both = stored(row(right, 0, "gen", "r_text").unionByName(row(left, 1, "ref", "l_text")), "unmatched")
+    sizes = stored(both.groupBy(*keys).agg(F.count_if(F.col("_side") == 1).alias("_l"), F.count_if(F.col("_side") == 0).alias("_r")).where("_l > 0 and _r > 0"), "sizes")
+    few = (F.col("_l") * F.col("_r") <= PAIRS) & (F.col("_r") <= RIGHT)
+    rows, large = sizes.agg(F.coalesce(F.sum(F.when(few, F.col("_l") + F.col("_r"))), F.lit(0)), F.count_if(~few)).first()
+    turns = in_turn(both.join(sizes.where(few).select(*keys), list(keys), "left_semi"), rows, keys, ["_side", "_n"], ["_side", "_n", "_text"], most_alike(threshold), "_at", StructType([StructField("gen", right.schema["gen"].dataType), StructField("score", DoubleType())]))
+    found = turns.where("_at is not null").select(*keys, F.col("_n").alias("ref"), "_at.gen", "_at.score")
+    if not large:
+        return found
+    left, right = (df.join(sizes.where(~few).select(*keys), list(keys), "left_semi") for df in (left, right))
+    # of the earlier rows each takes one, so that the k-th has one left among its k most similar
+    left = left.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy("ref")))
+    alike = stored(_met_texts(left, right, keys, threshold).repartition("l_text", "r_text").withColumn("score", seq_ratio("l_text", "r_text")).where(F.col("score") >= threshold), "alike")
+    scored = _with_texts(left, right, keys, alike).select(*keys, "ref", "gen", "score", "_k")
+    scored = scored.withColumn("_p", F.row_number().over(Window.partitionBy(*keys, "ref").orderBy(F.desc("score"), "gen"))).where("_p <= _k").drop("_k")
+    scored = stored(scored, "scored")
+    return found.unionByName(scored.join(serial_match(scored, keys, "ref", "gen", "_p"), [*keys, "ref", "gen"]).select(*keys, "ref", "gen", "score"))
+
+
 def reconcile(generated: DataFrame, reference: DataFrame, threshold: float = 0.45, keys: Keys = ("case",)) -> DataFrame:
     """Reference and generated bill rows matched one to one: by equal key first, then each reference row, in the order
     of names, takes the most similar generated row that is left. Rows of a side with equal keys are one, with their sum.
@@ -64,7 +100,6 @@ def reconcile(generated: DataFrame, reference: DataFrame, threshold: float = 0.4
     ``generated``: (keys, name, total); ``reference``: (keys, name, qty). Status: matched, quantity, missing, extra.
     """
     from drawlake.operators.graph import once, stored
-    from drawlake.operators.iterative import serial_match
 
     def numbered(df, q, side):
         rows = once(df, "name", nulls=True, _key=bill_key(F.col("name")))
@@ -74,16 +109,9 @@ def reconcile(generated: DataFrame, reference: DataFrame, threshold: float = 0.4
     g, r = stored(numbered(generated, "total", "gen"), "gen"), stored(numbered(reference, "qty", "ref"), "ref")
     exact = r.withColumnRenamed("ref_key", "key").join(g.withColumnRenamed("gen_key", "key"), [*keys, "key"]).select(*keys, "ref", "gen", F.lit(1.0).alias("score"))
     g2, r2 = g.join(exact.select(*keys, "gen"), [*keys, "gen"], "left_anti"), r.join(exact.select(*keys, "ref"), [*keys, "ref"], "left_anti")
-    # of the earlier rows each takes one, so that the k-th has one left among its k most similar
-    left = r2.select(*keys, "ref", F.col("ref_key").alias("l_text"), F.row_number().over(Window.partitionBy(*keys).orderBy("ref")).alias("_k"))
-    right = g2.select(*keys, "gen", F.col("gen_key").alias("r_text"))
-    # projects share names: each pair of texts is compared once
-    alike = stored(_met_texts(left, right, keys, threshold).repartition("l_text", "r_text").withColumn("score", seq_ratio("l_text", "r_text")).where(F.col("score") >= threshold), "alike")
-    scored = _with_texts(left, right, keys, alike).select(*keys, "ref", "gen", "score", "_k")
-    scored = scored.withColumn("_p", F.row_number().over(Window.partitionBy(*keys, "ref").orderBy(F.desc("score"), "gen"))).where("_p <= _k").drop("_k")
-    scored = stored(scored, "scored")
-    fuzzy = scored.join(serial_match(scored, keys, "ref", "gen", "_p"), [*keys, "ref", "gen"]).select(*keys, "ref", "gen", "score")
-    pairs = exact.unionByName(fuzzy)
+    left = r2.where(F.length("ref_key") > 0).select(*keys, "ref", F.col("ref_key").alias("l_text"))
+    right = g2.where(F.length("gen_key") > 0).select(*keys, "gen", F.col("gen_key").alias("r_text"))
+    pairs = exact.unionByName(_alike_in_turn(left, right, keys, threshold))
     out = r.join(pairs, [*keys, "ref"], "left").join(g.drop("gen_key"), [*keys, "gen"], "full_outer")
     status = F.when(F.col("gen").isNull(), "missing").when(F.col("ref").isNull(), "extra").when(F.abs(F.col("ref_qty") - F.col("gen_qty")) >= 0.01, "quantity").otherwise("matched")
     return out.select(*keys, "ref_name", "gen_name", "ref_qty", "gen_qty", "score", status.alias("status"))

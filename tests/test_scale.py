@@ -174,3 +174,32 @@ def test_legend_items_are_grouped_once(spark):
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "LogicalRDD" not in plan and "LocalRelation" not in plan
     assert {(r.file_id, r.best_page, r.seq, r.x0) for r in got.collect()} == {(1, 1, 2, 1.0), (1, 1, 3, 1.0), (1, 1, 4, 1.0), (2, 1, 5, 1.0)}
+
+
+def test_small_bills_are_matched_without_pairs(spark, monkeypatch):
+    """Rows of a bill choose in turn in one task; bills too large for that choose in rounds, and get the same."""
+    import random
+    from difflib import SequenceMatcher
+
+    rnd, rounds = random.Random(5), []
+    own = iterative.serial_match
+    monkeypatch.setattr(iterative, "serial_match", lambda *a: rounds.append(1) or own(*a))
+    words = ["насос", "клапан", "задвижка", "фильтр", "led", "50 вт", "ip65", "щщ"]
+    names = lambda: {" ".join(rnd.sample(words, rnd.randrange(1, 4))) for _ in range(12)}
+    bills = [(c, sorted(names()), sorted(names())) for c in range(9)] + [(None, ["насос"], ["насос"]), (10, [], ["led"]), (11, ["led"], [])]
+    gen, ref = (spark.createDataFrame([(b[0], n, 1.0) for b in bills for n in b[side]], f"case int, name string, {q} double") for side, q in ((1, "total"), (2, "qty")))
+    want = set()
+    for c, g, r in bills[:-3]:
+        left = [n for n in g if n not in r]
+        want |= {(c, n, n, 1.0) for n in g if n in r}
+        for n in r:
+            if n not in g:
+                score, k = max(((SequenceMatcher(None, n, t).ratio(), -i) for i, t in enumerate(left)), default=(0, 0))
+                if score >= 0.45:
+                    want.add((c, n, left.pop(-k), score))
+    for limit in (compare.PAIRS, 20):
+        monkeypatch.setattr(compare, "PAIRS", limit)
+        got = compare.reconcile(gen, ref).collect()
+        assert {(r.case, r.ref_name, r.gen_name, r.score) for r in got if r.score is not None} == want
+        assert sum(r.score is None for r in got) == sum(len(g) + len(r) for _, g, r in bills) - 2 * len(want)
+        assert len(rounds) == (limit == 20)
