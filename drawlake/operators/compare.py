@@ -257,19 +257,10 @@ def bill_patterns(reference: DataFrame, keys: Keys = ()) -> DataFrame:
     return reference.groupBy(*keys, bill_class(F.col("name")).alias("class"), "unit").agg(F.count("*").alias("n_rows"), F.count_if(verb).alias("n_works"), F.countDistinct("name").alias("n_names"), F.round(F.sum("qty"), 2).alias("total"))
 
 
-def enrich_annotations(annotations: DataFrame, legend: DataFrame, keys: Keys = ("file_id",), least: float = 0.6) -> DataFrame:
-    """Counted annotations under their legend entries' names: (keys, a_seq, b_seq, symbol, name, count).
-
-    An annotation (seq, name, count) of three words at least takes the entry (seq, symbol, description) that has all its
-    numbers of two digits or more and the largest share, ``least`` or more, of its words (Latin or digits). Each entry is
-    used once: annotations choose in their order, of equal entries the first. The others keep their names; entries that
-    nobody chose come with 0, but for those that aren't counted.
-    """
+def _words_in_rounds(a: DataFrame, b: DataFrame, keys: Keys, least: float) -> DataFrame:
+    """(keys, a_seq, b_seq): the choices of ``enrich_annotations``, of (keys, a_seq, ta) and (keys, b_seq, tb), by pairs, in rounds."""
     from drawlake.operators.iterative import serial_match
 
-    words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("([a-z]+|[0-9]+)"), F.lit(1)))
-    a = annotations.select(*keys, F.col("seq").alias("a_seq"), words("name").alias("ta")).where(F.size("ta") >= 3)
-    b = legend.select(*keys, F.col("seq").alias("b_seq"), words("description").alias("tb"))
     # equal texts are compared once; an entry is found by the number that fewest entries have or, for want of one, by those
     # rarest words of which it must share one
     ta, tb = a.select(*keys, "ta").distinct(), b.select(*keys, "tb").distinct()
@@ -288,7 +279,34 @@ def enrich_annotations(annotations: DataFrame, legend: DataFrame, keys: Keys = (
     a = a.withColumn("_k", F.row_number().over(Window.partitionBy(*keys, "ta").orderBy("a_seq")))
     fits = a.join(alike.hint("merge"), [*keys, "ta"]).join(b.hint("merge"), [*keys, "tb"])
     fits = fits.select(*keys, "a_seq", "b_seq", "_k", F.row_number().over(Window.partitionBy(*keys, "a_seq").orderBy(F.desc("_share"), "b_seq")).alias("_p")).where("_p >= _k")
-    taken = serial_match(fits, keys, "a_seq", "b_seq", "_p")
+    return serial_match(fits, keys, "a_seq", "b_seq", "_p")
+
+
+def enrich_annotations(annotations: DataFrame, legend: DataFrame, keys: Keys = ("file_id",), least: float = 0.6) -> DataFrame:
+    """Counted annotations under their legend entries' names: (keys, a_seq, b_seq, symbol, name, count).
+
+    An annotation (seq, name, count) of three words at least takes the entry (seq, symbol, description) that has all its
+    numbers of two digits or more and the largest share, ``least`` or more, of its words (Latin or digits). Each entry is
+    used once: annotations choose in their order, of equal entries the first. The others keep their names; entries that
+    nobody chose come with 0, but for those that aren't counted.
+    """
+    from drawlake.operators.graph import stored
+    from drawlake.operators.turns import best_words, in_turn, sized
+
+    words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("([a-z]+|[0-9]+)"), F.lit(1)))
+    a = annotations.select(*keys, F.col("seq").alias("a_seq"), words("name").alias("ta")).where(F.size("ta") >= 3)
+    b = legend.select(*keys, F.col("seq").alias("b_seq"), words("description").alias("tb")).where(F.size("tb") > 0)
+    known = " and ".join(f"`{k}` is not null" for k in (*keys, "_seq"))
+    row = lambda df, side, seq, t: df.select(*keys, F.lit(side).alias("_side"), F.col(seq).alias("_seq"), F.array_join(t, " ").alias("_words")).where(known)
+    both = row(b, 0, "b_seq", "tb").unionByName(row(a, 1, "a_seq", "ta"))
+    rows, large = sized(both, keys)
+    few = both if large is None else both.join(large, list(keys), "left_anti").select(*both.columns)
+    kind = b.schema["b_seq"].dataType
+    turns = in_turn(few, rows, keys, ["_side", "_seq"], ["_side", "_seq", "_words"], best_words(least), "b_seq", kind)
+    taken = turns.where("b_seq is not null").select(*keys, F.col("_seq").cast(a.schema["a_seq"].dataType).alias("a_seq"), "b_seq").distinct()
+    if large is not None:
+        taken = taken.unionByName(_words_in_rounds(*(df.join(large, list(keys), "left_semi") for df in (a, b)), keys, least))
+    taken = stored(taken, "taken")
     named = legend.select(*keys, F.col("seq").alias("b_seq"), F.col("symbol").alias("_symbol"), "description")
     own = annotations.withColumnRenamed("seq", "a_seq").join(taken, [*keys, "a_seq"], "left").join(named, [*keys, "b_seq"], "left")
     own = own.select(*keys, "a_seq", "b_seq", F.coalesce("_symbol", F.lit("")).alias("symbol"), F.coalesce("description", "name").alias("name"), F.col("count").cast("long").alias("count"))

@@ -11,6 +11,7 @@ from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 from difflib import SequenceMatcher
 from functools import lru_cache
+from heapq import heapify, heappop, heapreplace
 from itertools import groupby
 
 import numpy as np
@@ -229,3 +230,92 @@ def most_alike(threshold: float) -> Callable[[], Callable]:
         return choose
 
     return start
+
+
+#: Of a group's sets of words: pairs of those that fit, which a task remembers.
+REMEMBERED = 1_000_000
+
+
+def best_words(least: float) -> Callable[[], Callable]:
+    """For (side, seq, words), the entries (side 0) first: the seq of the entry that is left, has all the row's numbers of two digits or
+    more and the largest share, ``least`` or more, of its words (parted by spaces); of equal ones the least seq. Null for entries.
+
+    Entries of one text are a queue of their seqs, and equal rows share a list of the queues that fit: no row is paired.
+    Rows of one seq choose once.
+    """
+
+    def start():
+        queues: dict[str, list] = {}
+        texts, ahead, having, fits, taken, size = [], [], {}, {}, set(), 0
+
+        def head(c):
+            q, p = texts[c][1], ahead[c]
+            while p < len(q) and q[p] in taken:
+                p += 1
+            ahead[c] = p
+            return q[p] if p < len(q) else None
+
+        def ready():
+            for t, q in queues.items():
+                q.sort()
+                for w in t.split():
+                    having.setdefault(w, []).append(len(texts))
+                texts.append((t, q))
+                ahead.append(0)
+
+        def levels(own):
+            """Lists of (next seq, queue), as heaps, by falling share."""
+            nonlocal size
+            words = own.split()
+            of = lambda w: (len(having.get(w, ())), w)
+            numbers = [w for w in words if len(w) > 1 and "0" <= w[0] <= "9"]
+            probes = [min(numbers, key=of)] if numbers else sorted(words, key=of)[: len(words) - math.ceil(len(words) * least - 1e-9) + 1]
+            found: dict[float, list] = {}
+            for c in dict.fromkeys(c for w in probes for c in having.get(w, ())):
+                theirs = texts[c][0].split()
+                share = sum(w in theirs for w in words) / len(words)
+                if share >= least and all(n in theirs for n in numbers) and (seq := head(c)) is not None:
+                    found.setdefault(share, []).append((seq, c))
+            out = sorted(found.items(), reverse=True)
+            for _, heap in out:
+                heapify(heap)
+            if size > REMEMBERED:
+                fits.clear()
+                size = 0
+            size += sum(len(heap) for _, heap in out)
+            fits[own] = out
+            return out
+
+        def best(own):
+            for share, heap in fits[own] if own in fits else levels(own):
+                while heap:
+                    seq, c = heap[0]
+                    now = head(c)
+                    if now == seq:
+                        return -share, seq
+                    if now is None:
+                        heappop(heap)
+                    else:
+                        heapreplace(heap, (now, c))
+            return None
+
+        def choose(side, seq, words):
+            out = []
+            for (s, k), own in groupby(zip(side.to_pylist(), seq.to_pylist(), words.to_pylist()), lambda r: r[:2]):
+                own = [w for _, _, w in own]
+                at = None
+                if s == 0:
+                    for w in own:
+                        queues.setdefault(w, []).append(k)
+                else:
+                    if queues and not texts:
+                        ready()
+                    at = min((b for b in map(best, own) if b is not None), default=(0, None))[1]
+                    if at is not None:
+                        taken.add(at)
+                out += [at] * len(own)
+            return out
+
+        return choose
+
+    return start

@@ -203,3 +203,35 @@ def test_small_bills_are_matched_without_pairs(spark, monkeypatch):
         assert {(r.case, r.ref_name, r.gen_name, r.score) for r in got if r.score is not None} == want
         assert sum(r.score is None for r in got) == sum(len(g) + len(r) for _, g, r in bills) - 2 * len(want)
         assert len(rounds) == (limit == 20)
+
+
+def test_annotations_choose_without_pairs(spark, monkeypatch):
+    """Entries of one text are a queue: what an annotation fits is not written out. Large files, in rounds, give the same."""
+    import random
+
+    from drawlake.operators import turns
+
+    rnd, rounds = random.Random(4), []
+    own = iterative.serial_match
+    monkeypatch.setattr(iterative, "serial_match", lambda *a: rounds.append(1) or own(*a))
+    colors, kinds = ["red", "blue", "old", "new"], ["ring", "bolt", "plate"]
+    text = lambda n: " ".join(rnd.sample(colors, 2) + [rnd.choice(kinds)] + ["led", str(rnd.randrange(10, 13))][:n])
+    legend = [(f, s, str(s), text(2)) for f in range(3) for s in rnd.sample(range(200), 60)]
+    notes = [(f, s, text(rnd.choice((0, 1, 2))), 1) for f in range(3) for s in rnd.sample(range(200), 50)]
+    want, taken = set(), set()
+    for f, s, name, _ in sorted(notes):
+        words = set(name.split())
+        numbers = {w for w in words if w.isdigit()}
+        found = [(-len(words & set(d.split())) / len(words), b) for g, b, _, d in legend if g == f and (f, b) not in taken and numbers <= set(d.split())]
+        share, b = min(found, default=(0, 0))
+        if share <= -0.6:
+            taken.add((f, b))
+            want.add((f, s, b))
+    a = spark.createDataFrame(notes, "file_id int, seq long, name string, count int")
+    b = spark.createDataFrame(legend, "file_id int, seq int, symbol string, description string")
+    for limits in ({}, {"REMEMBERED": 5}, {"ONE_TASK": 20, "BUCKETS": 2}):
+        for k, v in limits.items():
+            monkeypatch.setattr(turns, k, v)
+        got = compare.enrich_annotations(a, b).collect()
+        assert {(r.file_id, r.a_seq, r.b_seq) for r in got if r.a_seq is not None and r.b_seq is not None} == want and len(got) == len(notes) + len(legend) - len(want)
+        assert len(rounds) == ("ONE_TASK" in limits)
