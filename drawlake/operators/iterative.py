@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from drawlake.operators.graph import checkpointed, components
+from drawlake.operators.graph import checkpointed, components, stored
 
 Keys = Sequence[str]
 
@@ -62,12 +62,19 @@ def _kept(df: DataFrame, gone: DataFrame, keys: Keys, seq: str) -> DataFrame:
 
 
 def dedup_points(df: DataFrame, keys: Keys, tol: float, seq: str = "seq", x: str = "x", y: str = "y") -> DataFrame:
-    """Points at least ``tol`` from every point kept before them (by seq)."""
-    from drawlake.operators.spatial import near_pairs
+    """Points at least ``tol`` from every point kept before them (by seq). A drawing's points go in turn, as pairs of dense ones are too many."""
+    from drawlake.operators.turns import first_near, gone_points, in_turn, sized
 
-    slim = df.select(*keys, seq, x, y)
-    pairs = near_pairs(slim, slim, keys, tol, x, y).where((F.col(f"l_{seq}") < F.col(f"r_{seq}")) & (F.col("dist") < tol))
-    return _kept(df, suppressed(pairs, keys, f"l_{seq}", f"r_{seq}"), keys, seq)
+    at = {"_x": F.col(x).cast("double"), "_y": F.col(y).cast("double")}
+    rows, large = sized(df, keys)
+    few = df if large is None else df.join(large, list(keys), "left_anti").select(*df.columns)
+    each = in_turn(few.withColumns(at), rows, keys, [seq], [seq, "_x", "_y"], first_near(tol, nearest=False), "_first", df.schema[seq].dataType)
+    kept = each.where(F.col("_first").isNull() | (F.col("_first") == F.col(seq))).select(*df.columns)
+    if large is None:
+        return kept
+    many = df.join(large, list(keys), "left_semi").select(*df.columns)
+    gone = gone_points(many.select(*keys, F.col(seq).alias("seq"), at["_x"].alias("x"), at["_y"].alias("y")), keys, tol)
+    return kept.unionByName(_kept(many, gone.withColumnRenamed("seq", "id"), keys, seq).select(*df.columns))
 
 
 def _before(conf: str, seq: str) -> Column:
@@ -149,12 +156,13 @@ def disambiguate(det: DataFrame, words: DataFrame, hints: DataFrame, keys: Keys,
     from drawlake.operators.spatial import near_pairs
 
     ranked = det.withColumn("_o", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("confidence"), seq)))
-    pts = ranked.select(*keys, F.col("_o").alias("seq"), F.col(seq).alias("det"), F.col("cx").alias("x"), F.col("cy").alias("y"), F.col(label).alias("label"))
-    seeds = dedup_points(pts, keys, cluster)
+    pts = stored(ranked.select(*keys, F.col("_o").alias("seq"), F.col("cx").alias("x"), F.col("cy").alias("y"), F.col(label).alias("label")), "ranked")
+    seeds = stored(dedup_points(pts, keys, cluster), "seeds")
     own = near_pairs(pts, seeds, keys, cluster).groupBy(*keys, F.col("l_seq").alias("seq")).agg(F.min("r_seq").alias("place"))
     placed = pts.join(own, [*keys, "seq"])
     said = words.join(hints.select(F.col("label").alias("hint"), F.col("token").alias("text")), "text").select(*keys, "hint", F.col("x0").alias("x"), F.col("top").alias("y"))
-    hits = near_pairs(seeds.select(*keys, "seq", "x", "y"), said, keys, reach).groupBy(*keys, F.col("l_seq").alias("place"), F.col("r_hint").alias("label")).agg(F.count("*").alias("n"))
+    # seeds lie apart, so that they are the ones to be dealt
+    hits = near_pairs(said, seeds.select(*keys, "seq", "x", "y"), keys, reach).groupBy(*keys, F.col("r_seq").alias("place"), F.col("l_hint").alias("label")).agg(F.count("*").alias("n"))
     votes = placed.join(hits, [*keys, "place", "label"], "left")
     return votes.groupBy(*keys, "place").agg(F.max_by("label", F.struct(F.coalesce("n", F.lit(0)).alias("n"), (-F.col("seq")).alias("o"))).alias(label), F.count("*").alias("n_detections"))
 

@@ -235,3 +235,40 @@ def test_annotations_choose_without_pairs(spark, monkeypatch):
         got = compare.enrich_annotations(a, b).collect()
         assert {(r.file_id, r.a_seq, r.b_seq) for r in got if r.a_seq is not None and r.b_seq is not None} == want and len(got) == len(notes) + len(legend) - len(want)
         assert len(rounds) == ("ONE_TASK" in limits)
+
+
+def kept_in_order(points, fits):
+    """Seqs that stay of (seq, x, y): rows of one seq stay or go together, rows without a seq or place stay and keep none off."""
+    out, places = set(), []
+    for s in sorted({p[0] for p in points if p[0] is not None}):
+        own = [p for p in points if p[0] == s and None not in p]
+        if not any(fits(p, q) for p in own for q in places):
+            out.add(s)
+            places += own
+    return out
+
+
+def test_dense_points_make_no_pairs(spark, monkeypatch):
+    """Of thousands of points in one place the first stays, and no two of them are written as a pair; nor are a large drawing's."""
+    import math
+    import random
+
+    from drawlake.operators import turns
+
+    rnd, paired = random.Random(6), []
+    own = spatial.near_pairs
+    monkeypatch.setattr(spatial, "near_pairs", lambda left, right, *a, **k: paired.append((left, right)) or own(left, right, *a, **k))
+    monkeypatch.setattr(iterative, "suppressed", None)
+    rows = [(1, s, rnd.gauss(0, 4), rnd.gauss(0, 4)) for s in rnd.sample(range(900), 900)] + [(2, s % 40, rnd.uniform(-90, 90), rnd.uniform(0, 30)) for s in range(60)]
+    rows += [(2, 50, None, 1.0), (2, 51, float("nan"), 1.0), (2, None, 0.0, 0.0), (None, 1, 0.0, 0.0), (None, 1, 0.0, 0.0), (3, 7, 10.0, 0.0), (3, 5, 0.0, 0.0), (3, 9, 20.0, 0.0)]
+    df = spark.createDataFrame(rows, "page int, seq long, x double, y double")
+    far = lambda p, q: math.dist(p[1:], q[1:]) < 10
+    want = {(g, s) for g in (1, 2, 3) for s in kept_in_order([r[1:] for r in rows if r[0] == g and r[2] == r[2]], far)}
+    want |= {(2, 51), (2, None), (None, 1)}
+    for limit in (turns.ONE_TASK, 50):
+        monkeypatch.setattr(turns, "ONE_TASK", limit)
+        got = [(r.page, r.seq) for r in iterative.dedup_points(df, ["page"], 10.0).collect()]
+        assert set(got) == want and len(got) == sum((r[0], r[1]) in want for r in rows)
+        assert bool(paired) == (limit == 50)
+    # what is left of a large page meets the few that stay
+    assert all(right.count() < 120 for _, right in paired)
