@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from drawlake.functions import rules as R
 from drawlake.operators.graph import stored
-from drawlake.operators.iterative import suppressed
 from drawlake.operators.spatial import box_join, near_pairs
+from drawlake.operators.turns import first_near, gone_points, in_turn, sized
 
 Keys = Sequence[str]
 TOL = 5.0
@@ -29,14 +29,21 @@ def anchors(heights: Column, tol: float) -> Column:
 
 def anchor_groups(pairs: DataFrame, keys: Keys, a: str, b: str, order: str = "seq", tol: float = TOL) -> DataFrame:
     """``pairs`` with the anchor (its ``order``) whose a and b both lie within ``tol``: pairs go by order, each to the first
-    anchor that fits, or it becomes one itself. Rounds, as for suppression."""
-    p = pairs.select(*keys, F.col(order).alias("seq"), F.col(a).alias("x"), F.col(b).alias("y"))
+    anchor that fits, or it becomes one itself. A drawing's pairs go in turn."""
+    at = {"_x": F.col(a).cast("double"), "_y": F.col(b).cast("double")}
+    pairs = pairs.where(" and ".join(f"`{k}` is not null" for k in keys))
+    rows, large = sized(pairs, keys)
+    few = pairs if large is None else pairs.join(large, list(keys), "left_anti").select(*pairs.columns)
+    each = in_turn(few.withColumns(at), rows, keys, [order], [order, "_x", "_y"], first_near(tol, square=True), "anchor", pairs.schema[order].dataType)
+    out = each.where("anchor is not null").drop(*at)
+    if large is None:
+        return out
+    many = pairs.join(large, list(keys), "left_semi")
+    p = many.select(*keys, F.col(order).alias("seq"), at["_x"].alias("x"), at["_y"].alias("y"))
+    heads = p.join(gone_points(p, keys, tol, square=True), [*keys, "seq"], "left_anti")
     fits = (F.abs(F.col("l_x") - F.col("r_x")) < tol) & (F.abs(F.col("l_y") - F.col("r_y")) < tol)
-    close = near_pairs(p, p, keys, tol * 2**0.5).where(fits)
-    gone = suppressed(close.where("l_seq < r_seq"), keys, "l_seq", "r_seq").withColumnRenamed("id", "seq")
-    heads = p.join(gone, [*keys, "seq"], "left_anti")
     own = near_pairs(p, heads, keys, tol * 2**0.5).where(fits).groupBy(*keys, F.col("l_seq").alias(order)).agg(F.min("r_seq").alias("anchor"))
-    return pairs.join(own, [*keys, order])
+    return out.unionByName(many.join(own, [*keys, order]))
 
 
 def _apart(df: DataFrame, other: DataFrame, keys: Keys, point: tuple[str, str], box: tuple[Column, Column, Column, Column]) -> DataFrame:
@@ -61,10 +68,10 @@ def line_bounds(segments: DataFrame, headers: DataFrame, keys: Keys = ("file_id"
     near = box_join(flat, heads, keys, ("lx0", "ly", "lx1", "ly"), ("_h0", "_h1", "_h2", "_h3")).where("ly > _h1 and ly < _h3 and lx0 < _h2 and lx1 > _h0").drop("_h0", "_h1", "_h2", "_h3")
     near = near.withColumn("_own", (F.col("lx1") > hx - 200) & (F.col("lx0") < hx + 200))
     near = near.join(near.groupBy(*by).agg(F.max("_own").alias("_any")), by).where("_own or not _any").withColumns({"rx0": F.bround("lx0"), "rx1": F.bround("lx1")})
-    pairs = near.groupBy(*by, "rx0", "rx1").agg(F.min("seq").alias("seq"), F.count("*").alias("n"), F.min(F.abs(F.col("ly") - hy)).alias("far"))
+    pairs = stored(near.groupBy(*by, "rx0", "rx1").agg(F.min("seq").alias("seq"), F.count("*").alias("n"), F.min(F.abs(F.col("ly") - hy)).alias("far")), "ends")
     grouped = anchor_groups(pairs, by, "rx0", "rx1").groupBy(*by, "anchor").agg(F.sum("n").alias("n"), F.min("far").alias("far"), F.min_by(F.struct("rx0", "rx1"), "seq").alias("k"))
     wide = F.col("k.rx1") - F.col("k.rx0")
-    best = grouped.where((F.col("n") >= 2) & wide.between(40, 800)).groupBy(*by).agg(F.min_by("k", F.struct("far", "anchor")).alias("k"))
+    best = stored(grouped.where((F.col("n") >= 2) & wide.between(40, 800)).groupBy(*by).agg(F.min_by("k", F.struct("far", "anchor")).alias("k")), "best")
 
     def usual(end):
         n = near.groupBy(*by, end).agg(F.count("*").alias("n"), F.min("seq").alias("first"))

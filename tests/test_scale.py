@@ -272,3 +272,30 @@ def test_dense_points_make_no_pairs(spark, monkeypatch):
         assert bool(paired) == (limit == 50)
     # what is left of a large page meets the few that stay
     assert all(right.count() < 120 for _, right in paired)
+
+
+def test_anchors_are_found_without_pairs(spark, monkeypatch):
+    """Each row goes to the first anchor that fits, in one pass over its drawing; large drawings get the same."""
+    import random
+
+    from drawlake.operators import turns
+
+    rnd, paired = random.Random(7), []
+    for module in (spatial, tables):
+        own = module.near_pairs
+        monkeypatch.setattr(module, "near_pairs", lambda *a, own=own, **k: paired.append(1) or own(*a, **k))
+    rows = [(f, s if f else s % 70, rnd.randrange(40) / 2, rnd.randrange(80) / 2, s) for f in range(3) for s in rnd.sample(range(90), 90)]
+    rows += [(1, 95, None, 0.0, 0), (None, 1, 0.0, 0.0, 0), (1, None, 0.0, 0.0, 0)]
+    want = []
+    for f in range(3):
+        fits = lambda p, q: abs(p[1] - q[1]) < 5 and abs(p[2] - q[2]) < 5
+        own = [r[1:4] for r in rows if r[0] == f and None not in r]
+        heads = kept_in_order(own, fits)
+        first = {s: min(q[0] for p in own for q in own if p[0] == s and q[0] in heads and fits(p, q)) for s, _, _ in own}
+        want += [(*r, first[r[1]]) for r in rows if r[0] == f and None not in r]
+    df = spark.createDataFrame(rows, "file_id int, seq long, rx0 double, rx1 double, n int")
+    for limit in (turns.ONE_TASK, 30):
+        monkeypatch.setattr(turns, "ONE_TASK", limit)
+        got = tables.anchor_groups(df, ["file_id"], "rx0", "rx1")
+        assert sorted(tuple(r) for r in got.select(*df.columns, "anchor").collect()) == sorted(want)
+        assert bool(paired) == (limit == 30)
